@@ -233,7 +233,7 @@ def sniff(df: DataFrame, blob_col: str = "media", declared_col: str = "declared_
     Columns of df with those names are replaced."""
     base = df.drop("media_type", "found")
     span = T.StructType().add("type", "string").add("start", "long").add("end", "long")
-    schema = T.StructType(base.schema.fields).add("media_type", "string").add("found", T.ArrayType(span))
+    schema = T.StructType([*base.schema.fields]).add("media_type", "string").add("found", T.ArrayType(span))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
