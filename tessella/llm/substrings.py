@@ -1,7 +1,7 @@
 """Substring dedup: words covered by a window of WINDOW words that also starts earlier in the corpus are removed.
 
 Two equal windows have the same least hash among the ANCHOR-word sequences in them, so a document is cut into segments:
-runs of consecutive windows with the same least hash, the segment's anchor. Equal windows always lie in segments with
+runs of consecutive windows whose (first) least hash stands at the same place, the segment's anchor. Equal windows always lie in segments with
 equal anchors. Anchors that occur once (almost all in clean text) end the search; segments equal as a whole to an
 earlier one are settled by their content hash. What is left, segments with the same anchor but different words around
 it, is read in order through the suffix automaton of its anchor's shard: the automaton is extended word by word, and
@@ -33,8 +33,6 @@ from .common import keyed, mix64, slices, stored, words_of
 
 WINDOW = 20
 ANCHOR = 6
-#: Windows of a segment at most; longer runs (periodic text) are several segments.
-RUN = 64
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,12 +54,13 @@ def segments_of(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW) ->
     two = mix64(hashes[:-1] * np.uint64(3) + hashes[1:])
     four = mix64(two[:-2] * np.uint64(5) + two[2:])
     least = mix64(four[: n - ANCHOR + 1] * np.uint64(7) + two[4:])
-    span = 1
-    while 2 * span <= spread:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if spread > span:
-        least = np.minimum(least[: len(least) - (spread - span)], least[spread - span :])
+    where, span = np.arange(len(least)), 1  # the least of each window, and its first place
+    while span < spread:
+        step = min(span, spread - span)
+        right = least[step:] < least[:-step]
+        where = np.where(right, where[step:], where[:-step])
+        least = np.where(right, least[step:], least[:-step])
+        span += step
     inside = np.zeros(n + 1, np.int64)
     first, last = starts[:-1], np.maximum(starts[:-1], starts[1:] - window + 1)
     np.add.at(inside, first, 1)
@@ -69,11 +68,9 @@ def segments_of(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW) ->
     at = np.nonzero(np.cumsum(inside)[: len(least)])[0]
     if not len(at):
         return none
-    anchor = least[at]
+    anchor, place = least[at], where[at]
     edge = np.ones(len(at), bool)
-    edge[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
-    run = np.arange(len(at)) - np.maximum.accumulate(np.where(edge, np.arange(len(at)), 0))
-    edge |= run % RUN == 0
+    edge[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.nonzero(edge)[0]
     count = np.diff(np.append(begin, len(at)))
     # a polynomial of the words, shifted to start at power zero; products and sums wrap at 64 bits

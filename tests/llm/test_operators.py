@@ -1,0 +1,507 @@
+"""Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeated rows and names
+that clash with what the operators make, and on an empty table."""
+
+import collections
+import hashlib
+import json
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessella.llm import bayes, chat, media, mixing, packing, pieces, rules, sharding, simhash, substrings
+from tessella.llm.common import keyed
+from tessella.llm.queries import tokenizer_file
+
+DOCS = T.StructType(
+    [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()))]
+    + [T.StructField(n, T.StringType()) for n in ("size", "row_key", "words", "h", "kept", "media_type", "fp", "node", "rest", "stratum", "target", "taken")]
+)
+EXTRA = ("x",) * 12
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice("the of and a tion er anble, thst. On é世 <|end|> ### \\c1;".split(" ")) + str(rng.randint(0, 30)) for _ in range(n))
+
+
+def edge_rows(unique: bool):
+    rng = random.Random(5)
+    passage, line = sentence(rng, 60), sentence(rng, 7)
+    texts = [None, "", "   \n\t ", "one", "a b c", passage, passage, sentence(rng, 30) + " " + passage + "\n" + sentence(rng, 25), "x " * 300, "ab cd " * 40]
+    texts += [sentence(rng, 5000), ("W" * 4000) + " tail", "\n".join([line] * 30), line.upper() + "!! ###", "z" * 9, sentence(rng, 19), sentence(rng, 20)]
+    texts += [sentence(rng, rng.randint(1, 120)) for _ in range(40)]
+    changed = texts[-1].split()
+    texts += [" ".join(changed), " ".join(["new", *changed[1:]]), passage.replace(" ", "\x0b"), passage + "\x1c" + passage, "<|endoftext|> ok", "  ▁ x\r\ny"]
+    rows = [(k, t, ("en", "de", None)[k % 3], ("s1", "s2", None, "t")[k % 4], len(t or "")) for k, t in enumerate(texts)]
+    rows = [*rows[20:], *rows[:20]]
+    if not unique:
+        rows += [rows[3], rows[3], (None, passage, None, None, None), (None, None, "en", "s1", 0), (7, "seven again", "en", "s1", 1), rows[30]]
+    return [(*r, *EXTRA) for r in rows]
+
+
+@pytest.fixture(scope="module", params=["unique", "repeated", "empty"])
+def docs(spark, request):
+    rows = [] if request.param == "empty" else edge_rows(request.param == "unique")
+    return spark.createDataFrame(rows, DOCS).repartition(3), rows
+
+
+def word_list(text):
+    return (text or "").encode().split()
+
+
+def same_rows(df, want):
+    assert collections.Counter(map(tuple, df.collect())) == collections.Counter(want)
+
+
+def test_media(docs):
+    df, rows = docs
+    want = []
+    for r in rows:
+        raw = (r[1] or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        want.append((r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
+    got = media.sample_digests(media.sniff(media.store_texts(df)))
+    same_rows(got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"), want)
+    assert got.where("media_type <> 'audio/wav' or media_bytes <= payload_bytes").count() == 0
+
+
+def png(size=1):
+    import struct
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", size, size, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0" * size)) + chunk(b"IEND", b"")
+
+
+def test_sniffing_corrects_and_carves(spark):
+    import gzip
+    import io
+    import zipfile
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "hello")
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+    broken = bytearray(png())
+    broken[20] ^= 1
+    wav = media.as_wav("text with GIF89a and BM in it")
+    rows = [
+        (1, png(), "image/jpeg"), (2, b"junk" + png() + b"mid" + gif + b"end", None), (3, bytes(broken), "image/png"), (4, wav, None), (5, None, "image/png"),
+        (6, b"", "text/plain"), (7, gzip.compress(b"abc" * 1000), "x"), (8, box.getvalue(), "y"), (9, b"BM just text", "text/plain"), (10, wav[:-1], "audio/wav"), (11, wav + png(), "audio/wav"),
+    ]
+    df = spark.createDataFrame(rows, "id long, media binary, declared_type string")
+    got = {r.id: (r.media_type, None if r.found is None else [(x.type, x.end - x.start) for x in r.found]) for r in media.sniff(df).collect()}
+    unknown = media.UNKNOWN
+    assert got[1] == ("image/png", [("image/png", len(png()))])
+    assert got[2] == (unknown, [("image/png", len(png())), ("image/gif", len(gif))])
+    assert got[3] == (unknown, []) and got[4] == ("audio/wav", [("audio/wav", len(wav))]) and got[5] == (None, None)
+    assert got[6] == ("text/plain", []) and got[7][0] == "application/gzip" and got[8][0] == "application/zip" and got[9] == ("text/plain", [])
+    assert got[10][0] == unknown and got[11] == (unknown, [("audio/wav", len(wav)), ("image/png", len(png()))])
+
+
+def plain_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(ids, fps, radius=4):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def test_simhash(docs):
+    df, rows = docs
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    same_rows(simhash.near_duplicates(df), list(zip([r[0] for r in rows], signed, plain_components([r[0] for r in rows], fps), strict=True)))
+
+
+@pytest.mark.parametrize("bucket", [8192, 16])
+def test_links_of_dense_groups(spark, monkeypatch, bucket):
+    """A ball of close fingerprints, chains and random ones; also with buckets that are dealt out as pairs of parts."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(3)
+    fps = {rng.getrandbits(64) for _ in range(150)}
+    centre = rng.getrandbits(64)
+    fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(200)}
+    chain = rng.getrandbits(64)
+    for _ in range(30):
+        chain ^= sum(1 << b for b in rng.sample(range(64), 4))
+        fps.add(chain)
+    fps = sorted(fps)
+    ids = list(range(len(fps)))
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in zip(ids, fps, strict=True)], "fp long, node long")
+    got = dict(map(tuple, simhash.components(simhash.links(nodes)).collect()))
+    assert [got.get(i, i) for i in ids] == plain_components(ids, fps)
+
+
+def test_blocks_lose_no_pair():
+    for n in (10, 10**6, 10**8, 10**12):
+        widths = simhash.blocks_for(n, 4)
+        assert sum(widths) == 64 and len(widths) > 4
+
+
+def test_chat_digests(spark):
+    said = ["plain", "", None, "</s>[INST] ok [/INST]", "a\\b\\c1; \\n <|end|><|turn|>user\nx<|end|>", "é\n\n世", "<<SYS>><s><|im_end|>"]
+    rows = [(c, t, ("system", "user", "assistant", None, "assistant\nx")[t % 5 if c else 1 + t % 2], said[(c + t) % len(said)], "y") for c in range(9) for t in range(c + 1)]
+    rows += [(3, 1, "assistant", "again", "y"), (None, 0, "user", "no id", "y"), (None, None, "assistant", "no turn", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string").repartition(3)
+    records = chat.turn_records(df).union(chat.control_conversation(spark))
+    parts = chat.format_chat(chat.canonical_turns(records, "conv_id", "turn", "record"))
+    got = {r.conv_id: r for r in chat.conversation_digests(parts).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text, _ in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    by[-7] = [(True, 0, "user", said[3]), (True, 1, "assistant", said[3])]
+    assert got.keys() == by.keys()
+    for c, turns in by.items():
+        turns.sort()
+        learned = "".join(x for _, _, r, x in turns if r == "assistant")
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert got[c].formatted_chars == sum(len(chat.formatted(r, x)[0]) for _, _, r, x in turns)
+    assert chat.conversation_digests(chat.format_chat(chat.canonical_turns(records.limit(0), "conv_id", "turn", "record"))).count() == 0
+
+
+def test_chat_layouts(spark):
+    layouts = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "name": "n"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": 3},
+        {"instruction": "q", "input": "", "output": "a"}, {"instruction": "q", "output": "a", "extra": {"deep": [1]}},
+        {"prompt": "q", "response": "a"}, {"prompt": "q", "completion": "a"}, {"question": "q", "answer": "a"},
+    ]
+    rows = [(k, 0, json.dumps(x)) for k, x in enumerate(layouts)] + [(90, 0, "not json"), (91, 0, None), (92, 0, '{"foo": 1}'), (93, 0, "[1]")]
+    df = spark.createDataFrame(rows, "c long, o long, r string")
+    got = collections.defaultdict(list)
+    for r in chat.canonical_turns(df, "c", "o", "r").orderBy("conv_id", "step").collect():
+        got[r.conv_id].append((r.role, r.text, r.layout))
+    for k in range(len(layouts)):
+        assert [x[:2] for x in got[k]] == [("user", "q"), ("assistant", "a")], k
+    assert all(got[k] == [(None, None, None)] for k in (90, 91, 92, 93))
+    assert chat.schema_fingerprint(layouts[0]) != chat.schema_fingerprint(layouts[1])
+    assert chat.schema_fingerprint({"a": 1, "b": "x"}) == chat.schema_fingerprint({"b": 2, "a": None})
+
+
+@pytest.mark.parametrize("n_shards", [40, 3])
+def test_sharding(docs, n_shards):
+    df, rows = docs
+    got = sharding.shard(df, n_shards).collect()
+    want = [(r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows]
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == collections.Counter(want)
+    slots = collections.defaultdict(list)
+    for r in got:
+        assert 0 <= r.shard < n_shards
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    fair = sum(w[1] for w in want) / n_shards if want else 0
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[(r.text_crc32, r["size"])].add(r.shard)
+    sums = collections.Counter()
+    for r in want:
+        sums[(r[2], r[1])] += r[1]
+    assert all(len(s) == 1 for g, s in groups.items() if sums[g] <= fair)
+
+
+def test_shards_are_near_equal(spark):
+    rng = random.Random(1)
+    rows = [(k, "w" * rng.randint(0, 3000)) for k in range(4000)] + [(k, "hot " * 200) for k in range(4000, 6000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sizes = [r.b for r in got]
+    assert len(sizes) == 40 and max(sizes) <= 1.02 * min(sizes)
+
+
+def test_best_fit_decreasing():
+    rng = random.Random(2)
+    for _ in range(30):
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 80))]
+        free, want = [], {}
+        for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+            fit = [(left, b) for b, left in enumerate(free) if left >= sizes[k]]
+            at = min(fit)[1] if fit else len(free)
+            free += [] if fit else [60]
+            free[at] -= sizes[k]
+            want[k] = at
+        assert sharding.best_fit_decreasing(sizes, 60) == [want[k] for k in range(len(sizes))]
+
+
+def test_sainte_lague():
+    rng = random.Random(4)
+    for _ in range(60):
+        shares = [rng.choice([0.0, rng.random(), 5.0, 1e-9]) for _ in range(rng.randint(1, 12))]
+        most = [rng.randint(0, 60) for _ in shares]
+        seats = rng.randint(0, 80)
+        want = [0] * len(shares)
+        for _ in range(seats):
+            open_ = [(-x / (2 * want[k] + 1), k) for k, x in enumerate(shares) if x > 0 and want[k] < most[k]]
+            if not open_:
+                break
+            want[min(open_)[1]] += 1
+        assert mixing.sainte_lague(shares, seats, most) == want
+
+
+def test_mixing(docs):
+    df, rows = docs
+    sized = mixing.sized(df.drop("size", "target", "taken"))
+    got = mixing.mix(sized).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    assert collections.Counter((r.doc_id, r["size"]) for r in got) == collections.Counter((r[0], len(word_list(r[1]))) for r in rows)
+    size = collections.Counter()
+    for r in rows:
+        size[r[3]] += len(word_list(r[1]))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    left, want, open_ = float(sum(size.values())), {}, {s: 1 + k % 3 for k, s in enumerate(order)}
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s, w in open_.items() if w * level > 3 * size[s]]
+        for s in full:
+            want[s] = 3.0 * size[s]
+            left -= want[s]
+            del open_[s]
+        if not full:
+            want |= {s: w * level for s, w in open_.items()}
+            break
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 2 for s in want)
+    again = mixing.mix(sized.repartition(2)).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
+    pieces_ = mixing.taken_texts(mixing.mix(sized))
+    assert sum(len(word_list(r.text)) for r in pieces_.collect()) == sum(taken.values())
+    assert set(pieces_.columns) == set(sized.columns) - {"size"}
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    df, rows = docs
+    path = tokenizer_file("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    files = packing.write_files(df, path, 1)
+    ids = [[*own.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows]
+    got = sorted(map(tuple, packing.read_digests(files).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert collections.Counter(g[1:] for g in got) == collections.Counter((r[0], len(x), crc(x)) for r, x in zip(rows, ids, strict=True))
+    at = 0
+    for start, _, n, _ in got:
+        assert start == at
+        at += n
+    assert [g[1] for g in got] == sorted((g[1] for g in got), key=lambda d: (d is not None, d or 0))
+    if rows:
+        assert packing.read_document(files, 41) == [ids[[r[0] for r in rows].index(41)]]
+
+
+@pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 31, 32])
+def test_bit_packing(bits):
+    ids = np.random.default_rng(bits).integers(0, 2**bits, 999, dtype=np.uint64).astype(np.uint32)
+    data = packing.pack(ids, bits)
+    assert len(data) == -(-999 * bits // 8)
+    assert (packing.unpack(data, bits, 0, 999) == ids).all() and (packing.unpack(data, bits, 77, 300) == ids[77:377]).all()
+
+
+def test_blocks_of_odd_width(spark, monkeypatch):
+    """A vocabulary whose ids end on no byte, and blocks smaller than the documents."""
+    monkeypatch.setattr(packing, "BLOCK_IDS", 50)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 10)
+    monkeypatch.setattr(packing, "bits_for", lambda n: 17)
+    df = spark.createDataFrame([(k, f"word{k} " * (k % 9)) for k in range(60)], "doc_id long, text string").repartition(3)
+    path = tokenizer_file("word_bpe_49k.json")
+    files = packing.write_files(df, path, 1)
+    assert files.select("shard").distinct().count() > 1 and files.count() > 5
+    rows = packing.read_digests(files).orderBy("doc_id").collect()
+    encode = packing.WordIds(path)
+    for r in rows:
+        ids = np.append(np.frombuffer(encode([f"word{r.doc_id} " * (r.doc_id % 9)])[0], "<u4"), 1).astype("<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def plain_repeats(texts, window=20):
+    seen, out = set(), []
+    for t in texts:
+        w = word_list(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if key in seen:
+                gone[i : i + window] = [True] * window
+            seen.add(key)
+        out.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+def test_substrings(docs):
+    df, rows = docs
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    want = [(r[0], n, g, hashlib.sha256(k).hexdigest()) for r, (n, g, k) in zip(ordered, plain_repeats([r[1] for r in ordered]), strict=True)]
+    same_rows(substrings.remove_repeats(keyed(df), digest=True).select("doc_id", "n_words", "n_removed", "kept"), want)
+    out = substrings.without_repeats(df)
+    assert out.columns == df.columns
+    kept = collections.Counter((w[0], b" ".join(word_list(r.text))) for w, r in zip([], [], strict=True))
+    kept = collections.Counter((r.doc_id, hashlib.sha256(b" ".join(word_list(r.text))).hexdigest()) for r in out.collect())
+    assert kept == collections.Counter((w[0], w[3]) for w in want)
+
+
+def test_substrings_of_few_words(spark):
+    """Few different words: many chance repeats, periods and overlaps; several batches and groups over their edges."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(15, 200))) for _ in range(60)]
+    texts += [" ".join(["a"] * n) for n in (19, 20, 21, 100, 400)] + ["a b c " * 90, "b c a " * 70]
+    texts += [" ".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(30)]
+    for k in range(40):
+        base = texts[rng.randint(67, 96)].split()
+        at = rng.randint(0, 250)
+        texts.append(" ".join([*base[:at], "new", *base[at + k % 3 :]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = [(k, n, g, hashlib.sha256(x).hexdigest()) for k, (n, g, x) in enumerate(plain_repeats(texts))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (before, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            same_rows(substrings.remove_repeats(keyed(df), digest=True).select("doc_id", "n_words", "n_removed", "kept"), want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_suffix_automaton():
+    rng = random.Random(6)
+    text, shard = [], substrings.SuffixAutomaton()
+    for _ in range(200):
+        text.append(rng.choice("abc"))
+        want = max(n for n in range(len(text) + 1) if n == 0 or any(text[i : i + n] == text[-n:] for i in range(len(text) - n)))
+        assert shard.feed(text[-1]) == want
+
+
+def plain_features(text):
+    w = [x.decode() for x in word_list(text)]
+    lines = [x for x in (text or "").split("\n") if word_list(x)]
+    runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    count, hit = collections.Counter(runs), set()
+    for i, r in enumerate(runs):
+        if count[r] > 1:
+            hit |= set(range(i, i + 8))
+    failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), failed
+
+
+def test_rules_base(docs, spark):
+    df, rows = docs
+    feats = rules.features(df)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    cut = rules.thresholds(feats, labels)
+    assert cut.count() == 0  # too few labels to be sure of anything
+    got = rules.judge(feats, cut)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    same_rows(got.select(*names), [(r[0], *plain_features(r[1])) for r in rows])
+    assert got.where("kept = base_failed").count() == 0
+
+
+def test_binomial_tail(spark):
+    from math import comb, isclose, log
+
+    cases = [(10, 0, 0.3), (10, 2, 0.3), (500, 3, 0.02), (2000, 0, 0.005), (3000, 9, 0.005)]
+    for n, k, p in cases:
+        got = spark.range(1).select(rules.log_binomial_tail(F.lit(n), F.lit(k).cast("long"), p)).first()[0]
+        assert isclose(got, log(sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))), rel_tol=1e-9)
+
+
+def test_certified_thresholds(spark):
+    """One stratum has enough labels and a clean cut, one a signal that good documents show too, one few labels."""
+    rng = random.Random(9)
+    rows, labels, k = [], [], 0
+    for lang, n, noise in (("en", 3000, 0.0), ("fr", 3000, 0.05), ("de", 100, 0.0)):
+        for _ in range(n):
+            bad = rng.random() < 0.2
+            odd = bad or rng.random() < noise
+            rows.append((k, " ".join(f"w{rng.randint(0, 9**9)}" + ("###" if odd else "") for _ in range(25)), lang))
+            labels.append((k, int(not bad), 0))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    feats = rules.features(df).cache()
+    cut = {(r.stratum, r.signal): r.cutoff for r in rules.thresholds(feats, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert set(cut) == {("en", "symbol_share")} and cut["en", "symbol_share"] in rules.GRID["symbol_share"]
+    wide = spark.createDataFrame([(s, n, c) for (s, n), c in cut.items()], "stratum string, signal string, cutoff double")
+    lost = rules.judge(feats, wide).where("not kept").groupBy("stratum").count().collect()
+    assert [r.stratum for r in lost] == ["en"] and 500 < lost[0]["count"] < 700
+
+
+def test_pieces(docs):
+    import sentencepiece
+
+    df, rows = docs
+    path = tokenizer_file("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = []
+    for r in rows:
+        ids = own.encode(r[1] or "")
+        back = own.decode(ids).encode()
+        assert back.decode() == (r[1] or "").replace("▁", " ")
+        want.append((r[0], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(back), hashlib.sha256(back).hexdigest(), back.decode() == (r[1] or "")))
+    same_rows(pieces.encode_and_decode(df, path), want)
+
+
+def test_pieces_of_odd_texts():
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    own, mine = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
+    rng = random.Random(11)
+    texts = ["", " ", "   a", "a  ", "\n\n x \t y", "▁▁a ▁", "日本語 テキスト", "x" * 700, "ab" * 300 + " " + "c" * 97, "a\x00b", "😀 é́", "<s> </s> <0x0A>", " " * 40, "ﬁ​"]
+    texts += ["".join(rng.choice("ab \n\tétion▁世x.,😀") for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    for text, ids in zip(texts, mine(texts), strict=True):
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == own.encode(text)
+        assert pieces.decode(ids, mine.v).decode() == own.decode(ids)
+
+
+def test_bayes_edges(docs, spark):
+    df, rows = docs
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
+    got = bayes.classify(df, labels).collect()
+    assert collections.Counter((r.doc_id, r.host, r.path) for r in got) == collections.Counter((r[0], r[3], r[2]) for r in rows)
+    assert all(0 <= r.posterior <= 1 for r in got)
+
+
+def test_bayes_held_out(spark, small_dir):
+    base = small_dir.rsplit("/", 1)[0] + "/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    seen = labels.where("doc_id % 2 = 0")
+    got = bayes.classify(docs, seen).join(labels.where("doc_id % 2 = 1"), "doc_id").select("kept", "quality").collect()
+    right = sum(r.kept == bool(r.quality) for r in got) / len(got)
+    prior = max(sum(r.quality for r in got), sum(1 - r.quality for r in got)) / len(got)
+    assert right >= 0.95 and right > prior
+
+
+def test_sparse_sites_shrink(spark):
+    rows = [("big", "a", 1000, 300.0), ("big", "b", 1, 0.0), ("good", "a", 1000, 900.0), ("rare", "a", 1, 0.0)]
+    sites = spark.createDataFrame(rows, "host string, path string, m long, e double")
+    docs = spark.createDataFrame([(k, h, p, 0.0) for k, (h, p, _, _) in enumerate(rows)], "doc_id long, host string, path string, own double")
+    got = {(r.host, r.path): r for r in bayes._combined(docs, sites).collect()}
+    overall = 1200 / 2002
+    assert abs(got["rare", "a"].host_rate - overall) < abs(got["big", "a"].host_rate - overall)
+    assert got["good", "a"].host_rate > 0.85 and got["big", "a"].host_rate < 0.35
+    assert 0.0 < got["big", "b"].path_rate < got["big", "b"].host_rate
