@@ -9,7 +9,8 @@ after each word the length of the suffix link's state is the matching statistic,
 has been seen before, in this document or an earlier one. Where it reaches WINDOW the window is a repeat.
 
 The shards are those of the anchors and only the segments that share one come to it, so no automaton is sent to
-documents it can't match, and none needs more than the distinct contexts of one anchor. Only anchor rows of fixed size
+documents it can't match, and none holds more than CONTEXTS contexts of one anchor: those of a hotter one (the edges of
+a very common passage) are dealt out as single windows by their own hash, equal ones of a batch folded. Only anchor rows of fixed size
 are shuffled for the whole corpus; each map batch first folds its equal segments, so that a passage in a third of all
 documents arrives as one row a batch.
 
@@ -33,6 +34,8 @@ from .common import keyed, mix64, slices, stored, words_of
 
 WINDOW = 20
 ANCHOR = 6
+#: Different contexts of an anchor that one automaton takes; the segments of hotter anchors are dealt out window by window.
+CONTEXTS = 512
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -155,20 +158,31 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(window: int):
+    names = ["h", "row_key", "start", "windows", "words"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of the wanted segments. Those of hot anchors come as single windows, each under its own hash; of equal
+        ones in a batch the first alone has words, the others are settled."""
         for batch in batches:
-            h, key, start, n, text = [], [], [], [], []
+            rows, single = [], []
             for own, doc, wanted in zip(*(batch.column(k).to_pylist() for k in ("row_key", "text", "wanted")), strict=True):
-                if wanted:
-                    words = (doc or "").encode().split()
-                    for w in wanted:
-                        h.append(w["h"])
-                        key.append(own)
-                        start.append(w["start"])
-                        n.append(w["windows"])
-                        text.append(b" ".join(words[w["start"] : w["start"] + w["windows"] + window - 1]))
-            cols = [pa.array(h, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "row_key", "start", "windows", "words"])
+                if not wanted:
+                    continue
+                words = (doc or "").encode().split()
+                for w in wanted:
+                    if w["hot"]:
+                        single += [(b" ".join(words[k : k + window]), own, k) for k in range(w["start"], w["start"] + w["windows"])]
+                    else:
+                        rows.append((w["h"], own, w["start"], w["windows"], b" ".join(words[w["start"] : w["start"] + w["windows"] + window - 1])))
+            before = None
+            for text, own, at in sorted(single):
+                again = text == before
+                key = f"{own} {at}".encode() if again else text
+                rows.append((xxhash.xxh64_intdigest(key) - (1 << 63), own, at, 1, None if again else text))
+                before = text
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
@@ -211,12 +225,18 @@ class SuffixAutomaton:
 def _statistics(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (h, row_key, start): each anchor's segments in the order of the corpus."""
-        anchor, shard = None, SuffixAutomaton()
+        anchor, shard, one = None, SuffixAutomaton(), None
         for batch in batches:
             key, start, n = [], [], []
-            for h, own, at, words in zip(*(batch.column(k).to_pylist() for k in ("h", "row_key", "start", "words")), strict=True):
+            for h, own, at, windows, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h != anchor:
-                    anchor, shard = h, SuffixAutomaton()
+                    anchor, shard, one = h, SuffixAutomaton(), None
+                if words is None or words == one:  # settled, or nothing new
+                    key.append(own)
+                    start.append(at)
+                    n.append(windows)
+                    continue
+                one = words
                 shard.feed((own, at))  # a symbol of its own keeps matches inside segments
                 begun = None
                 feed = shard.feed
@@ -275,7 +295,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, digest: bool = Fals
     found = stored(found.repartition("h").sortWithinPartitions(*order).mapInArrow(_matched, _ROWS), "segments")
 
     texts = docs.repartition("row_key")  # dealt once: both joins select the same columns, so Spark reuses the exchange
-    wanted = found.where("kind = 2").groupBy("row_key").agg(F.collect_list(F.struct("h", "start", "windows")).alias("wanted"))
+    mixed = found.where("kind = 2")
+    hot = mixed.groupBy("h").count().where(F.col("count") > CONTEXTS).select("h", F.lit(True).alias("hot"))
+    mixed = mixed.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = mixed.groupBy("row_key").agg(F.collect_list(F.struct("h", "start", "windows", "hot")).alias("wanted"))
     read = texts.join(wanted, "row_key", "left").select(*docs.columns, "wanted")
     read = read.mapInArrow(_extract(window), "h long, row_key long, start int, windows int, words binary")
     partly = read.repartition("h").sortWithinPartitions("h", "row_key", "start").mapInArrow(_statistics(window), "row_key long, start int, windows int")
