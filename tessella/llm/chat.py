@@ -11,7 +11,9 @@ output splits at its marks without doubt and read_turns() gives back the exact t
 assistant turns.
 
 Nulls: a null text or role is the empty string; a null record, or one that no mapping fits, gives no turns and is
-returned with layout null. Order: (conversation, order column with nulls first, role, text), then the record's own list.
+returned with layout null. Order: (conversation,
+order column with nulls first), then the record's own list; records that tie keep together, in an order that their
+content fixes.
 """
 
 from __future__ import annotations
@@ -129,34 +131,34 @@ def read_turns(written: str) -> list[tuple[str, str]]:
 
 
 def canonical_turns(records: DataFrame, conv_col: str, order_col: str, record_col: str) -> DataFrame:
-    """(conv_id, ord, step, role, text, layout, schema_fp) of a table of JSON records, one row for each turn."""
-    schema = "conv_id long, ord long, step int, role string, text string, layout string, schema_fp string"
-    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4]
+    """(conv_id, ord, tie, step, role, text, layout, schema_fp) of a table of JSON records, one row for each turn."""
+    schema = "conv_id long, ord long, tie long, step int, role string, text string, layout string, schema_fp string"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, at, tie, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     record = None if raw is None else json.loads(raw)
                 except ValueError:
                     record = None
                 mark, m = mapping_for(record) if isinstance(record, dict) else (None, None)
                 if m is None:
-                    rows.append((conv, at, 0, None, None, None, mark))
+                    rows.append((conv, at, tie, 0, None, None, None, mark))
                     continue
-                rows += [(conv, at, k, r, x, m.name, mark) for k, (r, x) in enumerate(canonical(record, m))]
-            cols = zip(*rows, strict=True) if rows else [[]] * 7
+                rows += [(conv, at, tie, k, r, x, m.name, mark) for k, (r, x) in enumerate(canonical(record, m))]
+            cols = zip(*rows, strict=True) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    narrow = records.select(F.col(conv_col).cast("long"), F.col(order_col).cast("long"), F.col(record_col).cast("string"))
+    narrow = records.select(F.col(conv_col).cast("long"), F.col(order_col).cast("long"), F.xxhash64(F.col(record_col).cast("string")), F.col(record_col).cast("string"))
     return narrow.mapInArrow(convert, schema)
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
-    """(conv_id, ord, step, written, loss_start, loss_end): the turns' parts of the formatted text with the span of the
+    """(conv_id, ord, tie, step, written, loss_start, loss_end): the turns' parts of the formatted text with the span of the
     loss mask in the part (null where nothing is learned). The parts of a conversation in order are its whole text."""
-    schema = "conv_id long, ord long, step int, role string, text string, written string, loss_start int, loss_end int"
+    schema = "conv_id long, ord long, tie long, step int, role string, text string, written string, loss_start int, loss_end int"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
             more = [pa.array([w for w, _ in done], pa.string()), pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "written", "loss_start", "loss_end"])
 
-    known = turns.where("layout is not null").select("conv_id", "ord", "step", "role", "text")
+    known = turns.where("layout is not null").select("conv_id", "ord", "tie", "step", "role", "text")
     return known.mapInArrow(write, schema)
 
 
@@ -175,7 +177,7 @@ def conversation_digests(parts: DataFrame) -> DataFrame:
     running hashes, so a conversation of any length needs no more memory than a batch."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    order = [F.col("conv_id").asc_nulls_first(), F.col("ord").asc_nulls_first(), "role", "text", "step"]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("ord").asc_nulls_first(), "tie", "step"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
