@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bayes, chat, media, mixing, packing, pieces, rules, sharding, simhash, substrings
 from .common import documents, keyed, stored
+from .oracles import oracle_sql  # noqa: F401
 
 #: Where the vocabulary files of the public tokenizers lie.
 TOKENIZERS = os.environ.get("TESSELLA_TOKENIZERS", "")
@@ -75,7 +76,3 @@ def op10_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_media, op2_simhash, op3_chat, op4_sharding, op5_mixing, op6_packing, op7_substrings, op8_rules, op9_pieces, op10_bayes)
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
