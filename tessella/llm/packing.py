@@ -13,6 +13,7 @@ other, ordered by their ids' checksum and length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -32,6 +33,8 @@ SHARDS_MOST = 20_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
+
 
 def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
@@ -73,50 +76,39 @@ def vocabulary_size(path: str) -> int:
 
 class WordIds:
     """Ids of a text from those of its words: right for tokenizers that lower their input and whose pre-tokenizer cuts at
-    ASCII white space, which it drops, and between letters or digits and marks. Only words not seen lately go to the
-    tokenizer, without the full stops and commas at their end, many in one call: a special token, which is never part of
-    a word given so, keeps them apart."""
+    ASCII white space, which it drops, and between letters or digits and marks. So a full stop or comma that ends a word
+    counts as a word. Only words not seen lately go to the tokenizer, many in one call: a special token, which no word
+    given so holds, keeps them apart. A text that may hold a special token goes there as it is."""
 
     def __init__(self, path: str) -> None:
-        self._tokenizer = _tokenizer(path)
-        special = sorted((k, t.content) for k, t in self._tokenizer.get_added_tokens_decoder().items() if t.special)
+        tokenizer = _tokenizer(path)
+        many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self._encode = lambda text: np.array(many([text], add_special_tokens=False)[0].ids, "<u4")
+        special = sorted((k, t.content) for k, t in tokenizer.get_added_tokens_decoder().items() if t.special)
         self._apart, self._mark = special[0]
-        self._words: dict[bytes, bytes] = {}
-        self._stems: dict[bytes, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [(t or "").encode().split() for t in texts]
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-        if len(self._stems) > REMEMBERED:
-            self._stems.clear()
-        self._learn(set().union(*split).difference(self._words) if split else set())
-        get = self._words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts = {}
-        for w in words:
-            if b"<|" in w:  # may hold a special token: as it is
-                self._words[w] = np.array(self._tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            low = w.lower()
-            stem = low.rstrip(b".,")
-            apart = len(stem) < len(low) and stem and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalnum())
-            parts[w] = (stem, low[len(stem) :]) if apart else (low, b"")
-        new = list({p for pair in parts.values() for p in pair if p}.difference(self._stems))
+        raw = [(t or "").encode() for t in texts]
+        split = [[] if b"<|" in t else _STOP.sub(rb" \1", t.lower()).split() for t in raw]
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        new = list(set().union(*split).difference(self._known)) if split else []
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
-            ids = np.array(self._tokenizer.encode(self._mark.join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
-            cut = np.append(np.nonzero(ids == self._apart)[0], len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, cut, strict=True):
-                self._stems[w] = raw[4 * start : 4 * end]
-                start = end + 1
-        self._stems[b""] = b""
-        for w, (stem, rest) in parts.items():
-            self._words[w] = self._stems[stem] + self._stems[rest]
+            ids = self._encode(self._mark.join([w.decode() for w in some]))
+            cut = (4 * np.nonzero(ids == self._apart)[0]).tolist()
+            own = ids.tobytes()
+            self._known.update(zip(some, [own[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(own)], strict=True)], strict=True))
+        get = self._known.__getitem__
+        return [self._encode(t.decode()).tobytes() if b"<|" in t else b"".join(map(get, words)) for t, words in zip(raw, split, strict=True)]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that its tasks share what is known."""
+    return WordIds(path)
 
 
 def encode(docs: DataFrame, path: str, end_id: int, ends: list[int]) -> DataFrame:
@@ -126,7 +118,7 @@ def encode(docs: DataFrame, path: str, end_id: int, ends: list[int]) -> DataFram
     end, below = np.array([end_id], "<u4").tobytes(), np.array(ends, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 docs = batch.column("doc_id")
