@@ -8,8 +8,8 @@ source to its parts by size, which gives each part an integer quota. A part take
 blocks and, for the rest, a run of blocks from a seeded start in the shuffled order. A document takes what the chosen
 blocks cover of it, so never more than EPOCHS times its size.
 
-What reaches the driver are sums for each source and part: SOURCES_MOST sources at most, whose parts hold PART_WORDS
-words or more on average. A hot source is many parts, and so many tasks.
+What reaches the driver are sums for each source and part: SOURCES_MOST sources and as many parts and PARTS_MOST more at
+most. A hot source is many parts, and so many tasks.
 
 Nulls: a null text has no words and takes none; a null source is a source; a null doc_id is dealt and ordered like 0.
 Rows that repeat a doc_id are told apart by nothing but their place in the order, so those that differ in size are
@@ -33,7 +33,9 @@ SEED = 42
 #: Words of a block; halved for small inputs until a source of average size has BLOCKS_LEAST of them.
 BLOCK_WORDS = 256
 BLOCKS_LEAST = 1000
-PART_WORDS = 4_000_000
+#: Words of a part at least, and parts at most (besides one for each source): larger inputs have larger parts.
+PART_WORDS = 100_000
+PARTS_MOST = 20_000
 SOURCES_MOST = 100_000
 
 
@@ -110,7 +112,8 @@ def mix(sized_docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int
     sizes, total = [r.words for r in sums], sum(r.words for r in sums)
     wants = targets(sizes, [weights[k % len(weights)] for k in range(len(sums))], total, epochs)
     block = block_size(total, max(1, len(sums)))
-    parts = [max(1, -(-s // PART_WORDS)) for s in sizes]
+    part = max(PART_WORDS, total // PARTS_MOST)
+    parts = [max(1, -(-s // part)) for s in sizes]
     table = [(r.source, r.words, w, p, k) for k, (r, w, p) in enumerate(zip(sums, wants, parts, strict=True))]
     sources = F.broadcast(spark.createDataFrame(table, "_s string, source_size long, target double, _parts int, _k int"))
     joined = base.join(sources, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
