@@ -36,8 +36,8 @@ MARK = "▁"
 KEY = 8
 #: Bytes of new chunks that are indexed at once.
 INDEXED = 1 << 19
-#: Chunks whose ids a worker remembers, and the bytes from which a chunk is merged with a heap.
-REMEMBERED = 400_000
+#: Chunks whose ids a task remembers, and the bytes from which a chunk is merged with a heap.
+REMEMBERED = 150_000
 LONG = 96
 _NONE = np.int32(1 << 30)
 
@@ -225,12 +225,6 @@ class Encoder:
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
-@cache
-def encoder_for(path: str) -> Encoder:
-    """One for each worker process, so that its tasks share what is known."""
-    return Encoder(path)
-
-
 def decode(ids: list[int], v: Vocabulary) -> bytes:
     """The UTF-8 bytes of the text; bytes that are no UTF-8 are kept (str decoding replaces them)."""
     return b"".join(map(v.spelled.__getitem__, ids)).removeprefix(b" ")
@@ -241,9 +235,9 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     unsigned 32-bit integers), and what they decode to: its length and digest, and whether it is the text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path)
+        encoder = Encoder(path)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 texts = batch.column("text").to_pylist()
                 ids = encoder(texts)
                 back = [decode(np.frombuffer(x, "<u4").tolist(), encoder.v) for x in ids]
@@ -265,7 +259,7 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, ids) with the ids as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path)
+        encoder = Encoder(path)
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder(batch.column("text").to_pylist())]
