@@ -15,12 +15,13 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,84 +228,84 @@ def corrected(declared: str | None, found: list[tuple[str, int, int]], size: int
 _FOUND = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def sniff(df: DataFrame, blob_col: str = "media", declared_col: str = "declared_type") -> DataFrame:
-    """df with media_type (corrected) and found (array of type, start, end; null for a null blob).
+@dataclass(frozen=True)
+class Features:
+    """Columns computed of a blob (null: all null) and its corrected type in the pass that sniffs it."""
 
-    Columns of df with those names are replaced."""
-    base = df.drop("media_type", "found")
+    names: tuple[str, ...]
+    kinds: tuple[str, ...]
+    of: Callable[[bytes, str], tuple]
+
+
+def sniff(df: DataFrame, blob_col: str = "media", declared_col: str = "declared_type", keep: list[str] | None = None, features: Features | None = None) -> DataFrame:
+    """The columns keep of df (all, if not given) with media_type (corrected) and found (array of type, start, end; null
+    for a null blob), and features. Columns of df with those names are replaced."""
+    more = features or Features((), (), lambda blob, kind: ())
+    base = df.drop("media_type", "found", *more.names)
+    keep = [c for c in base.columns if keep is None or c in keep]
     span = T.StructType().add("type", "string").add("start", "long").add("end", "long")
-    schema = T.StructType([*base.schema.fields]).add("media_type", "string").add("found", T.ArrayType(span))
+    schema = T.StructType([base.schema[c] for c in keep]).add("media_type", "string").add("found", T.ArrayType(span))
+    for n, k in zip(more.names, more.kinds, strict=True):
+        schema = schema.add(n, k)
+    arrow = {"long": pa.int64(), "string": pa.string()}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, blob_col):
-                blobs, told = batch.column(blob_col).to_pylist(), batch.column(declared_col).to_pylist()
-                spans = [None if b is None else found_in(b) for b in blobs]
-                kinds = [None if b is None else corrected(t, f, len(b)) for b, t, f in zip(blobs, told, spans, strict=True)]
-                rows = [None if f is None else [{"type": a, "start": s, "end": e} for a, s, e in f] for f in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(kinds, pa.string()), pa.array(rows, _FOUND)],
-                    names=[*batch.schema.names, "media_type", "found"],
-                )
+                kinds, rows, extra = [], [], []
+                for blob, told in zip(batch.column(blob_col), batch.column(declared_col).to_pylist(), strict=True):
+                    b = blob.as_py()
+                    found = None if b is None else found_in(b)
+                    kinds.append(None if b is None else corrected(told, found, len(b)))
+                    rows.append(None if b is None else [{"type": t, "start": s, "end": e} for t, s, e in found])
+                    extra.append((None,) * len(more.names) if b is None else more.of(b, kinds[-1]))
+                made = [pa.array([x[k] for x in extra], arrow[t]) for k, t in enumerate(more.kinds)]
+                cols = [*(batch.column(c) for c in keep), pa.array(kinds, pa.string()), pa.array(rows, _FOUND), *made]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "media_type", "found", *more.names])
 
     return base.mapInArrow(look, schema)
 
 
-def as_wav(text: str | None) -> bytes:
+def _little_endian(n: Column, size: int) -> Column:
+    big = F.unhex(F.lpad(F.hex(n.cast("long")), 2 * size, "0"))
+    return F.concat(*(F.substring(big, k, 1) for k in range(size, 0, -1)))
+
+
+def as_wav(text: Column) -> Column:
     """The UTF-8 bytes of a text (null: none), padded with spaces to a positive multiple of UNIT, as unsigned 8-bit
     samples of a WAVE file. A further chunk, tlen, keeps the length without the padding."""
-    raw = (text or "").encode()
-    size = max(1, -(-len(raw) // UNIT)) * UNIT
-    fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8)
-    body = b"WAVE" + fmt + struct.pack("<4sIQ", b"tlen", 8, len(raw)) + struct.pack("<4sI", b"data", size) + raw.ljust(size)
-    return struct.pack("<4sI", b"RIFF", len(body)) + body
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    n = F.octet_length(raw)
+    size = F.greatest(F.lit(1), F.ceil(n / UNIT)).cast("int") * UNIT
+    word = lambda x: F.lit(x).cast("binary")
+    fixed = struct.pack("<IHHIIHH", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8)
+    head = [word("RIFF"), _little_endian(4 + 24 + 16 + 8 + size, 4), word("WAVEfmt "), F.lit(bytearray(fixed)), word("tlen"), F.lit(bytearray(struct.pack("<I", 8)))]
+    return F.concat(*head, _little_endian(n, 8), word("data"), _little_endian(size, 4), raw, F.repeat(F.lit(" "), size - n).cast("binary"))
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media, declared_type): each text as a WAVE file under the type an unaware writer would declare."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                media = pa.array([as_wav(x) for x in batch.column("text").to_pylist()], pa.binary())
-                kinds = pa.array(["text/plain"] * batch.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), media, kinds], names=["doc_id", "media", "declared_type"])
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(write, "doc_id long, media binary, declared_type string")
-
-
-def sample_digests(media: DataFrame) -> DataFrame:
-    """What the stored texts read back as, from the columns of sniff() over store_texts(). A blob that is not one whole
-    WAVE file with one data chunk has nulls."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-
-    def one(blob: bytes | None, kind: str | None) -> tuple:
-        if blob is None:
-            return (None,) * 7
-        form = (len(blob), hashlib.sha256(blob).hexdigest())
-        if kind != "audio/wav":
-            return (None,) * 4 + form + (kind,)
-        parts = {name: (s, e) for name, s, e in riff_chunks(blob, 0, len(blob))}
-        _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", blob, parts[b"fmt "][0])
-        data = blob[slice(*parts[b"data"])]
-        n = struct.unpack_from("<Q", blob, parts[b"tlen"][0])[0] if b"tlen" in parts else len(data)
-        x = np.frombuffer(data, np.uint8)
-        centred = x.astype(np.int32) - 128
-        power = int(np.dot(centred.astype(np.int64), centred))
-        crossings = int(np.count_nonzero((centred[1:] < 0) != (centred[:-1] < 0)))
-        feature = f"{kind};{rate}Hz;{channels}ch;{bits}bit;sum={int(x.sum(dtype=np.int64))};power={power};peak={int(np.abs(centred).max(initial=0))};crossings={crossings}"
-        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), *form, feature
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "media"):
-                types = batch.column("media_type")
-                rows = [one(b, k) for b, k in zip(batch.column("media").to_pylist(), types.to_pylist(), strict=True)]
-                cols = list(zip(*rows, strict=True))
-                arrays = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds[1:-1], strict=True)), types]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return media.select("doc_id", "media", "media_type").mapInArrow(read, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_wav(F.col(text_col).cast("string")).alias("media"), F.lit("text/plain").alias("declared_type"))
+
+
+def _samples(blob: bytes, kind: str) -> tuple:
+    form = (len(blob), hashlib.sha256(blob).hexdigest())
+    if kind != "audio/wav":
+        return (None,) * 4 + form + (kind,)
+    parts = {name: (s, e) for name, s, e in riff_chunks(blob, 0, len(blob))}
+    _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", blob, parts[b"fmt "][0])
+    data = blob[slice(*parts[b"data"])]
+    n = struct.unpack_from("<Q", blob, parts[b"tlen"][0])[0] if b"tlen" in parts else len(data)
+    centred = np.frombuffer(data, np.uint8).astype(np.int64) - 128
+    power, peak = int(np.dot(centred, centred)), int(np.abs(centred).max(initial=0))
+    crossings = int(np.count_nonzero((centred[1:] < 0) != (centred[:-1] < 0)))
+    feature = f"{kind};{rate}Hz;{channels}ch;{bits}bit;sum={int(centred.sum())};power={power};peak={peak};crossings={crossings}"
+    return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), *form, feature
+
+
+#: What the stored texts read back as. A blob that is not one whole WAVE file has null payload columns.
+SAMPLES = Features(
+    ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),
+    ("long", "long", "string", "long", "long", "string", "string"),
+    _samples,
+)

@@ -26,7 +26,8 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.sample_digests(media.sniff(media.store_texts(documents(spark, sf_dir))))
+    done = media.sniff(media.store_texts(documents(spark, sf_dir)), keep=["doc_id"], features=media.SAMPLES)
+    return done.select("doc_id", *media.SAMPLES.names, "media_type")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

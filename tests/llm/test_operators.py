@@ -64,7 +64,7 @@ def test_media(docs):
         raw = (r[1] or "").encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         want.append((r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
-    got = media.sample_digests(media.sniff(media.store_texts(df)))
+    got = media.sniff(media.store_texts(df), features=media.SAMPLES)
     same_rows(got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"), want)
     assert got.where("media_type <> 'audio/wav' or media_bytes <= payload_bytes").count() == 0
 
@@ -81,6 +81,7 @@ def png(size=1):
 def test_sniffing_corrects_and_carves(spark):
     import gzip
     import io
+    import wave
     import zipfile
 
     box = io.BytesIO()
@@ -89,7 +90,8 @@ def test_sniffing_corrects_and_carves(spark):
     gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
     broken = bytearray(png())
     broken[20] ^= 1
-    wav = media.as_wav("text with GIF89a and BM in it")
+    wav = bytes(spark.range(1).select(media.as_wav(F.lit("text with GIF89a and BM in it"))).first()[0])
+    assert wave.open(io.BytesIO(wav)).readframes(999).rstrip(b" ") == b"text with GIF89a and BM in it"
     rows = [
         (1, png(), "image/jpeg"), (2, b"junk" + png() + b"mid" + gif + b"end", None), (3, bytes(broken), "image/png"), (4, wav, None), (5, None, "image/png"),
         (6, b"", "text/plain"), (7, gzip.compress(b"abc" * 1000), "x"), (8, box.getvalue(), "y"), (9, b"BM just text", "text/plain"), (10, wav[:-1], "audio/wav"), (11, wav + png(), "audio/wav"),
