@@ -19,7 +19,7 @@ DAY = 86_400_000
     f"""
     with {EVENTS}
     select k as item, count(distinct user_id) as users, count(distinct user_id) * 2 + count(*) filter (where event_type = 'click') * 1.5
-           + count(*) filter (where event_type = 'view') * 2 + count(*) filter (where event_type = 'purchase') * 2.5 as score
+           + count(*) filter (where event_type = 'view') * 2 + count(*) filter (where event_type = 'purchase') * 2.5 :: double as score
     from ev group by 1 order by score desc, item limit 50
     """,
 )

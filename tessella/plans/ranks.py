@@ -143,7 +143,7 @@ def softmax_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "harmonic_scores",
     """with k as (select s_suppkey as id, s_suppkey % 12 + 1 as n, case when s_nationkey % 2 = 0 then 'A' else 'B' end as ring from supplier), d as (select a.id as a, b.id as b, a.n as an, b.n as bn, a.ring as ar, b.ring as br, least(abs(a.n - b.n), 12 - abs(a.n - b.n)) as d from k a join k b on a.id < b.id)
-    select a, b, case when an = bn and ar = br then 1.0 when ar = br and d = 1 then 0.8 when ar = br and d = 2 then 0.4 when ar <> br and an = bn then 0.7 else 0.0 end as score from d where b <= a + 30""",
+    select a, b, case when an = bn and ar = br then 1.0 when ar = br and d = 1 then 0.8 when ar = br and d = 2 then 0.4 when ar <> br and an = bn then 0.7 else 0.0 end :: double as score from d where b <= a + 30""",
 )
 def harmonic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat((F.col("s_suppkey") % 12 + 1).cast("string"), F.when(F.col("s_nationkey") % 2 == 0, "A").otherwise("B"))
