@@ -126,3 +126,46 @@ def rank_requests(df: DataFrame, now_ms: int) -> DataFrame:
     score = clamp(clamp("priority") * 0.22 + fairness * 0.24 + recency * 0.1 + clamp("compatibility") * 0.22 + clamp(F.col("votes") / 8) * 0.12 + urgency * 0.1)
     scored = df.withColumns({"fairness": half_up(fairness), "recency": half_up(recency), "score": half_up(F.when(F.col("host_override"), 1.0).otherwise(score))})
     return scored.orderBy(F.desc("score"), "created_ms")
+
+
+def crowd_intent(df: DataFrame) -> DataFrame:
+    """(cluster, members, valence, arousal, weight): wishes by quadrant, as confidence-weighted centres whose denominator is
+    one at least, which draws small groups towards zero."""
+    c = clamp("confidence")
+    quadrant = F.concat_ws("-", F.when(F.col("valence") >= 0, "positive").otherwise("negative"), F.when(F.col("arousal") >= 0.5, "high").otherwise("low"))
+    total = df.agg(F.greatest(F.sum(c), F.lit(1.0)).alias("total"))  # one row
+    g = df.groupBy(quadrant.alias("cluster")).agg(F.count(F.lit(1)).alias("members"), F.sum(c).alias("w"), F.sum(F.col("valence") * c).alias("v"), F.sum(F.col("arousal") * c).alias("a"))
+    low = F.greatest("w", F.lit(1.0))
+    return g.join(F.broadcast(total)).select(
+        "cluster", "members", half_up(F.col("v") / low).alias("valence"), half_up(clamp(F.col("a") / low)).alias("arousal"), half_up(F.col("w") / F.col("total")).alias("weight")
+    )
+
+
+def intent_polarization(clusters: DataFrame) -> DataFrame:
+    """One row: the largest weighted distance of two cluster centres (of four at most)."""
+    one = clusters.agg(F.collect_list(F.struct("valence", "arousal", "weight")).alias("c"))
+    far = lambda x, y: (F.abs(x["valence"] - y["valence"]) / 2 + F.abs(x["arousal"] - y["arousal"])) / 2 * F.least(F.lit(1.0), (x["weight"] + y["weight"]) * 1.5)
+    worst = F.array_max(F.flatten(F.transform("c", lambda x: F.transform("c", lambda y: far(x, y)))))
+    return one.select(half_up(clamp(F.coalesce(worst, F.lit(0.0)))).alias("polarization"))
+
+
+def cohesion(df: DataFrame, key: str) -> DataFrame:
+    """(key, consensus, engagement, synchrony, confidence) of reactions (member, at_ms, direction, engagement)."""
+    mean = df.groupBy(key).agg(F.avg("direction").alias("m"))
+    g = df.join(mean, key).groupBy(key).agg(
+        F.avg(F.abs(F.col("direction") - F.col("m"))).alias("d"), F.avg("engagement").alias("e"), (F.max("at_ms") - F.min("at_ms")).alias("t"), F.countDistinct("member").alias("n")
+    )
+    return g.select(
+        key, half_up(clamp(1 - F.col("d") / 2)).alias("consensus"), half_up(clamp("e")).alias("engagement"), half_up(clamp(1 - F.col("t") / 30_000)).alias("synchrony"), half_up(clamp(F.col("n") / 6)).alias("confidence")
+    )
+
+
+def group_taste(df: DataFrame, key: str) -> DataFrame:
+    """(key, score, minimum, fairness): average and least projected satisfaction, debts repaid, requests and hosts weighed."""
+    p = clamp(F.col("satisfaction") * 0.45 + F.col("affinity") * 0.55)
+    g = df.groupBy(key).agg(
+        F.avg(p).alias("m"), F.min(p).alias("lo"), (F.avg(F.col("debt") * F.col("affinity")) * 0.2).alias("f"), F.avg(F.when(F.col("requested"), 0.08).otherwise(0.0)).alias("r"),
+        F.avg(F.when(F.col("host") & (F.col("affinity") < 0.25), 0.2).otherwise(0.0)).alias("h"),
+    )
+    score = clamp(F.col("m") * 0.55 + F.col("lo") * 0.35 + F.col("f") + F.col("r") - F.col("h"))
+    return g.select(key, half_up(score, 6).alias("score"), half_up("lo", 6).alias("minimum"), half_up("f", 6).alias("fairness"))
