@@ -36,6 +36,8 @@ WINDOW = 20
 ANCHOR = 6
 #: Different contexts of an anchor that one automaton takes; the segments of hotter anchors are dealt out window by window.
 CONTEXTS = 512
+#: Hot anchors that are sent to all tasks (9 bytes each); more of them are joined by a shuffle.
+BROADCAST = 100_000
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -297,6 +299,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, digest: bool = Fals
     texts = docs.repartition("row_key")  # dealt once: both joins select the same columns, so Spark reuses the exchange
     mixed = found.where("kind = 2")
     hot = mixed.groupBy("h").count().where(F.col("count") > CONTEXTS).select("h", F.lit(True).alias("hot"))
+    hot = stored(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST else hot
     mixed = mixed.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = mixed.groupBy("row_key").agg(F.collect_list(F.struct("h", "start", "windows", "hot")).alias("wanted"))
     read = texts.join(wanted, "row_key", "left").select(*docs.columns, "wanted")
