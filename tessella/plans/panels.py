@@ -175,7 +175,7 @@ def relaxed_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "grid_search",
-    f"""with g as (select s_suppkey, d, h, {r('1 - abs(d - 4 - s_suppkey % 9) / 20 - abs(h - 0.3 - s_nationkey / 50.0)', 6)} as best from supplier, (select unnest([4.0, 8.0, 16.0]) as d) x, (select unnest([0.35, 0.5, 0.65]) as h) y), n as (select *, row_number() over (partition by s_suppkey order by best desc, d, h) as nth from g) select s_suppkey, d, h, best from n where nth = 1""",
+    f"""with g as (select s_suppkey, d, h, {r('1 - abs(d - 4 - s_suppkey % 9) / 20 - abs(h - 0.3 - s_nationkey / 50.0)', 6)} as best from supplier, (select unnest([4.0::double, 8.0::double, 16.0::double]) as d) x, (select unnest([0.35::double, 0.5::double, 0.65::double]) as h) y), n as (select *, row_number() over (partition by s_suppkey order by best desc, d, h) as nth from g) select s_suppkey, d, h, best from n where nth = 1""",
 )
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = 1 - F.abs(F.col("d") - 4 - F.col("s_suppkey") % 9) / 20 - F.abs(F.col("h") - 0.3 - F.col("s_nationkey") / 50.0)
