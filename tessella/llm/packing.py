@@ -12,6 +12,7 @@ other, ordered by their ids' checksum and length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,8 +31,8 @@ BLOCK_IDS = 1 << 17
 #: Documents of a shard, about; their number follows the input up to SHARDS_MOST.
 SHARD_DOCS = 4000
 SHARDS_MOST = 20_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, and as many older ones.
+REMEMBERED = 250_000
 
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
 
@@ -83,28 +84,58 @@ class WordIds:
     def __init__(self, path: str) -> None:
         tokenizer = _tokenizer(path)
         many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self._encode = lambda text: np.array(many([text], add_special_tokens=False)[0].ids, "<u4")
+        #: The type of the ids: little-endian, two bytes where the vocabulary fits.
+        self.kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
+        self._encode = lambda text: np.array(many([text], add_special_tokens=False)[0].ids, self.kind)
         special = sorted((k, t.content) for k, t in tokenizer.get_added_tokens_decoder().items() if t.special)
         self._apart, self._mark = special[0]
+        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self._ends = np.zeros(vocabulary_size(path), bool)
+        self._ends[[k for t, k in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}  # what was known before, for words that come again
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as integers of the kind."""
         raw = [(t or "").encode() for t in texts]
         split = [[] if b"<|" in t else _STOP.sub(rb" \1", t.lower()).split() for t in raw]
         if len(self._known) > REMEMBERED:
-            self._known.clear()
-        new = list(set().union(*split).difference(self._known)) if split else []
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            ids = self._encode(self._mark.join([w.decode() for w in some]))
-            cut = (4 * np.nonzero(ids == self._apart)[0]).tolist()
-            own = ids.tobytes()
-            self._known.update(zip(some, [own[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(own)], strict=True)], strict=True))
+            self._known, self._older = {}, self._known
+        missing = set().union(*split).difference(self._known) if split else set()
+        again = missing.intersection(self._older)
+        self._known.update(zip(again, map(self._older.__getitem__, again), strict=True))
+        letters, others = [], []
+        for w in missing - again:
+            (letters if w.decode().isalpha() else others).append(w)
+        for at in range(0, len(letters), 1000):
+            self._learn_letters(letters[at : at + 1000])
+        for at in range(0, len(others), 1000):
+            self._learn(others[at : at + 1000])
         get = self._known.__getitem__
         return [self._encode(t.decode()).tobytes() if b"<|" in t else b"".join(map(get, words)) for t, words in zip(raw, split, strict=True)]
 
 
+    def _learn(self, words: list[bytes]) -> None:
+        """In one call, with the special token between the words."""
+        ids = self._encode(self._mark.join([w.decode() for w in words]))
+        cut = np.nonzero(ids == self._apart)[0]
+        self._note(words, ids, np.concatenate(([0], cut + 1)), np.append(cut, len(ids)))
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """In one call, with a space between. A word of letters is one unit to the pre-tokenizer, whose last id is one that
+        ends a word; if there are as many of those as words (none makes fewer than one), they tell the words apart."""
+        ids = self._encode(b" ".join(words).decode())
+        end = np.nonzero(self._ends[ids])[0] + 1
+        if len(end) == len(words):
+            self._note(words, ids, np.concatenate(([0], end[:-1])), end)
+        else:
+            self._learn(words)
+
+    def _note(self, words: list[bytes], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        size, raw = self.kind.itemsize, ids.tobytes()
+        self._known.update(zip(words, [raw[a:b] for a, b in zip((size * start).tolist(), (size * end).tolist(), strict=True)], strict=True))
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     """One for each worker process, so that its tasks share what is known."""
@@ -115,17 +146,20 @@ def encode(docs: DataFrame, path: str, end_id: int, ends: list[int]) -> DataFram
     """(doc_id, shard, n_tokens, packed) of docs (doc_id, text): the ids of the text and end_id; ends are the upper ends
     of the shards but the last."""
     bits = bits_for(vocabulary_size(path))
-    end, below = np.array([end_id], "<u4").tobytes(), np.array(ends, np.int64)
+    below = np.array(ends, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(path)
+        kind, end = ids_of.kind, np.array([end_id], ids_of.kind).tobytes()
+        whole_bytes = bits == 8 * kind.itemsize  # then the ids are packed as they are
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 docs = batch.column("doc_id")
                 place = np.searchsorted(below, docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
                 ids = [x + end for x in ids_of(batch.column("text").to_pylist())]
-                packed = [pack(np.frombuffer(x, "<u4"), bits) for x in ids]
-                cols = [docs, pa.array(place, pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(packed, pa.binary())]
+                packed = ids if whole_bytes else [pack(np.frombuffer(x, kind), bits) for x in ids]
+                counts = [len(x) // kind.itemsize for x in ids]
+                cols = [docs, pa.array(place, pa.int32()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shard", "n_tokens", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shard int, n_tokens long, packed binary")

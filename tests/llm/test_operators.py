@@ -329,6 +329,21 @@ def test_bit_packing(bits):
     assert (packing.unpack(data, bits, 0, 999) == ids).all() and (packing.unpack(data, bits, 77, 300) == ids[77:377]).all()
 
 
+def test_word_ids_of_odd_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    own, mine = Tokenizer.from_file(path), packing.WordIds(path)
+    rng = random.Random(12)
+    texts = ["ΑΣ Βς ΟΔΟΣ'S", "it's <|endoftext|> a<|startoftext|>b", "á b\xa0c d", "I'LL we'd. it's, x.. y., 5. a5,", "İ I", "Ǆ", "日本語。 テキスト", "<|ENDOFTEXT|> <|", "a.\u0301 b"]
+    texts += ["".join(rng.choice("abE .,'\n\té世9<|> ") for _ in range(rng.randint(0, 200))) for _ in range(300)]
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    for k in range(0, len(texts), 40):
+        part = texts[k : k + 40]
+        for text, ids in zip(part, mine(part), strict=True):
+            assert np.frombuffer(ids, mine.kind).tolist() == own.encode(text, add_special_tokens=False).ids, text
+
+
 def test_blocks_of_odd_width(spark, monkeypatch):
     """A vocabulary whose ids end on no byte, and blocks smaller than the documents."""
     monkeypatch.setattr(packing, "BLOCK_IDS", 50)
@@ -341,7 +356,7 @@ def test_blocks_of_odd_width(spark, monkeypatch):
     rows = packing.read_digests(files).orderBy("doc_id").collect()
     encode = packing.WordIds(path)
     for r in rows:
-        ids = np.append(np.frombuffer(encode([f"word{r.doc_id} " * (r.doc_id % 9)])[0], "<u4"), 1).astype("<u4")
+        ids = np.append(np.frombuffer(encode([f"word{r.doc_id} " * (r.doc_id % 9)])[0], encode.kind), 1).astype("<u4")
         assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
