@@ -1,12 +1,13 @@
-"""A corpus pipeline of five of the operators in tessella.llm: quality rules, SimHash near-dedup, substring dedup, mixing
-sources to target weights, and SentencePiece encoding and decoding. Each stage works on all that the one before kept."""
+"""A corpus pipeline of the operators in tessella.llm: quality rules, near-dedup by exact similarity (llm.similar, in place
+of op2's fingerprints), substring dedup, mixing sources to target weights, and SentencePiece encoding and decoding. Each
+stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, pieces, rules, simhash, substrings
+from tessella.llm import mixing, pieces, rules, similar, substrings
 from tessella.llm.common import keyed, stored
 from tessella.llm.queries import tokenizer_file
 
@@ -24,10 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id; of rows that agree in it, one."""
+    """Of texts connected by similarities >= 0.8 of their five-word shingles the document with the smallest doc_id; of
+    rows that agree in it, one."""
     keys = keyed(docs)
-    found = simhash.near_duplicates(keys.select(F.col("row_key").alias("doc_id"), "text"))
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("row_key"))
+    found = similar.near_copies(keys.select(F.col("row_key").alias("doc_id"), "text"))
+    dropped = found.where("doc_id <> first_id").select(F.col("doc_id").alias("row_key"))
     return keys.join(dropped, "row_key", "left_anti").select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
