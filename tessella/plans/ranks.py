@@ -213,9 +213,9 @@ def taste_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLE = "t as (select doc_id, 'Artist ' || source || ' - ' || regexp_extract(text, '^[^.\\n]{1,40}', 0) || case doc_id % 4 when 0 then ' (Official Video)' when 1 then ' [HD remaster]' when 2 then ' feat. Someone' else ' (Acoustic) - Live' end as title from documents)"
 
 
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _titles(spark: SparkSession, sf_dir: str, sentence: str = r"^[^.\n]+") -> DataFrame:
     end = F.element_at(F.array(*(F.lit(x) for x in (" (Official Video)", " [HD remaster]", " feat. Someone", " (Acoustic) - Live"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    title = F.concat(F.lit("Artist "), "source", F.lit(" - "), F.regexp_extract("text", r"^[^.\n]{1,40}", 0), end)
+    title = F.concat(F.lit("Artist "), "source", F.lit(" - "), F.regexp_extract("text", sentence, 0), end)
     return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"))
 
 
@@ -225,7 +225,7 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     when regexp_matches(lower(title), '\\b(live( at| from| version)?|concert)\\b') then 'live' when regexp_matches(lower(title), '\\b(clean|radio clean|no explicit)\\b') then 'clean' when regexp_matches(lower(title), '\\b(remix|rework|bootleg|edit)\\b') then 'remix' when regexp_matches(lower(title), '\\b(original( mix| version)?)\\b') then 'original' else 'unknown' end as version from t""",
 )
 def title_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir).select("doc_id", text.version_of(F.col("title")).alias("version"))
+    return _titles(spark, sf_dir, r"^[^.\n]{1,40}").select("doc_id", text.version_of(F.col("title")).alias("version"))
 
 
 @query("clean_titles")
@@ -242,7 +242,8 @@ def title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("timed_lines")
 def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    line = F.concat(F.format_string("[%02d:%02d.%d]", F.col("turn"), F.col("turn") * 7 % 60, F.col("conv_id") % 100), F.substring("text", 1, 30))
+    stamp = F.format_string("[%02d:%02d.%d]", F.col("turn"), F.col("turn") * 7 % 60, F.col("conv_id") % 100)
+    line = F.concat(stamp, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), stamp)))
     lrc = c.select("conv_id", F.concat(line, F.lit("\n[00:99] \nno stamp")).alias("lrc"))
     return text.timed_lines(lrc, "conv_id", "lrc")
 
