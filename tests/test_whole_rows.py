@@ -16,3 +16,15 @@ def test_titles_and_lines_are_whole(spark, tmp_path):
     assert "zebra" in QUERIES["title_variants"](spark, str(tmp_path)).first().variants.lower()
     lines = {r.line for r in QUERIES["timed_lines"](spark, str(tmp_path)).collect()}
     assert set(said.split("\n")) <= lines
+
+
+def test_splits_take_the_edges_of_all_customers(spark, tmp_path):
+    spark.range(1, 101).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    group = {k: k for k in range(1, 101)}
+    for a, b in ((a, a + 1 + a % 37) for a in group):
+        if b < 100 and group[a] != group[b]:
+            new, old = sorted((group[a], group[b]))
+            group = {k: new if v == old else v for k, v in group.items()}
+    linked = {x for a in group if a + 1 + a % 37 < 100 for x in (a, a + 1 + a % 37)}
+    got = {r.node: r.component for r in QUERIES["leakage_safe_splits"](spark, str(tmp_path)).collect()}
+    assert got == {k: group[k] for k in linked}
