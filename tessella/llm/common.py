@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+, as a Java character class.
@@ -18,6 +18,9 @@ NOT_SPACES = r"[^\x20\x09-\x0D]+"
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
+#: Rows of a narrow table that is sent to all tasks at most; a larger one is joined by a shuffle.
+BROADCAST = 200_000
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -30,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -58,6 +63,29 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return stored(ranged.select(F.monotonically_increasing_id().alias("row_key"), "*"), "keyed")
 
 
+def indexed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' places in the order, from 0, as a column of that name. Only the counts of range partitions come to
+    the driver."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    ranged = stored(ranged, "indexed")
+    part = F.shiftright(name, 33)
+    counts = {r.part: r.n for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, starts = 0, []
+    for k in sorted(counts):
+        starts.append(before - (k << 33))
+        before += counts[k]
+    if not starts:
+        return ranged
+    table = F.array(*map(F.lit, starts))
+    at = F.array_position(F.array(*(F.lit(k).cast("long") for k in sorted(counts))), part.cast("long")).cast("int")
+    return ranged.withColumn(name, F.col(name) + F.element_at(table, at))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, sent to all tasks if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST else df
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes in the column, or one row: bounds what numpy holds at once."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -8,12 +8,14 @@ source to its parts by size, which gives each part an integer quota. A part take
 blocks and, for the rest, a run of blocks from a seeded start in the shuffled order. A document takes what the chosen
 blocks cover of it, so never more than EPOCHS times its size.
 
-What reaches the driver are sums for each source and part: SOURCES_MOST sources and as many parts and PARTS_MOST more at
-most. A hot source is many parts, and so many tasks.
+Only narrow rows (id, source, size) are dealt and ordered; texts are read once to be counted and once to be cut. Sources
+may be of any number: levels and divisors are searched for by sums over the table of sources, and only such sums come to
+the driver. A hot source is many parts, and so many tasks; its parts are PARTS_MOST at most, which one task apportions.
 
 Nulls: a null text has no words and takes none; a null source is a source; a null doc_id is dealt and ordered like 0.
 Rows that repeat a doc_id are told apart by nothing but their place in the order, so those that differ in size are
-ordered by size, and equal ones share what they take in either order.
+ordered by size, and equal ones share what they take in either order. Very long texts may be cut by a block's edge. An
+empty table gives an empty result. Further columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACES
+from .common import NOT_SPACES, indexed, keyed, small, stored
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -36,25 +39,8 @@ BLOCKS_LEAST = 1000
 #: Words of a part at least, and parts at most (besides one for each source): larger inputs have larger parts.
 PART_WORDS = 100_000
 PARTS_MOST = 20_000
-SOURCES_MOST = 100_000
-
-
-def targets(sizes: list[int], weights: list[float], total: float, epochs: int = EPOCHS) -> list[float]:
-    """Shares of total by weight, none above epochs times its size; the excess is shared again by weight."""
-    caps = np.array(sizes, float) * epochs
-    w, out = np.array(weights, float), np.zeros(len(sizes))
-    open_ = caps > 0
-    left = float(total)
-    while left > 0 and open_.any():
-        level = left / w[open_].sum()
-        full = open_ & (w * level >= caps)
-        if not full.any():
-            out[open_] = w[open_] * level
-            break
-        out[full] = caps[full]
-        left -= caps[full].sum()
-        open_ &= ~full
-    return out.tolist()
+#: Divisors that one pass over the table of sources tries.
+TRIED = 32
 
 
 def sainte_lague(shares: list[float], seats: int, most: list[int]) -> list[int]:
@@ -90,79 +76,116 @@ def block_size(total: int, n_sources: int) -> int:
     return size
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with size, the number of words of the text (null: 0)."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACES)), F.lit(0)).cast("long"))
-
-
-def mix(sized_docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows and columns of a table with doc_id, source and size, and source_size, target, taken and the piece of the
-    source's stream they take: passes (whole), and begin and length of up to two word spans (the second, from the
-    document's start, for a run that goes round the end). Columns of those names are replaced."""
-    spark = sized_docs.sparkSession
-    made = ["source_size", "target", "taken", "passes", "begin", "length", "begin2", "length2"]
-    base = sized_docs.drop(*made)
-    columns = base.columns
-    base = base.withColumn("_dealt", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(seed)))
-    sums = base.groupBy("source").agg(F.sum("size").alias("words")).limit(SOURCES_MOST + 1).collect()
-    if len(sums) > SOURCES_MOST:
-        raise ValueError(f"more than {SOURCES_MOST} sources")
-    # the order of strings is that of their UTF-8 bytes, which is that of code points
-    sums = sorted(sums, key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes, total = [r.words for r in sums], sum(r.words for r in sums)
-    wants = targets(sizes, [weights[k % len(weights)] for k in range(len(sums))], total, epochs)
-    block = block_size(total, max(1, len(sums)))
-    part = max(PART_WORDS, total // PARTS_MOST)
-    parts = [max(1, -(-s // part)) for s in sizes]
-    table = [(r.source, r.words, w, p, k) for k, (r, w, p) in enumerate(zip(sums, wants, parts, strict=True))]
-    sources = F.broadcast(spark.createDataFrame(table, "_s string, source_size long, target double, _parts int, _k int"))
-    joined = base.join(sources, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    joined = joined.withColumn("_part", F.pmod("_dealt", F.col("_parts")).cast("int"))
-
-    held = joined.groupBy("_k", "_part").agg(F.sum("size").alias("words")).collect()
-    by_source: dict[int, list] = {}
-    for r in sorted(held, key=lambda r: (r._k, r._part)):
-        by_source.setdefault(r._k, []).append(r)
-    blocks = [sum(-(-r.words // block) for r in by_source.get(k, [])) for k in range(len(sums))]
-    quota = sainte_lague(wants, round(total / block), [epochs * b for b in blocks])
-    rows = []
-    for k, own in by_source.items():
-        n = [-(-r.words // block) for r in own]
-        for r, b, q in zip(own, n, sainte_lague([float(r.words) for r in own], quota[k], [epochs * x for x in n]), strict=True):
-            rows.append((k, r._part, b, q // b if b else 0, q % b if b else 0))
-    quotas = F.broadcast(spark.createDataFrame(rows, "_k int, _part int, _n long, passes long, _rest long"))
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, source, size, and the columns keep): size is the number of words of the text (null: 0)."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(NOT_SPACES)), F.lit(0)).cast("long").alias("size")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size, *keep)
+
+
+def targeted(sums: DataFrame, total: int, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """(source, words, k, target) of sums (source, words): k is the source's place. A target is the weight times a common
+    level, epochs times the words at most. The level rises as long as it fills further sources."""
+    ranked = indexed(sums.select("source", "words"), [F.col("source").asc_nulls_last()], "k")
+    ranked = ranked.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("k") % len(weights) + 1).cast("int")))
+    ranked = stored(ranked, "sources")
+    cap, level, before = F.col("words") * epochs, 0.0, -1
+    while total:
+        full = F.col("w") * level >= cap
+        n, filled, open_ = ranked.agg(F.count_if(full), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("w")))).first()
+        if n == before or not open_:
+            break
+        before, level = n, (total - (filled or 0)) / open_
+    return ranked.select("source", "words", "k", F.when(F.col("w") * level >= cap, cap.cast("double")).otherwise(F.col("w") * level).alias("target"))
+
+
+def apportioned(shares: DataFrame, seats: int) -> DataFrame:
+    """(k, seats) of shares (k, x, most): seats by highest quotients x / (2 s + 1), the smaller k first among equals; none
+    gets over its most. A divisor is searched for that leaves less than one further seat for each; those go by quotient."""
+    x, most = F.col("x"), F.col("most")
+    top, total, n, least = shares.where((x > 0) & (most > 0)).agg(F.max("x"), F.sum("x"), F.count(F.lit(1)), F.sum("most")).first()
+    seats = min(seats, least or 0)
+    given = lambda d: F.when(x > 0, F.least(most, F.floor(x / d + 0.5))).otherwise(0).cast("long")
+    if seats <= 0:
+        return shares.select("k", F.lit(0).cast("long").alias("seats"))
+    low, high = total / (4 * (seats + n)) * 1e-3, 2 * top + 1.0
+    while shares.agg(F.sum(given(low))).first()[0] < seats:
+        low /= 1024
+    while True:
+        tried = np.geomspace(low, high, TRIED + 2)[1:-1].tolist()
+        *sums, spread = shares.agg(*(F.sum(given(d)) for d in tried), F.max(given(low) - given(high))).first()
+        if spread <= 1 or not low < tried[0] < high:
+            break
+        low, high = max([low, *(d for d, s in zip(tried, sums, strict=True) if s > seats)]), min([high, *(d for d, s in zip(tried, sums, strict=True) if s <= seats)])
+    base = shares.withColumn("seats", given(high))
+    left = seats - base.agg(F.sum("seats")).first()[0]
+    if not left:
+        return base.select("k", "seats")
+    more = base.where((x > 0) & (F.col("seats") < most)).select("k", (-x / (2 * F.col("seats") + 1)).alias("q"))
+    more = indexed(more, [F.col("q"), F.col("k")], "place").where(F.col("place") < left).select(F.col("k").alias("_k"), F.lit(1).alias("one"))
+    return base.join(more, F.col("k") == F.col("_k"), "left").select("k", (F.col("seats") + F.coalesce("one", F.lit(0))).alias("seats"))
+
+
+def _quotas(block: int, epochs: int):
+    def of(parts: pd.DataFrame) -> pd.DataFrame:
+        """The parts of one source (k, part, words, seats)."""
+        n = -(-parts["words"] // block)
+        quota = np.array(sainte_lague(parts["words"].astype(float).tolist(), int(parts["seats"].iloc[0]), (epochs * n).tolist()))
+        return pd.DataFrame({"k": parts["k"], "part": parts["part"], "n": n, "passes": quota // np.maximum(n, 1), "rest": quota % np.maximum(n, 1)})
+
+    return of
+
+
+def mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of a stored table (doc_id, source, size, more) with source_size, target, taken and the piece of the
+    source's stream they take: passes (whole), and begin and length of a word span, and the length of another from the
+    document's start, length2, for a run that goes round the end."""
+    keep = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+    sums = stored(sizes.groupBy("source").agg(F.sum("size").alias("words")), "sums")
+    n_sources, total = sums.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    wanted = targeted(sums, total, weights, epochs)
+    block, part = block_size(total, max(1, n_sources)), max(PART_WORDS, total // PARTS_MOST)
+    sources = wanted.select("k", F.col("source").alias("own"), F.col("words").alias("source_size"), "target", F.greatest(F.lit(1), F.ceil(F.col("words") / part)).cast("int").alias("parts"))
+    sources = stored(sources, "sources")
+    dealt = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)).alias("dealt")
+    joined = sizes.select("*", dealt).join(small(sources, n_sources), F.col("source").eqNullSafe(F.col("own")), "left").drop("own")
+    joined = joined.withColumn("part", F.pmod("dealt", F.col("parts")).cast("int")).drop("parts")
+
+    held = stored(joined.groupBy("k", "part").agg(F.sum("size").alias("words")), "parts")
+    blocks = held.groupBy("k").agg(F.sum(F.ceil(F.col("words") / block)).alias("n"))
+    shares = stored(sources.join(blocks, "k").select("k", F.col("target").alias("x"), (F.col("n") * epochs).alias("most")), "shares")
+    seats = apportioned(shares, round(total / block))
+    quotas = held.join(seats, "k").groupBy("k").applyInPandas(_quotas(block, epochs), "k long, part int, n long, passes long, rest long")
+    quotas = stored(quotas, "quotas")
 
     # the seeded order within a part, and where each document's words lie in it
-    order = Window.partitionBy("_k", "_part").orderBy("_dealt", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.join(quotas, ["_k", "_part"], "left").withColumn("_at", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    start = F.pmod(F.xxhash64("_k", "_part", F.lit(seed + 1)), F.greatest("_n", F.lit(1))) * block
-    run, whole = F.col("_rest") * block, F.col("_n") * block
-    placed = placed.withColumns({"_from": start, "_to": start + run})
-    end = F.col("_at") + F.col("size")
-    cut = lambda a, b: F.greatest(F.lit(0), F.least(end, b) - F.greatest(F.col("_at"), a))
-    round_ = F.greatest(F.lit(0), F.col("_to") - whole)
-    placed = placed.withColumns(
-        {
-            "begin": F.greatest(F.lit(0), F.col("_from") - F.col("_at")),
-            "length": cut(F.col("_from"), F.col("_to")),
-            "begin2": F.lit(0).cast("long"),
-            "length2": cut(F.lit(0), round_),
-        }
-    )
-    taken = F.col("passes") * F.col("size") + F.col("length") + F.col("length2")
-    return placed.withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long")).select(*columns, *made)
-
-
-def taken_texts(mixed: DataFrame) -> DataFrame:
-    """The documents of a mix: one row for each whole pass and for each span of words, spans with single spaces between
-    words. Adds no column; text and n_chars (where it is there) change."""
-    words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    span = lambda a, n: F.when(F.col(n) > 0, F.array_join(F.slice(words, (F.col(a) + 1).cast("int"), F.col(n).cast("int")), " "))
+    order = Window.partitionBy("k", "part").orderBy("dealt", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.join(small(quotas, quotas.count()), ["k", "part"], "left").withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    start = F.pmod(F.xxhash64("k", "part", F.lit(seed + 1)), F.greatest("n", F.lit(1))) * block
+    placed = placed.withColumns({"from": start, "to": start + F.col("rest") * block})
+    end = F.col("at") + F.col("size")
+    cut = lambda a, b: F.greatest(F.lit(0), F.least(end, b) - F.greatest(F.col("at"), a))
+    round_ = F.greatest(F.lit(0), F.col("to") - F.col("n") * block)
+    placed = placed.withColumns({"begin": F.greatest(F.lit(0), F.col("from") - F.col("at")), "length": cut(F.col("from"), F.col("to")), "length2": cut(F.lit(0), round_)})
+    taken = F.coalesce(F.col("passes") * F.col("size") + F.col("length") + F.col("length2"), F.lit(0)).cast("long")
+    return placed.select("doc_id", "source", "size", *keep, "source_size", "target", taken.alias("taken"), "passes", "begin", "length", "length2")
+
+
+def _span(text: Column, begin: Column, length: Column) -> Column:
+    """So many words from the begin-th on (from 0), with the white space between them as it was."""
+    word, gap = NOT_SPACES, r"[\x20\x09-\x0D]*"
+    words = F.regexp_extract_all(text, F.lit(f"{gap}{word}"), F.lit(0))
+    return F.regexp_replace(F.array_join(F.slice(words, (begin + 1).cast("int"), length.cast("int")), ""), f"^{gap}", "")
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """What the mix takes, in the columns of docs: one row for each whole pass over a document and for each span of words
+    of it. n_chars, where it is there, is counted anew."""
+    rows = keyed(docs)
+    plan = mix(stored(sized(rows.select("row_key", "doc_id", "text", F.col("rest.source").alias("source")), "row_key"), "sizes"), weights, epochs, seed)
+    plan = plan.where("taken > 0").select("row_key", "passes", "begin", "length", "length2")
+    piece = lambda a, n: F.when(n > 0, _span(F.col("text"), a, n))
     whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
-    texts = F.concat(whole, F.array_compact(F.array(span("begin", "length"), span("begin2", "length2"))))
-    extra = {"size", "source_size", "target", "taken", "passes", "begin", "length", "begin2", "length2"}
-    columns = [c for c in mixed.columns if c not in extra]
-    out = mixed.where("taken > 0").withColumn("_texts", texts).drop("text").withColumn("text", F.explode("_texts"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    spans = F.array(piece(F.col("begin"), F.col("length")), piece(F.lit(0), F.col("length2")))
+    cut = rows.join(plan, "row_key").withColumn("piece", F.explode(F.concat(whole, F.array_compact(spans))))
+    columns = {c: F.col("piece") if c == "text" else F.length("piece").cast("long") if c == "n_chars" else F.col(f"rest.`{c}`") for c in docs.columns}
+    return cut.select(*(x.alias(c) for c, x in columns.items()))

@@ -47,7 +47,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = stored(mixing.sized(documents(spark, sf_dir)).select("doc_id", "source", "size"), "sizes")
+    sizes = stored(mixing.sized(documents(spark, sf_dir)), "sizes")
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -1,15 +1,19 @@
 """SimHash near-dedup.
 
-Fingerprints are made where the texts lie; only (doc_id, fingerprint) moves. Equal fingerprints fold into one node
-(smallest doc_id) before anything is compared. The exact comparison runs in tiles: with radius r the 64 bits are cut
-into m > r blocks, and two fingerprints within the radius agree in at least m - r of them, so comparing the nodes that
-share a choice of m - r blocks loses no link. m grows with the number of nodes, which keeps such a bucket small. A
-bucket over the tile limit is dealt out as pairs of tiles to many tasks. Inside a task numpy XORs tile against tile and
-counts bits, leaving out tile pairs whose population counts differ by more than the radius. A task returns a spanning
-forest of its links, not all pairs, and the components come from star contraction over those edges.
-
-Nulls: a null text has no words and so the zero fingerprint; it is linked like any other. A null doc_id gets a row but
-is never a component's id unless all ids of that component are null. Rows that repeat a doc_id each get their row.
+Fingerprints are made where the texts lie; only (doc_id, fingerprint) moves. The nodes are the different fingerprints,
+whoever carries them. The exact comparison runs in tiles: with radius r the 64 bits are cut into m > r blocks, and two
+fingerprints within the radius agree in at least m - r of them, so comparing the nodes that share a choice of m - r
+blocks loses no link. m grows with the number of nodes, which keeps such a bucket small. A bucket over the limit is cut
+again by the bits not used yet: r + 1 parts of them, of which one must agree. One that is still over it is dealt out as
+pairs of parts to many tasks. Inside a task numpy XORs tile against tile and counts bits, leaving out tile pairs whose
+population counts differ by more than the radius. A task returns a spanning forest of its links, not all pairs, and the
+components come from star contraction over those edges.
+
+Nulls: a null text has no words and so the zero fingerprint; it is linked like any other, and so are the fingerprints
+that only null ids carry. A null doc_id is never a component's id unless all ids of that component are null. Rows that
+repeat a doc_id each get their row, with the component of their own text: different texts under one id are not linked by
+it. Ties: equal fingerprints are one node. Very long texts are counted in slices of bounded memory. An empty table gives
+an empty result. Further columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 
 TILE = 512
-#: Nodes of a bucket that one task compares; larger buckets are dealt out as pairs of parts.
+#: Nodes of a bucket that one task compares; larger buckets are cut again, and then dealt out as pairs of parts.
 BUCKET = 8192
+#: Large buckets that are sent to all tasks (16 bytes each); more of them are joined by a shuffle.
+BROADCAST = 200_000
 
 
 def fingerprint(text: str | None, n_words: int = 4) -> int:
@@ -71,14 +77,21 @@ def blocks_for(n_nodes: int, radius: int) -> list[int]:
 
 
 def _bucket_keys(fp: F.Column, widths: list[int], radius: int) -> F.Column:
+    """array of struct(key, rest): for each choice of blocks its number and their bits, and the bits of the others."""
     at = [0, *accumulate(widths)]
     part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(at, widths, strict=False)]
+
+    def joined(start: int, blocks: tuple[int, ...]) -> F.Column:
+        out = F.lit(start).cast("long")
+        for j in blocks:
+            out = F.shiftleft(out, widths[j]).bitwiseOR(part[j])
+        return out
+
+    every = range(len(widths))
     keys = []
-    for k, chosen in enumerate(combinations(range(len(widths)), len(widths) - radius)):
-        key = F.lit(k).cast("long")
-        for j in chosen:
-            key = F.shiftleft(key, widths[j]).bitwiseOR(part[j])
-        keys.append(key)
+    for k, chosen in enumerate(combinations(every, len(widths) - radius)):
+        others = tuple(j for j in every if j not in chosen)
+        keys.append(F.struct(joined(k, chosen).alias("key"), joined(0, others).alias("rest")))
     return F.array(*keys)
 
 
@@ -142,22 +155,34 @@ def _compared(radius: int):
     return run
 
 
+def _large(dealt: DataFrame) -> DataFrame:
+    """(key, parts) of the buckets over the limit, sent to all tasks if they are few."""
+    large = dealt.groupBy("key").count().where(F.col("count") > BUCKET)
+    large = stored(large.select("key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("parts")), "large")
+    return F.broadcast(large) if large.count() <= BROADCAST else large
+
+
+def paired(dealt: DataFrame, large: DataFrame, by: str) -> DataFrame:
+    """The columns of dealt (with key) and lo and hi: a bucket that large lists is dealt out as all pairs of its parts."""
+    own = F.pmod(F.xxhash64(by), F.col("n")).cast("int")
+    split = dealt.join(large, "key", "left").withColumn("n", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return split.select(*dealt.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) over node ids: edges that connect the same nodes as all pairs within the radius. nodes: (fp, node)."""
+    """(a, b) over nodes: edges that connect the same nodes as all pairs within the radius. nodes: (fp, node), fp unique."""
     widths = blocks_for(nodes.count(), radius)
-    dealt = nodes.select("fp", "node", F.explode(_bucket_keys(F.col("fp"), widths, radius)).alias("key"))
-    large = dealt.groupBy("key").count().where(F.col("count") > BUCKET)
-    large = large.select("key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    paired = (
-        dealt.join(large, "key", "left")
-        .select("key", "fp", "node", parts.alias("n"))
-        .select("key", "fp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
-    )
+    dealt = nodes.select("fp", "node", F.explode(_bucket_keys(F.col("fp"), widths, radius)).alias("b")).select("fp", "node", "b.key", "b.rest")
+    large = _large(dealt)
+    sub = -(-radius * max(widths) // (radius + 1))
+    pieces = [F.shiftrightunsigned(F.col("rest"), j * sub).bitwiseAND(F.lit((1 << sub) - 1)) for j in range(radius + 1)]
+    again = F.explode(F.array(*(F.xxhash64("key", F.lit(j), x) for j, x in enumerate(pieces))))
+    again = dealt.join(large, "key").select("fp", "node", again.alias("key"))
+    small = dealt.join(large, "key", "left_anti").select("fp", "node", "key")
     order = ["key", "lo", "hi"]
-    return paired.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(radius), "a long, b long")
+    ready = small.withColumns({"lo": F.lit(0), "hi": F.lit(0)}).union(paired(again, _large(again), "fp")).select(*order, "fp", "node")
+    return ready.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(radius), "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -168,6 +193,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = stored(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
     before = state(edges)
+    if not before[0]:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -188,10 +215,12 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, n_words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     fps = stored(fingerprints(docs, n_words), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    joined = components(links(nodes.where("node is not null"), radius))
-    ids = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    joined = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = stored(named, "named")
+    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return fps.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def expected_bucket(n_nodes: int, radius: int = 4) -> float:

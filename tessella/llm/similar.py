@@ -1,78 +1,140 @@
-"""Near-copies by exact Jaccard similarity of word shingles, for the pipeline; op2 links fingerprints instead.
-
-Sets with similarity >= 4/5 share a shingle among the first n - ceil(4n/5) + 1 of each, in any order that is the same
-for all sets. Common shingles are put last in that order, so that a common line does not bring texts together. Texts that
-share such a shingle and whose sizes allow the similarity are chained, which keeps candidate edges linear in the rows; a
-chain only says which texts must meet. The texts of each chained component then meet in tasks, a large component as pairs
-of parts, and every pair in it that is not joined yet is decided by its sets. Bounds on size and on bit parities leave
-out pairs that can't reach the similarity, and lose none. Sets are of 64-bit hashes; texts of equal words are one node.
-
-Nulls: a null text has no words and is like the empty text.
+"""Near-copies by word shingles with SimHash tiles and an exact test of the Jaccard similarity, for the pipeline.
+
+op2 links fingerprints within a small radius, which bit blocks can find. Similarity 0.8 of shingle sets is far beyond such
+a radius (about 10 of 64 bits), so here other buckets bring texts together: two sets with similarity >= 4/5 share a
+shingle among the first n - ceil(4n/5) + 1 of each, in any order that is the same for all sets. Common shingles are put
+last in that order, so that a common line does not bring texts together. In a bucket, the texts of one such shingle, numpy
+XORs and counts the bits of tiles of SimHash fingerprints (128 bits) and of parity sketches, and skips tile pairs whose
+sizes or population counts can't belong to similar sets. What is left are candidates: the spanning forests of the buckets
+make components of them, and inside these the sets themselves decide at >= 4/5.
+
+The bounds: similar sets differ in at most (n + m) / 9 elements, and so in no more parity bits and no more in their
+counts. From LONG shingles on the fingerprints must be within RADIUS of 128 bits, about six standard deviations over what
+similarity 0.8 leads to expect: a pair is missed by chance in one of some 10**8 cases.
+
+A large component is decided in three steps that end when it is one: inside its parts; between representatives of what
+has been joined; and what is still apart against everything else. Sets are of 64-bit hashes; texts of equal words are one
+node from the start, so copies cost their signature alone.
+
+Nulls: a null text has no words and is like the empty text. Repeated rows are copies. Very long texts are cut to slices of
+a batch, one text at least. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
-from .simhash import components
+from .common import mix64, slices, stored, words_of
+from .simhash import TILE, components, paired
+from .substrings import word_hashes
 
 WORDS = 5
-#: Shingles held before they are counted or chained.
+#: Rows that are folded or counted at once.
 FLUSH = 1 << 20
 #: Common shingles known to each task. Only the cost depends on which they are, not the result.
-COMMON = 200_000
-#: Texts, and bytes of text, of a component that meet in one task; larger components are dealt out as pairs of parts.
+COMMON = 100_000
+#: Texts, and bytes of text, of a component that meet in one task; larger components are cut into parts.
 PART, PART_BYTES = 1024, 8 << 20
+#: Nodes of a bucket that one task compares; larger buckets are dealt out as pairs of parts.
+BUCKET = 8192
+#: Large buckets that are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST = 200_000
+#: Bits of 128 in which fingerprints of similar sets may differ, and the size from which this is asked.
+RADIUS, LONG = 44, 100
+_SHIFT = 1000
+
+
+def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """All sets' hashes, sorted in each set; where each set starts, and the end; and the texts' signatures.
+
+    A shorter text is one shingle, a text without words the empty set."""
+    words, at = words_of(pc.ascii_lower(pc.fill_null(texts, "")))
+    h, n = word_hashes(words), np.diff(at)
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), words), " ") if len(n) else pa.array([], pa.string())
+    sig = [xxhash.xxh64_intdigest(x, 7) for x in lines.to_pylist()]
+    made = np.maximum(n - n_words + 1, np.minimum(n, 1))
+    own = np.repeat(np.arange(len(n)), made)
+    first = np.arange(len(own)) - np.repeat(np.cumsum(made) - made, made) + np.repeat(at[:-1], made)
+    rolled = np.zeros(len(own), np.uint64)
+    for k in range(n_words):
+        has = np.minimum(first + k, len(h) - 1) if len(h) else first
+        step = mix64(rolled * np.uint64(31) + h[has] + np.uint64(k)) if len(h) else rolled
+        rolled = np.where(k < n[own], step, rolled)
+    order = np.lexsort((rolled, own))
+    rolled, own = rolled[order], own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (rolled[1:] != rolled[:-1]) | (own[1:] != own[:-1])
+    rolled, own = rolled[new], own[new]
+    return rolled, np.searchsorted(own, np.arange(len(n) + 1)), sig
+
+
+def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set 128 bits of SimHash and 128 parity bits, as two rows of two words."""
+    sim, odd = np.zeros((len(at) - 1, 128), np.int64), np.zeros((len(at) - 1, 128), np.int64)
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    for s in range(0, len(h), 1 << 16):
+        part, to = h[s : s + (1 << 16)], own[s : s + (1 << 16)]
+        wide = np.stack([part, mix64(part ^ np.uint64(0x51ED270B35A4C8E1))], axis=1)
+        bits = np.unpackbits(wide.view(np.uint8).reshape(-1, 16), axis=1)
+        edge = np.nonzero(np.append(True, to[1:] != to[:-1]))[0]
+        sim[to[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+        np.add.at(odd, (to, (part >> np.uint64(57)).astype(np.int64)), 1)
+    size = np.diff(at)[:, None]
+    pack = lambda x: np.packbits(x, axis=1).view(np.uint64).reshape(-1, 2)
+    return pack(2 * sim > size), pack(odd & 1)
+
+
+def _per_slice(docs: DataFrame, make, schema: str, *columns: str) -> DataFrame:
+    """make(batch) over slices of the columns of docs, with the batches of a task held apart."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield from make(batch)
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
-def _sig(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), 7)
+def described(docs: DataFrame, n_words: int) -> DataFrame:
+    """(doc_id, sig, n, s0, s1, p0, p1) for every row of docs (doc_id, text)."""
+    names = ["doc_id", "sig", "n", "s0", "s1", "p0", "p1"]
 
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h, at, sig = shingle_sets(batch.column("text"), n_words)
+        sim, odd = (x.view(np.int64) for x in sketches(h, at))
+        own = pa.array(np.array(sig, np.uint64).view(np.int64))
+        cols = [batch.column("doc_id"), own, pa.array(np.diff(at).astype(np.int32)), *(pa.array(np.ascontiguousarray(x[:, k])) for x in (sim, odd) for k in range(2))]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
-def shingles(words: list[bytes], n_words: int = WORDS) -> np.ndarray:
-    """The sorted set of hashes of the shingles; shorter texts are one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
-    k = min(n_words, len(words))
-    starts = [0, *(e + 1 for e in ends[: len(words) - k])]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=True)), np.uint64, len(starts)))
+    return _per_slice(docs, make, "doc_id long, sig long, n int, s0 long, s1 long, p0 long, p1 long", "doc_id", "text")
 
 
 def _common(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of shingles that many texts have."""
 
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 3].view(np.int64)), pa.array(n[n > 3])], names=["h", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                for text in batch.column("text").to_pylist():
-                    held.append(shingles(_words(text), n_words))
-                    size += len(held[-1])
-                    if size >= FLUSH:
-                        yield often(held)
-                        held, size = [], 0
+                held.append(shingle_sets(batch.column("text"), n_words)[0])
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield often(held)
+                    held, size = [], 0
         if held:
             yield often(held)
 
-    def often(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h[n > 3].view(np.int64)), pa.array(n[n > 3])], names=["h", "n"])
-
     found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16")
     rows = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = rows.column("h").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy().astype(np.int64)
@@ -80,97 +142,171 @@ def _common(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _first(sets: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    n = len(sets)
-    want = n - (4 * n + 4) // 5 + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, sets), len(common) - 1)
-        rank = np.where(common[at] == sets, counts[at], 0)
-        if rank.any():
-            return sets[np.lexsort((sets, rank))[:want]]
-    return sets[:want]
-
-
-def _chained(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Rows sorted by (h, lo): whether a row's sizes allow the similarity with those before it that have its h."""
-    same = h[1:] == h[:-1]
-    at = np.concatenate(([0], np.cumsum(~same)))
-    most = np.maximum.accumulate((at << 32) + hi) & 0xFFFFFFFF
-    return same & (5 * most[:-1] >= 4 * lo[1:])
-
-
-def _edges(docs: DataFrame, n_words: int) -> DataFrame:
-    """(a, b) over signatures: connects all texts whose similarity can be 4/5."""
+def _first(docs: DataFrame, n_words: int) -> DataFrame:
+    """(h, n, sig): the first shingles of each text, rare ones before common ones; equal rows of a batch once."""
     common, counts = _common(docs, n_words)
-    names, kinds = ["h", "lo", "hi", "a", "b"], "h long, lo int, hi int, a long, b long"
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                for text in batch.column("text").to_pylist():
-                    words = _words(text)
-                    if not words:
-                        continue
-                    sets = shingles(words, n_words)
-                    first = _first(sets, common, counts)
-                    held.append((first, len(sets), _sig(words)))
-                    size += len(first)
-                    if size >= FLUSH:
-                        yield from chains(held)
-                        held, size = [], 0
-        if held:
-            yield from chains(held)
-
-    def chains(held: list) -> Iterator[pa.RecordBatch]:
-        """The chains among these texts as edges, and each chain of a shingle as one row (h, lo, hi, a)."""
-        size = [len(x) for x, _, _ in held]
-        h = np.concatenate([x for x, _, _ in held]).view(np.int64)
-        n = np.repeat(np.array([n for _, n, _ in held], np.int64), size)
-        a = np.repeat(np.array([s for _, _, s in held], np.uint64).view(np.int64), size)
-        order = np.lexsort((n, h))
-        h, n, a = h[order], n[order], a[order]
-        on = _chained(h, n, n)
-        start = np.nonzero(np.concatenate(([True], ~on)))[0]
-        end = np.concatenate((start[1:], [len(h)])) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(h[start]), pa.array(n[start].astype(np.int32)), pa.array(n[end].astype(np.int32)), pa.array(a[start]), pa.nulls(len(start), pa.int64())], names=names)
-        both = np.stack([a[:-1][on], a[1:][on]])
-        both = np.unique(both[:, both[0] != both[1]], axis=1)
-        zero = pa.array(np.zeros(both.shape[1], np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), zero, zero, pa.array(both[0]), pa.array(both[1])], names=names)
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.empty((4, 0), np.int64)
-        for batch in batches:
-            made = batch.filter(batch.column("b").is_valid())
-            yield made.select(["a", "b"])
-            rows = batch.filter(batch.column("b").is_null())
-            rows = np.concatenate([last, np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(4)])], axis=1)
-            if not rows.shape[1]:
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h, at, sig = shingle_sets(batch.column("text"), n_words)
+        size = np.diff(at)
+        sig = np.array(sig, np.uint64)
+        once = np.zeros(len(size), bool)
+        once[np.unique(sig, return_index=True)[1]] = True
+        own = np.repeat(np.arange(len(size)), size)
+        rank = np.zeros(len(h), np.int64)
+        if len(common):
+            place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            rank = np.where(common[place] == h, counts[place], 0)
+        order = np.lexsort((h, rank, own))
+        want = size - (4 * size + 4) // 5 + 1
+        taken = (np.arange(len(h)) - np.repeat(at[:-1], size) < np.repeat(want, size)) & once[own]
+        h, own = h[order][taken].view(np.int64), own[taken]
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(size[own].astype(np.int32)), pa.array(sig[own].view(np.int64))], names=["h", "n", "sig"])
+
+    return _per_slice(docs, make, "h long, n int, sig long", "text")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, n, sig) in; (g, sig) out for the members of each chain of rows of one h in which every size
+    allows the similarity with the one before, if there are two different ones. g is made of the members, so that the
+    same bucket is found again under another shingle; a chain that is longer than a batch goes by its h."""
+    held, begun = np.empty((3, 0), np.int64), False  # begun: rows of the chain in held have gone out by its h
+    for batch in batches:
+        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        rows = np.concatenate([held, rows], axis=1)
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        rows = rows[:, new]
+        h, n, _ = rows
+        start = np.nonzero(np.append(True, (h[1:] != h[:-1]) | (5 * n[:-1] < 4 * n[1:])))[0][: rows.shape[1]]
+        if len(start) < 2:
+            if rows.shape[1] > FLUSH:  # one chain, too long to wait for its end
+                yield _bucketed(rows[:, :-1], np.zeros(1, np.int64), by_h=True)
+                rows, begun = rows[:, -1:], True
+            held = rows
+            continue
+        if begun:
+            yield _bucketed(rows[:, : start[1]], np.zeros(1, np.int64), by_h=True)
+            rows, start, begun = rows[:, start[1] :], start[1:] - start[1], False
+        if len(start) > 1:
+            yield _bucketed(rows[:, : start[-1]], start[:-1])
+        held = rows[:, start[-1] :]
+    if held.shape[1]:
+        yield _bucketed(held, np.zeros(1, np.int64), by_h=begun)
+
+
+def _bucketed(rows: np.ndarray, start: np.ndarray, *, by_h: bool = False) -> pa.RecordBatch:
+    h, sig = np.ascontiguousarray(rows[0]), np.ascontiguousarray(rows[2])
+    if by_h:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(sig)], names=["g", "sig"])
+    count = np.diff(np.append(start, len(sig)))
+    g = mix64(np.add.reduceat(mix64(sig.view(np.uint64)), start))
+    many = np.repeat(count > 1, count)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(g, count)[many].view(np.int64)), pa.array(sig[many])], names=["g", "sig"])
+
+
+def tile_forest(n: np.ndarray, sim: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (child, root) that connect the same sets as all pairs within the bounds do. n: sizes."""
+    order = np.argsort(n, kind="stable")
+    n, sim, odd = n[order], sim[order], odd[order]
+    bits = np.bitwise_count(sim).sum(axis=1, dtype=np.int64)
+    label = np.arange(len(n))
+    for a in range(0, len(n), TILE):
+        left = slice(a, min(a + TILE, len(n)))
+        for b in range(a, len(n), TILE):
+            right = slice(b, min(b + TILE, len(n)))
+            if 5 * n[left.stop - 1] < 4 * n[b]:
+                break
+            if n[a] >= LONG and max(bits[right].min() - bits[left].max(), bits[left].min() - bits[right].max()) > RADIUS:
                 continue
-            on = _chained(*rows[:3])
-            a, b = rows[3][:-1][on], rows[3][1:][on]
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
-            last = rows[:, -1:].copy()
-            last[2] = rows[2][rows[0] == rows[0][-1]].max()
-
-    dealt = docs.select("text").mapInArrow(near, kinds).repartition("h").sortWithinPartitions("h", "lo")
-    return dealt.mapInArrow(linked, "a long, b long")
-
-
-def joined(sets: list[np.ndarray], own: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-    """Pairs with similarity >= 4/5 that join the same sets as all such pairs do; cross: only pairs of different own."""
+            total = n[left, None] + n[None, right]
+            near = 9 * np.bitwise_count(odd[left, None] ^ odd[None, right]).sum(axis=2, dtype=np.int64) <= total
+            near &= 5 * n[left, None] >= 4 * n[None, right]
+            apart = np.bitwise_count(sim[left, None] ^ sim[None, right]).sum(axis=2, dtype=np.int64)
+            near &= (apart <= RADIUS) | (n[left, None] < LONG)
+            u, v = np.nonzero(near)
+            u, v = u + a, v + b
+            u, v = u[u < v], v[u < v]
+            while True:
+                p, q = label[u], label[v]
+                open_ = p != q
+                if not open_.any():
+                    break
+                np.minimum.at(label, np.maximum(p, q)[open_], np.minimum(p, q)[open_])
+                while not np.array_equal(up := label[label], label):
+                    label = up
+    child = np.nonzero(label != np.arange(len(n)))[0]
+    return order[child], order[label[child]]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by the first three columns, group by group; a group may go over the edge of a batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        edge = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            key = tuple(keys[:, s].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate links of buckets, as forests."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for rows in _groups(batches):
+        if rows.num_rows < 2:
+            continue
+        cols = [rows.column(k).to_numpy() for k in ("sig", "n", "s0", "s1", "p0", "p1")]
+        sim, odd = (np.stack(x, axis=1).view(np.uint64) for x in (cols[2:4], cols[4:6]))
+        child, root = tile_forest(cols[1].astype(np.int64), sim, odd)
+        a.append(cols[0][child])
+        b.append(cols[0][root])
+        if len(a) >= _SHIFT:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            a, b = [], []
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
+    """(a, b) over signatures: connects all texts whose similarity can be 4/5. nodes: (sig, n, s0, s1, p0, p1)."""
+    order = ["h", "n", "sig"]
+    first = _first(docs, n_words).repartition("h").sortWithinPartitions(*order)
+    buckets = first.mapInArrow(_shared, "g long, sig long").groupBy("sig").agg(F.collect_set("g").alias("g"))  # a text's first shingles at most
+    dealt = buckets.join(nodes, "sig").select(F.explode("g").alias("key"), "sig", "n", "s0", "s1", "p0", "p1")
+    dealt = stored(dealt, "buckets")
+    large = dealt.groupBy("key").count().where(F.col("count") > BUCKET)
+    large = stored(large.select("key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("parts")), "large")
+    some = large.count()
+    ready = dealt.withColumns({"lo": F.lit(0), "hi": F.lit(0)}) if not some else paired(dealt, F.broadcast(large) if some <= BROADCAST else large, "sig")
+    keys = ["key", "lo", "hi"]
+    ready = ready.select(*keys, "sig", "n", "s0", "s1", "p0", "p1")
+    return ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared, "a long, b long")
+
+
+def joined(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs with similarity >= 4/5 of different labels that join the same sets as all such pairs do."""
     size = np.array([len(x) for x in sets], np.int64)
     order = np.argsort(size, kind="stable")
-    size, own = size[order], own[order]
+    size = size[order]
+    label = np.unique(label, return_inverse=True)[1][order]
     odd = np.stack([np.packbits(np.bincount((sets[k] >> np.uint64(55)).astype(np.int64), minlength=512) & 1) for k in order]).view(np.uint64)
-    label, out = np.arange(len(order)), []
     last = np.searchsorted(4 * size, 5 * size, "right")
+    out = []
     for a in range(len(order)):
         b = np.arange(a + 1, last[a])
         b = b[label[b] != label[a]]
-        if cross:
-            b = b[own[b] != own[a]]
+        if not len(b):
+            continue
         b = b[9 * np.bitwise_count(odd[b] ^ odd[a]).sum(axis=1, dtype=np.int64) <= size[a] + size[b]]
         for k in b.tolist():
             if label[k] == label[a]:
@@ -179,66 +315,89 @@ def joined(sets: list[np.ndarray], own: np.ndarray, cross: bool) -> list[tuple[i
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 5 * both >= 4 * (len(x) + len(y) - both):
                 out.append((int(order[a]), int(order[k])))
-                label[label == max(label[a], label[k])] = min(label[a], label[k])
+                label[label == label[k]] = label[a]
     return out
 
 
 def _decided(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (component, lo, hi); a group may go over the edge of a batch."""
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            edge = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist()]
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                yield from decide(rows.slice(s, e - s))
-            held = rows.slice(edge[-1])
-        if held is not None and held.num_rows:
-            yield from decide(held)
-
-    def decide(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if rows.num_rows < 2:
-            return
-        sets = [shingles(_words(x), n_words) for x in rows.column("text").to_pylist()]
-        pairs = joined(sets, rows.column("own").to_numpy(), rows.column("lo")[0] != rows.column("hi")[0])
-        if pairs:
-            sig, at = rows.column("sig").to_numpy(), np.array(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at[:, 0]]), pa.array(sig[at[:, 1]])], names=["a", "b"])
+        for rows in _groups(batches):
+            if rows.num_rows < 2:
+                continue
+            h, at, _ = shingle_sets(pa.concat_arrays(rows.column("text").chunks), n_words)
+            pairs = joined([h[s:e] for s, e in zip(at[:-1], at[1:], strict=True)], rows.column("label").to_numpy())
+            if pairs:
+                sig, where = rows.column("sig").to_numpy(), np.array(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[where[:, 0]]), pa.array(sig[where[:, 1]])], names=["a", "b"])
 
     return run
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig): sig is equal for texts of equal words."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sig = np.array([_sig(_words(x)) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sig)], names=["doc_id", "sig"])
-
-    return docs.mapInArrow(make, "doc_id long, sig long")
+def _meet(rows: DataFrame, n_words: int) -> DataFrame:
+    """(a, b) of similar texts of different labels that stand under one (component, lo, hi)."""
+    keys = ["component", "lo", "hi"]
+    ready = rows.select(*keys, "sig", "label", "text").repartition(*keys).sortWithinPartitions(*keys)
+    return ready.mapInArrow(_decided(n_words), "a long, b long")
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """(component, parts) of rows (component, text)."""
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    return sizes.select("component", F.when((F.col("n") > 2 * PART) | (F.col("bytes") > 2 * PART_BYTES), F.ceil(F.greatest(F.col("n") / PART, F.least(F.col("n"), F.col("bytes") / PART_BYTES)))).otherwise(1).cast("int").alias("parts"))
+
+
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with label: the component that the edges put sig in."""
+    found = components(edges).withColumnRenamed("component", "to")
+    named = rows.join(found, rows["sig"] == found["node"], "left")
+    return named.select(*[c for c in rows.columns if c != "label"], F.coalesce("to", "sig").alias("label"))
+
+
+def decided(members: DataFrame, n_words: int) -> DataFrame:
+    """(a, b): similar texts among members (component, sig, text) that connect them as all similar pairs do."""
+    spread = members.join(_parts(members).where("parts > 1"), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+    spread = spread.withColumns({"lo": own, "hi": own, "label": F.col("sig")})
+    edges = stored(_meet(spread, n_words), "similar")
+    large = spread.where("parts > 1").select("component", "sig", "text")
+    if not large.limit(1).count():
+        return edges
+    # representatives of what is joined: one for each label of a component
+    large = stored(_labelled(large, edges), "large")
+    heads = large.groupBy("component", "label").agg(F.min("sig").alias("sig"))
+    heads = large.drop("label").join(heads, ["component", "sig"])
+    heads = stored(heads, "heads")
+    spread = heads.join(_parts(heads), "component").withColumns({"lo": own, "hi": own})
+    edges = edges.union(stored(_meet(spread, n_words), "similar"))
+    # what is still apart: all but the largest label of a component meets everything of another label
+    labels = _labelled(large, edges)
+    counts = stored(labels.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "labels")
+    open_ = counts.groupBy("component").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("top")).where("labels > 1").drop("labels")
+    open_ = stored(open_, "open")
+    if not open_.limit(1).count():
+        return edges
+    rest = stored(labels.join(open_, "component"), "apart")
+    spread = rest.join(_parts(rest), "component").withColumn("own", own)
+    other = F.when(F.col("label") == F.col("top"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    spread = spread.withColumn("other", F.explode(other))
+    # the largest label stays in its part, marked by hi = lo; the others come to every part
+    spread = spread.withColumns({"lo": F.col("other"), "hi": F.lit(0)})
+    return edges.union(stored(_meet(spread, n_words), "similar"))
 
 
 def near_copies(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """(doc_id, first_id) for every row of docs (doc_id, text) with unique ids: the smallest id among the texts that are
     connected by similarities >= 4/5."""
     docs = docs.select("doc_id", "text")
-    sigs = stored(signatures(docs), "signatures")
-    nodes = stored(sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    chained = components(_edges(docs, n_words)).withColumnRenamed("node", "sig")
+    rows = stored(described(docs, n_words), "described")
+    nodes = rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "p0", "p1")))
+    nodes = stored(nodes, "nodes")
+    chained = components(candidates(docs, nodes.drop("doc_id"), n_words)).withColumnRenamed("node", "sig")
     chained = chained.union(chained.select(F.col("component").alias("sig"), "component").distinct())
-    members = stored(docs.join(nodes.join(chained, "sig"), "doc_id").select("component", "sig", "text"), "members")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    large = sizes.where((F.col("n") > 2 * PART) | (F.col("bytes") > 2 * PART_BYTES))
-    large = large.select("component", F.ceil(F.greatest(F.col("n") / PART, F.least(F.col("n"), F.col("bytes") / PART_BYTES))).cast("int").alias("parts"))
-    dealt = members.join(large, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    order = ["component", "lo", "hi"]
-    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sig", "text")
-    found = components(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_decided(n_words), "a long, b long"))
+    wanted = stored(nodes.join(chained, "sig").select("doc_id", "component", "sig"), "wanted")
+    members = stored(docs.join(wanted, "doc_id").select("component", "sig", "text"), "members")
+    found = components(decided(members, n_words))
     named = nodes.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
+    named = stored(named, "named")
     first = named.groupBy("component").agg(F.min("doc_id").alias("first_id"))
-    return sigs.join(named.join(first, "component").select("sig", "first_id"), "sig").select("doc_id", "first_id")
+    return rows.join(named.join(first, "component").select("sig", "first_id"), "sig").select("doc_id", "first_id")

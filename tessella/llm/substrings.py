@@ -21,6 +21,7 @@ Texts of fewer words than a window keep all of them.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,9 @@ CONTEXTS = 512
 #: Hot anchors that are sent to all tasks (9 bytes each); more of them are joined by a shuffle.
 BROADCAST = 100_000
 
+#: A word with the white space before it.
+_SPACED = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
+
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -279,8 +283,12 @@ def _cover(window: int, digest: bool):
                     if n_left == len(words) and not digest:
                         kept.append(text)
                         continue
-                    joined = b" ".join(words if n_left == len(words) else [w for w, k in zip(words, left.tolist(), strict=True) if k])
-                    kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
+                    if digest:
+                        joined = b" ".join(words if n_left == len(words) else [w for w, k in zip(words, left.tolist(), strict=True) if k])
+                        kept.append(hashlib.sha256(joined).hexdigest())
+                        continue
+                    spaced = _SPACED.findall(text.encode())
+                    kept.append(b"".join([w for w, k in zip(spaced, left.tolist(), strict=True) if k]).lstrip().decode())
                 own = [n for n in batch.schema.names if n not in ("text", "spans")]
                 cols = [*(batch.column(n) for n in own), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*own, "n_words", "n_removed", "kept"])
@@ -290,8 +298,8 @@ def _cover(window: int, digest: bool):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, *, digest: bool = False) -> DataFrame:
     """(row_key, doc_id, n_words, n_removed, kept) and what docs has besides, for every row of docs (of common.keyed()):
-    kept is the SHA-256 in hex of the words that stay, joined by one space; or that text itself, but the text as it was,
-    white space and null included, where nothing is removed."""
+    kept is the SHA-256 in hex of the words that stay, joined by one space; or else the text that stays, with the white
+    space before each word as it was."""
     found = docs.select("row_key", "text").mapInArrow(_segments(window), _ROWS)
     order = ["h", "kind", "c", "row_key", "start"]
     found = stored(found.repartition("h").sortWithinPartitions(*order).mapInArrow(_matched, _ROWS), "segments")

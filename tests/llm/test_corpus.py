@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import bayes, chat, media, mixing, packing, pieces, rules, sharding, simhash, substrings
-from tessella.llm.common import keyed
+from tessella.llm.common import indexed, keyed, stored
 from tessella.llm.queries import tokenizer_file
 
 DOCS = T.StructType(
@@ -269,9 +269,26 @@ def test_sainte_lague():
         assert mixing.sainte_lague(shares, seats, most) == want
 
 
+def test_apportionment_of_a_table(spark):
+    rng = random.Random(14)
+    for n, seats in ((1, 7), (40, 500), (300, 90), (25, 10_000), (5, 0)):
+        x = [rng.choice([0.0, rng.random() * 100, 7.0]) for _ in range(n)]
+        most = [rng.randint(0, 60) for _ in range(n)]
+        shares = spark.createDataFrame(list(zip(range(n), x, most, strict=True)), "k long, x double, most long").repartition(3)
+        got = {r.k: r.seats for r in mixing.apportioned(shares, seats).collect()}
+        assert [got[k] for k in range(n)] == mixing.sainte_lague(x, seats, most)
+
+
+def test_indexed(spark):
+    values = [(k * 7919) % 1000 for k in range(1000)] + [5, 5, None]
+    rows = indexed(spark.createDataFrame([(v,) for v in values], "v long"), [F.col("v").asc_nulls_last()], "at").collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r["at"])] == sorted(values, key=lambda v: (v is None, v or 0))
+    assert sorted(r["at"] for r in rows) == list(range(len(values)))
+
+
 def test_mixing(docs):
     df, rows = docs
-    sized = mixing.sized(df.drop("size", "target", "taken"))
+    sized = stored(mixing.sized(df), "sizes")
     got = mixing.mix(sized).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
     assert collections.Counter((r.doc_id, r["size"]) for r in got) == collections.Counter((r[0], len(word_list(r[1]))) for r in rows)
     size = collections.Counter()
@@ -296,9 +313,12 @@ def test_mixing(docs):
     assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + 2 for s in want)
     again = mixing.mix(sized.repartition(2)).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
     assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
-    pieces_ = mixing.taken_texts(mixing.mix(sized))
-    assert sum(len(word_list(r.text)) for r in pieces_.collect()) == sum(taken.values())
-    assert set(pieces_.columns) == set(sized.columns) - {"size"}
+    pieces_ = mixing.mixed_texts(df)
+    found = pieces_.collect()
+    assert sum(len(word_list(r.text)) for r in found) == sum(taken.values())
+    assert pieces_.columns == df.columns and all(r["size"] == "x" and r.target == "x" and r.n_chars == len(r.text) for r in found)
+    whole = collections.Counter(r[1] for r in rows)
+    assert all(r.text in whole or any(r.text in (t or "") for t in whole) for r in found)
 
 
 def test_packing(docs):
