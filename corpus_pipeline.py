@@ -40,7 +40,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What a mix to the weights takes: a row for each whole pass over a document and for each span taken of it."""
-    return mixing.taken_texts(mixing.mix(mixing.sized(docs)))
+    return mixing.mixed_texts(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
