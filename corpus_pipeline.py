@@ -1,6 +1,6 @@
-"""A corpus pipeline of the operators in tessella.llm: quality rules, near-dedup by exact similarity (llm.similar, in place
-of op2's fingerprints), substring dedup, mixing sources to target weights, and SentencePiece encoding and decoding. Each
-stage works on all that the one before kept."""
+"""A corpus pipeline of the operators in tessella.llm: quality rules, near-dedup (SimHash tiles of a wider radius than
+op2's and an exact test of similarity, llm.similar), substring dedup, mixing sources to target weights, and SentencePiece
+encoding and decoding. Each stage works on all that the one before kept."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tessella.llm import mixing, pieces, rules, similar, substrings
 from tessella.llm.common import keyed, stored
 from tessella.llm.queries import tokenizer_file
 
-#: Not expressible in SQL; tests/llm hold run() against brute force.
+#: Not expressible in SQL; tests/llm/test_pipeline.py holds each stage and run() against plain Python.
 ORACLE_SQL = None
 
 

@@ -17,10 +17,15 @@ def _col(x: Column | str | float) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+#: Added before cutting off. What is under a half by the error of a sum counts as a half, so that the order in which a
+#: plan adds up can't decide.
+HALF = 0.5000001
+
+
 def half_up(x: Column | str, digits: int = 3) -> Column:
     """Rounded half towards plus infinity: -2.5 gives -2."""
     scale = float(10**digits)
-    return F.floor(_col(x) * scale + 0.5) / scale
+    return F.floor(_col(x) * scale + HALF) / scale
 
 
 def clamp(x: Column | str, low: float = 0.0, high: float = 1.0) -> Column:

@@ -1,83 +1,155 @@
-"""Text extraction in column functions."""
+"""Text extraction in column functions. Titles and requests are cut into words, and the words are looked up."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import half_up
+from .scalars import clamp, half_up
+
+# Words that decide, in the order in which they count. A phrase is its words with single spaces.
+
+#: A bracket with one of these is no part of a title.
+JUNK = [
+    "official", "lyric", "lyrics", "video", "audio", "visualizer", "mv", "hd", "hq", "4k", "remaster", "remastered", "explicit", "clean",
+    "music video", "color coded", "sub", "subtitulado", "español", "legendado", "prod", "directed",
+]
+#: What ends the name of a channel without being part of the artist's.
+CHANNEL = ["topic", "vevo", "official", "music"]
+GUESTS = ["feat", "ft"]
+GUESTS_LOOSE = ["feat", "ft", "featuring", "with"]
+GENRES = {
+    "chill": ["lofi", "lo fi", "ambient", "acoustic", "ballad", "piano", "chillhop", "chill hop", "sleep", "study", "rain", "asmr", "instrumental"],
+    "hiphop": ["hiphop", "hip hop", "trap", "rap", "drill", "boombap", "boom bap", "phonk", "grime", "r&b", "rnb"],
+    "edm": [
+        "edm", "house", "techno", "trance", "dubstep", "drum and bass", "drumandbass", "dnb", "d&b", "electro", "future bass", "hardstyle",
+        "big room", "progressive", "deep house", "tech house", "festival", "remix", "bootleg", "club mix", "extended mix",
+    ],
+    "pop": ["pop", "rock", "indie", "punk", "metal", "alt", "alternative", "band", "guitar"],
+}
+VERSIONS = {
+    "radio-edit": ["radio edit", "single edit"],
+    "extended": ["extended", "club mix"],
+    "acoustic": ["acoustic", "unplugged"],
+    "live": ["live", "concert"],
+    "clean": ["clean", "no explicit"],
+    "remix": ["remix", "rework", "bootleg", "edit"],
+    "original": ["original"],
+}
+DASHES = ["-", "–", "—"]
+WITHOUT = ["kein", "keine", "keinen", "ohne"]
+LOUDER = ["energetischer", "mehr energie", "eskalieren"]
+SOFTER = ["keine harten", "weniger aggressiv"]
+FEWER = ["weniger deutschrap", "weniger vocals", "weniger gesang"]
+
+
+def spoken(x: Column) -> Column:
+    """The lower-case words of a text with a single space before and after each; & is part of a word."""
+    return F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}&]"), lambda w: w != ""), " "), F.lit(" "))
+
+
+def says(words: Column, phrases: Sequence[str]) -> Column:
+    """Whether spoken words hold one of the phrases."""
+    return F.exists(F.array(*(F.lit(f" {p} ") for p in phrases)), lambda p: F.contains(words, p))
+
+
+def first_said(words: Column, table: dict[str, list[str]]) -> Column:
+    """The first entry of a table that the words hold a phrase of, or unknown."""
+    return F.coalesce(*(F.when(says(words, phrases), F.lit(name)) for name, phrases in table.items()), F.lit("unknown"))
+
+
+def genre_of(title: Column, uploader: Column | None = None) -> Column:
+    """Family of genres by the words of a title, and of who put it up."""
+    return first_said(spoken(title if uploader is None else F.concat_ws(" ", title, uploader)), GENRES)
 
-#: Words in brackets that are no part of a title (fixed values).
-JUNK_WORDS = (
-    "official", "lyric", "lyrics", "video", "audio", "visualizer", "mv", "hd", "hq", "4k", "remaster", "remastered", "explicit", "clean", "sub", "prod", "directed"
-)
 
-#: Families of genres by words in a title, first match counts (fixed values).
-GENRE_WORDS = (
-    ("chill", ("lo-?fi", "ambient", "acoustic", "ballad", "piano", "chill ?hop", "sleep", "study", "rain", "asmr", "instrumental")),
-    ("hiphop", ("hip ?hop", "trap", "rap", "drill", "boom ?bap", "phonk", "grime", "r&b", "rnb")),
-    ("edm", ("edm", "house", "techno", "trance", "dubstep", "drum ?and ?bass", "dnb", "d&b", "electro", "future bass", "hardstyle", "big room", "progressive", "festival", "remix", "bootleg", "club mix", "extended mix")),
-    ("pop", ("pop", "rock", "indie", "punk", "metal", "alt(?:ernative)?", "band", "guitar")),
-)
+def version_of(title: Column) -> Column:
+    return first_said(spoken(title), VERSIONS)
 
-#: Versions of a recording by words in a title, first match counts (fixed values).
-VERSION_WORDS = (
-    ("radio-edit", "radio edit|single edit"),
-    ("extended", "extended(?: mix| version)?|club mix"),
-    ("acoustic", "acoustic|unplugged"),
-    ("live", "live(?: at| from| version)?|concert"),
-    ("clean", "clean|radio clean|no explicit"),
-    ("remix", "remix|rework|bootleg|edit"),
-    ("original", "original(?: mix| version)?"),
-)
 
+def _bracketed(x: Column) -> Column:
+    """The parts of a text: brackets with what is in them, and what stands between."""
+    return F.regexp_extract_all(x, F.lit(r"[(\[{][^)\]}]*[)\]}]|[^(\[{]+|[(\[{]"), F.lit(0))
 
-def _first_match(text: Column, patterns: list[tuple[str, str]], otherwise: str) -> Column:
-    return F.coalesce(*(F.when(text.rlike(p), F.lit(n)) for n, p in patterns), F.lit(otherwise))
 
+def _in_bracket(part: Column) -> Column:
+    return F.left(part, F.lit(1)).isin("(", "[", "{") & (F.length(part) > 1)
 
-def genre_of(title: Column) -> Column:
-    return _first_match(F.lower(title), [(n, rf"\b(?:{'|'.join(w)})\b") for n, w in GENRE_WORDS], "unknown")
 
+def unbracketed(x: Column, phrases: Sequence[str] | None = None) -> Column:
+    """Without the brackets that hold one of the phrases (any, if not given)."""
+    lost = lambda p: _in_bracket(p) & (F.lit(True) if phrases is None else says(spoken(p), phrases))
+    return F.array_join(F.filter(_bracketed(x), lambda p: ~lost(p)), "")
+
+
+def _tokens(x: Column) -> Column:
+    return F.filter(F.split(x, r"\s"), lambda w: w != "")
 
-def version_of(title: Column) -> Column:
-    return _first_match(F.lower(title), [(n, rf"\b(?:{p})\b") for n, p in VERSION_WORDS], "unknown")
 
+def _place(tokens: Column, wanted: Sequence[str], bare: bool = False) -> Column:
+    """Place (from 1) of the first token that is wanted, 0 for none; bare: without regard to case and marks."""
+    seen = F.transform(tokens, lambda w: F.trim(spoken(w))) if bare else tokens
+    return F.array_position(F.transform(seen, lambda w: w.isin(*wanted)), True)
 
-def squeezed(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s{2,}", " "))
+
+def without_guests(x: Column, words: Sequence[str] = GUESTS) -> Column:
+    """Up to the word that names guests, with single spaces."""
+    tokens = _tokens(x)
+    at = _place(tokens, words, bare=True)
+    return F.array_join(F.when(at > 0, F.slice(tokens, 1, F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(tokens), " ")
 
 
 def clean_title(raw: Column, uploader: Column) -> Column:
-    """struct(artist, title): junk in brackets, guests and quotes are cut; 'Artist - Title' splits at the first dash."""
-    junk = rf"(?i)\s*[(\[](?:[^)\]]*\b(?:{'|'.join(JUNK_WORDS)})\b[^)\]]*)[)\]]"
-    t = F.trim(F.regexp_replace(F.regexp_replace(raw, junk, ""), r"(?i)\s*\b(?:feat|ft)\b\.?.*$", ""))
-    dash = r"^(.+?)\s+[-–—]\s+(.+)$"
-    split = t.rlike(dash)
-    channel = F.trim(F.regexp_replace(uploader, r"(?i)\s*-\s*topic$|\s*VEVO$|\s*official$|\s*music$", ""))
-    artist = F.when(split, F.trim(F.regexp_extract(t, dash, 1))).otherwise(F.nullif(channel, F.lit("")))
-    title = squeezed(F.regexp_replace(F.when(split, F.trim(F.regexp_extract(t, dash, 2))).otherwise(t), "[\"']", ""))
+    """struct(artist, title): junk in brackets, guests and quotes are cut; 'Artist - Title' splits at the first dash, else
+    the uploader without the ending of a channel is the artist."""
+    tokens = _tokens(without_guests(unbracketed(raw, JUNK)))
+    # a dash with something on both sides
+    middle = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
+    at = F.when(F.size(tokens) > 2, _place(middle, DASHES)).otherwise(0)
+    before, after = F.slice(tokens, 1, at.cast("int")), F.slice(tokens, (at + 2).cast("int"), F.size(tokens))
+    names = _tokens(uploader)
+    last = F.lower(F.element_at(names, -1))
+    marked = F.when(F.size(names) > 0, last.isin(*CHANNEL)).otherwise(False)
+    left = F.when(marked, F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)
+    left = F.when(marked & (last == "topic") & (F.size(left) > 0), F.slice(left, 1, F.size(left) - F.element_at(left, -1).isin(*DASHES).cast("int"))).otherwise(left)
+    artist = F.when(at > 0, F.array_join(before, " ")).otherwise(F.nullif(F.array_join(left, " "), F.lit("")))
+    title = F.trim(F.translate(F.array_join(F.when(at > 0, after).otherwise(tokens), " "), "\"'", ""))
     return F.struct(artist.alias("artist"), F.when(title == "", F.trim(raw)).otherwise(title).alias("title"))
 
 
 def title_variants(title: Column) -> Column:
-    """Distinct shorter forms of a title to look it up by, the fullest first."""
-    guestless = F.regexp_replace(title, r"(?i)\s*[(\[]?\s*\b(?:feat|ft|featuring|with)\b\.?.*$", "")
-    forms = [title, guestless, F.regexp_replace(guestless, r"\s*[(\[{][^)\]}]*[)\]}]", ""), F.regexp_replace(guestless, r"\s+-\s+.*$", "")]
-    return F.filter(F.array_distinct(F.array(*(squeezed(x) for x in forms))), lambda x: x != "")
+    """Distinct shorter forms of a title to look it up by, the fullest first: as it is, without guests, then without
+    brackets, or without what follows a dash."""
+    plain = F.array_join(_tokens(title), " ")
+    guestless = without_guests(title, GUESTS_LOOSE)
+    tokens = _tokens(guestless)
+    at = _place(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), DASHES[:1])
+    dashless = F.array_join(F.when(at > 0, F.slice(tokens, 1, at.cast("int"))).otherwise(tokens), " ")
+    forms = F.array(plain, guestless, F.array_join(_tokens(unbracketed(guestless)), " "), dashless)
+    return F.filter(F.array_distinct(forms), lambda x: x != "")
+
+
+def _stamp_ms(stamp: Column) -> Column:
+    """Milliseconds of [m:ss], [mm:ss.f] and the like; null if it is no time."""
+    body = F.substring(stamp, 2, F.length(stamp) - 2)
+    part = F.split(F.translate(body, ".", ":"), ":")
+    digits = lambda x, low, high: (F.length(x) >= low) & (F.length(x) <= high)
+    fraction = F.get(part, F.lit(2))
+    timed = F.contains(F.split(body, r"\.")[0], F.lit(":")) & digits(part[0], 1, 2) & digits(F.get(part, F.lit(1)), 2, 2)
+    timed &= (F.size(part) == 2) | ((F.size(part) == 3) & digits(fraction, 1, 3))
+    seconds = part[0].try_cast("double") * 60 + F.get(part, F.lit(1)).try_cast("double") + F.concat(F.lit("0."), F.coalesce(fraction, F.lit("0"))).try_cast("double")
+    return F.when(timed, half_up(seconds * 1000, 0).cast("long"))
 
 
 def timed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, time_ms, line) of texts whose lines start with one or more [mm:ss.fff] stamps."""
-    stamp = r"\[(\d{1,2}):(\d{2})(?:[.:](\d{1,3}))?\]"
+    """(key, time_ms, line) of texts whose lines have one or more time stamps in brackets; a line counts for each."""
     lines = df.select(key, F.explode(F.split(text, "\n")).alias("raw"))
-    stamps = lines.select(key, F.trim(F.regexp_replace("raw", stamp, "")).alias("line"), F.explode(F.regexp_extract_all("raw", F.lit(stamp), F.lit(0))).alias("s"))
-    part = lambda k: F.regexp_extract("s", stamp, k)
-    fraction = F.concat(F.lit("0."), part(3), F.lit("0")).cast("double")
-    seconds = part(1).cast("double") * 60 + part(2).cast("double") + fraction
-    return stamps.select(key, half_up(seconds * 1000, 0).cast("long").alias("time_ms"), "line")
+    stamps = F.filter(F.regexp_extract_all("raw", F.lit(r"\[[0-9:.]+\]"), F.lit(0)), lambda s: _stamp_ms(s).isNotNull())
+    found = lines.withColumn("stamps", stamps).where(F.size("stamps") > 0)
+    line = F.trim(F.aggregate("stamps", F.col("raw"), lambda rest, s: F.replace(rest, s, F.lit(""))))
+    return found.select(key, line.alias("line"), F.explode("stamps").alias("s")).select(key, _stamp_ms(F.col("s")).alias("time_ms"), "line")
 
 
 def path_id(url: Column, host: str, kind: str, form: str) -> Column:
@@ -90,15 +162,36 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-z]+://(?:www\.|m\.)?([^/:?#]+)", 1))
 
 
+def _after(words: Column, marks: Sequence[str]) -> Column:
+    """The word after the first of the marks; null if there is none."""
+    at = _place(words, marks)
+    return F.when(at > 0, F.get(words, at.cast("int")))
+
+
 def intent(text: Column) -> Column:
-    """struct(exclude, energy, minutes, toward, confidence) of a request in German."""
-    t = F.lower(text)
-    found = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
-    exclude, minutes = found(r"(?:keinen|keine|kein|ohne)\s+([\p{L}-]+)"), found(r"(?:in|über)\s+(\d+)\s+min")
-    toward, energy = found(r"(?:richtung|danach gerne)\s+([\p{L}-]+)"), t.rlike("energetischer|mehr energie|eskalieren")
-    hits = reduce(lambda a, b: a + b, (x.isNotNull().cast("int") for x in (exclude, minutes, toward))) + 2 * energy.cast("int")
-    return F.struct(exclude.alias("exclude"), energy.alias("energy"), minutes.cast("int").alias("minutes"), toward.alias("toward"), half_up(F.least(F.lit(1.0), 0.45 + hits * 0.1)).alias("confidence"))
+    """struct(exclude, fewer, louder, softer, minutes, toward, following, confidence) of a request in German: a genre to
+    leave out, what to have less of, whether to raise the energy or to be gentle, over how many minutes towards which
+    genre, and the track to come next. Each thing said adds a tenth to the confidence."""
+    said = spoken(text)
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}-]"), lambda w: w != "")
+    size = F.size(words)
+    numbers = F.filter(F.transform(words, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].rlike("^[0-9]+$"))
+    framed = F.filter(numbers, lambda x: F.coalesce(F.get(words, x["k"] - 1).isin("in", "über") & F.startswith(F.get(words, x["k"] + 1), F.lit("min")), F.lit(False)))
+    minutes = F.get(framed, F.lit(0))["w"].try_cast("int")
+    exclude = F.coalesce(_after(words, WITHOUT), F.when(says(said, ["auf keinen fall"]) & says(said, ["deutschrap"]), F.lit("deutschrap")))
+    toward = F.coalesce(_after(words, ["richtung"]), F.when(says(said, ["danach gerne"]), _after(words, ["gerne"])))
+    fewer = F.when(says(said, FEWER), F.when(says(said, ["deutschrap"]), "genre:deutschrap").otherwise("vocals"))
+    louder, softer = says(said, LOUDER), says(said, SOFTER)
+    play, end = _place(words, ["spiel"]), _place(words, ["als"])
+    named = (play > 0) & (end > play + 1) & says(said, ["als nächstes"])
+    following = F.when(named & (size > 0), F.array_join(F.slice(words, (play + 1).cast("int"), F.greatest(end - play - 1, F.lit(0)).cast("int")), " "))
+    hits = sum((x.isNotNull().cast("int") for x in (exclude, fewer, minutes, toward, following)), F.lit(0)) + 2 * louder.cast("int") + softer.cast("int")
+    return F.struct(
+        exclude.alias("exclude"), fewer.alias("fewer"), louder.alias("louder"), softer.alias("softer"), minutes.alias("minutes"), toward.alias("toward"),
+        following.alias("following"), half_up(clamp(0.45 + hits * 0.1)).alias("confidence"),
+    )
 
 
 def slug(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"[^a-z0-9]+", "-"), "^-|-$", "")
+    """Letters and digits in lower case, joined by dashes."""
+    return F.array_join(F.filter(F.split(F.lower(x), "[^a-z0-9]"), lambda w: w != ""), "-")

@@ -9,6 +9,10 @@ from ..functions.scalars import half_up
 from ..sources.tables import stored
 
 
+#: Parts of the nodes that carry one label.
+SALTS = 8
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that can be reached, for nodes with an edge (a, b).
 
@@ -19,8 +23,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        up = spread.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = stored(spread.join(up, "label").select("node", F.least("label", "up").alias("label")), "labels")
+        # only the labels in use are looked up, and the nodes of one label lie in SALTS partitions
+        used = labels.select(F.col("label").alias("node")).distinct()
+        up = labels.join(used, "node").select(F.col("node").alias("label"), F.col("label").alias("up"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        spread = spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        labels = stored(spread.join(up, ["label", "salt"]).select("node", F.least("label", "up").alias("label")), "labels")
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels.select("node", F.col("label").alias("component"))
@@ -39,9 +46,13 @@ def leaking_keys(df: DataFrame, key: str, split: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
-def compatibility_edges(items: DataFrame, item: str, block: str, score: Column, least: float) -> DataFrame:
-    """(src, dst, score) of directed pairs of a block; score uses the columns of both sides as a_ and b_ ones."""
-    a = items.select(*(F.col(c).alias(c if c == block else f"a_{c}") for c in items.columns))
-    b = items.select(*(F.col(c).alias(c if c == block else f"b_{c}") for c in items.columns))
-    pairs = a.join(b, block).where(F.col(f"a_{item}") != F.col(f"b_{item}"))
+def compatibility_edges(items: DataFrame, item: str, block: str, score: Column, least: float, band: tuple[str, float]) -> DataFrame:
+    """(src, dst, score) of directed pairs of a block; score uses the columns of both sides as a_ and b_ ones. band: a column
+    and how far apart it may be in a pair that scores enough, so that only items of neighbouring cells meet."""
+    value, width = band
+    cell = F.floor(F.col(value) / width)
+    a = items.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    a = a.select("_cell", *(F.col(c).alias(c if c == block else f"a_{c}") for c in items.columns))
+    b = items.select(cell.alias("_cell"), *(F.col(c).alias(c if c == block else f"b_{c}") for c in items.columns))
+    pairs = a.join(b, [block, "_cell"]).where(F.col(f"a_{item}") != F.col(f"b_{item}"))
     return pairs.select(F.col(f"a_{item}").alias("src"), F.col(f"b_{item}").alias("dst"), half_up(score).alias("score")).where(F.col("score") >= least)

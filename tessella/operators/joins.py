@@ -37,6 +37,14 @@ def interval_overlap(segments: DataFrame, windows: DataFrame, key: str, width: f
     return met.withColumn("overlap", end - begin).drop("cell")
 
 
+def points_in_windows(points: DataFrame, windows: DataFrame, key: str, at: str, width: float) -> DataFrame:
+    """points (key, at, ...) met with the windows (key, w_start, w_end, ...) of the same key that begin at or before them and
+    end after them. Windows are cut into cells of a width, a point lies in one."""
+    p = points.withColumn("cell", F.floor(F.col(at) / width))
+    w = windows.where(F.col("w_end") > F.col("w_start")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("w_start") / width), F.floor(F.col("w_end") / width))))
+    return p.join(w, [key, "cell"]).where((F.col(at) >= F.col("w_start")) & (F.col(at) < F.col("w_end"))).drop("cell")
+
+
 def window_activity(segments: DataFrame, windows: DataFrame, key: str, window_id: str, width: float) -> DataFrame:
     """(window_id, density, peak, coverage) of windows: overlap-weighted mean and peak density of the segments in them."""
     met = interval_overlap(segments, windows, key, width)
@@ -73,6 +81,16 @@ def first_match(left: DataFrame, right: DataFrame, left_id: str, on: Sequence[st
     return left.join(first, left_id, "left")
 
 
+def first_near_match(left: DataFrame, right: DataFrame, left_id: str, on: Sequence[str], band: tuple[str, str, float], score: Column, least: float, order: str) -> DataFrame:
+    """first_match() of the smallest order, where a match needs two values (a column of each side) within a width: only
+    neighbouring cells meet, and the least of each left row is taken before rows are sent on."""
+    x, y, width = band
+    cell = F.floor(F.col(x) / width)
+    near = left.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    met = near.join(right.withColumn("_cell", F.floor(F.col(y) / width)), [*on, "_cell"]).where(score >= least)
+    return left.join(met.groupBy(left_id).agg(F.min(order).alias(order)), left_id, "left")
+
+
 def rule_penalty(items: DataFrame, rules: DataFrame, item_id: str, fields: dict[str, str]) -> DataFrame:
     """items with penalty (noisy-or of the weights of the rules that name one of their fields) and blocked.
 

@@ -19,6 +19,9 @@ def capped_chart(df: DataFrame, score: str, item: str, key: str, per_key: int, l
     return df.withColumn("nth", nth).where(F.col("nth") <= per_key).drop("nth").orderBy(F.desc(score), item).limit(limit)
 
 
+# Fixed values of momentum() and trend_class(): the weights of the sum and the steps of the ladder.
+
+
 def momentum(velocity: Column, acceleration: Column, listens: Column, listeners: Column, save: Column, completion: Column, spread: Column) -> Column:
     """Trend strength of a chart signal in [0, 1]."""
     strength = clamp(F.log10(F.greatest(F.lit(1.0), listens)) / 7)
@@ -70,32 +73,18 @@ def with_margin(df: DataFrame, key: str, score: str, item: str, least: float) ->
     return two.select(key, item, score, margin.alias("margin"), (margin >= least).alias("clear"))
 
 
-def greedy_fill(df: DataFrame, key: str, score: str, size: str, item: str, room: float, slack: float) -> DataFrame:
-    """(key, items, filled): items by score into room, skipping what overshoots by more than the slack, until it is full.
-
-    An ordered fold over the key's items; the key's list has to fit a task, as the caller's shortlist does."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(item).alias("i"), F.col(size).cast("double").alias("s"))))
-    empty = F.struct(F.lit(0.0).alias("filled"), F.array().cast("array<bigint>").alias("items"))
-
-    def add(a: Column, x: Column) -> Column:
-        fits = (a["filled"] < room) & (a["filled"] + x["s"] <= room + slack)
-        return F.when(fits, F.struct((a["filled"] + x["s"]).alias("filled"), F.array_append(a["items"], x["i"]).alias("items"))).otherwise(a)
-
-    return df.groupBy(key).agg(rows.alias("rows")).select(key, F.aggregate("rows", empty, add).alias("a")).select(key, "a.items", half_up("a.filled").alias("filled"))
-
-
-def beam_routes(edges: DataFrame, start: object, hops: int, width: int) -> DataFrame:
-    """(route, score) of the best routes without repeats of so many hops by the product of edge scores (src, dst, score).
+def beam_routes(items: DataFrame, item: str, start: object, score: Column, least: float, hops: int, width: int) -> DataFrame:
+    """(route, score) of the best routes without repeats of so many hops by the product of scores of at least so much; score
+    uses the columns of the items as they are, and those of the tip of a route as tip_ ones.
 
-    After each hop only the best width routes are kept, so a hop joins width rows with the edges."""
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
-    routes = spark.range(1).select(F.array(F.lit(start).cast(kind)).alias("route"), F.lit(1.0).alias("s"))
+    A hop joins the width routes that are kept with the items: no table of all pairs is made."""
+    own = [c for c in items.columns if c != item]
+    tips = lambda df: df.select("route", "s", *(F.col(c).alias(f"tip_{c}") for c in own))
+    routes = tips(items.where(F.col(item) == start).select(F.array(item).alias("route"), F.lit(1.0).alias("s"), *own))
     for _ in range(hops):
-        tip = routes.withColumn("src", F.element_at("route", -1))
-        grown = F.broadcast(tip).join(edges, "src").where(~F.array_contains("route", F.col("dst")))
-        grown = grown.select(F.array_append("route", F.col("dst")).alias("route"), (F.col("s") * F.col("score")).alias("s"))
-        routes = grown.orderBy(F.desc(half_up("s", 9)), "route").limit(width)
+        grown = items.join(F.broadcast(routes), ~F.array_contains("route", F.col(item))).withColumn("edge", half_up(score)).where(F.col("edge") >= least)
+        grown = grown.select(F.array_append("route", F.col(item)).alias("route"), (F.col("s") * F.col("edge")).alias("s"), *own)
+        routes = tips(grown.orderBy(F.desc(half_up("s", 9)), "route").limit(width))
     return routes.select("route", half_up("s", 6).alias("score"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,10 @@ def merge_operations(a: DataFrame, b: DataFrame, key: str, clock: str, order: Se
 def merge_sources(df: DataFrame, item: str, source: str, order: str, score: str, quota: dict[str, int]) -> DataFrame:
     """(item, score, sources): the best rows of each source up to its quota, merged by item in the order of the sources;
     every further source that names an item adds min(0.15, 0.025 n) to the larger score."""
-    limit = F.coalesce(*(F.when(F.col(source) == s, n) for s, n in quota.items()), F.lit(0))
-    place = F.coalesce(*(F.when(F.col(source) == s, k) for k, s in enumerate(quota)), F.lit(len(quota)))
-    nth = F.row_number().over(Window.partitionBy(source).orderBy(F.desc(score), item))
-    kept = df.withColumn("nth", nth).where(F.col("nth") <= limit).withColumn("place", place)
-    rows = F.array_sort(F.collect_list(F.struct("place", "nth", F.col(score).cast("double").alias("x"), F.col(source).alias("s"))))
+    # a literal limit for each source, so that each task sends on that many rows at most
+    tops = [df.where(F.col(source) == s).orderBy(F.desc(score), item).limit(n).withColumn("place", F.lit(k)) for k, (s, n) in enumerate(quota.items())]
+    kept = reduce(DataFrame.union, tops)
+    rows = F.array_sort(F.collect_list(F.struct("place", (-F.col(score)).alias("o"), F.col(score).cast("double").alias("x"), F.col(source).alias("s"))))
     start = F.struct(F.lit(None).cast("double").alias("x"), F.array().cast("array<string>").alias("s"))
 
     def step(a: Column, r: Column) -> Column:

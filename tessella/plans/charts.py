@@ -421,14 +421,13 @@ def supplier_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "request_ranking",
-    f"""with {EVENTS}, d as (select event_id, user_id, {c01('value / 100')} as pr, {c01('k / 100.0')} as co, k % 9 as votes, at_ms, case when event_type = 'signup' then at_ms + 600000 end as dl, event_type = 'purchase' and k % 10 = 0 as ho, (user_id % 10) / 10.0 as debt, user_id % 4 as rc from ev where at_ms >= {NOW - 2 * DAY}),
+    f"""with {EVENTS}, d as (select event_id, user_id, {c01('value / 100')} as pr, {c01('k / 100.0')} as co, k % 9 as votes, at_ms, case when event_type = 'signup' then at_ms + 600000 end as dl, event_type = 'purchase' and k % 10 = 0 as ho, (user_id % 10) / 10.0 as debt, user_id % 4 as rc from ev),
     s as (select *, {c01('0.55 + debt * 0.55 - rc * 0.12')} as fa, {c01(f'1 - ({NOW} - at_ms) / 2700000.0')} as re, case when dl is null then 0.0 else {c01(f'1 - (dl - {NOW}) / 1800000.0')} end as ur from d)
     select event_id, {r('fa')} as fairness, {r('re')} as recency, {r(f"case when ho then 1.0 else {c01('pr * 0.22 + fa * 0.24 + re * 0.1 + co * 0.22 + least(votes / 8.0, 1.0) * 0.12 + ur * 0.1')} end")} as score from s""",
 )
 def request_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
         events(spark, sf_dir)
-        .where(F.col("at_ms") >= NOW - 2 * DAY)
         .select(
             "event_id", (F.col("value") / 100).alias("priority"), (F.col("k") / 100.0).alias("compatibility"), (F.col("k") % 9).alias("votes"), F.col("at_ms").alias("created_ms"),
             F.when(F.col("event_type") == "signup", F.col("at_ms") + 600_000).alias("deadline_ms"), ((F.col("event_type") == "purchase") & (F.col("k") % 10 == 0)).alias("host_override"),

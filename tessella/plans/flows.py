@@ -153,24 +153,24 @@ def asof_last_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "interval_overlap",
-    f"""with {_SPANS}, w as (select event_id as w_id, user_id, s as ws, s + 43200 as we from spans where event_id % 3 = 0)
+    f"""with {_SPANS}, w as (select event_id as w_id, user_id, s as ws, s + 43200 as we from spans)
     select w_id, event_id, {r('least(e, we) - greatest(s, ws)')} as overlap from w join spans on w.user_id = spans.user_id and s < we and e > ws""",
 )
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir)
-    windows = spans.where("event_id % 3 = 0").select(F.col("event_id").alias("w_id"), "user_id", F.col("start").alias("w_start"), (F.col("start") + 43200).alias("w_end"))
+    windows = spans.select(F.col("event_id").alias("w_id"), "user_id", F.col("start").alias("w_start"), (F.col("start") + 43200).alias("w_end"))
     return joins.interval_overlap(spans, windows, "user_id", 86400.0).select("w_id", "event_id", half_up("overlap").alias("overlap"))
 
 
 @query(
     "window_activity",
-    f"""with {_SPANS}, w as (select event_id as w_id, user_id, s as ws, s + 43200 as we from spans where event_id % 3 = 0),
+    f"""with {_SPANS}, w as (select event_id as w_id, user_id, s as ws, s + 43200 as we from spans),
     m as (select w_id, sum(least(e, we) - greatest(s, ws)) as c, sum(density * (least(e, we) - greatest(s, ws))) as d, max(density) as p from w join spans on w.user_id = spans.user_id and s < we and e > ws group by 1)
     select w.w_id, {r('case when coalesce(c, 0.0) > 0 then d / c else 0.0 end')} as density, {r('coalesce(p, 0.0)')} as peak, {r(c01('coalesce(c, 0.0) / (we - ws)'))} as coverage from w left join m on w.w_id = m.w_id""",
 )
 def window_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir)
-    windows = spans.where("event_id % 3 = 0").select(F.col("event_id").alias("w_id"), "user_id", F.col("start").alias("w_start"), (F.col("start") + 43200).alias("w_end"))
+    windows = spans.select(F.col("event_id").alias("w_id"), "user_id", F.col("start").alias("w_start"), (F.col("start") + 43200).alias("w_end"))
     return joins.window_activity(spans, windows, "user_id", "w_id", 86400.0)
 
 
@@ -187,7 +187,7 @@ def band_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "nearest_cue",
     """with c as (select event_type, list(distinct floor(value / 50) * 50.0) as cues from events group by 1)
-    select event_id, floor(list_min(list_transform(cues, lambda x: abs(x - value))) * 1000.0 + 0.5) / 1000.0 as distance from events e join c on e.event_type = c.event_type""",
+    select event_id, floor(list_min(list_transform(cues, lambda x: abs(x - value))) * 1000.0 + 0.5000001) / 1000.0 as distance from events e join c on e.event_type = c.event_type""",
 )
 def nearest_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
@@ -206,7 +206,7 @@ def first_catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = s.select(F.col("s_suppkey").alias("id"), "s_nationkey", F.col("s_acctbal").alias("x"))
     b = s.select(F.col("s_suppkey").alias("match"), "s_nationkey", F.col("s_acctbal").alias("y"))
     score = F.when(F.col("id") == F.col("match"), 0.0).otherwise(0.4 + F.when(F.abs(F.col("x") - F.col("y")) <= 500, 0.35).otherwise(0.0))
-    return joins.first_match(a, b, "id", ["s_nationkey"], score, 0.65, "match", ["match"]).select("id", "match")
+    return joins.first_near_match(a, b, "id", ["s_nationkey"], ("x", "y", 500.0), score, 0.65, "match").select("id", "match")
 
 
 @query(
@@ -266,14 +266,33 @@ def smoothed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.smoothed(events(spark, sf_dir), "user_id", ["event_id"], "value", 0.28)
 
 
-@query("mood_hysteresis")
+_LEVELS = ", ".join(f"'{v}': s.{v} * 0.72 + x.{v} * 0.28" for v in ("chill", "love", "energy", "party"))
+
+
+@query(
+    "mood_hysteresis",
+    f"""with {EVENTS}, e as (select user_id, list({{'chill': case when event_type = 'view' then 1.0::double else 0.0::double end, 'love': case when event_type = 'click' then 1.0::double else 0.0::double end,
+        'energy': case when event_type = 'purchase' then 1.0::double else 0.0::double end, 'party': case when event_type = 'signup' then 1.0::double else 0.0::double end, 'state': 'chill', 'n': 0::bigint}} order by event_id) as l from ev group by 1),
+    f as (select user_id, list_reduce(l, lambda s, x: list_transform([{{{_LEVELS}}}], lambda v: list_transform([{{'now': case s.state when 'chill' then v.chill when 'love' then v.love when 'energy' then v.energy else v.party end, 'top': greatest(v.chill, v.love, v.energy, v.party),
+        'lead': case when v.chill >= greatest(v.love, v.energy, v.party) then 'chill' when v.love >= greatest(v.energy, v.party) then 'love' when v.energy >= v.party then 'energy' else 'party' end}}],
+        lambda b: {{'chill': v.chill, 'love': v.love, 'energy': v.energy, 'party': v.party, 'state': case when b.lead <> s.state and b.top - b.now >= 0.14 then b.lead else s.state end,
+        'n': s.n + case when b.lead <> s.state and b.top - b.now >= 0.14 then 1::bigint else 0::bigint end}})[1])[1],
+        {{'chill': 0.0::double, 'love': 0.0::double, 'energy': 0.0::double, 'party': 0.0::double, 'state': 'chill', 'n': 0::bigint}}) as s from e)
+    select user_id, s.state as state, s.n as switches from f""",
+)
 def mood_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.when(F.col("event_type") == kind, 1.0).otherwise(0.0)
     rows = events(spark, sf_dir).select("user_id", "event_id", of("view").alias("chill"), of("click").alias("love"), of("purchase").alias("energy"), of("signup").alias("party"))
     return folds.hysteresis(rows, "user_id", ["event_id"], ["chill", "love", "energy", "party"], 0.28, 0.14)
 
 
-@query("discovery_budget")
+@query(
+    "discovery_budget",
+    f"""with {EVENTS}, e as (select user_id, list({{'x': 0.0::double, 'run': case when event_type in ('purchase', 'signup') then 1::bigint else 0::bigint end, 'longest': 0::bigint}} order by event_id) as l from ev group by 1),
+    f as (select user_id, list_reduce(l, lambda s, x: {{'x': case when x.run = 1 then greatest(s.x - 0.2::double, 0.0::double) else least(s.x + 0.08::double, 1.0::double) end, 'run': case when x.run = 1 then s.run + 1 else 0::bigint end, 'longest': greatest(s.longest, case when x.run = 1 then s.run + 1 else 0::bigint end)}},
+        {{'x': 1.0::double, 'run': 0::bigint, 'longest': 0::bigint}}) as s from e)
+    select user_id, {r('s.x', 6)} as "left", s.longest as longest from f""",
+)
 def discovery_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).withColumn("spent", F.col("event_type").isin("purchase", "signup"))
     return folds.budget(rows, "user_id", ["event_id"], "spent", 1.0, 0.2, 0.08)
@@ -288,37 +307,51 @@ def violation_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.violation_debt(events(spark, sf_dir).withColumn("ok", F.col("event_type") != "error"), "user_id", ["event_id"], "ok")
 
 
-@query("change_points")
+@query(
+    "change_points",
+    f"""with {EVENTS}, e as (select user_id, list({{'n': 0::bigint, 'x': value::double}} order by event_id) as l from ev group by 1),
+    f as (select user_id, list_reduce(l, lambda s, y: case when s.x is null or abs(y.x - s.x) >= greatest(20.0::double, abs(s.x) * 0.3) then {{'n': s.n + 1, 'x': y.x}} else s end, {{'n': 0::bigint, 'x': null::double}}) as s from e)
+    select user_id, s.n as changes, {r('s.x', 6)} as last from f""",
+)
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.change_points(events(spark, sf_dir), "user_id", ["event_id"], "value", 20.0, 0.3)
 
 
 @query(
     "merge_operations",
-    """with u as (select conv_id * 10 + turn % 4 as id, turn, role, 0 as side from conversations where turn % 2 = 0 union all select conv_id * 10 + turn % 4, turn, role, 1 from conversations where turn % 3 = 0),
+    """with u as (select conv_id * 10 + turn % 4 as id, turn, role, 0 as side from conversations where role = 'user' union all select conv_id * 10 + turn % 4, turn, role, 1 from conversations where role <> 'user'),
     n as (select *, row_number() over (partition by id order by turn desc, side, role) as nth from u) select id, turn, role, side from n where nth = 1""",
 )
 def merge_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10 + F.col("turn") % 4).alias("id"), "turn", "role")
-    a, b = c.where("turn % 2 = 0").withColumn("side", F.lit(0)), c.where("turn % 3 = 0").withColumn("side", F.lit(1))
+    a, b = c.where("role = 'user'").withColumn("side", F.lit(0)), c.where("role <> 'user'").withColumn("side", F.lit(1))
     return sets.merge_operations(a, b, "id", "turn", ["side", "role"])
 
 
-@query("merge_sources")
+_QUOTA = {"view": 40, "click": 30, "purchase": 30, "signup": 10}
+
+
+@query(
+    "merge_sources",
+    f"""with {EVENTS}, g as (select k, event_type, sum(value) / 10000 as score from ev group by 1, 2), n as (select *, row_number() over (partition by event_type order by score desc, k) as nth, case event_type {" ".join(f"when '{s}' then {i}" for i, s in enumerate(_QUOTA))} end as place, case event_type {" ".join(f"when '{s}' then {m}" for s, m in _QUOTA.items())} else 0 end as quota from g),
+    l as (select k, list({{'x': score::double, 's': [event_type], 'n': 0}} order by place) as l from n where nth <= quota group by 1),
+    f as (select k, list_reduce(l, lambda a, y: case when a.n = 0 then {{'x': {r(c01('y.x'))}, 's': y.s, 'n': 1}} else {{'x': {r('greatest(a.x, y.x) + least(0.15, (a.n + 1) * 0.025)')}, 's': list_concat(a.s, y.s), 'n': a.n + 1}} end, {{'x': 0.0::double, 's': []::varchar[], 'n': 0}}) as s from l)
+    select k, s.x as score, array_to_string(s.s, ',') as sources from f""",
+)
 def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).groupBy("k", "event_type").agg((F.sum("value") / 10000).alias("score"))
-    return sets.merge_sources(rows, "k", "event_type", "k", "score", {"view": 40, "click": 30, "purchase": 30, "signup": 10})
+    return sets.merge_sources(rows, "k", "event_type", "k", "score", _QUOTA)
 
 
 @query(
     "merge_layers",
-    f"""with {EVENTS}, l as (select k, {c01('avg(value) / 100')} as v, 1.0 as w from ev group by 1 union all select k, {c01('avg(value) / 100')}, 2.0 from ev where at_ms >= {NOW - 10 * DAY} group by 1 union all select k, {c01('avg(value) / 100')}, 8.0 from ev where event_type = 'purchase' and k % 2 = 0 group by 1)
+    f"""with {EVENTS}, l as (select k, {c01('avg(value) / 100')} as v, 1.0 as w from ev group by 1 union all select k, {c01('avg(value) / 100')}, 2.0 from ev where at_ms >= {NOW - 10 * DAY} group by 1 union all select k, {c01('avg(value) / 100')}, 8.0 from ev where event_type = 'purchase' group by 1)
     select k, {r('sum(v * w) / sum(w)')} as v from l group by 1""",
 )
 def merge_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     layer = lambda rows, w: rows.groupBy("k").agg(clamp(F.avg("value") / 100).alias("v")).withColumn("w", F.lit(w))
-    parts = layer(ev, 1.0).union(layer(ev.where(F.col("at_ms") >= NOW - 10 * DAY), 2.0)).union(layer(ev.where("event_type = 'purchase' and k % 2 = 0"), 8.0))
+    parts = layer(ev, 1.0).union(layer(ev.where(F.col("at_ms") >= NOW - 10 * DAY), 2.0)).union(layer(ev.where("event_type = 'purchase'"), 8.0))
     return sets.merge_layers(parts, "k", "v", "w")
 
 
@@ -343,14 +376,14 @@ def private_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.private_profile(t, "user_id", "event_type", "v", "grp", 5)
 
 
-_EDGES = "edges as (select c_custkey as a, c_custkey + 1 + c_custkey % 37 as b from customer where c_custkey % 3 <> 0 and c_custkey + 1 + c_custkey % 37 < (select max(c_custkey) from customer))"
+_EDGES = "edges as (select c_custkey as a, c_custkey + 1 + c_custkey % 37 as b from customer where c_custkey + 1 + c_custkey % 37 < (select max(c_custkey) from customer))"
 
 
-def _edges(spark: SparkSession, sf_dir: str, taken: str = "true") -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     top = c.agg(F.max("c_custkey").alias("top"))  # one row
     b = F.col("c_custkey") + 1 + F.col("c_custkey") % 37
-    return c.where(taken).join(F.broadcast(top)).where(b < F.col("top")).select(F.col("c_custkey").alias("a"), b.alias("b"))
+    return c.join(F.broadcast(top)).where(b < F.col("top")).select(F.col("c_custkey").alias("a"), b.alias("b"))
 
 
 @query(
@@ -359,7 +392,7 @@ def _edges(spark: SparkSession, sf_dir: str, taken: str = "true") -> DataFrame:
     select node, min(seen) as component from reach group by 1""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_edges(spark, sf_dir, "c_custkey % 3 <> 0"))
+    return graph.components(_edges(spark, sf_dir))
 
 
 @query("leakage_safe_splits")
@@ -380,20 +413,28 @@ def leaking_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compatibility_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return graph.compatibility_edges(s, "s_suppkey", "s_nationkey", 1 - F.abs(F.col("a_s_acctbal") - F.col("b_s_acctbal")) / 11000, 0.6)
+    # a score of 0.6, rounded, allows balances 4,405.5 apart
+    return graph.compatibility_edges(s, "s_suppkey", "s_nationkey", 1 - F.abs(F.col("a_s_acctbal") - F.col("b_s_acctbal")) / 11000, 0.6, ("s_acctbal", 4406.0))
+
+
+def _hop(k: int) -> str:
+    """The best 20 routes of k hops from those of k - 1."""
+    edge = r("0.5 + 0.3 * (1 - abs(t.s_acctbal - x.s_acctbal) / 11000) + 0.2 * cast(t.s_nationkey = x.s_nationkey as int)")
+    return f"""h{k} as (select list_append(route, x.s_suppkey) as route, s * {edge} as s from h{k - 1} join supplier t on t.s_suppkey = route[-1] join supplier x on not list_contains(route, x.s_suppkey) and {edge} >= 0.75
+        order by {r(f"s * {edge}", 9)} desc, list_append(route, x.s_suppkey) limit 20)"""
 
 
-@query("beam_routes")
+@query("beam_routes", f"with h0 as (select [s_suppkey] as route, 1.0::double as s from supplier where s_suppkey = 0), {', '.join(_hop(k) for k in range(1, 5))} select route, {r('s', 6)} as score from h4")
 def beam_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(0).alias("block"), "s_acctbal", "s_nationkey")
-    score = 0.5 + 0.3 * (1 - F.abs(F.col("a_s_acctbal") - F.col("b_s_acctbal")) / 11000) + 0.2 * (F.col("a_s_nationkey") == F.col("b_s_nationkey")).cast("int")
-    return ranking.beam_routes(graph.compatibility_edges(s, "s_suppkey", "block", score, 0.75), 0, 4, 20)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    score = 0.5 + 0.3 * (1 - F.abs(F.col("tip_s_acctbal") - F.col("s_acctbal")) / 11000) + 0.2 * (F.col("tip_s_nationkey") == F.col("s_nationkey")).cast("int")
+    return ranking.beam_routes(s, "s_suppkey", 0, score, 0.75, 4, 20)
 
 
-@query("upserted_cache", "select p_partkey, p_brand, p_size + case when p_partkey % 5 = 0 then 100 else 0 end as size from part where p_partkey % 2 = 0 or p_partkey % 5 = 0")
+@query("upserted_cache", "select p_partkey, p_brand, p_size + case when p_retailprice > 950 then 100 else 0 end as size from part")
 def upserted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    old, new = p.where("p_partkey % 2 = 0").select("p_partkey", "p_brand", F.col("p_size").alias("size")), p.where("p_partkey % 5 = 0").select("p_partkey", "p_brand", (F.col("p_size") + 100).alias("size"))
+    old, new = p.select("p_partkey", "p_brand", F.col("p_size").alias("size")), p.where("p_retailprice > 950").select("p_partkey", "p_brand", (F.col("p_size") + 100).alias("size"))
     return ledger.upserted(old, new, ["p_partkey"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import HALF
 from ..sources.tables import table
 
 #: 2024-01-31 00:00:00 UTC: the time that queries take as now.
@@ -22,7 +23,7 @@ LINES = """scored as (
 def r(x: str, digits: int = 3) -> str:
     """Half towards plus infinity."""
     scale = f"{10**digits}.0"
-    return f"floor(({x}) * {scale} + 0.5) / {scale}"
+    return f"floor(({x}) * {scale} + {HALF}) / {scale}"
 
 
 def c01(x: str) -> str:

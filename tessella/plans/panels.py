@@ -11,13 +11,13 @@ from ..sources.tables import table
 from .inputs import EVENTS, c01, events, r
 from .registry import query
 
-_RATINGS = f"""{EVENTS}, cases as (select p_partkey as case_id, [p_size, p_size + 1] as variants from part where p_partkey < 100),
+_RATINGS = f"""{EVENTS}, cases as (select p_partkey as case_id, [p_size, p_size + 1] as variants from part),
     met as (select event_id, k, user_id, case event_type when 'view' then null when 'error' then -1 when 'click' then variants[1] else variants[2] end as preferred, {c01('value / 200')} as confidence, variants from ev join cases on k = case_id),
     valid as (select * from (select *, row_number() over (partition by k, user_id order by event_id) as nth from met where preferred is null or list_contains(variants, preferred)) where nth = 1)"""
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("case_id"), F.array("p_size", F.col("p_size") + 1).alias("variants"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), F.array("p_size", F.col("p_size") + 1).alias("variants"))
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,12 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "joint_scores",
-    f"""with {_PREFS}, t as (select distinct p_size as variant, 60.0 + p_size % 30 as technical from part where p_partkey < 100),
+    f"""with {_PREFS}, t as (select distinct p_size as variant, 60.0 + p_size % 30 as technical from part),
     j as (select t.variant, technical, rate, case when comparisons >= 5 then {r(f"least(0.5, {c01('(comparisons - 4) / 15.0')} * confidence * 0.5)")} else 0.0 end as w from t left join prefs on t.variant = prefs.variant)
     select variant, coalesce(w, 0.0) as human_weight, {r('case when coalesce(w, 0.0) > 0 then technical * (1 - w) + rate * 100 * w else technical end', 1)} as joint from j""",
 )
 def joint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variants = table(spark, sf_dir, "part").where("p_partkey < 100").select(F.col("p_size").alias("variant"), (60.0 + F.col("p_size") % 30).alias("technical")).distinct()
+    variants = table(spark, sf_dir, "part").select(F.col("p_size").alias("variant"), (60.0 + F.col("p_size") % 30).alias("technical")).distinct()
     return panels.joint_scores(variants, panels.preferences(_valid(spark, sf_dir)))
 
 
@@ -118,11 +118,11 @@ def source_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "residual_states",
-    f"""with {EVENTS}, x as (select k * 10 + user_id % 10 as g, event_id, (value - 50) / 1500 as v from ev where value < 90), s as (select g, count(*) as n, avg(v) as m, max(v) - min(v) as spread, arg_min(v, event_id) as a, arg_max(v, event_id) as z from x group by 1)
+    f"""with {EVENTS}, x as (select k * 10 + user_id % 10 as g, event_id, (value - 50) / 1500 as v from ev), s as (select g, count(*) as n, avg(v) as m, max(v) - min(v) as spread, arg_min(v, event_id) as a, arg_max(v, event_id) as z from x group by 1)
     select g, case when spread > 0.06 then 'REACQUIRING' when abs(case when n > 1 then (z - a) / (n - 1) else 0.0 end) > 0.004 then 'DRIFTING' when abs(m) > 0.03 then 'UNCERTAIN' else 'LOCKED' end as state from s""",
 )
 def residual_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("value < 90").select((F.col("k") * 10 + F.col("user_id") % 10).alias("g"), "event_id", ((F.col("value") - 50) / 1500).alias("v"))
+    rows = events(spark, sf_dir).select((F.col("k") * 10 + F.col("user_id") % 10).alias("g"), "event_id", ((F.col("value") - 50) / 1500).alias("v"))
     return choices.residual_state(rows, "g", "event_id", "v")
 
 
@@ -190,12 +190,12 @@ def critic_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "two_hop_paths",
-    """with e as (select c_custkey as seq, c_nationkey as a, c_custkey % 25 as b, (c_custkey % 10) / 10.0 as conf from customer where c_custkey < 200), s as (select * from e where conf >= 0.7), f as (select a, arg_min(b, seq) as via from s group by 1),
+    """with e as (select c_custkey as seq, c_nationkey as a, c_custkey % 25 as b, (c_custkey % 10) / 10.0 as conf from customer), s as (select * from e where conf >= 0.7), f as (select a, arg_min(b, seq) as via from s group by 1),
     p as (select x.n_nationkey as src, y.n_nationkey as dst from nation x join nation y on x.n_regionkey = y.n_regionkey and x.n_nationkey <> y.n_nationkey)
     select src, dst, case when exists (select 1 from s where s.a = src and s.b = dst) then src || '>' || dst when exists (select 1 from s where s.a = via and s.b = dst) then src || '>' || via || '>' || dst else '' end as path from p left join f on f.a = src""",
 )
 def two_hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey < 200")
+    c = table(spark, sf_dir, "customer")
     edges = c.select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).alias("b"), ((F.col("c_custkey") % 10) / 10.0).alias("confidence"))
     n = table(spark, sf_dir, "nation")
     pairs = n.select(F.col("n_nationkey").alias("src"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("dst"), "n_regionkey"), "n_regionkey").where("src <> dst").select("src", "dst")

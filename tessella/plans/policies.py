@@ -189,11 +189,11 @@ def calibrated_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "local_tempo",
-    f"""with {EVENTS}, b as (select user_id, event_id, value / 40 + 0.2 as iv from ev where value between 2 and 60), l as (select *, 60 / iv as bpm, row_number() over (partition by user_id order by event_id) as pos from b),
+    f"""with {EVENTS}, b as (select user_id, event_id, value / 40 + 0.2 as iv from ev), l as (select *, 60 / iv as bpm, row_number() over (partition by user_id order by event_id) as pos from b),
     w as (select user_id, event_id, pos, quantile_disc(bpm, 0.5) over (partition by user_id order by pos rows between 3 preceding and 3 following) as med from l) select user_id, event_id, {r('med')} as local_bpm from w where pos % 4 = 0""",
 )
 def local_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("value between 2 and 60").withColumn("bpm", 60 / (F.col("value") / 40 + 0.2))
+    rows = events(spark, sf_dir).withColumn("bpm", 60 / (F.col("value") / 40 + 0.2))
     by = Window.partitionBy("user_id").orderBy("event_id")
     near = F.array_sort(F.collect_list("bpm").over(by.rowsBetween(-3, 3)))  # seven values at most
     placed = rows.withColumns({"pos": F.row_number().over(by), "near": near})
@@ -228,7 +228,18 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat_ws("|", "p_brand", "p_name", "p_size"), 256).alias("mark"))
 
 
-@query("sequence_search")
+def _grown(k: int) -> str:
+    """The best 24 sequences of k candidates from those of k - 1."""
+    miss = f"miss + abs(t.energy - {0.2 + 0.2 * k!r}::double)"
+    score = f"(ranks + t.rank) / {k} * 0.45 + {c01(f'1 - ({miss}) / {k}')} * 0.35"
+    return f"""b{k} as (select list_append(ids, t.id) as ids, {miss} as miss, ranks + t.rank as ranks, {r(score, 9)} as score from b{k - 1} join c t on not list_contains(ids, t.id) order by {r(score, 9)} desc, list_append(ids, t.id) limit 24)"""
+
+
+@query(
+    "sequence_search",
+    f"""with c as (select s_suppkey as id, (s_acctbal + 1000) / 11000 as energy, s_nationkey / 25.0::double as rank from supplier), b0 as (select []::bigint[] as ids, 0.0::double as miss, 0.0::double as ranks), {", ".join(_grown(k) for k in range(1, 5))}
+    select ids, {r("score", 6)} as score from b4""",
+)
 def sequence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beam search for a sequence of suppliers towards a target level; each hop joins the kept beams with the candidates."""
     c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_acctbal") + 1000) / 11000).alias("energy"), (F.col("s_nationkey") / 25.0).alias("rank"))

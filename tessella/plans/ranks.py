@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scalars import all_failed, camelot_score, clamp, cosine01, dot, first_failed, half_up, ladder, octave_folded, present_mean, tempo_relation
-from ..operators import groups, ranking, signals
+from ..operators import folds, groups, ranking, signals
 from ..sources.tables import table
 from .inputs import EVENTS, NOW, c01, events, r
 from .registry import query
@@ -78,27 +78,20 @@ def available_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "present_mean",
-    "select p_partkey, floor((coalesce(a * 2, 0) + b) / (case when a is not null then 3.0 else 1.0 end) * 1000 + 0.5) / 1000 as mean from (select p_partkey, case when p_size % 4 <> 0 then p_size / 50.0 end as a, p_retailprice / 1000 as b from part)",
+    "select p_partkey, floor((coalesce(a * 2, 0) + b) / (case when a is not null then 3.0 else 1.0 end) * 1000 + 0.5000001) / 1000 as mean from (select p_partkey, case when p_size % 4 <> 0 then p_size / 50.0 end as a, p_retailprice / 1000 as b from part)",
 )
 def present_mean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.when(F.col("p_size") % 4 != 0, F.col("p_size") / 50.0)
     return table(spark, sf_dir, "part").select("p_partkey", half_up(present_mean([(a, 2.0), (F.col("p_retailprice") / 1000, 1.0)])).alias("mean"))
 
 
-_COS = """x as (select a.vec_id as a, b.vec_id as b, floor(greatest(0.0, least(1.0, (list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) + 1) / 2)) * 1000000 + 0.5) / 1000000 as score
-    from embeddings a, embeddings b where a.vec_id < 10 and a.vec_id <> b.vec_id)"""
+_COS = """x as (select a.vec_id as a, b.vec_id as b, floor(greatest(0.0, least(1.0, (list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) + 1) / 2)) * 1000000 + 0.5000001) / 1000000 as score
+    from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)"""
 
 
 @query("cosine_top", f"with {_COS}, n as (select *, row_number() over (partition by a order by score desc, b) as nth from x) select a, b, score from n where nth <= 5")
 def cosine_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    seeds = v.where("vec_id < 10").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))  # ten rows: the stated queries
-    score = half_up(cosine01(F.col("x"), F.col("embedding")), 6)
-    pairs = v.join(F.broadcast(seeds), F.col("a") != F.col("vec_id")).select("a", F.col("vec_id").alias("b"), score.alias("score"))
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return pairs.withColumn("nth", nth).where("nth <= 5").drop("nth")
+    return signals.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("k") % 100 == 0, 5)
 
 
 @query(
@@ -124,10 +117,15 @@ def clear_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.with_margin(s, "user_id", "score", "event_type", 0.1)
 
 
-@query("greedy_route")
+@query(
+    "greedy_route",
+    f"""with {EVENTS}, e as (select user_id, list({{'items': [event_id], 'm': value / 20}} order by k / 100 desc, event_id) as l from ev where event_type = 'view' group by 1),
+    f as (select user_id, list_reduce(l, lambda a, x: case when a.m < 10 and a.m + x.m <= 12 then {{'items': list_concat(a.items, x.items), 'm': a.m + x.m}} else a end, {{'items': []::bigint[], 'm': 0.0::double}}) as s from e)
+    select user_id, s.items as items, {r('s.m')} as filled from f""",
+)
 def greedy_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("event_type = 'view'").select("user_id", F.col("event_id").alias("item"), (F.col("k") / 100).alias("score"), (F.col("value") / 20).alias("minutes"))
-    return ranking.greedy_fill(rows, "user_id", "score", "minutes", "item", 10.0, 2.0)
+    return folds.greedy_fill(rows, "user_id", "score", "minutes", "item", 10.0, 2.0)
 
 
 @query(
@@ -142,14 +140,15 @@ def softmax_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "harmonic_scores",
-    """with k as (select s_suppkey as id, s_suppkey % 12 + 1 as n, case when s_nationkey % 2 = 0 then 'A' else 'B' end as ring from supplier), d as (select a.id as a, b.id as b, a.n as an, b.n as bn, a.ring as ar, b.ring as br, least(abs(a.n - b.n), 12 - abs(a.n - b.n)) as d from k a join k b on a.id < b.id)
-    select a, b, case when an = bn and ar = br then 1.0 when ar = br and d = 1 then 0.8 when ar = br and d = 2 then 0.4 when ar <> br and an = bn then 0.7 else 0.0 end :: double as score from d where b <= a + 30""",
+    """with k as (select distinct s_suppkey % 12 + 1 as n, case when s_nationkey % 2 = 0 then 'A' else 'B' end as ring from supplier), d as (select a.n || a.ring as a, b.n || b.ring as b, a.n as an, b.n as bn, a.ring as ar, b.ring as br, least(abs(a.n - b.n), 12 - abs(a.n - b.n)) as d from k a, k b),
+    m as (select s_suppkey % 12 + 1 || case when s_nationkey % 2 = 0 then 'A' else 'B' end as a, count(*) as suppliers from supplier group by 1)
+    select d.a, d.b, suppliers, case when an = bn and ar = br then 1.0 when ar = br and d = 1 then 0.8 when ar = br and d = 2 then 0.4 when ar <> br and an = bn then 0.7 else 0.0 end :: double as score from d join m on d.a = m.a""",
 )
 def harmonic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of the 24 keys with each other, and how many suppliers each key has: the pairs of suppliers follow."""
     key = F.concat((F.col("s_suppkey") % 12 + 1).cast("string"), F.when(F.col("s_nationkey") % 2 == 0, "A").otherwise("B"))
-    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), key.alias("x"))
-    near = k.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 30)))
-    return near.join(k.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("a", "b", camelot_score("x", "y").alias("score"))
+    k = table(spark, sf_dir, "supplier").groupBy(key.alias("a")).agg(F.count(F.lit(1)).alias("suppliers"))  # 24 rows at most
+    return k.join(F.broadcast(k.select(F.col("a").alias("b")))).select("a", "b", "suppliers", camelot_score("a", "b").alias("score"))
 
 
 @query(
@@ -166,7 +165,7 @@ def tempo_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "octave_folded",
     """with recursive f as (select p_partkey, p_retailprice / 3 * (1 + p_size % 5) as bpm from part where p_size > 0 union all select p_partkey, bpm / 2 from f where bpm > 140)
-    select p_partkey, floor(min(bpm) * 10 + 0.5) / 10 as bpm from f group by 1""",
+    select p_partkey, floor(min(bpm) * 10 + 0.5000001) / 10 as bpm from f group by 1""",
 )
 def octave_folded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", octave_folded(F.col("p_retailprice") / 3 * (1 + F.col("p_size") % 5)).alias("bpm"))
@@ -185,7 +184,7 @@ def musical_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("vector_norms", "select vec_id, floor(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * 1000000 + 0.5) / 1000000 as norm2 from embeddings")
+@query("vector_norms", "select vec_id, floor(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * 1000000 + 0.5000001) / 1000000 as norm2 from embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", half_up(dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
 
@@ -210,36 +209,79 @@ def taste_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.taste_compatibility(_maps(spark, sf_dir), "before", "recent").select("user_id", "score", F.size("shared").cast("long").alias("shared"))
 
 
-_TITLE = "t as (select doc_id, 'Artist ' || source || ' - ' || regexp_extract(text, '^[^.\\n]{1,40}', 0) || case doc_id % 4 when 0 then ' (Official Video)' when 1 then ' [HD remaster]' when 2 then ' feat. Someone' else ' (Acoustic) - Live' end as title from documents)"
+_TITLE = "t as (select doc_id, 'Artist ' || source || ' - ' || regexp_extract(text, '^[^.\\n]+', 0) || case doc_id % 4 when 0 then ' (Official Video)' when 1 then ' [HD remaster]' when 2 then ' feat. Someone' else ' (Acoustic) - Live' end as title from documents)"
+
+
+def _spoken(x: str) -> str:
+    return rf"(' ' || array_to_string(list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}&]'), lambda w: w <> ''), ' ') || ' ')"
+
+
+def _says(x: str, phrases: list[str]) -> str:
+    return "(" + " or ".join(f"contains({x}, ' {p} ')" for p in phrases) + ")"
+
+
+def _first_said(x: str, table_: dict[str, list[str]]) -> str:
+    return "case " + " ".join(f"when {_says(x, p)} then '{n}'" for n, p in table_.items()) + " else 'unknown' end"
+
+
+def _tokens(x: str) -> str:
+    return rf"list_filter(string_split_regex({x}, '\s'), lambda w: w <> '')"
+
+
+def _guestless(x: str, words: list[str]) -> str:
+    """The tokens before the one that names guests."""
+    marks = ", ".join(f"'{w}'" for w in words)
+    at = f"coalesce(list_position(list_transform({_tokens(x)}, lambda w: trim({_spoken('w')}) in ({marks})), true), 0)"
+    return f"case when {at} > 0 then list_slice({_tokens(x)}, 1, {at} - 1) else {_tokens(x)} end"
 
 
-def _titles(spark: SparkSession, sf_dir: str, sentence: str = r"^[^.\n]+") -> DataFrame:
+def _unbracketed(x: str, lost: str) -> str:
+    return rf"array_to_string(list_filter(regexp_extract_all({x}, '[(\[{{][^)\]}}]*[)\]}}]|[^(\[{{]+|[(\[{{]'), lambda p: not (p[1] in ('(', '[', '{{') and length(p) > 1 and {lost})), '')"
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.element_at(F.array(*(F.lit(x) for x in (" (Official Video)", " [HD remaster]", " feat. Someone", " (Acoustic) - Live"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    title = F.concat(F.lit("Artist "), "source", F.lit(" - "), F.regexp_extract("text", sentence, 0), end)
+    title = F.concat(F.lit("Artist "), "source", F.lit(" - "), F.regexp_extract("text", r"^[^.\n]+", 0), end)
     return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"))
 
 
-@query(
-    "title_versions",
-    f"""with {_TITLE} select doc_id, case when regexp_matches(lower(title), '\\b(radio edit|single edit)\\b') then 'radio-edit' when regexp_matches(lower(title), '\\b(extended( mix| version)?|club mix)\\b') then 'extended' when regexp_matches(lower(title), '\\b(acoustic|unplugged)\\b') then 'acoustic'
-    when regexp_matches(lower(title), '\\b(live( at| from| version)?|concert)\\b') then 'live' when regexp_matches(lower(title), '\\b(clean|radio clean|no explicit)\\b') then 'clean' when regexp_matches(lower(title), '\\b(remix|rework|bootleg|edit)\\b') then 'remix' when regexp_matches(lower(title), '\\b(original( mix| version)?)\\b') then 'original' else 'unknown' end as version from t""",
-)
+@query("title_versions", f"with {_TITLE}, s as (select doc_id, {_spoken('title')} as w from t) select doc_id, {_first_said('w', text.VERSIONS)} as version from s")
 def title_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir, r"^[^.\n]{1,40}").select("doc_id", text.version_of(F.col("title")).alias("version"))
+    return _titles(spark, sf_dir).select("doc_id", text.version_of(F.col("title")).alias("version"))
 
 
-@query("clean_titles")
+@query(
+    "clean_titles",
+    f"""with {_TITLE}, g as (select doc_id, title, {_guestless(_unbracketed('title', _says(_spoken('p'), text.JUNK)), text.GUESTS)} as w, {_first_said(_spoken("(title || ' Up - Topic')"), text.GENRES)} as genre from t),
+    d as (select *, case when len(w) > 2 then coalesce(list_position(list_transform(list_slice(w, 2, len(w) - 1), lambda x: x in ('-', '–', '—')), true), 0) else 0 end as spot from g)
+    select doc_id, case when spot > 0 then array_to_string(list_slice(w, 1, spot), ' ') else 'Up' end as artist, genre,
+           coalesce(nullif(trim(translate(array_to_string(case when spot > 0 then list_slice(w, spot + 2, len(w)) else w end, ' '), chr(34) || chr(39), '')), ''), trim(title)) as title from d""",
+)
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _titles(spark, sf_dir).select("doc_id", text.clean_title(F.col("title"), F.lit("Up - Topic")).alias("m"), text.genre_of(F.col("title")).alias("genre"))
+    channel = F.lit("Up - Topic")
+    done = _titles(spark, sf_dir).select("doc_id", text.clean_title(F.col("title"), channel).alias("m"), text.genre_of(F.col("title"), channel).alias("genre"))
     return done.select("doc_id", "m.artist", "m.title", "genre")
 
 
-@query("title_variants")
+@query(
+    "title_variants",
+    f"""with {_TITLE}, g as (select doc_id, array_to_string({_tokens('title')}, ' ') as plain, {_guestless('title', text.GUESTS_LOOSE)} as w from t),
+    d as (select *, array_to_string(w, ' ') as less, coalesce(list_position(list_slice(w, 2, len(w)), '-'), 0) as spot from g),
+    f as (select doc_id, plain, less, array_to_string({_tokens(_unbracketed('less', 'true'))}, ' ') as bare, array_to_string(case when spot > 0 then list_slice(w, 1, spot) else w end, ' ') as dashless from d)
+    select doc_id, concat_ws('|', nullif(plain, ''), case when less <> '' and less <> plain then less end, case when bare <> '' and bare not in (plain, less) then bare end, case when dashless <> '' and dashless not in (plain, less, bare) then dashless end) as variants from f""",
+)
 def title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titles(spark, sf_dir).select("doc_id", F.array_join(text.title_variants(F.col("title")), "|").alias("variants"))
 
 
-@query("timed_lines")
+@query(
+    "timed_lines",
+    r"""with c as (select conv_id, text, printf('[%02d:%02d.%d]', turn, turn * 7 % 60, conv_id % 100) as stamp from conversations), l as (select conv_id, unnest(string_split(stamp || replace(text, chr(10), chr(10) || stamp) || chr(10) || '[00:99] ' || chr(10) || 'no stamp', chr(10))) as raw from c),
+    s as (select conv_id, raw, list_filter(regexp_extract_all(raw, '\[[0-9:.]+\]'), lambda s: contains(string_split(s, '.')[1], ':') and len(string_split(translate(s, '.', ':'), ':')) between 2 and 3 and length(string_split(translate(s, '.', ':'), ':')[1]) in (2, 3)
+             and length(string_split(translate(s[2:-2], '.', ':'), ':')[2]) = 2 and coalesce(length(string_split(translate(s, '.', ':'), ':')[3]), 2) between 2 and 4) as stamps from l),
+    x as (select conv_id, trim(list_reduce(stamps, lambda a, s: replace(a, s, ''), raw)) as line, unnest(list_transform(stamps, lambda s: string_split(translate(s[2:-2], '.', ':'), ':'))) as p from s where len(stamps) > 0)
+    select conv_id, cast(floor((cast(p[1] as double) * 60 + cast(p[2] as double) + coalesce(cast('0.' || p[3] as double), 0)) * 1000 + 0.5000001) as bigint) as time_ms, line from x""",
+)
 def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     stamp = F.format_string("[%02d:%02d.%d]", F.col("turn"), F.col("turn") * 7 % 60, F.col("conv_id") % 100)
@@ -258,16 +300,17 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "intents",
-    r"""with c as (select conv_id, turn, lower('keine ' || substr(text, 1, 20) || ' in ' || turn || ' min mehr energie richtung techno') as t from conversations)
-    select conv_id, turn, nullif(regexp_extract(t, '(?:keinen|keine|kein|ohne)\s+([\p{L}-]+)', 1), '') as exclude, cast(nullif(regexp_extract(t, '(?:in|über)\s+(\d+)\s+min', 1), '') as int) as minutes, regexp_extract(t, '(?:richtung|danach gerne)\s+([\p{L}-]+)', 1) as toward from c""",
+    r"""with c as (select conv_id, turn, list_filter(string_split_regex(lower('keine ' || text || ' in ' || turn || ' min mehr energie richtung techno'), '[^\p{L}\p{N}-]'), lambda w: w <> '') as w from conversations),
+    n as (select *, list_filter(list_transform(range(2, len(w)), lambda k: case when regexp_matches(w[k], '^[0-9]+$') and w[k - 1] in ('in', 'über') and starts_with(w[k + 1], 'min') then w[k] end), lambda x: x is not null)[1] as m from c)
+    select conv_id, turn, w[2] as exclude, try_cast(m as int) as minutes, w[list_position(w, 'richtung') + 1] as toward from n""",
 )
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("keine "), F.substring("text", 1, 20), F.lit(" in "), F.col("turn").cast("string"), F.lit(" min mehr energie richtung techno"))
+    said = F.concat(F.lit("keine "), F.col("text"), F.lit(" in "), F.col("turn").cast("string"), F.lit(" min mehr energie richtung techno"))
     done = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent(said).alias("i"))
     return done.select("conv_id", "turn", "i.exclude", "i.minutes", "i.toward")
 
 
-@query("slugs", r"select p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' ' || p_brand)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from part")
+@query("slugs", r"select p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') as slug from part")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
 
@@ -275,7 +318,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rms_curves",
     """with h as (select vec_id, unnest(range(0, 8)) as hop, embedding from embeddings), e as (select vec_id, hop, sqrt(list_sum(list_transform(list_slice(embedding, hop * 8 + 1, hop * 8 + 8), lambda x: cast(x as double) * cast(x as double))) / 8) as v from h)
-    select vec_id, cast(hop as int) as hop, floor(v / greatest(1e-9, max(v) over (partition by vec_id)) * 10000 + 0.5) / 10000 as level from e""",
+    select vec_id, cast(hop as int) as hop, floor(v / greatest(1e-9, max(v) over (partition by vec_id)) * 10000 + 0.5000001) / 10000 as level from e""",
 )
 def rms_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = signals.rms_curve(F.col("embedding"), 8)
@@ -284,7 +327,7 @@ def rms_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "signal_health",
-    """select vec_id, floor(list_max(list_transform(embedding, lambda x: abs(cast(x as double)))) * 1000000 + 0.5) / 1000000 as peak, floor(list_sum(list_transform(embedding, lambda x: cast(x as double))) / 64 * 10000 + 0.5) / 10000 as dc from embeddings""",
+    """select vec_id, floor(list_max(list_transform(embedding, lambda x: abs(cast(x as double)))) * 1000000 + 0.5000001) / 1000000 as peak, floor(list_sum(list_transform(embedding, lambda x: cast(x as double))) / 64 * 10000 + 0.5000001) / 10000 as dc from embeddings""",
 )
 def signal_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "embeddings").select("vec_id", signals.health(F.col("embedding")).alias("h"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("s"))
@@ -293,16 +336,21 @@ def signal_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("spectra")
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.spectra(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 22_050)
+    return signals.spectra(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 22_050, 64)
 
 
-@query("groove_kinds")
+@query(
+    "groove_kinds",
+    f"""with {EVENTS}, i as (select user_id, value % 1.0 as p from ev where value % 1.0 > 0.05 and value % 1.0 < 0.95),
+    g as (select user_id, count(*) as n, count(*) filter (where abs(p - 1.0 / 3) < 0.045) as third, avg(least(p, abs(p - 0.25), abs(p - 0.5), abs(p - 0.75))) as off, list(p order by p) filter (where p >= 0.35 and p <= 0.75) as ands from i group by 1)
+    select u.user_id, case when coalesce(n, 0) < 8 then 'straight' when third * 1.0 / n > 0.18 then 'triplet' when off > 0.14 then 'broken' when coalesce(ands[len(ands) // 2 + 1], 0.5) < 0.54 then 'straight' when coalesce(ands[len(ands) // 2 + 1], 0.5) < 0.61 then 'swing' else 'shuffle' end as groove
+    from (select distinct user_id from ev) u left join g on u.user_id = g.user_id""",
+)
 def groove_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phases = events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"] % 1.0).alias("p"))
-    return phases.select("user_id", signals.groove(F.col("p")).alias("groove"))
+    return signals.groove(events(spark, sf_dir).select("user_id", (F.col("value") % 1.0).alias("p")), "user_id", "p")
 
 
-@query("cube_sales", "select l_returnflag as flag, l_linestatus as status, grouping(l_returnflag) * 2 + grouping(l_linestatus) as level, count(*) as n, floor(sum(l_quantity) * 10 + 0.5) / 10 as quantity from lineitem group by cube (l_returnflag, l_linestatus)")
+@query("cube_sales", "select l_returnflag as flag, l_linestatus as status, grouping(l_returnflag) * 2 + grouping(l_linestatus) as level, count(*) as n, floor(sum(l_quantity) * 10 + 0.5000001) / 10 as quantity from lineitem group by cube (l_returnflag, l_linestatus)")
 def cube_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_quantity")
     return rows.cube("flag", "status").agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("n"), half_up(F.sum("l_quantity"), 1).alias("quantity"))

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import charts, flows, panels, policies, ranks  # noqa: F401
+    from . import charts, flows, panels, policies, ranks, studies  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

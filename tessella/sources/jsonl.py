@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt"
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType, valid: Column) -> tuple[DataFrame, DataFrame]:
+def scan(spark: SparkSession, path: str, schema: T.StructType | str, valid: Column) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): rows of the schema for which valid holds, and the text of the others with the reason.
 
     Blank lines are neither. Lines are read as text, so a reject can be shown as it was written."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     lines = spark.read.text(path).where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
     broken = F.col(f"r.{CORRUPT}").isNotNull() | F.col("r").isNull()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import half_up
+from ..operators.folds import rounded, saturating_step
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, glob: str = "events*.parquet", files: int = 1) -> DataFrame:
@@ -37,9 +38,9 @@ def saturating(events: DataFrame, key: str) -> DataFrame:
         s, n = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         for d in rows["delta"]:
-            s = max(-1.0, min(1.0, s + d * (1 - abs(s))))
+            s = saturating_step(s, d)
         state.update((float(s), n + len(rows)))
-        yield pd.DataFrame({key: [k[0]], "score": [round(s, 6)], "n": [n + len(rows)]})
+        yield pd.DataFrame({key: [k[0]], "score": [rounded(s, 6)], "n": [n + len(rows)]})
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, score double, n long", "s double, n long", "update", GroupStateTimeout.NoTimeout)
@@ -63,6 +64,17 @@ def revisions(envelopes: DataFrame, key: str) -> DataFrame:
     return envelopes.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, revision long, verdict string", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_to_folder(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """Runs a stream over all that is there and returns the rows that it wrote to a folder: those of the last batch for
+    complete results, else those of all batches."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over all that is there and returns the memory table it filled: for tests and small replays."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions import text
+from tessella.functions import evidence, text
 from tessella.functions.scalars import all_failed, camelot_score, clamped_index, first_failed, floor_index, half_up, index_percentiles, ladder, octave_folded, tempo_relation, wilson
-from tessella.operators import calibration, folds, fusion, graph, groups, joins, ledger, ranking, sequences, sets, signals, telemetry
+from tessella.operators import calibration, folds, fusion, graph, groups, joins, ledger, ranking, sequences, sets, signals, studies, telemetry
 from tessella.sources import jsonl
 from tessella.streaming import events as streaming
 
@@ -115,14 +115,22 @@ def test_capped_chart(spark):
 
 def test_greedy_fill_skips_what_is_too_long(spark):
     rows = [("u", 1, 0.9, 20.0), ("u", 2, 0.8, 15.0), ("u", 3, 0.7, 11.0), ("u", 4, 0.6, 9.0)]
-    got = ranking.greedy_fill(spark.createDataFrame(rows, "u string, id long, s double, m double"), "u", "s", "m", "id", 30.0, 2.0).first()
+    got = folds.greedy_fill(spark.createDataFrame(rows, "u string, id long, s double, m double"), "u", "s", "m", "id", 30.0, 2.0).first()
     assert (got["items"], got.filled) == ([1, 3], 31.0)
 
 
 def test_beam_routes(spark):
-    edges = [(0, 1, 0.9), (0, 2, 0.8), (1, 3, 0.5), (2, 3, 0.9), (1, 0, 1.0)]
-    got = ranking.beam_routes(spark.createDataFrame(edges, "src int, dst int, score double"), 0, 2, 5).collect()
-    assert [(r.route, r.score) for r in got] == [([0, 2, 3], 0.72), ([0, 1, 3], 0.45)]
+    items = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 2.0), (3, 3.0)], "id int, x double")
+    near = 1 - F.abs(F.col("tip_x") - F.col("x")) / 10
+    got = ranking.beam_routes(items, "id", 0, near, 0.75, 2, 2).collect()
+    assert [(r.route, r.score) for r in got] == [([0, 1, 2], 0.81), ([0, 1, 3], 0.72)]
+    assert ranking.beam_routes(items, "id", 9, near, 0.75, 2, 2).count() == 0
+
+
+def test_compatibility_routes(spark):
+    items = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 2.0), (3, 9.0)], "id int, x double")
+    got = {r.first: (r.route, r.score) for r in studies.compatibility_routes(items, "id", 0, 1 - F.abs(F.col("tip_x") - F.col("x")) / 10, 2, 1, 0.5).collect()}
+    assert got == {1: ("0/1", 0.9), 2: ("0/2/1", 0.833), 3: ("0/3/2", 0.167)}
 
 
 def test_fusion(spark):
@@ -202,11 +210,19 @@ def test_titles(spark):
     got = one(spark, text.clean_title(F.lit(raw), F.lit("X - Topic")), text.clean_title(F.lit("Song [4K]"), F.lit("Name - Topic")), text.title_variants(F.lit("Song (Live) feat. X")))
     assert tuple(got[0]) == ("Some Artist", "Great Song") and tuple(got[1]) == ("Name", "Song") and got[2] == ["Song (Live) feat. X", "Song (Live)", "Song"]
     assert one(spark, text.genre_of(F.lit("Deep House mix")), text.genre_of(F.lit("x")), text.version_of(F.lit("Song (Club Mix)"))) == ("edm", "unknown", "extended")
+    assert one(spark, text.genre_of(F.lit("x"), F.lit("Lo-Fi Girl")), text.clean_title(F.lit("A & B – Song 'x' (Subtitulado)"), F.lit(None)), text.clean_title(F.lit("(Lyrics)"), F.lit("Some VEVO"))) == ("chill", ("A & B", "Song x"), ("Some", "(Lyrics)"))
+    assert one(spark, text.title_variants(F.lit("Song - Radio Edit")), text.title_variants(F.lit("A {x} b (feat. C)")))  == (["Song - Radio Edit", "Song"], ["A {x} b (feat. C)", "A {x} b", "A b"])
+
+
+def test_intent(spark):
+    said = one(spark, text.intent(F.lit("Bitte kein Deutschrap, mehr Energie und in 20 Minuten Richtung Techno")), text.intent(F.lit("weniger Vocals, spiel Das Lied als nächstes")), text.intent(F.lit("hallo")))
+    assert tuple(said[0]) == ("deutschrap", None, True, False, 20, "techno", None, 0.95)
+    assert tuple(said[1]) == (None, "vocals", False, False, None, None, "das lied", 0.65) and tuple(said[2])[-1] == 0.45
     assert one(spark, text.path_id(F.lit("https://shop.example.com/de/track/123?u=1"), r"example\.com", "track", r"\d+"), text.path_id(F.lit("https://notexample.com/track/1"), r"example\.com", "track", r"\d+")) == ("123", None)
 
 
 def test_timed_lines(spark):
-    df = spark.createDataFrame([(1, "[00:01.50][01:00]hello\nplain\n[00:00.25] first")], "id int, lrc string")
+    df = spark.createDataFrame([(1, "[00:01.50][01:00]hello\nplain\n[00:00.25] first\n[ar:x] [1:2] [100:00] [00.01:02] none")], "id int, lrc string")
     assert sorted((r.time_ms, r.line) for r in text.timed_lines(df, "id", "lrc").collect()) == [(250, "first"), (1500, "hello"), (60000, "hello")]
 
 
@@ -216,13 +232,56 @@ def test_signals(spark):
     t = np.arange(22_050) / 22_050
     df = spark.createDataFrame([("tone", (0.5 * np.sin(2 * np.pi * 440 * t)).tolist()), ("dc", [1.0] * 64), ("none", [])], "id string, x array<double>")
     got = {r.id: r for r in signals.spectra(df, "id", "x", 22_050).collect()}
-    assert got["tone"].centroid == pytest.approx(440, abs=25) and got["none"].best_key == -1
+    assert got["tone"].centroid == pytest.approx(440, abs=25) and got["none"].key_name is None and got["tone"].key_name.startswith("A ") and got["tone"].camelot in ("11B", "8A")
     h = {r.id: r.h for r in df.select("id", signals.health(F.col("x")).alias("h")).collect()}
     assert (h["dc"].peak, h["dc"].dc, h["dc"].clipped, h["none"].peak) == (1.0, 1.0, 1.0, 0.0)
     assert df.select(F.max(F.size(signals.rms_curve(F.col("x"), 1000)))).first()[0] == 22
     assert one(spark, signals.null_test(F.array(F.lit(1.0)), F.array(F.lit(0.25))), signals.null_test(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))) == (0.75, float("inf"))
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(60, v[7].tolist()), (61, [0.0] * 8)], "id long, v array<double>").repartition(4)
+    v = np.vstack([v, v[7], np.zeros(8)])
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    score = np.floor((unit @ unit.T + 1) / 2 * 1e6 + 0.5000001) / 1e6
+    for size in (signals.QUERIES_BYTES, 300):
+        monkeypatch.setattr(signals, "QUERIES_BYTES", size)
+        got = {(r.a, r.b): r.score for r in signals.nearest(df, "id", "v", F.col("k") % 7 == 0, 3).collect()}
+        want = {(a, b): score[a, b] for a in range(0, 62, 7) for b in sorted((b for b in range(62) if b != a), key=lambda b: (-score[a, b], b))[:3]}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_folds_go_over_batches(spark):
+    """States are kept from batch to batch, and null keys are keys."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(k % 3 if k % 3 else None, k, float(k)) for k in range(40)]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = {r.u: (r.open, r.worst) for r in folds.violation_debt(spark.createDataFrame(rows, "u long, seq long, v double").withColumn("ok", F.col("seq") < 9), "u", ["seq"], "ok").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {None: (11, 11), 1: (10, 10), 2: (10, 10)}
+    assert folds.smoothed(spark.createDataFrame([], "u long, seq long, v double"), "u", ["seq"], "v", 0.5).count() == 0
+
+
+def test_presence(spark):
+    rows = [("a", 0, "joined", 0), ("a", 1, "active", 150_000), ("a", 2, "inactive", 200_000), ("b", 0, "view", 5), ("b", 1, "left", 9)]
+    got = {r.u: tuple(r)[1:] for r in studies.presence(spark.createDataFrame(rows, "u string, seq long, e string, at long"), "u", ["seq"], "e", "at").collect()}
+    assert got == {"a": (0.374, True, 0, 150_000), "b": (0.0, False, 5, 9)}
+
+
+def test_envelopes_and_families(spark):
+    faded = F.array(*(F.lit(x) for x in (0.01, 0.01, 0.2, 0.3, 0.2, 0.3, 0.01, 0.01)))
+    got = one(spark, evidence.envelope(faded), evidence.envelope(F.array().cast("array<double>")), evidence.tempo_family(F.lit(70.0), F.lit(138.0), F.lit(0.9)))
+    assert (got[0].musical_end, got[0].intro) == (6, 2.0) and tuple(got[1]) == (0.0, 0.0, 0, 0.0)
+    assert (got[2].canonical, got[2].alternatives) == (140.0, [70.0])
+    assert one(spark, evidence.genome_similarity(F.array(F.lit(1.0)), F.lit(None).cast("array<double>")), evidence.genome_similarity(F.array(F.lit(1.0)), F.array(F.lit(0.0)))) == (0.5, 0.0)
+
+
 def test_jsonl_scan(spark, tmp_path):
     schema = T.StructType([T.StructField("schemaVersion", T.IntegerType()), T.StructField("score", T.DoubleType())])
     (tmp_path / "log.jsonl").write_text(json.dumps({"schemaVersion": 1, "score": 90.0}) + '\n\nnot-json\n{"schemaVersion":1}\n')
