@@ -3,20 +3,25 @@
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a blob. Each hit is only a
 suspicion: a validator of the format then walks the structure (chunk lengths, checksums, end marks) and gives the exact
 span, or rejects the hit. The outermost valid spans, from left to right, are the media of the blob: one that covers it
-whole corrects the declared type, the others are carved out as embedded media.
+whole corrects the declared type, the others are carved out as embedded media. End marks are looked for once in a blob,
+however many hits ask for them.
 
 Null blobs have no media and a null type; empty ones have none and type application/octet-stream. A blob without valid
-media keeps its declared type if that is not one of the known formats, else becomes application/octet-stream.
+media keeps its declared type if that is not one of the known formats, else becomes application/octet-stream. Repeated
+rows each get theirs; of hits that tie at a place the first format that is valid counts. Long blobs are read one at a time.
+An empty table gives an empty result, and columns that have the names of what is made are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,6 +37,12 @@ UNIT = 192
 SAMPLE_RATE = 8000
 
 
+@lru_cache(maxsize=8)
+def places(b: bytes, pattern: bytes) -> list[int]:
+    """Where a pattern stands in a blob: looked for once, whatever the number of hits that ask."""
+    return [m.start() for m in re.finditer(pattern, b, re.DOTALL)]
+
+
 def _png(b: bytes, s: int) -> int | None:
     at, seen = s + 8, []
     while at + 12 <= len(b):
@@ -74,23 +85,20 @@ def _gif(b: bytes, s: int) -> int | None:
 
 def _jpeg(b: bytes, s: int) -> int | None:
     at, frame = s + 2, False
+    marks = places(b, rb"\xff[^\x00\xd0-\xd7]")
     while at + 4 <= len(b) and b[at] == 0xFF:
         kind, n = b[at + 1], struct.unpack_from(">H", b, at + 2)[0]
         if kind in (0xD8, 0xD9) or n < 2:
             return None
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         at += 2 + n
-        if kind == 0xDA:
-            end = at
-            while (end := b.find(b"\xff", end)) >= 0 and end + 1 < len(b):
-                if b[end + 1] == 0xD9:
-                    return end + 2 if frame else None
-                if b[end + 1] and not 0xD0 <= b[end + 1] <= 0xD7:
-                    break
-                end += 2
-            else:
+        if kind == 0xDA:  # coded data up to the next mark
+            k = bisect.bisect_left(marks, at)
+            if k == len(marks):
                 return None
-            at = end
+            at = marks[k]
+            if b[at + 1] == 0xD9:
+                return at + 2 if frame else None
     return None
 
 
@@ -103,15 +111,17 @@ def _bmp(b: bytes, s: int) -> int | None:
     return s + size if ok else None
 
 
-def _riff(kind: bytes, first: tuple[bytes, ...], needed: bytes) -> Callable[[bytes, int], int | None]:
+def _riff(kind: bytes, first: tuple[bytes, ...], needed: dict[bytes, int]) -> Callable[[bytes, int], int | None]:
+    """needed: chunks that must be there, with the bytes they have at least, one of each at least."""
+
     def valid(b: bytes, s: int) -> int | None:
         if len(b) < s + 20 or b[s + 8 : s + 12] != kind:
             return None
         end = s + 8 + struct.unpack_from("<I", b, s + 4)[0]
         chunks = list(riff_chunks(b, s, end)) if end <= len(b) else []
-        names = [c for c, _, _ in chunks]
+        size = {name: b_ - a for name, a, b_ in reversed(chunks)}
         whole = bool(chunks) and chunks[-1][2] + (chunks[-1][2] - chunks[-1][1]) % 2 == end
-        return end if whole and names[0] in first and needed in names else None
+        return end if whole and chunks[0][0] in first and all(size.get(n, -1) >= least for n, least in needed.items()) else None
 
     return valid
 
@@ -127,7 +137,37 @@ def riff_chunks(b: bytes, s: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + n + n % 2
 
 
+def _crc(width: int, poly: int) -> list[int]:
+    table = []
+    for k in range(256):
+        c = k << (width - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> (width - 1) else c << 1) & ((1 << width) - 1)
+        table.append(c)
+    return table
+
+
+_CRC8, _CRC16 = _crc(8, 0x07), _crc(16, 0x8005)
+
+
+def _flac_header(b: bytes, s: int) -> int | None:
+    """End of the frame header at s with its checksum, or None."""
+    if s + 6 > len(b) or b[s] != 0xFF or b[s + 1] & 0xFE != 0xF8 or b[s + 2] >> 4 == 0 or b[s + 2] & 15 == 15:
+        return None
+    lead = b[s + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1  # bytes that go on the number of the frame
+    at = s + 5 + more + {6: 1, 7: 2}.get(b[s + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[s + 2] & 15, 0)
+    if at >= len(b) or 0x80 <= lead < 0xC0:
+        return None
+    crc = 0
+    for x in b[s:at]:
+        crc = _CRC8[crc ^ x]
+    return at + 1 if crc == b[at] else None
+
+
 def _flac(b: bytes, s: int) -> int | None:
+    """Metadata blocks, then frames. A frame's length is not written down: it ends where its checksum comes out and a frame
+    header follows, or none."""
     at, first, last = s + 4, True, False
     while not last:
         if at + 4 > len(b):
@@ -136,7 +176,20 @@ def _flac(b: bytes, s: int) -> int | None:
         if first and (kind, n) != (0, 34) or kind == 127:
             return None
         at, first = at + 4 + n, False
-    return len(b) if at + 2 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFC == 0xF8 else None
+    starts = [x for x in places(b, rb"\xff[\xf8\xf9]") if x >= at and _flac_header(b, x) is not None]
+    if not starts or starts[0] != at:
+        return None
+    crc, wanted, ends = 0, set(starts[1:]), []
+    least = at + max(10, int.from_bytes(b[s + 12 : s + 15], "big"))  # no frame is shorter than the first block says
+    for k in range(at, len(b)):
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[k]]
+        if crc == 0 and k + 1 in wanted:
+            least += k + 1 - at
+            at, ends = k + 1, []
+        elif crc == 0 and k + 1 >= least:
+            ends.append(k + 1)
+    # the last frame: up to the end of the blob if its checksum comes out there, else to where it does first
+    return None if not ends else ends[-1] if ends[-1] == len(b) else ends[0]
 
 
 def _ogg(b: bytes, s: int) -> int | None:
@@ -153,10 +206,17 @@ def _ogg(b: bytes, s: int) -> int | None:
 
 
 def _pdf(b: bytes, s: int) -> int | None:
+    """Up to the last end mark before the next file: updates are appended behind an end mark."""
     if not (len(b) > s + 8 and b[s + 5 : s + 6].isdigit() and b[s + 6 : s + 7] == b"."):
         return None
-    end = b.find(b"%%EOF", s)
-    return end + 5 if end >= 0 and b.find(b"startxref", s, end) >= 0 else None
+    heads, ends = places(b, rb"%PDF-[0-9]\."), places(b, b"%%EOF")
+    k = bisect.bisect_right(heads, s)
+    last = bisect.bisect_left(ends, heads[k] if k < len(heads) else len(b)) - 1
+    if last < 0 or ends[last] < s:
+        return None
+    refs = places(b, b"startxref")
+    r = bisect.bisect_left(refs, s)
+    return ends[last] + 5 if r < len(refs) and refs[r] < ends[last] else None
 
 
 def _gzip(b: bytes, s: int) -> int | None:
@@ -173,22 +233,68 @@ def _gzip(b: bytes, s: int) -> int | None:
 
 
 def _zip(b: bytes, s: int) -> int | None:
-    end = b.find(b"PK\5\6", s)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, start, comment = struct.unpack_from("<IIH", b, end + 12)
-    whole = s + start + size == end and end + 22 + comment <= len(b)
-    return end + 22 + comment if whole and b[s + start : s + start + 4] == b"PK\1\2" else None
+    """Up to the end record whose directory lies where the record says, counted from s."""
+    ends = places(b, rb"PK\x05\x06")
+    for end in ends[bisect.bisect_left(ends, s) :][:2]:  # a stored archive may bring an end record of its own
+        if end + 22 > len(b):
+            return None
+        size, start, comment = struct.unpack_from("<IIH", b, end + 12)
+        if s + start + size == end and end + 22 + comment <= len(b) and b[s + start : s + start + 4] == b"PK\1\2":
+            return end + 22 + comment
+    return None
 
 
-#: Magic bytes, media type and validator of each format (fixed values of the public formats).
+def _mp4(b: bytes, s: int) -> int | None:
+    """Boxes from ftyp on, of which one is moov or moof, as long as they follow each other."""
+    at, seen = s, set()
+    while at + 8 <= len(b):
+        n, kind = struct.unpack_from(">I4s", b, at)
+        head = 8
+        if n == 1 and at + 16 <= len(b):
+            n, head = struct.unpack_from(">Q", b, at + 8)[0], 16
+        if kind not in BOXES or n < head or at + n > len(b):
+            break
+        seen.add(kind)
+        at += n
+    return at if b"ftyp" in seen and seen & {b"moov", b"moof"} else None
+
+
+def _mp3(b: bytes, s: int) -> int | None:
+    """An ID3 tag and the frames behind it, three at least."""
+    if len(b) < s + 10 or max(b[s + 6 : s + 10]) > 127:
+        return None
+    size = 0
+    for x in b[s + 6 : s + 10]:
+        size = size << 7 | x
+    at, frames = s + 10 + size, 0
+    while at + 4 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFE == 0xFA:  # version 1, layer III
+        rate, hz = b[at + 2] >> 4, b[at + 2] >> 2 & 3
+        if rate in (0, 15) or hz == 3:
+            break
+        n = 144_000 * MP3_RATES[rate - 1] // (44_100, 48_000, 32_000)[hz] + (b[at + 2] >> 1 & 1)
+        if at + n > len(b):
+            break
+        at, frames = at + n, frames + 1
+    return at if frames > 2 else None
+
+
+#: Names of boxes at the top of a file, and kilobits a second of version 1, layer III (fixed values of the public formats).
+BOXES = frozenset((b"ftyp", b"moov", b"moof", b"mdat", b"free", b"skip", b"wide", b"meta", b"sidx", b"styp", b"mfra", b"uuid", b"pdin"))
+MP3_RATES = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+
+
+#: Magic bytes, media type and validator of each format (fixed values of the public formats). A later format is tried where
+#: the validator of an earlier one with the same bytes says no.
 FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"BM", "image/bmp", _bmp),
-    (b"RIFF", "audio/wav", _riff(b"WAVE", (b"fmt ", b"JUNK", b"bext"), b"data")),
+    (b"RIFF", "audio/wav", _riff(b"WAVE", (b"fmt ", b"JUNK", b"bext"), {b"fmt ": 16, b"data": 0})),
+    (b"RIFF", "image/webp", _riff(b"WEBP", (b"VP8 ", b"VP8L", b"VP8X"), {})),
+    (b"ID3", "audio/mpeg", _mp3),
+    (b"ftyp", "video/mp4", _mp4),
     (b"fLaC", "audio/flac", _flac),
     (b"OggS", "audio/ogg", _ogg),
     (b"%PDF-", "application/pdf", _pdf),
@@ -196,13 +302,18 @@ FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
     (b"PK\x03\x04", "application/zip", _zip),
 )
 TYPES = frozenset(x[1] for x in FORMATS)
+#: Bytes before the magic ones that belong to a file.
+BEFORE = {b"ftyp": 4}
 
 
 @cache
 def _automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for k, (magic, _, _) in enumerate(FORMATS):
-        out.add_word(magic.decode("latin-1"), k)
+    by_magic: dict[bytes, list] = {}
+    for magic, kind, valid in FORMATS:
+        by_magic.setdefault(magic, []).append((kind, valid))
+    for magic, formats in by_magic.items():
+        out.add_word(magic.decode("latin-1"), (len(magic) + BEFORE.get(magic, 0), formats))
     out.make_automaton()
     return out
 
@@ -210,12 +321,16 @@ def _automaton() -> ahocorasick.Automaton:
 def found_in(blob: bytes) -> list[tuple[str, int, int]]:
     """Type, start and end of the outermost valid media, in order. A hit inside an accepted span is not looked at."""
     out, free = [], 0
-    for last, k in _automaton().iter(blob.decode("latin-1")):
-        magic, kind, valid = FORMATS[k]
-        start = last + 1 - len(magic)
-        if start >= free and (end := valid(blob, start)) is not None:
-            out.append((kind, start, end))
-            free = end
+    for last, (size, formats) in _automaton().iter(blob.decode("latin-1")):
+        start = last + 1 - size
+        if start < free:
+            continue
+        for kind, valid in formats:
+            if (end := valid(blob, start)) is not None:
+                out.append((kind, start, end))
+                free = end
+                break
+    places.cache_clear()
     return out
 
 
@@ -266,6 +381,15 @@ def sniff(df: DataFrame, blob_col: str = "media", declared_col: str = "declared_
     return base.mapInArrow(look, schema)
 
 
+def carve(df: DataFrame, blob_col: str = "media", keep: list[str] | None = None, declared_col: str = "declared_type") -> DataFrame:
+    """(keep, place, type, start, end, bytes): a row for each media found in the blobs of df, the bytes cut out; place
+    counts them in a blob from 0."""
+    keep = keep or []
+    found = sniff(df, blob_col, declared_col, [*keep, blob_col])
+    rows = found.select(*keep, blob_col, F.posexplode("found").alias("place", "m"))
+    return rows.select(*keep, "place", "m.type", "m.start", "m.end", F.col(blob_col).substr((F.col("m.start") + 1).cast("int"), (F.col("m.end") - F.col("m.start")).cast("int")).alias("bytes"))
+
+
 def _little_endian(n: Column, size: int) -> Column:
     big = F.unhex(F.lpad(F.hex(n.cast("long")), 2 * size, "0"))
     return F.concat(*(F.substring(big, k, 1) for k in range(size, 0, -1)))
@@ -295,7 +419,8 @@ def _samples(blob: bytes, kind: str) -> tuple:
     parts = {name: (s, e) for name, s, e in riff_chunks(blob, 0, len(blob))}
     _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", blob, parts[b"fmt "][0])
     data = blob[slice(*parts[b"data"])]
-    n = struct.unpack_from("<Q", blob, parts[b"tlen"][0])[0] if b"tlen" in parts else len(data)
+    told = parts.get(b"tlen", (0, 0))
+    n = struct.unpack_from("<Q", blob, told[0])[0] if told[1] - told[0] >= 8 else len(data)
     centred = np.frombuffer(data, np.uint8).astype(np.int64) - 128
     power, peak = int(np.dot(centred, centred)), int(np.abs(centred).max(initial=0))
     crossings = int(np.count_nonzero((centred[1:] < 0) != (centred[:-1] < 0)))
