@@ -1,19 +1,22 @@
 """Chat formatting: records of many layouts become canonical turns, then one template text per conversation.
 
-Which mapping fits a record is decided by its schema fingerprint: the nested paths of its fields with their kinds
-(list elements as []), sorted and hashed. A registry of declarative mappings, kept by fingerprint, says which path is a
-role and which a text; a record whose fingerprint is unknown is matched once against the required and optional paths of
-each mapping, and the answer is kept for the next record of that shape.
+Which mapping fits a record is decided by its schema fingerprint: the nested paths of its fields (list elements as [],
+marks inside names escaped), sorted and hashed. A registry of declarative mappings, kept by fingerprint, says which path is
+a role and which a text; a record whose fingerprint is unknown is matched once against the required and optional paths of
+each mapping, and the answer is kept for the next record of that shape. A text may be a list of parts; their texts are
+joined by line feeds, and a part that is no text stands there as JSON.
 
 A turn is written as <|turn|>role, a newline, the text, <|end|>. Inside roles and texts every control string is
 replaced by an escape (a backslash, c, its number, a semicolon; a backslash doubles; in roles a newline is \\n), so the
 output splits at its marks without doubt and read_turns() gives back the exact texts. The loss mask covers the texts of
 assistant turns.
 
-Nulls: a null text or role is the empty string; a null record, or one that no mapping fits, gives no turns and is
-returned with layout null. Order: (conversation,
-order column with nulls first), then the record's own list; records that tie keep together, in an order that their
-content fixes.
+Nulls: a null text or role is the empty string. What gives no turn is returned with layout null and the problem by name:
+a null record, one that is no JSON, no object, nested too deep or without a fitting mapping, and an element of a list of
+turns that is no object (with its JSON as text). Half of a surrogate pair, which UTF-8 can't write, becomes U+FFFD. Order:
+(conversation, order column with nulls first), then the record's own list; records that tie keep together, in an order
+that their content fixes, and repeated rows are repeated turns. Conversations of any length are read turn by turn. An
+empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -52,6 +55,10 @@ class Mapping:
             return {f"{self.turns[0]}[].{self.turns[1]}", f"{self.turns[0]}[].{self.turns[2]}"}
         return {p for _, paths in self.fixed for p in paths} - set(self.optional)
 
+    def fits(self, have: set[str]) -> bool:
+        """Whether all required paths are there, as a value or as a list of parts."""
+        return all(p in have or any(h.startswith(f"{p}[]") for h in have) for p in self.required())
+
 
 MAPPINGS = (
     Mapping("messages", ("messages", "role", "content"), (("system", ("system",)),), ("system",)),
@@ -64,17 +71,28 @@ MAPPINGS = (
 )
 
 
-def paths_of(record: object, at: str = "") -> set[str]:
-    """Paths of all leaves: a.b for fields, a[].b through lists; an empty list or object is a leaf."""
-    if isinstance(record, dict) and record:
-        return set().union(*(paths_of(v, f"{at}.{k}" if at else k) for k, v in record.items()))
-    if isinstance(record, list) and record:
-        return set().union(*(paths_of(v, f"{at}[]") for v in record))
-    return {at}
+_MARKS = re.compile(r"[\\.\[\]\n]")
+
+
+def paths_of(record: object) -> set[str]:
+    """Paths of all leaves: a.b for fields, a[].b through lists; an empty list or object is a leaf. The marks of a path are
+    escaped inside names, so no name looks like a path."""
+    out, open_ = set(), [("", record)]
+    while open_:
+        at, value = open_.pop()
+        if isinstance(value, dict) and value:
+            for k, v in value.items():
+                name = _MARKS.sub(lambda m: "\\" + m[0], k)
+                open_.append((f"{at}.{name}" if at else name, v))
+        elif isinstance(value, list) and value:
+            open_ += [(f"{at}[]", v) for v in value]
+        else:
+            out.add(at)
+    return out
 
 
 def schema_fingerprint(record: object) -> str:
-    return hashlib.sha256("\n".join(sorted(paths_of(record))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths_of(record))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 _KNOWN: dict[str, Mapping | None] = {}
@@ -87,23 +105,50 @@ def mapping_for(record: object) -> tuple[str, Mapping | None]:
         have = paths_of(record)
         if len(_KNOWN) > 100_000:  # unknown shapes are derived anew; only the memory of them is bounded
             _KNOWN.clear()
-        _KNOWN[mark] = next((m for m in MAPPINGS if m.required() <= have), None)
+        _KNOWN[mark] = next((m for m in MAPPINGS if m.fits(have)), None)
     return mark, _KNOWN[mark]
 
 
+def _writable(text: str) -> str:
+    """text without halves of surrogate pairs."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
 def _text(value: object) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    if isinstance(value, list) and value and all(isinstance(x, str | dict) for x in value):  # parts
+        return "\n".join(_text(x["text"] if isinstance(x, dict) and isinstance(x.get("text"), str) else x) for x in value)
+    return "" if value is None else _writable(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True))
 
 
-def canonical(record: dict, m: Mapping) -> list[tuple[str, str]]:
+def canonical(record: dict, m: Mapping) -> list[tuple[str | None, str]]:
+    """Role and text of each turn; the role of an element that is no turn is null, its JSON the text."""
     if m.name == "turn":
         return [(_text(record["role"]), _text(record["text"]))]
     fixed = [(role, "\n\n".join(_text(record[p]) for p in paths if record.get(p) not in (None, ""))) for role, paths in m.fixed if any(p in record for p in paths)]
     if m.turns is None:
         return fixed
     many, role, text = m.turns
-    turns = [(_text(t.get(role)), _text(t.get(text))) for t in record[many] if isinstance(t, dict)]
-    return fixed + [(ROLES.get(r.lower(), r), x) for r, x in turns]
+    turns = [(_text(t.get(role)), _text(t.get(text))) if isinstance(t, dict) else (None, _writable(json.dumps(t, ensure_ascii=False))) for t in record[many]]
+    return fixed + [(r if r is None else ROLES.get(r.lower(), r), x) for r, x in turns]
+
+
+def _read(raw: str | None) -> tuple[str | None, Mapping | None, list, str | None]:
+    """Fingerprint, mapping, turns and problem of a record."""
+    mark = None
+    try:
+        record = None if raw is None else json.loads(raw)
+        if not isinstance(record, dict):
+            return None, None, [], "null" if raw is None else "no object"
+        mark, m = mapping_for(record)
+        return (mark, None, [], "no mapping") if m is None else (mark, m, canonical(record, m), None)
+    except RecursionError:
+        return mark, None, [], "nested too deep"
+    except ValueError:
+        return None, None, [], "no JSON"
 
 
 def escaped(text: str, *, role: bool = False) -> str:
@@ -131,24 +176,21 @@ def read_turns(written: str) -> list[tuple[str, str]]:
 
 
 def canonical_turns(records: DataFrame, conv_col: str, order_col: str, record_col: str) -> DataFrame:
-    """(conv_id, ord, tie, step, role, text, layout, schema_fp) of a table of JSON records, one row for each turn."""
-    schema = "conv_id long, ord long, tie long, step int, role string, text string, layout string, schema_fp string"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4]
+    """(conv_id, ord, tie, step, role, text, layout, schema_fp, problem) of a table of JSON records, one row for each turn
+    and one for each record or element that gives none."""
+    schema = "conv_id long, ord long, tie long, step int, role string, text string, layout string, schema_fp string, problem string"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 5]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for conv, at, tie, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    record = None if raw is None else json.loads(raw)
-                except ValueError:
-                    record = None
-                mark, m = mapping_for(record) if isinstance(record, dict) else (None, None)
+                mark, m, turns, problem = _read(raw)
                 if m is None:
-                    rows.append((conv, at, tie, 0, None, None, None, mark))
-                    continue
-                rows += [(conv, at, tie, k, r, x, m.name, mark) for k, (r, x) in enumerate(canonical(record, m))]
-            cols = zip(*rows, strict=True) if rows else [[]] * 8
+                    rows.append((conv, at, tie, 0, None, None, None, mark, problem))
+                odd = "no object in a list of turns"
+                rows += [(conv, at, tie, k, r, x, *((None, mark, odd) if r is None else (m.name, mark, None))) for k, (r, x) in enumerate(turns)]
+            cols = zip(*rows, strict=True) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
     narrow = records.select(F.col(conv_col).cast("long"), F.col(order_col).cast("long"), F.xxhash64(F.col(record_col).cast("string")), F.col(record_col).cast("string"))
