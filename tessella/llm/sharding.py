@@ -1,31 +1,37 @@
 """Sharding by best-fit-decreasing bin packing.
 
-The indivisible groups (equal texts) are summed up first, map side. Groups at or over a quantum, a fixed fraction of all
-bytes, are items of their own; the others are gathered into as many hash buckets as there are quanta, each of which
-moves as one. So at most 2 * SHARE * shards items (and the pieces below) reach the driver, however large the input, and
-packing is exact on them: sorted by size, each enters the tightest bin that still takes it, found in a balanced tree of
-remaining capacities. A group over the capacity of a bin can't stay whole; its rows are dealt by a hash of doc_id into
-PIECES pieces for each bin it would fill, which are packed like any item.
+The indivisible groups (equal texts) are summed up first, map side. All of them are packed, sorted by size: each enters the
+tightest bin that still takes it, found in a balanced tree of remaining capacities. Groups of one size are a run, and a run
+is packed at once, since after a group has entered the tightest bin that bin is the tightest still: so only the table of
+sizes (size, groups) reaches the driver. Sizes over EXACT bytes count as the next number of 16 leading bits, by which a bin
+holds 1/32768 less at most, so that table is bounded (a million rows for sizes up to a terabyte) however large the input.
+The groups of a run are numbered and take the bins in that order. A group over the capacity of a bin can't stay whole; its
+rows are dealt into PIECES pieces for each bin it would fill, which are packed like any group.
 
 Nulls: a null text has no bytes (size is the overhead alone) and forms a group with other nulls and empty texts. Null
-doc_ids are dealt like 0. Rows that repeat a doc_id are placed like any other. Empty input gives an empty result.
+doc_ids and rows that repeat a doc_id are told apart by their place in the table of sizes. Ties: equal groups of a run are
+taken in the order of their hash. A very long text is a group as any other. Empty input gives an empty result; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import small, stored
 
 OVERHEAD = 16
-SHARE = 256
 PIECES = 16
-#: Rows that one task numbers.
+#: Up to this size of a group the packer knows it to the byte.
+EXACT = 1 << 16
+#: Rows that one task numbers, about, up to 4096 tasks for one value.
 NUMBERED = 250_000
+#: Rows of a group from which on it is sent to the rows.
+OFTEN = 10_000
 
 
 class Treap:
@@ -74,27 +80,40 @@ class Treap:
         return high
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; opens a bin when none takes the item. An item over the capacity gets a bin of its own."""
-    bins, free, opened = [0] * len(sizes), Treap(), 0
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        found = free.take_at_least(sizes[k])
-        left, at = found if found else (max(capacity, sizes[k]), opened)
-        opened += found is None
-        bins[k] = at
-        free.add((left - sizes[k], at))
-    return bins
-
-
-def pack_into(sizes: list[int], n_bins: int) -> list[int]:
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
+    """For each run (size, items) the bins (bin, items) that its items enter one after the other; opens a bin when none takes
+    an item. An item over the capacity gets a bin of its own."""
+    out, free, opened = [[] for _ in runs], Treap(), 0
+    for k in sorted(range(len(runs)), key=lambda k: (-runs[k][0], k)):
+        size, left = runs[k]
+        while left:
+            found = free.take_at_least(size)
+            room, at = found if found else (max(capacity, size), opened)
+            opened += found is None
+            n = min(left, room // size) if size else left
+            out[k].append((at, n))
+            left -= n
+            free.add((room - n * size, at))
+    return out
+
+
+def pack_into(runs: list[tuple[int, int]], n_bins: int) -> list[list[tuple[int, int]]]:
     """Best fit at the least capacity, up to steps that double from one part in 2**20, which n_bins bins suffice for."""
-    if not sizes:
+    if not runs:
         return []
-    least = max(-(-sum(sizes) // n_bins), max(sizes))
+    least = max(-(-sum(s * n for s, n in runs) // n_bins), max(s for s, _ in runs))
     step = 0
-    while max(bins := best_fit_decreasing(sizes, least + step)) >= n_bins:
+    while True:
+        bins = best_fit_decreasing(runs, least + step)
+        if max(b for run in bins for b, _ in run) < n_bins:
+            return bins
         step = max(1, 2 * step, least >> 20)
-    return bins
+
+
+def size_class(size: Column) -> Column:
+    """The size itself up to EXACT, beyond it the next number with 16 leading bits."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(size.cast("double"))) - 15))
+    return F.when(size <= EXACT, size).otherwise((F.ceil(size / unit) * unit).cast("long"))
 
 
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,58 +121,60 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
     rows = stored(rows, "sizes")
-    groups = rows.groupBy("h", "text_crc32", "size").agg(F.sum("size").alias("bytes"))
-    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    group = ["h", "text_crc32", "size"]
+    groups = stored(rows.groupBy(*group).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "groups")
+    total, n_rows, n_groups = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_rows:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    quantum, fair, buckets = max(1, total // (SHARE * n_shards)), -(-total // n_shards), SHARE * n_shards
-    bucket = F.pmod("h", F.lit(buckets))
-    dealt = lambda n: F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), n)
-
-    groups = stored(groups, "groups")
-    large = groups.where(F.col("bytes") >= quantum)
-    light = groups.where(F.col("bytes") < quantum).groupBy(bucket.alias("bucket")).agg(F.sum("bytes").alias("bytes"))
-    large_rows = large.where(F.col("bytes") <= fair).collect()  # SHARE * n_shards at most, like the buckets
-    huge = large.where(F.col("bytes") > fair).withColumn("n", F.ceil(F.col("bytes") * PIECES / fair).cast("int"))
-    pieces = rows.join(F.broadcast(huge.drop("bytes")), ["h", "text_crc32", "size"]).withColumn("piece", dealt(F.col("n")).cast("int"))
-    piece_rows = pieces.groupBy("h", "text_crc32", "size", "n", "piece").agg(F.sum("size").alias("bytes")).collect()
-    bucket_rows = light.collect()
-
-    whole = [(r.h, r.text_crc32, r.size, 1, 0) for r in large_rows] + [(r.h, r.text_crc32, r.size, r.n, r.piece) for r in piece_rows]
-    sizes = [r.bytes for r in large_rows] + [r.bytes for r in piece_rows] + [r.bytes for r in bucket_rows]
-    bins = pack_into(sizes, n_shards)
-    by_group = spark.createDataFrame([(*w, b) for w, b in zip(whole, bins, strict=False)], "h long, text_crc32 long, size long, n int, piece int, own int")
-    by_bucket = spark.createDataFrame([(r.bucket, b) for r, b in zip(bucket_rows, bins[len(whole) :], strict=True)], "bucket long, gathered int")
-
-    split = by_group.select("h", "text_crc32", "size", "n").distinct()
-    placed = (
-        rows.join(F.broadcast(split), ["h", "text_crc32", "size"], "left")
-        .withColumn("piece", F.when(F.col("n") > 1, dealt(F.col("n"))).otherwise(F.lit(0)).cast("int"))
-        .join(F.broadcast(by_group.drop("n")), ["h", "text_crc32", "size", "piece"], "left")
-        .withColumn("bucket", bucket)
-        .join(F.broadcast(by_bucket), "bucket", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "gathered").alias("shard"))
-    )
-    return numbered(stored(placed, "placed"), n_rows, n_shards)
-
-
-def numbered(placed: DataFrame, n_rows: int, n_shards: int) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard. Parts of a shard are numbered each in its task, and start where the parts
-    before them, whose counts are summed up first, end."""
-    parts = max(1, -(-n_rows // (NUMBERED * n_shards)), min(16, n_rows // n_shards))
-    cut = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(parts)).cast("int"))
-    counts = cut.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("start"))
-    at = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        cut.withColumn("at", at)
-        .join(starts, ["shard", "part"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at") - 1).alias("slot"))
-    )
+    fair = -(-total // n_shards)
+    dealt = lambda n: F.pmod(F.xxhash64("row", F.lit(11)), n).cast("int")
+
+    # groups over the capacity, fewer than shards, are cut into pieces
+    huge = F.broadcast(groups.where(F.col("bytes") > fair).select(*group, F.ceil(F.col("bytes") * PIECES / fair).cast("int").alias("n")))
+    rows = rows.join(huge, group, "left").withColumn("piece", F.when(F.col("n").isNotNull(), dealt(F.col("n"))).otherwise(0)).drop("n")
+    pieces = rows.join(huge, group, "left_semi").groupBy(*group, "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"))
+    units = groups.where(F.col("bytes") <= fair).select(*group, F.lit(0).alias("piece"), "bytes", "copies").union(pieces)
+    units = stored(units.withColumn("run", size_class(F.col("bytes"))), "units")
+
+    runs = sorted((r.run, r.n) for r in units.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect())  # bounded, see above
+    spans = []
+    for (size, _), bins in zip(runs, pack_into(runs, n_shards), strict=True):
+        at = 0
+        for own, n in bins:
+            spans.append((size, at, at + n, own))
+            at += n
+    spans = spark.createDataFrame(spans, "run long, first long, next long, shard int").withColumnRenamed("run", "span_run")
+    placed = numbered(units, ["run"], n_groups, [*group, "piece"])
+    place = (F.col("run") == F.col("span_run")) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("next"))
+    placed = stored(placed.join(F.broadcast(spans), place).select(*group, "piece", "copies", "shard"), "placed")
+
+    # groups of many rows are sent to the rows, the others meet them by a shuffle
+    key = [*group, "piece"]
+    often = placed.where(F.col("copies") > OFTEN)
+    seldom = rows.join(small(placed.where(F.col("copies") <= OFTEN), n_groups), key).select("doc_id", "row", "size", "text_crc32", "shard")
+    if often.limit(1).count():
+        hot = F.broadcast(often)  # n_rows / OFTEN rows at most
+        # rows of often repeated texts leave before the shuffle
+        rest = rows.join(hot, key, "left_anti").join(small(placed.where(F.col("copies") <= OFTEN), n_groups), key)
+        seldom = rest.select("doc_id", "row", "size", "text_crc32", "shard").union(rows.join(hot, key).select("doc_id", "row", "size", "text_crc32", "shard"))
+    slots = numbered(stored(seldom, "sharded"), ["shard"], n_rows, ["doc_id", "row"])
+    return slots.select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def numbered(placed: DataFrame, by: list[str], n_rows: int, order: list[str]) -> DataFrame:
+    """Adds slot, gapless from 0 in each value of by. Parts of a value are numbered each in its task, and start where the
+    parts before them, whose counts are summed up first, end."""
+    parts = max(1, min(4096, n_rows // NUMBERED), min(16, n_rows // 40))
+    cut = placed.withColumn("part", F.pmod(F.xxhash64(*order, F.lit(3)), F.lit(parts)).cast("int"))
+    counts = cut.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*by, "part", F.coalesce(before, F.lit(0)).alias("start"))
+    at = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order))
+    return cut.withColumn("at", at).join(starts, [*by, "part"]).withColumn("slot", F.col("start") + F.col("at") - 1).drop("part", "at", "start")
