@@ -4,10 +4,12 @@ Every id takes the least number of bits that the vocabulary needs. A file is a P
 block holds whole documents (one, if it is longer than BLOCK_IDS), their ids packed one after the other, and for each
 document where it ends, so one document is read by unpacking its own bits and nothing else. Documents lie in ascending
 doc_id order (nulls first), within a shard and from shard to shard. Shards are ranges of doc_id from quantiles of the id
-column alone; ids are made where the texts lie and only they move.
+column alone; a doc_id (or null) that fills shards by itself is cut further by the checksum of its texts. Ids are made
+where the texts lie and only they move.
 
 Nulls: a null text is empty and has the end id alone; null doc_ids come first. Rows that repeat a doc_id follow each
-other, ordered by their ids' checksum and length.
+other, ordered by their text's checksum, their length and their ids' checksum; rows that tie in all that are equal. A very
+long text is a block of its own. An empty table gives no files and an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,6 +36,8 @@ SHARD_DOCS = 4000
 SHARDS_MOST = 20_000
 #: Words whose ids a worker remembers, and as many older ones.
 REMEMBERED = 250_000
+#: Stands for a null doc_id in bounds, before all others.
+LEAST = int(np.iinfo(np.int64).min)
 
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
 
@@ -75,9 +80,43 @@ def vocabulary_size(path: str) -> int:
     return _tokenizer(path).get_vocab_size()
 
 
+#: Texts on which ids by words must be those of whole texts before a tokenizer is trusted with words.
+PROBES = (
+    "Plain words, and more. Of 10 or 2.5: it's I'LL we'd.", "tab\there\n\nline\x0b\x0c\rend", "a.b c,d e., f.,g (h) [i] {j}. k", "ÀÉ ß İ ǅ ΑΣ. Σ, 日本語。 テキスト é\u0301.",
+    "x  y   z", " lead and trail ", "under_score a-b-c #*$%&|", "a. b, c.d e,f 9. 9, ..", "no\u00a0break\u2003space\u3000wide", "😀 ok. 👍🏽,",
+)
+
+
+def cuts_at_words(path: str) -> bool:
+    """Whether the tokenizer's own file says that it lowers its input, cuts at white space and drops it, and the probes
+    agree."""
+    told = json.loads(_tokenizer(path).to_str())
+    steps = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
+    normal, first = steps(told["normalizer"], "normalizers"), steps(told["pre_tokenizer"], "pretokenizers")[:1]
+    lowers = any(x["type"] == "Lowercase" for x in normal) and all(x["type"] in ("NFC", "Lowercase", "Replace") for x in normal)
+    spaces = all(x["type"] != "Replace" or (x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in normal)
+    drops = bool(first) and first[0]["type"] == "Split" and first[0]["behavior"] == "Removed" and first[0]["invert"]
+    if not (lowers and spaces and drops and any(t.special for t in _tokenizer(path).get_added_tokens_decoder().values())):
+        return False
+    words = WordIds(path)
+    return all(np.array_equal(np.frombuffer(x, words.kind), words._encode(t)) for t, x in zip(PROBES, words(PROBES), strict=True))
+
+
+class WholeIds:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        self._tokenizer = _tokenizer(path)
+        self.kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        done = self._tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, self.kind).tobytes() for x in done]
+
+
 class WordIds:
     """Ids of a text from those of its words: right for tokenizers that lower their input and whose pre-tokenizer cuts at
-    ASCII white space, which it drops, and between letters or digits and marks. So a full stop or comma that ends a word
+    ASCII white space, which it drops, and between letters or digits and marks (see cuts_at_words). So a full stop or comma that ends a word
     counts as a word. Only words not seen lately go to the tokenizer, many in one call: a special token, which no word
     given so holds, keeps them apart. A text that may hold a special token goes there as it is."""
 
@@ -137,16 +176,17 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str) -> WordIds | WholeIds:
     """One for each worker process, so that its tasks share what is known."""
-    return WordIds(path)
+    return WordIds(path) if cuts_at_words(path) else WholeIds(path)
 
 
-def encode(docs: DataFrame, path: str, end_id: int, ends: list[int]) -> DataFrame:
-    """(doc_id, shard, n_tokens, packed) of docs (doc_id, text): the ids of the text and end_id; ends are the upper ends
-    of the shards but the last."""
+def encode(docs: DataFrame, path: str, end_id: int, bounds: list[tuple[int, int]]) -> DataFrame:
+    """(doc_id, shard, text_crc, n_tokens, packed) of docs (doc_id, text): the ids of the text and end_id; bounds are the
+    upper ends of the ranges but the last and the shards of each range."""
     bits = bits_for(vocabulary_size(path))
-    below = np.array(ends, np.int64)
+    below, parts = np.array([e for e, _ in bounds], np.int64), np.array([n for _, n in bounds] + [1], np.int64)
+    base = np.cumsum(parts) - parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(path)
@@ -155,24 +195,36 @@ def encode(docs: DataFrame, path: str, end_id: int, ends: list[int]) -> DataFram
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 docs = batch.column("doc_id")
-                place = np.searchsorted(below, docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
-                ids = [x + end for x in ids_of(batch.column("text").to_pylist())]
+                place = np.searchsorted(below, docs.fill_null(LEAST).to_numpy(zero_copy_only=False), "left")
+                texts = batch.column("text").to_pylist()
+                crc = np.array([zlib.crc32((t or "").encode()) for t in texts], np.int64)
+                place = base[place] + (crc * parts[place] >> 32)
+                ids = [x + end for x in ids_of(texts)]
                 packed = ids if whole_bytes else [pack(np.frombuffer(x, kind), bits) for x in ids]
                 counts = [len(x) // kind.itemsize for x in ids]
-                cols = [docs, pa.array(place, pa.int32()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shard", "n_tokens", "packed"])
+                cols = [docs, pa.array(place, pa.int32()), pa.array(crc), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shard", "text_crc", "n_tokens", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shard int, n_tokens long, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shard int, text_crc long, n_tokens long, packed binary")
 
 
-def _boundaries(ids: DataFrame) -> list[int]:
-    """Upper ends of the shards but the last, from a quantile sketch of doc_id (bounded by SHARDS_MOST numbers)."""
-    n = ids.count()
+def _boundaries(ids: DataFrame) -> list[tuple[int, int]]:
+    """Upper ends of the ranges of doc_id but the last, and the shards of each: from a quantile sketch of doc_id (bounded by
+    SHARDS_MOST numbers). An id that is several quantiles, or null if it is often, is a range of its own with several."""
+    n, nulls = ids.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
     shards = min(SHARDS_MOST, max(1, n // SHARD_DOCS))
     if shards == 1:
         return []
+    often = Counter({LEAST: nulls * shards // n})
     quantiles = ids.where("doc_id is not null").approxQuantile("doc_id", [k / shards for k in range(1, shards)], min(0.25, 0.1 / shards))
-    return sorted({int(q) for q in quantiles})
+    often.update(int(q) for q in quantiles)
+    out = {}
+    for q, times in often.items():
+        if times > 1 and q > LEAST:
+            out.setdefault(q - 1, 1)
+        if times:
+            out[q] = max(1, times)
+    return sorted(out.items())
 
 
 def write_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,9 +233,8 @@ def write_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     start: ids of the shard before the block; counts: each document's number of ids."""
     bits = bits_for(vocabulary_size(path))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ends = _boundaries(narrow.select("doc_id"))
-    encoded = encode(narrow, path, end_id, ends)
-    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("packed")]
+    encoded = encode(narrow, path, end_id, _boundaries(narrow.select("doc_id")))
+    order = [F.col("doc_id").asc_nulls_first(), "text_crc", "n_tokens", F.crc32("packed")]
     dealt = encoded.repartition("shard").sortWithinPartitions("shard", *order)
     schema = "shard int, block int, start long, bits int, doc_ids array<bigint>, counts array<bigint>, packed binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -237,11 +288,19 @@ def read_digests(files: DataFrame) -> DataFrame:
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_document(files: DataFrame, doc_id: int) -> list[list[int]]:
-    """The ids of the rows with this doc_id, unpacking nothing else: one block is fetched for each."""
-    hits = files.where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("shard", "block").limit(64).collect()
-    out = []
-    for r in hits:
-        at = np.concatenate(([0], np.cumsum(r.counts)))
-        out += [unpack(bytes(r.packed), r.bits, int(at[k]), r.counts[k]).tolist() for k, d in enumerate(r.doc_ids) if d == doc_id]
-    return out
+def read_documents(files: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of all rows with one of these doc_ids, unpacking nothing of the blocks but their own bits."""
+    wanted = frozenset(doc_ids)
+    array = F.array(*(F.lit(d).cast("long") for d in sorted(wanted))) if wanted else F.array().cast("array<bigint>")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, counts, bits, data in zip(*(batch.column(c) for c in ("doc_ids", "counts", "bits", "packed")), strict=True):
+                docs, counts = docs.as_py(), counts.as_py()
+                at = np.concatenate(([0], np.cumsum(counts)))
+                hits = [k for k, d in enumerate(docs) if d in wanted]
+                ids = [unpack(data.as_py(), bits.as_py(), int(at[k]), counts[k]).astype(np.int64) for k in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([docs[k] for k in hits], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    hits = files.where(F.arrays_overlap("doc_ids", array)).select("doc_ids", "counts", "bits", "packed")
+    return hits.mapInArrow(read, "doc_id long, ids array<bigint>")
