@@ -8,9 +8,10 @@ certified cutoffs the one that rejects most documents labelled bad is used, the
 rejects more of them, by share, than of the good. So with probability 1 - DELTA at least no stratum loses more than RISK
 of its good documents to the signals. A stratum with too few labels has no certified cutoff, and keeps its documents.
 
-Nulls: a null text has no words; a null language is a stratum; labels without a quality are left out, and a doc_id
-with several labels is good only if all of them say so. Rows that repeat a doc_id each get their row (and count in the
-holdout as often). Empty tables give empty results.
+Nulls: a null text has no words; a null language and an empty one are one stratum; labels without a quality are left out,
+and a doc_id with several labels is good only if all of them say so. Rows that repeat a doc_id each get their row (and
+count in the holdout as often). Ties: of cutoffs that reject as many the loosest is used. Very long texts are counted whole.
+Empty tables give empty results; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACES, SPACES, stored
+from .common import NOT_SPACES, SPACES, small, stored
 
 RISK = 0.02
 DELTA = 0.05
@@ -124,9 +125,10 @@ def thresholds(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
 def judge(feats: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """feats with base_failed and kept. cutoffs: what thresholds() returns; a signal without one rejects nothing."""
     names = list(GRID)
+    cutoffs = stored(cutoffs, "cutoffs")
     wide = cutoffs.groupBy("stratum").pivot("signal", names).agg(F.first("cutoff"))
     wide = wide.select("stratum", *(F.col(n).alias(f"cut_{n}") for n in names))
-    out = feats.join(wide, "stratum", "left").withColumn("base_failed", base_failed())
+    out = feats.join(small(wide, cutoffs.count()), "stratum", "left").withColumn("base_failed", base_failed())
     over = [F.coalesce(x > F.col(f"cut_{n}"), F.lit(False)) for n, x in signals().items()]
     rejected = F.col("base_failed")
     for x in over:
