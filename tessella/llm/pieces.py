@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A text is normalised as the model says (a space in front, spaces as the mark U+2581, nothing else changed) and cut into
-chunks where no piece reaches across: before a run of spaces and around characters that no longer piece contains. The
-new chunks of a batch are laid one after the other and indexed: the suffix array of that text (sorted to KEY bytes,
-longer pieces are confirmed beyond) is searched for every piece of the vocabulary by bisection, which gives the range of
-its occurrences. Those edges, start, length and rank, are sorted to their positions in a table.
+chunks where no piece reaches across: before a run of spaces and around characters that no longer piece contains; a long
+chunk is cut again between any two characters that are neighbours in no piece. The different chunks of a batch (those not
+met lately) are laid one after the other and indexed: the suffix array of that text, in the order of the first bytes as far
+as the longest piece reaches, made by doubling ranks, is searched for every piece of the vocabulary by bisection, which
+gives the range of its occurrences. Those edges, start, length and rank, are sorted to their positions in a table.
 
 Then the edges are relaxed. In a model of the BPE kind, the kind of the public model used here, the best segmentation is
 not the path with the largest sum but what merging makes: again and again the two neighbouring symbols whose union is
@@ -12,8 +13,12 @@ the best-ranked piece, leftmost first, become one. So an edge is relaxed when it
 round in every chunk at once, chunks without an edge left dropping out. Long chunks do the same with a heap. Characters
 that no piece covers become their bytes. Ids are those of the sentencepiece library.
 
+Models of another kind, with a normaliser, or that remove spaces are refused: their ids would be wrong.
+
 Nulls: a null text has no ids and decodes to the empty text. The mark U+2581 in a text reads back as a space, as in the
-library. Rows that repeat a doc_id each get their row.
+library. Rows that repeat a doc_id each get their row. Very long texts are matched in parts of INDEXED bytes; a single
+chunk of unlimited length with no cut in it (one letter, repeated) is one part. An empty table gives an empty result;
+further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 MARK = "▁"
+#: Bytes by which suffixes are sorted first; each doubling sorts them by twice as many.
 KEY = 8
 #: Bytes of new chunks that are indexed at once.
 INDEXED = 1 << 19
@@ -42,10 +48,50 @@ LONG = 96
 _NONE = np.int32(1 << 30)
 
 
+def _fields(data: bytes) -> dict[int, object]:
+    """The fields of a message in the protobuf encoding: numbers and bytes, the last of each (maps of no interest here)."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            out[tag >> 3] = number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            out[tag >> 3] = data[at : at + size]
+            at += size
+    return out
+
+
+def check_model(data: bytes) -> None:
+    """Raises unless the model is of the BPE kind, leaves characters as they are and puts a space in front.
+
+    Numbers of fields and of the kind are fixed values of the format."""
+    trainer, normal = (_fields(_fields(data).get(k, b"")) for k in (2, 3))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("not a model of the BPE kind")
+    if normal.get(2) or normal.get(4, 1) or not normal.get(3, 1) or not normal.get(5, 1):
+        raise ValueError("the model has a normaliser that changes the text")
+
+
 class Vocabulary:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        with open(path, "rb") as f:
+            check_model(f.read())
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         pieces = [model.id_to_piece(k) for k in range(n)]
@@ -73,15 +119,27 @@ class Vocabulary:
             raise ValueError("a piece goes on after a space within: chunks cannot end before spaces")
         alone = "".join(sorted({"\n", "\t", "\r"} - set("".join(many))))
         self.chunks = re.compile(rf" *[^ {re.escape(alone)}]+| +|[{re.escape(alone)}]" if alone else " *[^ ]+| +")
-        padded = np.zeros((len(normal), 8 * -(-self.longest // 8)), np.uint8)
+        self.pairs = frozenset(p[k : k + 2] for p in many for k in range(len(p) - 1))
+        self.length = np.array([len(p) for p in self.bytes_of_rank])
+        self.width = KEY
+        while self.width < self.longest:
+            self.width *= 2
+        padded = np.zeros((len(normal), self.width), np.uint8)
         for k, p in enumerate(self.bytes_of_rank):
             padded[k, : len(p)] = np.frombuffer(p, np.uint8)
-        self.padded, self.length = padded, np.array([len(p) for p in self.bytes_of_rank])
-        first = np.ascontiguousarray(padded[:, :KEY]).view(">u8").ravel().astype(np.uint64)
-        free = np.uint64(8) * (KEY - np.minimum(self.length, KEY)).astype(np.uint64)
-        self.low = first
-        self.high = first | ((np.uint64(1) << np.minimum(free, np.uint64(63))) - np.uint64(1))
-        self.high[free == 64] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        # a piece as the least and the largest text that begins with it
+        self.low = padded.view(f"S{self.width}").ravel()
+        after = np.arange(self.width)[None, :] >= self.length[:, None]
+        self.high = np.where(after, np.uint8(255), padded).view(f"S{self.width}").ravel()
+
+    def cut(self, chunk: str) -> list[str]:
+        """A long chunk in parts that no piece reaches across."""
+        out, begun, pairs = [], 0, self.pairs
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in pairs:
+                out.append(chunk[begun:k])
+                begun = k
+        return [*out, chunk[begun:]]
 
 
 @cache
@@ -89,28 +147,40 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def edges(text: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Table of ranks by position and length: which pieces occur in the text (bytes), and where."""
+def suffix_array(text: np.ndarray, width: int) -> np.ndarray:
+    """The suffixes of a text (bytes above zero) in the order of their first width bytes, a power of two times KEY; equal
+    ones in the order of their places."""
     n = len(text)
-    padded = np.concatenate((text, np.zeros(v.padded.shape[1], np.uint8)))
+    padded = np.concatenate((text, np.zeros(KEY, np.uint8)))
     key = np.zeros(n, np.uint64)
     for k in range(KEY):
         key = (key << np.uint64(8)) | padded[k : n + k]
-    suffixes = np.argsort(key, kind="stable")
-    ordered = key[suffixes]
+    order, sorted_by = np.argsort(key, kind="stable"), KEY
+    ranked = key[order]
+    while True:
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])[:n]) + 1
+        if sorted_by >= width or rank.max(initial=0) == n:
+            return order
+        key = rank << np.uint64(32)
+        more = max(0, n - sorted_by)
+        key[:more] |= rank[sorted_by : sorted_by + more]
+        order = np.argsort(key, kind="stable")
+        ranked, sorted_by = key[order], 2 * sorted_by
+
+
+def edges(text: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Table of ranks by position and length: which pieces occur in the text (bytes), and where."""
+    n = len(text)
+    suffixes = suffix_array(text, v.width)
+    padded = np.concatenate((text, np.zeros(v.width, np.uint8)))
+    ordered = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, v.width)[suffixes]).view(f"S{v.width}").ravel()
     low, high = np.searchsorted(ordered, v.low, "left"), np.searchsorted(ordered, v.high, "right")
     count = high - low
     found = np.nonzero(count)[0]
     count = count[found]
     rank = np.repeat(found, count)
     at = suffixes[np.arange(count.sum()) + np.repeat(low[found] - (np.cumsum(count) - count), count)]
-    for k in range(KEY, v.longest):  # beyond the key
-        over = v.length[rank] > k
-        if not over.any():
-            break
-        same = ~over
-        same[over] = padded[at[over] + k] == v.padded[rank[over], k]
-        rank, at = rank[same], at[same]
     table = np.full((n, v.longest + 1), _NONE, np.int32)
     fits = at + v.length[rank] <= n
     table[at[fits], v.length[rank[fits]]] = rank[fits]
@@ -156,9 +226,9 @@ def segment(chunks: list[bytes], v: Vocabulary) -> list[bytes]:
     done_s, done_e = [], []
     size = np.diff(stops, prepend=0)
     long_ = np.nonzero(size > LONG)[0]
+    first, last = np.searchsorted(start, stops - size), np.searchsorted(start, stops)
     for c in long_.tolist():
-        mine = owner == c
-        merged = _one(start[mine], table, int(stops[c]))
+        merged = _one(start[first[c] : last[c]], table, int(stops[c]))
         done_s.append(np.array([a for a, _ in merged]))
         done_e.append(np.array([b for _, b in merged]))
     if len(long_):
@@ -209,8 +279,14 @@ class Encoder:
         self.v = vocabulary(path)
         self._known: dict[str, bytes] = {}
 
+    def _chunks(self, text: str) -> list[str]:
+        chunks = self.v.chunks.findall(text)
+        if len(text) < LONG or max(map(len, chunks)) < LONG // 4:
+            return chunks
+        return [part for c in chunks for part in (self.v.cut(c) if len(c) >= LONG // 4 else (c,))]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.v.chunks.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        split = [self._chunks(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self._known) > REMEMBERED:
             self._known.clear()
         new = list(set().union(*split).difference(self._known)) if split else []
