@@ -4,11 +4,18 @@ A logistic regression on the counted signals of a text, fitted on a bounded samp
 document its own evidence. Sites are judged by grouped aggregation: each host, and each path of a host, has the sum of
 its documents' evidence (the label where there is one, else the classifier's probability). A host's rate is shrunk
 towards the global rate and a path's towards its host's, with as much prior weight as the spread between sites calls
-for (method of moments), so that sparse sites say little. The posterior log odds of a document are its own plus those of
-its path over the global ones.
+for (method of moments), so that sparse sites say little. A document is left out of the sums by which it is judged: its own
+evidence counts once. The posterior log odds of a document are its own plus those of its path over the global ones.
 
-Nulls: a null text has no words, a null host or path is a site of its own, rows without a quality are not labelled.
-Rows that repeat a doc_id each get their row. With fewer than LEAST labels, or of one kind, the classifier is the prior.
+Host and path are any two columns (url_site() makes them of a URL); the table documents has no URL, so op10 takes the
+source as the host and the language as the section of it that stands for a path.
+
+Evidence is added up as whole billionths, so sums don't depend on the order of rows.
+
+Nulls: a null text has no words, a null host or path is a site of its own, rows without a quality are not labelled; a
+doc_id with several labels is good only if all of them say so. Rows that repeat a doc_id each get their row and count each.
+Ties don't arise: nothing is ranked. Very long texts are counted whole. With fewer than LEAST labels, or of one kind, the
+classifier is the prior. An empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 from .rules import features, signals
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of doc_id.
@@ -66,10 +73,24 @@ def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """(doc_id, host, path, doc_prob, host_rate, path_rate, posterior, kept) for every row of docs."""
-    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00null"))
-    named = docs.select("doc_id", "text", F.lit("").alias("lang"), site(host_col).alias("host"), site(path_col).alias("path"))
+#: Of a sum of evidence.
+UNIT = 1_000_000_000
+
+
+def url_site(url: Column) -> tuple[Column, Column]:
+    """Host of a URL (lower case, without user and port) and the first step of its path ('' if it has none)."""
+    rest = F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    ends = F.split(F.regexp_replace(rest, "[?#].*$", ""), "/")
+    host = F.lower(F.regexp_replace(F.regexp_replace(ends[0], "^.*@", ""), ":[0-9]*$", ""))
+    return host, F.coalesce(F.get(ends, F.lit(1)), F.lit(""))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """(doc_id, host, path, doc_prob, host_rate, path_rate, posterior, kept) for every row of docs. Rates are those without
+    the document itself."""
+    host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
+    site = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
+    named = docs.select("doc_id", "text", F.lit("").alias("lang"), site(host).alias("host"), site(path).alias("path"))
     feats = stored(features(named, {"host": F.col("host"), "path": F.col("path")}), "features")
     intercept, weights, _ = fit(feats, labels)
     odds = F.lit(intercept)
@@ -77,38 +98,49 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
         if name in weights:
             odds = odds + weights[name] * x.cast("double")
     quality = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("good"))
-    probable = feats.select("doc_id", "host", "path", odds.alias("own"))
-    evidence = probable.join(quality, "doc_id", "left").select("host", "path", F.coalesce("good", 1 / (1 + F.exp(-F.col("own")))).alias("e"))
-    evidence = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("m"), F.sum("e").alias("e"))
-    return _combined(probable, stored(evidence, "evidence"))
+    evidence = F.round(F.coalesce("good", 1 / (1 + F.exp(-F.col("own")))) * UNIT).cast("long")
+    probable = feats.select("doc_id", "host", "path", odds.alias("own")).join(quality, "doc_id", "left").withColumn("e", evidence).drop("good")
+    return combined(stored(probable, "evidence"))
+
+
+#: Stands for a null host or path.
+NULL = "\x00null"
 
 
-def _combined(probable: DataFrame, sites: DataFrame) -> DataFrame:
-    overall = sites.agg(F.sum("e") / F.sum("m")).first()[0]
-    if overall is None:
+def combined(probable: DataFrame) -> DataFrame:
+    """The result of classify() from (doc_id, host, path, own, e): own log odds and evidence in units."""
+    paths = stored(probable.groupBy("host", "path").agg(F.count(F.lit(1)).alias("m"), F.sum("e").alias("s")), "sites")
+    hosts = stored(paths.groupBy("host").agg(F.sum("m").alias("m"), F.sum("s").alias("s")), "sites")
+    total, good = hosts.agg(F.sum("m"), F.sum("s")).first()
+    if not total:
         return probable.select("doc_id", "host", "path", *(F.lit(None).cast("double").alias(c) for c in ("doc_prob", "host_rate", "path_rate", "posterior")), F.lit(None).cast("boolean").alias("kept"))
-    hosts = _shrunk(sites.groupBy("host").agg(F.sum("m").alias("m"), F.sum("e").alias("e")).withColumn("prior", F.lit(float(overall))), ["host"], "host_rate")
-    paths = _shrunk(sites.join(hosts, "host").withColumn("prior", F.col("host_rate")), ["host", "path", "host_rate"], "path_rate")
-    out = probable.join(paths, ["host", "path"])
-    posterior = 1 / (1 + F.exp(-(F.col("own") + _odds(F.col("path_rate")) - _odds(F.lit(float(overall))))))
+    overall = good / UNIT / total
+    host_weight = prior_weight(hosts.withColumn("prior", F.lit(overall)))
+    rate = lambda s, m, w, prior: (s / UNIT + w * prior) / (m + w)
+    known = hosts.withColumn("prior", rate(F.col("s"), F.col("m"), host_weight, F.lit(overall))).select("host", "prior", F.col("m").alias("host_m"), F.col("s").alias("host_s"))
+    sites = stored(paths.join(known, "host"), "sites")
+    path_weight = prior_weight(sites)
+    # a site of many documents meets them where they lie
+    out = probable.join(small(sites, sites.count()), ["host", "path"])
+    host_rate = rate(F.col("host_s") - F.col("e"), F.col("host_m") - 1, host_weight, F.lit(overall))
+    path_rate = rate(F.col("s") - F.col("e"), F.col("m") - 1, path_weight, host_rate)
+    posterior = 1 / (1 + F.exp(-(F.col("own") + _odds(path_rate) - _odds(F.lit(overall)))))
     return out.select(
         "doc_id",
-        F.nullif(F.col("host"), F.lit("\x00null")).alias("host"),
-        F.nullif(F.col("path"), F.lit("\x00null")).alias("path"),
+        F.nullif(F.col("host"), F.lit(NULL)).alias("host"),
+        F.nullif(F.col("path"), F.lit(NULL)).alias("path"),
         F.round(1 / (1 + F.exp(-F.col("own"))), 6).alias("doc_prob"),
-        F.round("host_rate", 6).alias("host_rate"),
-        F.round("path_rate", 6).alias("path_rate"),
+        F.round(host_rate, 6).alias("host_rate"),
+        F.round(path_rate, 6).alias("path_rate"),
         F.round(posterior, 6).alias("posterior"),
         (posterior >= KEEP).alias("kept"),
     )
 
 
-def _shrunk(sites: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """keys and the shrunk rate of sites (m documents, sum e of their evidence, prior)."""
-    sites = stored(sites, "sites")
+def prior_weight(sites: DataFrame) -> float:
+    """The documents that the prior of sites (m documents, s units of evidence, prior) counts for, by the method of moments:
+    few where sites lie further apart than chance makes them."""
     q, m = F.col("prior") * (1 - F.col("prior")), F.col("m")
-    total, spread, chance, within = sites.agg(F.sum(m), F.sum(m * F.pow(F.col("e") / m - F.col("prior"), 2)), F.sum(q), F.sum(m * q)).first()
-    weight = WEIGHT_MOST
-    if total and spread > chance:  # what the distances between sites exceed those that chance alone makes
-        weight = min(WEIGHT_MOST, max(WEIGHT_LEAST, within / (spread - chance) - 1))
-    return sites.select(*keys, ((F.col("e") + weight * F.col("prior")) / (m + weight)).alias(name))
+    exact = lambda x: F.sum(F.round(x * UNIT).cast("decimal(38,0)"))
+    spread, chance, within = (float(x or 0) for x in sites.agg(exact(m * F.pow(F.col("s") / UNIT / m - F.col("prior"), 2)), exact(q), exact(m * q)).first())
+    return min(WEIGHT_MOST, max(WEIGHT_LEAST, within / (spread - chance) - 1)) if spread > chance else WEIGHT_MOST
