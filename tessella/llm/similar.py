@@ -76,19 +76,26 @@ def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> tuple[np.ndarray, np.
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set 128 bits of SimHash and 128 parity bits, as two rows of two words."""
-    sim, odd = np.zeros((len(at) - 1, 128), np.int64), np.zeros((len(at) - 1, 128), np.int64)
-    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    """For each set 128 bits of SimHash and 128 parity bits, as two columns of words."""
+    n = len(at) - 1
+    ones, odd = np.zeros((n, 128), np.int64), np.zeros((n, 2), np.uint64)
+    own = np.repeat(np.arange(n), np.diff(at))
     for s in range(0, len(h), 1 << 16):
         part, to = h[s : s + (1 << 16)], own[s : s + (1 << 16)]
+        run = np.nonzero(np.append(True, to[1:] != to[:-1]))[0]
+        place = part >> np.uint64(57)
+        single = np.uint64(1) << (place & np.uint64(63))
+        for k in range(2):
+            odd[to[run], k] ^= np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, single, np.uint64(0)), run)
+        # bits are counted eight at once, as bytes of a word: so at most 255 rows in a sum
+        inside = np.arange(len(to)) - np.repeat(run, np.diff(np.append(run, len(to))))
+        cut = np.nonzero(inside % 255 == 0)[0]
         wide = np.stack([part, mix64(part ^ np.uint64(0x51ED270B35A4C8E1))], axis=1)
-        bits = np.unpackbits(wide.view(np.uint8).reshape(-1, 16), axis=1)
-        edge = np.nonzero(np.append(True, to[1:] != to[:-1]))[0]
-        sim[to[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
-        np.add.at(odd, (to, (part >> np.uint64(57)).astype(np.int64)), 1)
-    size = np.diff(at)[:, None]
-    pack = lambda x: np.packbits(x, axis=1).view(np.uint64).reshape(-1, 2)
-    return pack(2 * sim > size), pack(odd & 1)
+        bits = np.unpackbits(wide.view(np.uint8).reshape(-1, 16), axis=1).view(np.uint64)
+        counts = np.add.reduceat(bits, cut, axis=0).view(np.uint8).astype(np.int32)
+        ones[to[run]] += np.add.reduceat(counts, np.searchsorted(cut, run), axis=0)
+    sim = np.packbits(2 * ones > np.diff(at)[:, None], axis=1).view(np.uint64).reshape(-1, 2)
+    return sim, odd
 
 
 def _per_slice(docs: DataFrame, make, schema: str, *columns: str) -> DataFrame:
