@@ -4,6 +4,7 @@ that clash with what the operators make, and on an empty table."""
 import collections
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm import bayes, chat, media, mixing, packing, pieces, rules, sharding, simhash, substrings
+from tessella.llm import bayes, chat, media, mixing, packing, pieces, queries, rules, sharding, simhash, substrings
 from tessella.llm.common import indexed, keyed, stored
 from tessella.llm.queries import tokenizer_file
 
@@ -251,7 +252,25 @@ def test_best_fit_decreasing():
             free += [] if fit else [60]
             free[at] -= sizes[k]
             want[k] = at
-        assert sharding.best_fit_decreasing(sizes, 60) == [want[k] for k in range(len(sizes))]
+        runs = sorted(collections.Counter(sizes).items())
+        placed = dict(zip((x for x, _ in runs), sharding.best_fit_decreasing(runs, 60), strict=True))
+        own = {x: [b for b, n in bins for _ in range(n)] for x, bins in placed.items()}
+        order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+        assert [own[sizes[k]].pop(0) for k in order] == [want[k] for k in order]
+
+
+def test_size_classes(spark):
+    sizes = [1, 17, sharding.EXACT, sharding.EXACT + 1, 10**6 + 3, 2**31 + 5, 10**13 + 7]
+    got = [r.c for r in spark.createDataFrame([(k,) for k in sizes], "size long").select(sharding.size_class(F.col("size")).alias("c")).collect()]
+    assert got[:3] == sizes[:3] and all(s <= c <= s * (1 + 2**-15) for s, c in zip(sizes, got, strict=True))
+
+
+def test_shards_split_a_hot_text_of_null_ids(spark):
+    rows = [(None, "hot text of many words")] * 3000 + [(k, f"text {k}") for k in range(300)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 8)
+    sizes = [r.b for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 1.1 * min(sizes)
+    assert got.groupBy("shard", "slot").count().where("count > 1").count() == 0
 
 
 def test_sainte_lague():
@@ -338,7 +357,7 @@ def test_packing(docs):
         at += n
     assert [g[1] for g in got] == sorted((g[1] for g in got), key=lambda d: (d is not None, d or 0))
     if rows:
-        assert packing.read_document(files, 41) == [ids[[r[0] for r in rows].index(41)]]
+        assert [list(r.ids) for r in packing.read_documents(files, [41]).collect()] == [ids[[r[0] for r in rows].index(41)]]
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 31, 32])
@@ -405,11 +424,13 @@ def test_substrings(docs):
     assert kept == collections.Counter((w[0], w[3]) for w in want)
 
 
-@pytest.mark.parametrize("contexts", [512, 1])
-def test_substrings_of_few_words(spark, monkeypatch, contexts):
-    """Few different words: many chance repeats, periods and overlaps; several batches and groups over their edges; also
-    with all anchors treated as hot ones."""
+@pytest.mark.parametrize(("contexts", "sent"), [(512, 400_000), (512, 0), (1, 400_000), (40, 2000)])
+def test_substrings_of_few_words(spark, monkeypatch, contexts, sent):
+    """Few different words: many chance repeats, periods and overlaps; several batches and groups over their edges; with all
+    that may be broadcast, with nothing broadcast, with nearly all anchors treated as hot ones, and with some of each."""
     monkeypatch.setattr(substrings, "CONTEXTS", contexts)
+    monkeypatch.setattr(substrings, "BROADCAST_WORDS", sent)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 1000)
     rng = random.Random(8)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(15, 200))) for _ in range(60)]
     texts += [" ".join(["a"] * n) for n in (19, 20, 21, 100, 400)] + ["a b c " * 90, "b c a " * 70]
@@ -438,6 +459,25 @@ def test_suffix_automaton():
         assert shard.feed(text[-1]) == want
 
 
+def test_shards_read_back():
+    rng = random.Random(16)
+    shard, segments = substrings.Shard(), []
+    for k in range(30):
+        segments.append((k // 3, 40 * (k % 3), [rng.choice([b"a", b"b", b"\xc3\xa9"]) for _ in range(rng.randint(5, 30))]))
+        shard.add(*segments[-1])
+    reader, window = substrings.Reader(shard.written()), 5
+    first = {}
+    for key, start, words in segments:
+        for i in range(len(words) - window + 1):
+            first.setdefault(tuple(words[i : i + window]), (key, start + i))
+    for key, start, words in [*segments, (4, 7, [rng.choice([b"a", b"b", b"new"]) for _ in range(300)]), (99, 0, segments[3][2]), (99, 0, [b"new"] * 9)]:
+        got = [False] * len(words)
+        for a, n in reader.repeats(words, key, start, window):
+            got[a : a + n] = [True] * n
+        want = [tuple(words[i : i + window]) in first and first[tuple(words[i : i + window])] < (key, start + i) for i in range(len(words) - window + 1)]
+        assert got[: len(want)] == want and not any(got[len(want) :])
+
+
 def plain_features(text):
     w = [x.decode() for x in word_list(text)]
     lines = [x for x in (text or "").split("\n") if word_list(x)]
@@ -538,12 +578,208 @@ def test_bayes_held_out(spark, small_dir):
     assert right >= 0.95 and right > prior
 
 
+def plain_posteriors(rows):
+    """rows: (host, path, own log odds, evidence)."""
+    n, overall = len(rows), sum(r[3] for r in rows) / len(rows)
+    odds = lambda p: math.log(min(1 - 1e-9, max(1e-9, p)) / (1 - min(1 - 1e-9, max(1e-9, p))))
+
+    def weight(sites):
+        spread = sum(len(e) * (sum(e) / len(e) - p) ** 2 for e, p in sites)
+        chance, within = sum(p * (1 - p) for _, p in sites), sum(len(e) * p * (1 - p) for e, p in sites)
+        return min(bayes.WEIGHT_MOST, max(bayes.WEIGHT_LEAST, within / (spread - chance) - 1)) if spread > chance else bayes.WEIGHT_MOST
+
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for host, path, _, e in rows:
+        hosts[host].append(e)
+        paths[host, path].append(e)
+    host_w = weight([(e, overall) for e in hosts.values()])
+    prior = {h: (sum(e) + host_w * overall) / (len(e) + host_w) for h, e in hosts.items()}
+    path_w = weight([(e, prior[h]) for (h, _), e in paths.items()])
+    out = []
+    for host, path, own, e in rows:
+        h = (sum(hosts[host]) - e + host_w * overall) / (len(hosts[host]) - 1 + host_w)
+        p = (sum(paths[host, path]) - e + path_w * h) / (len(paths[host, path]) - 1 + path_w)
+        out.append((h, p, 1 / (1 + math.exp(-(own + odds(p) - odds(overall))))))
+    assert n == len(out)
+    return out
+
+
+def test_posteriors_by_hand(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(400):
+        host = rng.choice(["a", "a", "a", "b", "c", bayes.NULL])
+        path = rng.choice("xyz")
+        own = rng.gauss({"a": 1.0, "b": -1.5}.get(host, 0.2), 1)
+        rows.append((host, path, own, round(1 / (1 + math.exp(-own)), 9) if k % 3 else float(own > 0)))
+    rows += [("alone", "x", 0.3, 1.0), ("alone", "x", 0.3, 1.0)]
+    df = spark.createDataFrame([(k, h, p, o, round(e * bayes.UNIT)) for k, (h, p, o, e) in enumerate(rows)], "doc_id long, host string, path string, own double, e long").repartition(5)
+    got = {r.doc_id: r for r in bayes.combined(df).collect()}
+    for k, (h, p, post) in enumerate(plain_posteriors(rows)):
+        assert abs(got[k].host_rate - h) < 2e-6 and abs(got[k].path_rate - p) < 2e-6 and abs(got[k].posterior - post) < 2e-6, k
+        assert got[k].host == (None if rows[k][0] == bayes.NULL else rows[k][0])
+
+
+def test_url_sites(spark):
+    urls = ["http://A.example.com/fr/825?page=2", "https://u:p@m.example.net:8080/en/25#top", "https://x.org", "x.org/?q=/a", None]
+    host, path = bayes.url_site(F.col("u"))
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host, path).collect()]
+    assert got == [("a.example.com", "fr"), ("m.example.net", "en"), ("x.org", ""), ("x.org", ""), (None, "")]
+
+
 def test_sparse_sites_shrink(spark):
-    rows = [("big", "a", 1000, 300.0), ("big", "b", 1, 0.0), ("good", "a", 1000, 900.0), ("rare", "a", 1, 0.0)]
-    sites = spark.createDataFrame(rows, "host string, path string, m long, e double")
-    docs = spark.createDataFrame([(k, h, p, 0.0) for k, (h, p, _, _) in enumerate(rows)], "doc_id long, host string, path string, own double")
-    got = {(r.host, r.path): r for r in bayes._combined(docs, sites).collect()}
-    overall = 1200 / 2002
+    sites = {("big", "a"): (1000, 300), ("big", "b"): (2, 0), ("good", "a"): (1000, 900), ("rare", "a"): (2, 0)}
+    rows = [(h, p, 0.0, bayes.UNIT if k < good else 0) for (h, p), (m, good) in sites.items() for k in range(m)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, host string, path string, own double, e long")
+    got = {(r.host, r.path): r for r in bayes.combined(df).collect()}
+    overall = 1200 / 2004
     assert abs(got["rare", "a"].host_rate - overall) < abs(got["big", "a"].host_rate - overall)
     assert got["good", "a"].host_rate > 0.85 and got["big", "a"].host_rate < 0.35
     assert 0.0 < got["big", "b"].path_rate < got["big", "b"].host_rate
+
+
+def test_simhash_of_null_ids_alone(spark):
+    """Fingerprints of null ids are linked, may join others, and a repeated id joins nothing."""
+    base = " ".join(f"w{k}" for k in range(400))
+    near = next(t for k in range(400) if (t := base.replace(f"w{k} ", f"n{k} ")) and 0 < (simhash.fingerprint(t) ^ simhash.fingerprint(base)).bit_count() <= 4)
+    other = " ".join(f"v{k}" for k in range(50))
+    rows = [(3, base), (None, near), (3, other), (5, other), (9, other + " z " * 40)]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(3, 3), (None, 3), (5, 3), (9, 9)} == got
+    rows = [(7, base), (None, near), (2, other), (7, other + " z " * 40)]
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(7, 7): 2, (None, 7): 1, (2, 2): 1}
+
+
+def test_chat_odd_records(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [
+        (1, '{"prompt": "hi \\ud83d", "response": "a"}'), (2, '{"prompt": ' + deep + ', "response": "a"}'), (3, '{"messages[].role": 1, "messages[].content": 2}'),
+        (4, '{"messages": [{"role": "user", "content": "q"}, "odd", 5]}'), (5, '{"messages": [{"role": "user", "content": [{"type": "text", "text": "q1"}, "q2"]}, {"role": "assistant", "content": "a"}]}'),
+        (6, '{"messages": "x"}'), (7, '{"a\\ud83d": 1}'), (8, None),
+    ]
+    df = spark.createDataFrame([(c, 0, r) for c, r in rows], "c long, o long, r string")
+    got = collections.defaultdict(list)
+    for r in chat.canonical_turns(df, "c", "o", "r").orderBy("conv_id", "step").collect():
+        got[r.conv_id].append((r.role, r.text, r.problem))
+    assert got[1] == [("user", "hi \ufffd", None), ("assistant", "a", None)]
+    assert got[2] == [(None, None, "nested too deep")] and got[3] == got[6] == got[7] == [(None, None, "no mapping")] and got[8] == [(None, None, "null")]
+    assert got[4] == [("user", "q", None), (None, '"odd"', "no object in a list of turns"), (None, "5", "no object in a list of turns")]
+    assert got[5] == [("user", "q1\nq2", None), ("assistant", "a", None)]
+    assert {r.conv_id for r in chat.conversation_digests(chat.format_chat(chat.canonical_turns(df, "c", "o", "r"))).collect()} == {1, 4, 5}
+
+
+def flac(n_frames, seed=3):
+    """A stream whose frames have valid checksums (their content is noise)."""
+    rng = random.Random(seed)
+    out = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(34)
+    for k in range(n_frames):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, k])
+        crc = 0
+        for x in head:
+            crc = media._CRC8[crc ^ x]
+        body = head + bytes([crc]) + bytes(rng.randrange(255) for _ in range(40))
+        crc = 0
+        for x in body:
+            crc = (crc << 8 & 0xFFFF) ^ media._CRC16[crc >> 8 ^ x]
+        out += body + crc.to_bytes(2, "big")
+    return out
+
+
+def test_more_formats_and_carving(spark):
+    import struct
+
+    whole, pdf = flac(3), b"%PDF-1.4 a startxref 9 %%EOF b startxref 20 %%EOF"
+    chunk = lambda name, data: name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    riff = lambda kind, *chunks: b"RIFF" + struct.pack("<I", 4 + sum(map(len, chunks))) + kind + b"".join(chunks)
+    box = lambda name, data: struct.pack(">I", 8 + len(data)) + name + data
+    mp4 = box(b"ftyp", b"isom") + box(b"moov", b"x" * 9) + box(b"mdat", b"y" * 30)
+    mp3 = b"ID3\4\0\0\0\0\0\5abcde" + 3 * (b"\xff\xfb\x90\0" + b"\1" * 413)
+    webp, headless = riff(b"WEBP", chunk(b"VP8L", b"abc")), riff(b"WAVE", chunk(b"JUNK", b"1234"), chunk(b"data", b"12"))
+    short = riff(b"WAVE", chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8)), chunk(b"tlen", b"12"), chunk(b"data", b"12"))
+    want = {1: [("audio/flac", whole), ("image/png", png())], 2: [("application/pdf", pdf), ("application/pdf", pdf)], 3: [("video/mp4", mp4)], 4: [("audio/mpeg", mp3)], 5: [("image/webp", webp)], 6: [], 7: [("audio/wav", short)]}
+    blobs = {1: whole + png(), 2: pdf + b"--" + pdf + b" tail", 3: b"ab" + mp4 + b"tail", 4: mp3 + b"zz", 5: webp, 6: headless, 7: short}
+    df = spark.createDataFrame([(k, bytearray(b), None) for k, b in blobs.items()], "id long, media binary, declared_type string")
+    got = collections.defaultdict(list)
+    for r in media.carve(df, keep=["id"]).orderBy("id", "place").collect():
+        got[r.id].append((r.type, bytes(r.bytes)))
+    assert {k: got[k] for k in want} == want
+    read = {r.id: r for r in media.sniff(df, features=media.SAMPLES).collect()}
+    assert read[7].n_bytes == 2 and read[6].n_bytes is None
+
+
+def test_documents_of_one_id_fill_shards(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 5)
+    path = tokenizer_file("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    rows = [(7, f"word{k}") for k in range(100)] + [(None, f"none{k}") for k in range(40)] + [(k, f"other {k}") for k in range(20)]
+    files = packing.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, 1)
+    assert files.where("array_contains(doc_ids, 7)").select("shard").distinct().count() > 5
+    digests = packing.read_digests(files).orderBy("start").collect()
+    assert [r.doc_id for r in digests] == [None] * 40 + sorted(d for d, _ in rows if d is not None)
+    got = collections.Counter(tuple(r.ids) for r in packing.read_documents(files, [7, 999]).collect())
+    assert got == collections.Counter((*own.encode(t, add_special_tokens=False).ids, 1) for d, t in rows if d == 7)
+
+
+def test_tokenizers_of_another_kind_get_whole_texts():
+    assert packing.cuts_at_words(tokenizer_file("word_bpe_49k.json")) and not packing.cuts_at_words(tokenizer_file("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    ids = packing.word_ids(path)
+    text = "Whole Texts,  and 世 too."
+    assert np.frombuffer(ids([text])[0], ids.kind).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(4)
+    for n, letters in ((0, 3), (1, 3), (5, 2), (300, 2), (2000, 4)):
+        text = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        raw = text.tobytes()
+        assert pieces.suffix_array(text, 64).tolist() == sorted(range(n), key=lambda k: (raw[k : k + 64], k))
+
+
+def test_models_of_another_kind_are_refused():
+    message = lambda n, data: bytes([n << 3 | 2, len(data)]) + data
+    good = message(2, b"\x18\x02") + message(3, b"\x20\x00")
+    pieces.check_model(good)
+    for bad in (message(2, b"\x18\x01") + message(3, b"\x20\x00"), message(2, b"\x18\x02"), message(2, b"\x18\x02") + message(3, b"\x12\x01x\x20\x00")):
+        with pytest.raises(ValueError):
+            pieces.check_model(bad)
+
+
+def test_pieces_of_long_chunks():
+    import time
+
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abcdefghij0123") for _ in range(120)) for _ in range(400)]
+    texts += ["".join(rng.choice("日本語中文字世界人大") for _ in range(500)) for _ in range(20)] + ["a" * 3000, "日" * 900, "x" * 97 + "\x00" + "y" * 30]
+    began = time.process_time()
+    got = pieces.Encoder(path)(texts)
+    assert time.process_time() - began < 20
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode(text), text[:40]
+
+
+def test_queries_run_their_operators(spark, tmp_path, docs):
+    """The registered forms, on tables with repeated rows and nulls: columns and one row for each row."""
+    df, rows = docs
+    folder = str(tmp_path)
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    made = {n: f(spark, folder) for n, f in queries.queries().items() if n != "op3_chat"}
+    for name, out in made.items():
+        assert collections.Counter(r.doc_id for r in out.select("doc_id").collect()) == collections.Counter(r[0] for r in rows), name
+    ids, fps = [r[0] for r in rows], [plain_fingerprint(r[1]) for r in rows]
+    want = collections.Counter(zip(ids, (f"{x:016x}" for x in fps), plain_components(ids, fps), strict=True))
+    assert collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in made["op2_simhash"].collect()) == want
+    placed = made["op4_sharding"].collect()
+    assert {(r.law, r.grown_shard) for r in placed} <= {("bytes", None)}
+    assert queries.op3_chat(spark, folder).count() == 2
