@@ -73,16 +73,26 @@ def crowd_taste(df: DataFrame) -> DataFrame:
     )
 
 
-def crowd_score(tastes: DataFrame, affinities: DataFrame) -> DataFrame:
-    """(track_id, average, minimum) of the members' scores for each track: their taste-weighted mean of the track's
-    affinities. tastes: (user_id, genre, affinity); affinities: (track_id, genre, fit), a genre not named counts zero."""
-    weight = tastes.groupBy("user_id").agg(F.sum("affinity").alias("w"), F.count(F.lit(1)).alias("n"))
+def crowd_score(tastes: DataFrame, affinities: DataFrame, debts: DataFrame) -> DataFrame:
+    """(track_id, score, average, minimum, fairness_boost, contested_penalty): what a crowd makes of each track. A member's
+    score is the taste-weighted mean of the track's affinities; what is owed to members lifts what they like, genres that
+    split the crowd cost. tastes: (user_id, genre, affinity); affinities: (track_id, genre, fit), a genre not named counts
+    zero; debts: (user_id, debt)."""
+    weight = tastes.groupBy("user_id").agg(F.sum("affinity").alias("w"))
     met = tastes.join(affinities, "genre").groupBy("track_id", "user_id").agg(F.sum(F.col("fit") * F.col("affinity")).alias("t"))
-    scored = met.join(weight, "user_id").withColumn("x", clamp(F.col("t") / F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))))
+    scored = met.join(weight, "user_id").join(debts, "user_id", "left").withColumn("x", clamp(F.col("t") / F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))))
     members = tastes.agg(F.countDistinct("user_id").alias("members"))  # one row
-    grouped = scored.groupBy("track_id").agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.count(F.lit(1)).alias("n")).join(F.broadcast(members))
+    split = crowd_taste(tastes).where("contested").select("genre", half_up(F.col("maximum") - F.col("minimum")).alias("gap"))
+    contested = affinities.join(split, "genre").groupBy("track_id").agg(F.sum(F.col("fit") * F.col("gap")).alias("c"))
+    n_split = split.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_split"))  # one row
+    owed = F.sum(F.coalesce("debt", F.lit(0.0)) * F.col("x")).alias("b")
+    grouped = scored.groupBy("track_id").agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.count(F.lit(1)).alias("n"), owed).join(contested, "track_id", "left")
+    grouped = grouped.join(F.broadcast(members)).join(F.broadcast(n_split))
     low = F.when(F.col("n") < F.col("members"), F.lit(0.0)).otherwise(F.col("lo"))
-    return grouped.select("track_id", half_up(F.col("s") / F.col("members")).alias("average"), half_up(low).alias("minimum"))
+    mean, boost, cost = F.col("s") / F.col("members"), F.col("b") / F.col("members"), F.coalesce("c", F.lit(0.0)) / F.col("n_split")
+    return grouped.select(
+        "track_id", half_up(clamp(mean * 0.45 + low * 0.35 + boost * 0.25 - cost * 0.15)).alias("score"), half_up(mean).alias("average"), half_up(low).alias("minimum"), half_up(boost).alias("fairness_boost"), half_up(cost).alias("contested_penalty")
+    )
 
 
 def fatigue(df: DataFrame, key: str, last: int = 8) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from ..functions.scalars import clamp, half_up
 
 
+#: Checkpoints that are sent to all tasks; more are met by a sort of both sides.
+FEW = 10_000
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], order: str, take: Sequence[str]) -> DataFrame:
     """left with the columns take of the last row of right at or before it in its key; null if there is none.
 
@@ -116,7 +120,12 @@ def interpolate(points: DataFrame, checkpoints: DataFrame, key: str, at: str, va
     w = Window.partitionBy(key).orderBy(at)
     ends = checkpoints.select(key, at, F.col(value).alias("v0"), F.col(at).alias("t0"), F.lead(at).over(w).alias("t1"), F.lead(value).over(w).alias("v1"), F.first(value).over(w).alias("start"))
     first = checkpoints.groupBy(key).agg(F.min_by(value, at).alias("first_v"))
-    met = asof_join(points, ends, [key], at, ["v0", "t0", "t1", "v1"]).join(first, key, "left")
+    if ends.count() <= FEW:  # each point meets the stretches of its key where it lies
+        few = F.broadcast(ends.drop(at).withColumnRenamed(key, "_key"))
+        met = points.join(few, (F.col(key) == F.col("_key")) & (F.col(at) >= F.col("t0")) & (F.col("t1").isNull() | (F.col(at) < F.col("t1"))), "left").drop("_key")
+    else:
+        met = asof_join(points, ends, [key], at, ["v0", "t0", "t1", "v1"])
+    met = met.join(first, key, "left")
     line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col(at) - F.col("t0")) / (F.col("t1") - F.col("t0"))
     out = F.when(F.col("t0").isNull(), F.col("first_v")).when(F.col("t1").isNull(), F.col("v0")).otherwise(line)
     return met.withColumn(value, half_up(out)).drop("v0", "t0", "t1", "v1", "first_v")

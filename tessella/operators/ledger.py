@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import DAY_MS, clamp, half_up
+from .prefixes import running_sum
 
 #: Value of a reaction (fixed values).
 REACTIONS = {"like": 0.55, "skip": -0.65, "dance": 0.8, "leave": -0.9, "request": 1.0, "neutral": 0.0}
@@ -48,8 +48,8 @@ def newest(df: DataFrame, keep: int, order: Sequence[str]) -> DataFrame:
 
 def evicted(df: DataFrame, scope: str, at: str, size: str, item: str, room: int) -> DataFrame:
     """Rows that a cache limited to room (for each scope) drops: the oldest, until the rest fits."""
-    newer = F.sum(size).over(Window.partitionBy(scope).orderBy(F.desc(at), F.desc(item)).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("held", newer).where(F.col("held") > room).drop("held")
+    newer = running_sum(df, [scope], [F.desc(at), F.desc(item)], F.col(size), "held")
+    return newer.where(F.col("held") > room).select(*df.columns)
 
 
 def fresh(cache: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, clamped_index, floor_index, half_life, half_up, index_percentiles
-from ..operators import calibration, fusion, groups, ledger, ranking, sets, telemetry
+from ..functions.scalars import clamp, clamped_index, floor_index, half_life, half_up
+from ..operators import calibration, fusion, groups, ledger, prefixes, ranking, sets, telemetry
 from ..sources.tables import table
 from .inputs import EVENTS, LINES, NOW, STATS, c01, events, r, scored_lines
 from .registry import query
@@ -174,7 +174,7 @@ def failure_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def percentile_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = {"p95_floor": floor_index(0.95), "p95_clamped": clamped_index(0.95), "p50_floor": floor_index(0.5), "worst": F.col("n") - 1}
-    return index_percentiles(events(spark, sf_dir), ["event_type"], "value", ranks)
+    return prefixes.index_percentiles(events(spark, sf_dir), ["event_type"], "value", ranks)
 
 
 @query(
@@ -357,12 +357,17 @@ def crowd_taste(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "crowd_score",
     f"""with {_TASTES}, fits as (select k as track_id, event_type as genre, {c01('avg(value) / 100')} as fit from ev group by 1, 2), w as (select user_id, sum(affinity) as w from tastes group by 1), m as (select count(*) as members from w),
-    x as (select track_id, t.user_id, {c01('sum(fit * affinity) / max(case when w = 0 then 1.0 else w end)')} as x from tastes t join fits f on t.genre = f.genre join w on t.user_id = w.user_id group by 1, 2)
-    select track_id, {r('sum(x) / max(members)')} as average, {r('case when count(*) < max(members) then 0.0 else min(x) end')} as minimum from x, m group by 1""",
+    x as (select track_id, t.user_id, {c01('sum(fit * affinity) / max(case when w = 0 then 1.0 else w end)')} as x from tastes t join fits f on t.genre = f.genre join w on t.user_id = w.user_id group by 1, 2),
+    q as (select genre, {r('max(affinity)')} as hi, {r('case when count(*) < (select members from m) then 0.0 else min(affinity) end')} as lo, max(affinity) - case when count(*) < (select members from m) then 0.0 else min(affinity) end as gap from tastes group by 1), c as (select genre, {r('hi - lo')} as gap from q where gap >= 0.5),
+    p as (select track_id, sum(fit * gap) / (select greatest(count(*), 1) from c) as cost from fits join c using (genre) group by 1),
+    g as (select track_id, sum(x) / max(members) as mean, case when count(*) < max(members) then 0.0 else min(x) end as low, sum((user_id % 10) / 20.0 * x) / max(members) as boost from x, m group by 1)
+    select g.track_id, {r(c01('mean * 0.45 + low * 0.35 + boost * 0.25 - coalesce(cost, 0.0) * 0.15'))} as score, {r('mean')} as average, {r('low')} as minimum, {r('boost')} as fairness_boost, {r('coalesce(cost, 0.0)')} as contested_penalty from g left join p on g.track_id = p.track_id""",
 )
 def crowd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = events(spark, sf_dir).groupBy(F.col("k").alias("track_id"), F.col("event_type").alias("genre")).agg(clamp(F.avg("value") / 100).alias("fit"))
-    return groups.crowd_score(_tastes(spark, sf_dir), fits)
+    ev = events(spark, sf_dir)
+    fits = ev.groupBy(F.col("k").alias("track_id"), F.col("event_type").alias("genre")).agg(clamp(F.avg("value") / 100).alias("fit"))
+    debts = ev.select("user_id", ((F.col("user_id") % 10) / 20.0).alias("debt")).distinct()
+    return groups.crowd_score(_tastes(spark, sf_dir), fits, debts)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tessella.functions import evidence, text
 from tessella.functions.scalars import all_failed, camelot_score, clamped_index, first_failed, floor_index, half_up, index_percentiles, ladder, octave_folded, tempo_relation, wilson
-from tessella.operators import calibration, folds, fusion, graph, groups, joins, ledger, ranking, sequences, sets, signals, studies, telemetry
+from tessella.operators import calibration, folds, fusion, graph, groups, joins, ledger, prefixes, ranking, sequences, sets, signals, studies, telemetry
 from tessella.sources import jsonl
 from tessella.streaming import events as streaming
 
@@ -282,6 +282,42 @@ def test_envelopes_and_families(spark):
     assert one(spark, evidence.genome_similarity(F.array(F.lit(1.0)), F.lit(None).cast("array<double>")), evidence.genome_similarity(F.array(F.lit(1.0)), F.array(F.lit(0.0)))) == (0.5, 0.0)
 
 
+def test_spectra_of_frames_by_hand():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, size, rate = rng.normal(size=(3, 300)), 64, 1000
+    x[1] = 0.0
+    got = signals.spectra_of(x, rate, size)
+    hann, hz = np.hanning(size + 1)[:-1], np.arange(1, size // 2) * rate / size
+    for row in range(3):
+        rows, before, flux = [], None, []
+        for start in range(0, 300 - size + 1, size // 2):
+            mag = np.abs(np.fft.rfft(x[row, start : start + size] * hann))[1 : size // 2]
+            if mag.sum() < 1e-9:
+                before = None
+                continue
+            total = np.cumsum(mag)
+            rows.append(((mag * hz).sum() / mag.sum(), hz[np.nonzero(total >= 0.85 * mag.sum())[0][0]], np.exp(np.log(mag).mean()) / mag.mean()))
+            if before is not None:
+                flux.append(np.maximum(mag / mag.sum() - before, 0).sum())
+            before = mag / mag.sum()
+        want = np.mean(rows, axis=0) if rows else np.zeros(3)
+        assert np.allclose([got["centroid"][row], got["rolloff"][row], got["flatness"][row]], want) and np.isclose(got["flux"][row], np.mean(flux) if flux else 0.0)
+        assert (got["best"][row] < 0) == (not rows)
+
+
+def test_running_sums(spark):
+    rows = [(k % 2, (k * 37) % 100, k) for k in range(400)]
+    got = prefixes.running_sum(spark.createDataFrame(rows, "g long, v long, id long").repartition(5), ["g"], [F.col("v"), F.col("id")], F.col("v"), "total").collect()
+    total = {0: 0, 1: 0}
+    want = {}
+    for g, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        total[g] += v
+        want[i] = total[g]
+    assert {r.id: r.total for r in got} == want
+
+
 def test_jsonl_scan(spark, tmp_path):
     schema = T.StructType([T.StructField("schemaVersion", T.IntegerType()), T.StructField("score", T.DoubleType())])
     (tmp_path / "log.jsonl").write_text(json.dumps({"schemaVersion": 1, "score": 90.0}) + '\n\nnot-json\n{"schemaVersion":1}\n')
