@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,20 +179,30 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (k[-1], kind[-1], c[-1], seen)
 
 
-def _words(texts: pa.Array, wanted: pa.Array, window: int) -> Iterator[tuple[dict, bytes, list[bytes]]]:
-    """Each wanted segment with the words of its text that it covers."""
-    for doc, segments in zip(texts.to_pylist(), wanted.to_pylist(), strict=True):
+def _lists(column: pa.Array, *names: str) -> Iterator[list[tuple]]:
+    """The lists of structs in a column as lists of tuples of these fields (null: an empty list)."""
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(n).to_pylist() for n in names), strict=True))
+    at = 0
+    for size in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        yield rows[at : at + size]
+        at += size
+
+
+def _words(texts: pa.Array, wanted: pa.Array, window: int, *names: str) -> Iterator[tuple]:
+    """The row_key, start and windows of each wanted segment, the fields named, and the words of its text that it covers."""
+    for doc, segments in zip(texts.to_pylist(), _lists(wanted, "row_key", "start", "windows", *names), strict=True):
         if segments:
             words = (doc or "").encode().split()
-            for w in segments:
-                yield w, words[w["start"] : w["start"] + w["windows"] + window - 1]
+            for own, start, windows, *more in segments:
+                yield own, start, windows, *more, words[start : start + windows + window - 1]
 
 
 def _reference(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shard, row_key, start, words) of the wanted segments."""
         for batch in batches:
-            rows = [(w["shard"], w["row_key"], w["start"], b" ".join(words)) for w, words in _words(batch.column("text"), batch.column("wanted"), window)]
+            rows = [(shard, own, start, b" ".join(words)) for own, start, _, shard, words in _words(batch.column("text"), batch.column("wanted"), window, "shard")]
             cols = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "row_key", "start", "words"])
 
@@ -226,16 +237,15 @@ def _streamed(window: int, shards):
         ready: dict[int, Reader] = {}
         for batch in batches:
             done, sent = [], []
-            for w, words in _words(batch.column("text"), batch.column("wanted"), window):
-                own, start = w["row_key"], w["start"]
-                if w["shard"] is not None:
-                    if w["shard"] not in ready:
-                        ready[w["shard"]] = Reader(shards.value[w["shard"]])
-                    done += [(own, start + a, n) for a, n in ready[w["shard"]].repeats(words, own, start, window)]
-                elif w["hot"]:
-                    sent += [(b" ".join(words[k : k + window]), None, own, start + k, 1) for k in range(w["windows"])]
+            for own, start, windows, h, shard, hot, words in _words(batch.column("text"), batch.column("wanted"), window, "h", "shard", "hot"):
+                if shard is not None:
+                    if shard not in ready:
+                        ready[shard] = Reader(shards.value[shard])
+                    done += [(own, start + a, n) for a, n in ready[shard].repeats(words, own, start, window)]
+                elif hot:
+                    sent += [(b" ".join(words[k : k + window]), None, own, start + k, 1) for k in range(windows)]
                 else:
-                    sent.append((b" ".join(words), w["h"], own, start, w["windows"]))
+                    sent.append((b" ".join(words), h, own, start, windows))
             rows = [(_dealt(own, at), own, at, n, None) for own, at, n in done]
             before = None
             for text, h, own, at, n in sorted(sent, key=lambda x: (x[0], x[2], x[3])):
@@ -411,12 +421,13 @@ def _cover(window: int, digest: bool):
         for whole in batches:
             for batch in slices(whole, "text", 16 << 20):
                 total, gone, kept = [], [], []
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                for text, spans in zip(batch.column("text").to_pylist(), _lists(batch.column("spans"), "start", "windows"), strict=True):
                     words = (text or "").encode().split()
                     lost = np.zeros(len(words) + 1, np.int32)
-                    for s in spans or ():
-                        lost[s["start"]] += 1
-                        lost[s["start"] + s["windows"] + window - 1] -= 1
+                    if spans:
+                        first, n = np.array(spans).T
+                        np.add.at(lost, first, 1)
+                        np.add.at(lost, first + n + window - 1, -1)
                     left = np.cumsum(lost)[:-1] == 0
                     n_left = int(left.sum())
                     total.append(len(words))
