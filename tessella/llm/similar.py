@@ -3,7 +3,8 @@
 op2 links fingerprints within a small radius, which bit blocks can find. Similarity 0.8 of shingle sets is far beyond such
 a radius (about 10 of 64 bits), so here other buckets bring texts together: two sets with similarity >= 4/5 share a
 shingle among the first n - ceil(4n/5) + 1 of each, in any order that is the same for all sets. Common shingles are put
-last in that order, so that a common line does not bring texts together. In a bucket, the texts of one such shingle, numpy
+last in that order, so that a common line does not bring texts together. Texts that only chance has given a shingle leave
+at once, by 64 bits that travel with it. In a bucket, the texts of one such shingle, numpy
 XORs and counts the bits of tiles of SimHash fingerprints (128 bits) and of parity sketches, and skips tile pairs whose
 sizes or population counts can't belong to similar sets. What is left are candidates: the spanning forests of the buckets
 make components of them, and inside these the sets themselves decide at >= 4/5.
@@ -46,8 +47,10 @@ PART, PART_BYTES = 1024, 8 << 20
 BUCKET = 8192
 #: Large buckets that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST = 200_000
-#: Bits of 128 in which fingerprints of similar sets may differ, and the size from which this is asked.
-RADIUS, LONG = 44, 100
+#: Bits of 128, and of the first 64, in which fingerprints of similar sets may differ, and the size from which this is asked.
+RADIUS, FIRST_RADIUS, LONG = 44, 27, 100
+#: Texts of a shingle that are compared where they are counted; larger groups go on as they are.
+FEW = 64
 _SHIFT = 1000
 
 
@@ -150,7 +153,8 @@ def _common(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first(docs: DataFrame, n_words: int) -> DataFrame:
-    """(h, n, sig): the first shingles of each text, rare ones before common ones; equal rows of a batch once."""
+    """(h, n, sig, s): the first shingles of each text, rare ones before common ones; equal rows of a batch once. s: 64 bits
+    of SimHash from LONG shingles on, of parity below."""
     common, counts = _common(docs, n_words)
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -167,24 +171,26 @@ def _first(docs: DataFrame, n_words: int) -> DataFrame:
         order = np.lexsort((h, rank, own))
         want = size - (4 * size + 4) // 5 + 1
         taken = (np.arange(len(h)) - np.repeat(at[:-1], size) < np.repeat(want, size)) & once[own]
+        sim, odd = sketches(h, at)
+        bits = np.where(size >= LONG, sim[:, 0], odd[:, 0] ^ odd[:, 1]).view(np.int64)
         h, own = h[order][taken].view(np.int64), own[taken]
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(size[own].astype(np.int32)), pa.array(sig[own].view(np.int64))], names=["h", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(size[own].astype(np.int32)), pa.array(sig[own].view(np.int64)), pa.array(bits[own])], names=["h", "n", "sig", "s"])
 
-    return _per_slice(docs, make, "h long, n int, sig long", "text")
+    return _per_slice(docs, make, "h long, n int, sig long, s long", "text")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (h, n, sig) in; (g, sig) out for the members of each chain of rows of one h in which every size
-    allows the similarity with the one before, if there are two different ones. g is made of the members, so that the
-    same bucket is found again under another shingle; a chain that is longer than a batch goes by its h."""
-    held, begun = np.empty((3, 0), np.int64), False  # begun: rows of the chain in held have gone out by its h
+    allows the similarity with the one before, if they may be similar to another member. g is made of the members, so that
+    the same bucket is found again under another shingle; a chain that is longer than a batch goes by its h."""
+    held, begun = np.empty((4, 0), np.int64), False  # begun: rows of the chain in held have gone out by its h
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
         rows = np.concatenate([held, rows], axis=1)
         new = np.ones(rows.shape[1], bool)
         new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
         rows = rows[:, new]
-        h, n, _ = rows
+        h, n = rows[:2]
         start = np.nonzero(np.append(True, (h[1:] != h[:-1]) | (5 * n[:-1] < 4 * n[1:])))[0][: rows.shape[1]]
         if len(start) < 2:
             if rows.shape[1] > FLUSH:  # one chain, too long to wait for its end
@@ -207,9 +213,22 @@ def _bucketed(rows: np.ndarray, start: np.ndarray, *, by_h: bool = False) -> pa.
     if by_h:
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(sig)], names=["g", "sig"])
     count = np.diff(np.append(start, len(sig)))
-    g = mix64(np.add.reduceat(mix64(sig.view(np.uint64)), start))
-    many = np.repeat(count > 1, count)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(g, count)[many].view(np.int64)), pa.array(sig[many])], names=["g", "sig"])
+    chain, size = np.repeat(np.arange(len(start)), count), np.repeat(count, count)
+    n, s = rows[1], rows[3].view(np.uint64)
+    near = size > FEW
+    some = np.nonzero((size > 1) & ~near)[0]  # pairs of a chain, by their distance in it
+    for lag in range(1, FEW):
+        some = some[some + lag < len(sig)]
+        some = some[chain[some + lag] == chain[some]]
+        if not len(some):
+            break
+        a, b = some, some + lag
+        apart = np.bitwise_count(s[a] ^ s[b]).astype(np.int64)
+        both = np.where(n[a] >= LONG, apart <= FIRST_RADIUS, (n[b] >= LONG) | (9 * apart <= n[a] + n[b])) & (5 * n[a] >= 4 * n[b])
+        near[a[both]] = near[b[both]] = True
+    g = np.zeros(len(start), np.uint64)
+    np.add.at(g, chain[near], mix64(sig[near].view(np.uint64)))
+    return pa.RecordBatch.from_arrays([pa.array(mix64(g)[chain[near]].view(np.int64)), pa.array(sig[near])], names=["g", "sig"])
 
 
 def tile_forest(n: np.ndarray, sim: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
