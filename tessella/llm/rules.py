@@ -50,7 +50,9 @@ def features(docs: DataFrame, keep: dict[str, Column] | None = None) -> DataFram
         }
     ).drop("text")
     size = F.size("words")
-    window = F.transform(F.sequence(F.lit(1), size - RUN + 1), lambda i: F.xxhash64(F.slice("words", i, RUN)))
+    # each word is hashed once; a window is the hash of its words' hashes
+    base = base.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    window = F.transform(F.sequence(F.lit(1), size - RUN + 1), lambda i: F.xxhash64(F.slice("hashes", i, RUN)))
     base = base.withColumns(
         {
             "n_words": size.cast("long"),
@@ -58,7 +60,7 @@ def features(docs: DataFrame, keep: dict[str, Column] | None = None) -> DataFram
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "windows": F.when(size >= RUN, window).otherwise(F.array().cast("array<bigint>")),
         }
-    ).drop("words", "lines")
+    ).drop("words", "lines", "hashes")
     # most texts have no window twice; only the others are sorted
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     base = base.withColumn("placed", F.when(twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
