@@ -120,9 +120,8 @@ def test_run(spark, tmp_path, kind):
     assert docs.columns == DOCS.names and len(after) == len(before)
     want = collections.Counter((r[0], *x[1:]) for r, x in zip(before, plain_repeats([r[1] for r in before]), strict=True))
     assert collections.Counter((r[0], k) for r, k in ((r, b" ".join(word_list(r[1]))) for r in after)) == collections.Counter((d, k) for d, _, k in want.elements())
-    assert all(r[4] == (len(r[1]) if r[1] is not None else 0) for r in after)
-    whole = {r[1] for r in before}
-    assert all(r[1] in whole or "\n" not in "".join(t or "" for t in whole) or set(r[1]) - set(" ") for r in after)
+    whole = {(r[1], r[4]) for r in before}
+    assert all((r[1], r[4]) in whole or r[4] == len(r[1]) for r in after)
     size = collections.Counter()
     for r in after:
         size[r[3]] += len(word_list(r[1]))
