@@ -25,9 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Paths in the shared folder that this process has given out.
+_GIVEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what has been written to the paths given out so far. Results that still have to be read must not need it."""
+    sc = spark.sparkContext
+    while _GIVEN:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact values and edge cases of operators that work on small literal tables."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 from tessella.functions import evidence, text
 from tessella.functions.scalars import all_failed, camelot_score, clamped_index, first_failed, floor_index, half_up, index_percentiles, ladder, octave_folded, tempo_relation, wilson
 from tessella.operators import calibration, folds, fusion, graph, groups, joins, ledger, prefixes, ranking, sequences, sets, signals, studies, telemetry
-from tessella.sources import jsonl
+from tessella.sources import jsonl, tables
 from tessella.streaming import events as streaming
 
 
@@ -307,6 +308,14 @@ def test_spectra_of_frames_by_hand():
         assert (got["best"][row] < 0) == (not rows)
 
 
+def test_release(spark):
+    one_, other = tables.stored(spark.range(3), "kept"), tables.fresh_path(spark, "unused")
+    assert one_.count() == 3 and other
+    paths = list(tables._GIVEN)
+    tables.release(spark)
+    assert not tables._GIVEN and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
 def test_running_sums(spark):
     rows = [(k % 2, (k * 37) % 100, k) for k in range(400)]
     got = prefixes.running_sum(spark.createDataFrame(rows, "g long, v long, id long").repartition(5), ["g"], [F.col("v"), F.col("id")], F.col("v"), "total").collect()
