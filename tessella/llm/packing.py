@@ -76,6 +76,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _told(path: str) -> dict:
+    """What the tokenizer's own file says of how it cuts texts."""
+    whole = json.loads(_tokenizer(path).to_str())
+    return {"normalizer": whole["normalizer"], "pre_tokenizer": whole["pre_tokenizer"], "suffix": whole["model"].get("end_of_word_suffix")}
+
+
 def vocabulary_size(path: str) -> int:
     return _tokenizer(path).get_vocab_size()
 
@@ -90,7 +97,7 @@ PROBES = (
 def cuts_at_words(path: str) -> bool:
     """Whether the tokenizer's own file says that it lowers its input, cuts at white space and drops it, and the probes
     agree."""
-    told = json.loads(_tokenizer(path).to_str())
+    told = _told(path)
     steps = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
     normal, first = steps(told["normalizer"], "normalizers"), steps(told["pre_tokenizer"], "pretokenizers")[:1]
     lowers = any(x["type"] == "Lowercase" for x in normal) and all(x["type"] in ("NFC", "Lowercase", "Replace") for x in normal)
@@ -99,7 +106,11 @@ def cuts_at_words(path: str) -> bool:
     if not (lowers and spaces and drops and any(t.special for t in _tokenizer(path).get_added_tokens_decoder().values())):
         return False
     words = WordIds(path)
-    return all(np.array_equal(np.frombuffer(x, words.kind), words._encode(t)) for t, x in zip(PROBES, words(PROBES), strict=True))
+    return all(np.array_equal(np.frombuffer(x, words.kind), words.whole(t)) for t, x in zip(PROBES, words(PROBES), strict=True))
+
+
+def _raw(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode()
 
 
 class WholeIds:
@@ -109,8 +120,8 @@ class WholeIds:
         self._tokenizer = _tokenizer(path)
         self.kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        done = self._tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    def __call__(self, texts: list[str | bytes | None]) -> list[bytes]:
+        done = self._tokenizer.encode_batch([_raw(t).decode() for t in texts], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in done]
 
 
@@ -125,18 +136,18 @@ class WordIds:
         many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         #: The type of the ids: little-endian, two bytes where the vocabulary fits.
         self.kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
-        self._encode = lambda text: np.array(many([text], add_special_tokens=False)[0].ids, self.kind)
+        self.whole = lambda text: np.array(many([text], add_special_tokens=False)[0].ids, self.kind)
         special = sorted((k, t.content) for k, t in tokenizer.get_added_tokens_decoder().items() if t.special)
         self._apart, self._mark = special[0]
-        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        suffix = _told(path)["suffix"]
         self._ends = np.zeros(vocabulary_size(path), bool)
         self._ends[[k for t, k in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}  # what was known before, for words that come again
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as integers of the kind."""
-        raw = [(t or "").encode() for t in texts]
+    def __call__(self, texts: list[str | bytes | None]) -> list[bytes]:
+        """For each text (or its UTF-8) its ids as integers of the kind."""
+        raw = [_raw(t) for t in texts]
         split = [[] if b"<|" in t else _STOP.sub(rb" \1", t.lower()).split() for t in raw]
         if len(self._known) > REMEMBERED:
             self._known, self._older = {}, self._known
@@ -151,19 +162,19 @@ class WordIds:
         for at in range(0, len(others), 1000):
             self._learn(others[at : at + 1000])
         get = self._known.__getitem__
-        return [self._encode(t.decode()).tobytes() if b"<|" in t else b"".join(map(get, words)) for t, words in zip(raw, split, strict=True)]
+        return [self.whole(t.decode()).tobytes() if b"<|" in t else b"".join(map(get, words)) for t, words in zip(raw, split, strict=True)]
 
 
     def _learn(self, words: list[bytes]) -> None:
         """In one call, with the special token between the words."""
-        ids = self._encode(self._mark.join([w.decode() for w in words]))
+        ids = self.whole(self._mark.join([w.decode() for w in words]))
         cut = np.nonzero(ids == self._apart)[0]
         self._note(words, ids, np.concatenate(([0], cut + 1)), np.append(cut, len(ids)))
 
     def _learn_letters(self, words: list[bytes]) -> None:
         """In one call, with a space between. A word of letters is one unit to the pre-tokenizer, whose last id is one that
         ends a word; if there are as many of those as words (none makes fewer than one), they tell the words apart."""
-        ids = self._encode(b" ".join(words).decode())
+        ids = self.whole(b" ".join(words).decode())
         end = np.nonzero(self._ends[ids])[0] + 1
         if len(end) == len(words):
             self._note(words, ids, np.concatenate(([0], end[:-1])), end)
@@ -196,10 +207,10 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[tuple[int, int]
             for batch in slices(whole, "text", 8 << 20):
                 docs = batch.column("doc_id")
                 place = np.searchsorted(below, docs.fill_null(LEAST).to_numpy(zero_copy_only=False), "left")
-                texts = batch.column("text").to_pylist()
-                crc = np.array([zlib.crc32((t or "").encode()) for t in texts], np.int64)
+                raw = batch.column("text").cast(pa.binary()).to_pylist()
+                crc = np.array([zlib.crc32(t or b"") for t in raw], np.int64)
                 place = base[place] + (crc * parts[place] >> 32)
-                ids = [x + end for x in ids_of(texts)]
+                ids = [x + end for x in ids_of(raw)]
                 packed = ids if whole_bytes else [pack(np.frombuffer(x, kind), bits) for x in ids]
                 counts = [len(x) // kind.itemsize for x in ids]
                 cols = [docs, pa.array(place, pa.int32()), pa.array(crc), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())]
