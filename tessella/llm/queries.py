@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes, chat, media, mixing, packing, pieces, rules, sharding, simhash, substrings
+from . import bayes, chat, media, middles, mixing, packing, pieces, rules, sharding, simhash, substrings, whitening
 from .common import documents, keyed, stored
 from .oracles import oracle_sql  # noqa: F401
 
@@ -74,6 +74,16 @@ def op10_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("deviation_exact")
+
+
+def op13_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = middles.fill_in_middle(documents(spark, sf_dir))
+    restored = middles.restored(F.col("output"), F.col("form"))
+    return done.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored, 256)}).drop("output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media, op2_simhash, op3_chat, op4_sharding, op5_mixing, op6_packing, op7_substrings, op8_rules, op9_pieces, op10_bayes)
+    own = (op1_media, op2_simhash, op3_chat, op4_sharding, op5_mixing, op6_packing, op7_substrings, op8_rules, op9_pieces, op10_bayes, op11_whitening, op13_middles)
     return {f.__name__: f for f in own}
