@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes, chat, media, middles, mixing, packing, pieces, rules, sharding, simhash, substrings, whitening
+from . import bayes, chat, extraction, media, middles, mixing, packing, pieces, rules, sharding, simhash, substrings, whitening
 from .common import documents, keyed, stored
 from .oracles import oracle_sql  # noqa: F401
 
@@ -78,6 +78,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("deviation_exact")
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def op13_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = middles.fill_in_middle(documents(spark, sf_dir))
     restored = middles.restored(F.col("output"), F.col("form"))
@@ -85,5 +90,5 @@ def op13_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_media, op2_simhash, op3_chat, op4_sharding, op5_mixing, op6_packing, op7_substrings, op8_rules, op9_pieces, op10_bayes, op11_whitening, op13_middles)
+    own = (op1_media, op2_simhash, op3_chat, op4_sharding, op5_mixing, op6_packing, op7_substrings, op8_rules, op9_pieces, op10_bayes, op11_whitening, op12_extraction, op13_middles)
     return {f.__name__: f for f in own}
