@@ -3,8 +3,9 @@
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a blob. Each hit is only a
 suspicion: a validator of the format then walks the structure (chunk lengths, checksums, end marks) and gives the exact
 span, or rejects the hit. The outermost valid spans, from left to right, are the media of the blob: one that covers it
-whole corrects the declared type, the others are carved out as embedded media. End marks are looked for once in a blob,
-however many hits ask for them.
+whole corrects the declared type, the others are carved out as embedded media. End marks are looked for once in a blob, and
+what a chain of pages, boxes, chunks or frames comes to is kept for each of its places, so that a blob is walked once by each
+format however many hits ask. Only deflated data have to be inflated from every hit whose header makes sense.
 
 Null blobs have no media and a null type; empty ones have none and type application/octet-stream. A blob without valid
 media keeps its declared type if that is not one of the known formats, else becomes application/octet-stream. Repeated
@@ -19,6 +20,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
@@ -37,69 +39,144 @@ UNIT = 192
 SAMPLE_RATE = 8000
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=64)
 def places(b: bytes, pattern: bytes) -> list[int]:
     """Where a pattern stands in a blob: looked for once, whatever the number of hits that ask."""
     return [m.start() for m in re.finditer(pattern, b, re.DOTALL)]
 
 
+@lru_cache(maxsize=1)
+def _kept(b: bytes) -> dict[object, dict]:
+    """What has been learnt of places in the blob, by the kind of chain."""
+    return defaultdict(dict)
+
+
+def chained(b: bytes, kind: object, at: int, step: Callable[[int], int | None], close: Callable[[int, object], object]) -> object:
+    """What the chain of parts (pages, boxes, chunks) from a place on comes to. step gives the place of the next part, or None
+    at the end of the chain; close makes of a part and of what the rest comes to (None at the end) what the chain comes to from
+    that part on. It is kept for every part, so that chains that meet are walked once."""
+    known, path = _kept(b)[kind], []
+    while at is not None and at not in known:
+        path.append(at)
+        at = step(at)
+    rest = None if at is None else known[at]
+    for k in reversed(path):
+        rest = known[k] = close(k, rest)
+    return rest
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over GF(2) modulo that of CRC-32, bits reversed."""
+    out = 0
+    for k in range(32):
+        if b & (1 << (31 - k)):
+            out ^= a
+        a = a >> 1 ^ (0xEDB88320 if a & 1 else 0)
+    return out
+
+
+@cache
+def _square(k: int) -> int:
+    """x to the power 2**k."""
+    return 1 << 30 if k == 0 else _times(_square(k - 1), _square(k - 1))
+
+
+def crc_of(b: bytes, start: int, end: int) -> int:
+    """CRC-32 of a part. Of long ones by the checksums of what ends with their start and with their end, which are kept at
+    regular places, so that the same bytes are not read once for every part they are in."""
+    if end - start <= 4 * _STRIDE:
+        return zlib.crc32(b[start:end])
+    kept = _kept(b)["crc"]
+
+    def upto(at: int) -> int:
+        whole = at // _STRIDE
+        for k in range(len(kept), whole + 1):
+            kept[k] = zlib.crc32(b[(k - 1) * _STRIDE : k * _STRIDE], kept[k - 1]) if k else 0
+        return zlib.crc32(b[whole * _STRIDE : at], kept[whole])
+
+    shift, n, k = 1 << 31, 8 * (end - start), 0
+    while n:
+        if n & 1:
+            shift = _times(shift, _square(k))
+        n, k = n >> 1, k + 1
+    return upto(end) ^ _times(shift, upto(start))
+
+
+_STRIDE = 4096
+
+
 def _png(b: bytes, s: int) -> int | None:
-    at, seen = s + 8, []
-    while at + 12 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, at)
-        if at + 12 + n > len(b) or zlib.crc32(b[at + 4 : at + 8 + n]) != struct.unpack_from(">I", b, at + 8 + n)[0]:
+    def chunk(at: int) -> tuple[int, bytes] | None:
+        """End and kind of a whole chunk."""
+        if at + 12 > len(b):
             return None
-        seen.append(kind)
-        at += 12 + n
-        if kind == b"IEND":
-            return at if seen[0] == b"IHDR" and b"IDAT" in seen else None
-    return None
+        n, kind = struct.unpack_from(">I4s", b, at)
+        whole = at + 12 + n <= len(b) and crc_of(b, at + 4, at + 8 + n) == struct.unpack_from(">I", b, at + 8 + n)[0]
+        return (at + 12 + n, kind) if whole else None
+
+    def step(at: int) -> int | None:
+        parts[at] = chunk(at)
+        return None if parts[at] is None or parts[at][1] == b"IEND" else parts[at][0]
+
+    def close(at: int, rest: tuple[int | None, bool] | None) -> tuple[int | None, bool]:
+        if parts[at] is None:
+            return None, False
+        end, data = rest or (parts[at][0], False)
+        return end, data or parts[at][1] == b"IDAT"
+
+    parts = _kept(b)["png parts"]
+    if b[s + 12 : s + 16] != b"IHDR":
+        return None
+    end, data = chained(b, "png", s + 8, step, close)
+    return end if data else None
 
 
 def _gif(b: bytes, s: int) -> int | None:
     if len(b) < s + 13:
         return None
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 128 else 0
-    at, images = s + 13 + table(b[s + 10]), 0
 
     def blocks(at: int) -> int | None:
-        while at < len(b):
-            if not b[at]:
-                return at + 1
-            at += 1 + b[at]
-        return None
+        """Behind the data blocks that start there."""
+        return chained(b, "gif blocks", at, lambda k: k + 1 + b[k] if k < len(b) and b[k] else None, lambda k, rest: rest if rest is not None else k + 1 if k < len(b) and not b[k] else None)
 
-    while at is not None and at < len(b):
-        kind = b[at]
-        if kind == 0x3B:
-            return at + 1 if images else None
+    def step(at: int) -> int | None:
+        kind = b[at] if at < len(b) else 0
         if kind == 0x21:
-            at = blocks(at + 2)
-        elif kind == 0x2C and at + 10 < len(b):
-            images += 1
-            at = blocks(at + 11 + table(b[at + 9]))
-        else:
-            return None
-    return None
+            return blocks(at + 2)
+        return blocks(at + 11 + table(b[at + 9])) if kind == 0x2C and at + 10 < len(b) else None
+
+    def close(at: int, rest: tuple[int | None, bool] | None) -> tuple[int | None, bool]:
+        if rest is None:
+            return (at + 1, False) if at < len(b) and b[at] == 0x3B else (None, False)
+        return rest[0], rest[1] or b[at] == 0x2C
+
+    end, image = chained(b, "gif", s + 13 + table(b[s + 10]), step, close)
+    return end if image else None
 
 
 def _jpeg(b: bytes, s: int) -> int | None:
-    at, frame = s + 2, False
     marks = places(b, rb"\xff[^\x00\xd0-\xd7]")
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        kind, n = b[at + 1], struct.unpack_from(">H", b, at + 2)[0]
-        if kind in (0xD8, 0xD9) or n < 2:
+
+    def step(at: int) -> int | None:
+        if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] in (0xD8, 0xD9) or (n := int.from_bytes(b[at + 2 : at + 4], "big")) < 2:
             return None
-        frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
-        at += 2 + n
-        if kind == 0xDA:  # coded data up to the next mark
-            k = bisect.bisect_left(marks, at)
-            if k == len(marks):
-                return None
-            at = marks[k]
-            if b[at + 1] == 0xD9:
-                return at + 2 if frame else None
-    return None
+        if b[at + 1] != 0xDA:
+            return at + 2 + n
+        k = bisect.bisect_left(marks, at + 2 + n)  # coded data up to the next mark
+        return marks[k] if k < len(marks) else None
+
+    def close(at: int, rest: tuple[int | None, bool] | None) -> tuple[int | None, bool]:
+        """The end, and whether there is a frame; the end mark counts behind coded data only, which starts with 0xDA."""
+        kind = b[at + 1] if at + 2 <= len(b) and b[at] == 0xFF else 0
+        if rest is None:
+            return (at + 2 if kind == 0xD9 else None), False
+        if kind != 0xDA and rest[0] is not None and b[at + 2 + int.from_bytes(b[at + 2 : at + 4], "big") + 1] == 0xD9:
+            return None, False
+        return rest[0], rest[1] or 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
+
+    end, frame = chained(b, "jpeg", s + 2, step, close)
+    return end if frame and end != s + 4 else None
 
 
 def _bmp(b: bytes, s: int) -> int | None:
@@ -115,13 +192,25 @@ def _riff(kind: bytes, first: tuple[bytes, ...], needed: dict[bytes, int]) -> Ca
     """needed: chunks that must be there, with the bytes they have at least, one of each at least."""
 
     def valid(b: bytes, s: int) -> int | None:
-        if len(b) < s + 20 or b[s + 8 : s + 12] != kind:
+        if len(b) < s + 20 or b[s + 8 : s + 12] != kind or b[s + 12 : s + 16] not in first:
             return None
         end = s + 8 + struct.unpack_from("<I", b, s + 4)[0]
-        chunks = list(riff_chunks(b, s, end)) if end <= len(b) else []
-        size = {name: b_ - a for name, a, b_ in reversed(chunks)}
-        whole = bool(chunks) and chunks[-1][2] + (chunks[-1][2] - chunks[-1][1]) % 2 == end
-        return end if whole and chunks[0][0] in first and all(size.get(n, -1) >= least for n, least in needed.items()) else None
+        if end > len(b):
+            return None
+
+        def step(at: int) -> int | None:
+            n = struct.unpack_from("<I", b, at + 4)[0] if at + 8 <= end else end
+            return at + 8 + n + n % 2 if at + 8 + n <= end else None
+
+        def close(at: int, rest: dict[bytes, int] | None) -> dict[bytes, int] | None:
+            """Sizes of the needed chunks from there on, of each the first; None where they don't end with the file."""
+            if rest is None:
+                return {} if at == end else None
+            name = b[at : at + 4]
+            return rest | {name: struct.unpack_from("<I", b, at + 4)[0]} if name in needed else rest
+
+        size = chained(b, (kind, end), s + 12, step, close)
+        return end if size is not None and all(size.get(n, -1) >= least for n, least in needed.items()) else None
 
     return valid
 
@@ -165,44 +254,69 @@ def _flac_header(b: bytes, s: int) -> int | None:
     return at + 1 if crc == b[at] else None
 
 
+def _flac_frames(b: bytes) -> tuple[list[int], set[int]]:
+    """Where frame headers stand in the blob."""
+    kept = _kept(b)["flac"]
+    if not kept:
+        kept["starts"] = [x for x in places(b, rb"\xff[\xf8\xf9]") if _flac_header(b, x) is not None]
+        kept["set"] = set(kept["starts"])
+    return kept["starts"], kept["set"]
+
+
+def _flac_body(b: bytes, s: int) -> int | None:
+    """Where the first frame of the file at s stands, behind the metadata blocks."""
+    if b[s + 4 : s + 5] not in (b"\x00", b"\x80") or int.from_bytes(b[s + 5 : s + 8], "big") != 34:
+        return None
+
+    def block(at: int) -> int | None:
+        return at + 4 + int.from_bytes(b[at + 1 : at + 4], "big") if at + 4 <= len(b) and b[at] & 127 != 127 else None
+
+    def close(at: int, rest: int | None) -> int | None:
+        return block(at) if at + 4 <= len(b) and b[at] >= 128 else rest
+
+    at = chained(b, "flac blocks", s + 4, lambda k: block(k) if k + 4 <= len(b) and b[k] < 128 else None, close)
+    return at if at in _flac_frames(b)[1] else None
+
+
 def _flac(b: bytes, s: int) -> int | None:
     """Metadata blocks, then frames. A frame's length is not written down: it ends where its checksum comes out and a frame
-    header follows, or none."""
-    at, first, last = s + 4, True, False
-    while not last:
-        if at + 4 > len(b):
-            return None
-        last, kind, n = b[at] >= 128, b[at] & 127, int.from_bytes(b[at + 1 : at + 4], "big")
-        if first and (kind, n) != (0, 34) or kind == 127:
-            return None
-        at, first = at + 4 + n, False
-    starts = [x for x in places(b, rb"\xff[\xf8\xf9]") if x >= at and _flac_header(b, x) is not None]
-    if not starts or starts[0] != at:
+    header follows, or none. The frames end before the next file at the latest."""
+    at = _flac_body(b, s)
+    if at is None:
         return None
-    crc, wanted, ends = 0, set(starts[1:]), []
+    _, wanted = _flac_frames(b)
+    heads = _kept(b)["flac heads"]
+    if not heads:
+        heads["all"] = [x for x in places(b, b"fLaC") if _flac_body(b, x) is not None]
+    k = bisect.bisect_left(heads["all"], at)
+    limit = heads["all"][k] if k < len(heads["all"]) else len(b)
+    crc, ends = 0, []
     least = at + max(10, int.from_bytes(b[s + 12 : s + 15], "big"))  # no frame is shorter than the first block says
-    for k in range(at, len(b)):
+    for k in range(at, limit):
         crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[k]]
-        if crc == 0 and k + 1 in wanted:
+        if crc == 0 and k + 1 in wanted and k + 1 < limit:
             least += k + 1 - at
             at, ends = k + 1, []
         elif crc == 0 and k + 1 >= least:
             ends.append(k + 1)
-    # the last frame: up to the end of the blob if its checksum comes out there, else to where it does first
-    return None if not ends else ends[-1] if ends[-1] == len(b) else ends[0]
+    # the last frame: up to the next file or the blob's end if its checksum comes out there, else to where it does first
+    return None if not ends else ends[-1] if ends[-1] == limit else ends[0]
 
 
 def _ogg(b: bytes, s: int) -> int | None:
-    at = s
-    while at + 27 <= len(b) and b[at : at + 5] == b"OggS\0":
-        n = b[at + 26]
-        end = at + 27 + n + sum(b[at + 27 : at + 27 + n])
-        if end > len(b) or at + 27 + n > len(b):
+    def page(at: int) -> int | None:
+        """The end of the page there."""
+        if at + 27 > len(b) or b[at : at + 5] != b"OggS\0" or at + 27 + b[at + 26] > len(b):
             return None
-        last, at = b[at + 5] & 4, end
-        if last:
-            return at
-    return None
+        end = at + 27 + b[at + 26] + sum(b[at + 27 : at + 27 + b[at + 26]])
+        return end if end <= len(b) else None
+
+    def step(at: int) -> int | None:
+        ends[at] = page(at)
+        return None if ends[at] is None or b[at + 5] & 4 else ends[at]
+
+    ends = _kept(b)["ogg pages"]
+    return chained(b, "ogg", s, step, lambda at, rest: ends[at] if ends[at] is not None and b[at + 5] & 4 else rest)
 
 
 def _pdf(b: bytes, s: int) -> int | None:
@@ -220,43 +334,70 @@ def _pdf(b: bytes, s: int) -> int | None:
 
 
 def _gzip(b: bytes, s: int) -> int | None:
-    if len(b) < s + 18 or b[s + 3] > 31:
+    """A member whose header makes sense is inflated, if the stored blocks that it may start with lead to a further block."""
+    if len(b) < s + 18 or b[s + 3] > 31 or b[s + 8] not in (0, 2, 4) or 13 < b[s + 9] < 255:
+        return None
+
+    def stored(at: int) -> int | None:
+        """Behind the stored block there, which is not the last."""
+        if at + 5 > len(b) or b[at] & 7 or int.from_bytes(b[at + 1 : at + 3], "little") ^ int.from_bytes(b[at + 3 : at + 5], "little") != 0xFFFF:
+            return None
+        return at + 5 + int.from_bytes(b[at + 1 : at + 3], "little")
+
+    def close(at: int, rest: bool | None) -> bool:
+        return rest if rest is not None else at < len(b) and b[at] & 6 != 6 and (b[at] & 6 != 0 or stored(at) is not None or b[at] & 7 == 1)
+
+    if b[s + 3] == 0 and not chained(b, "gzip stored", s + 10, stored, close):
         return None
     box, at = zlib.decompressobj(31), s
     try:
         while at < len(b) and not box.eof:
-            box.decompress(box.unconsumed_tail or b[at : at + 65536], 1 << 20)  # bounded, however far it inflates
-            at += 0 if box.unconsumed_tail else 65536
+            step = 65536 if at > s else 512
+            box.decompress(box.unconsumed_tail or b[at : at + step], 1 << 20)  # bounded, however far it inflates
+            at += 0 if box.unconsumed_tail else step
     except zlib.error:
         return None
     return min(at, len(b)) - len(box.unused_data) if box.eof else None
 
 
 def _zip(b: bytes, s: int) -> int | None:
-    """Up to the end record whose directory lies where the record says, counted from s."""
-    ends = places(b, rb"PK\x05\x06")
-    for end in ends[bisect.bisect_left(ends, s) :][:2]:  # a stored archive may bring an end record of its own
-        if end + 22 > len(b):
-            return None
-        size, start, comment = struct.unpack_from("<IIH", b, end + 12)
-        if s + start + size == end and end + 22 + comment <= len(b) and b[s + start : s + start + 4] == b"PK\1\2":
-            return end + 22 + comment
-    return None
+    """Up to the end record that tells of an archive which starts at s: a record gives the size and place of its directory, so
+    it belongs to one start, and archives that are stored inside have others."""
+    kept = _kept(b)["zip"]
+    if not kept:
+        kept[-1] = -1
+        for end in places(b, rb"PK\x05\x06"):
+            if end + 22 <= len(b):
+                size, first, comment = struct.unpack_from("<IIH", b, end + 12)
+                start = end - size - first
+                if start >= 0 and end + 22 + comment <= len(b) and b[end - size : end - size + 4] == b"PK\1\2":
+                    kept[start] = end + 22 + comment
+    return kept.get(s)
 
 
 def _mp4(b: bytes, s: int) -> int | None:
-    """Boxes from ftyp on, of which one is moov or moof, as long as they follow each other."""
-    at, seen = s, set()
-    while at + 8 <= len(b):
+    """Boxes from ftyp on, of which one is moov or moof, as long as they follow each other; with the next ftyp another file
+    starts."""
+
+    def box(at: int) -> int | None:
+        if at + 8 > len(b):
+            return None
         n, kind = struct.unpack_from(">I4s", b, at)
         head = 8
         if n == 1 and at + 16 <= len(b):
             n, head = struct.unpack_from(">Q", b, at + 8)[0], 16
-        if kind not in BOXES or n < head or at + n > len(b):
-            break
-        seen.add(kind)
-        at += n
-    return at if b"ftyp" in seen and seen & {b"moov", b"moof"} else None
+        return at + n if kind in BOXES and n >= head and at + n <= len(b) else None
+
+    def step(at: int) -> int | None:
+        return None if b[at + 4 : at + 8] == b"ftyp" else box(at)
+
+    def close(at: int, rest: tuple[int, bool] | None) -> tuple[int, bool]:
+        return (at, False) if rest is None else (rest[0], rest[1] or b[at + 4 : at + 8] in (b"moov", b"moof"))
+
+    if (behind := box(s)) is None:
+        return None
+    end, movie = chained(b, "mp4", behind, step, close)
+    return end if movie else None
 
 
 def _mp3(b: bytes, s: int) -> int | None:
@@ -266,16 +407,18 @@ def _mp3(b: bytes, s: int) -> int | None:
     size = 0
     for x in b[s + 6 : s + 10]:
         size = size << 7 | x
-    at, frames = s + 10 + size, 0
-    while at + 4 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFE == 0xFA:  # version 1, layer III
+
+    def frame(at: int) -> int | None:
+        if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xFA:  # version 1, layer III
+            return None
         rate, hz = b[at + 2] >> 4, b[at + 2] >> 2 & 3
         if rate in (0, 15) or hz == 3:
-            break
+            return None
         n = 144_000 * MP3_RATES[rate - 1] // (44_100, 48_000, 32_000)[hz] + (b[at + 2] >> 1 & 1)
-        if at + n > len(b):
-            break
-        at, frames = at + n, frames + 1
-    return at if frames > 2 else None
+        return at + n if at + n <= len(b) else None
+
+    end, frames = chained(b, "mp3", s + 10 + size, frame, lambda at, rest: (at, 0) if rest is None else (rest[0], rest[1] + 1))
+    return end if frames > 2 else None
 
 
 #: Names of boxes at the top of a file, and kilobits a second of version 1, layer III (fixed values of the public formats).
@@ -331,6 +474,7 @@ def found_in(blob: bytes) -> list[tuple[str, int, int]]:
                 free = end
                 break
     places.cache_clear()
+    _kept.cache_clear()
     return out
 
 

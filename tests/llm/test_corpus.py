@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -751,7 +752,6 @@ def test_models_of_another_kind_are_refused():
 
 
 def test_pieces_of_long_chunks():
-    import time
 
     import sentencepiece
 
@@ -783,3 +783,63 @@ def test_queries_run_their_operators(spark, tmp_path, docs):
     placed = made["op4_sharding"].collect()
     assert {(r.law, r.grown_shard) for r in placed} <= {("bytes", None)}
     assert queries.op3_chat(spark, folder).count() == 2
+
+
+def stored_archive(files):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as f:
+        for name, data in files:
+            f.writestr(name, data)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("inside", range(7))
+def test_archives_in_archives_are_one_file(inside):
+    inner = [stored_archive([(f"a{k}.txt", b"x" * 50)]) for k in range(inside)]
+    whole = stored_archive([*((f"i{k}.zip", b) for k, b in enumerate(inner)), ("t", b"hello")])
+    assert media.found_in(whole) == [("application/zip", 0, len(whole))]
+    assert media.found_in(b"ab" + whole + b"--" + whole) == [("application/zip", 2, 2 + len(whole)), ("application/zip", 4 + len(whole), 4 + 2 * len(whole))]
+
+
+def legal_patterns():
+    import gzip
+    import struct
+
+    box = lambda name, data: struct.pack(">I", 8 + len(data)) + name + data
+    whole = flac(3)
+    riff = b"RIFF" + struct.pack("<I", 1000) + b"WAVEfmt " + struct.pack("<I", 16) + bytes(16)
+    return {
+        "ogg": b"OggS\0\0" + bytes(20) + b"\1\0", "boxes": box(b"ftyp", b"isom") + box(b"free", b"yy"), "heads": b"fLaC\x80\0\0\x22" + bytes(34), "flac": whole, "bodies": b"fLaC" + whole[4:60],
+        "zip": stored_archive([("a", b"x" * 20)]), "ends": b"PK\3\4PK\5\6" + bytes(18), "gzip": b"\x1f\x8b\x08\0\0\0\0\0\0\3", "stored": b"\x1f\x8b\x08\0\0\0\0\0\0\3\0\xff\xff\0\0",
+        "cut": gzip.compress(b"abc" * 100)[:-4], "riff": riff, "png": png()[:40], "gif": b"GIF89a\1\0\1\0\0\0\0!\xf9\4abcd", "jpeg": b"\xff\xd8\xff\xe0\0\4ab", "mp3": b"ID3\4\0\0\0\0\0\0\xff\xfb\x90\0",
+    }
+
+
+@pytest.mark.parametrize("name", legal_patterns())
+def test_long_patterns_are_walked_once(name):
+    """Work that grows with the square of the length would take minutes."""
+    pattern = legal_patterns()[name]
+    blob = pattern * (2_000_000 // len(pattern))
+    began = time.process_time()
+    found = media.found_in(blob)
+    assert time.process_time() - began < 8
+    assert len(found) == (len(blob) // len(pattern) if name in ("flac", "zip") else 0)
+
+
+def test_checksums_of_long_parts():
+    rng = random.Random(3)
+    blob = rng.randbytes(200_000)
+    for _ in range(50):
+        a, b = sorted(rng.randrange(200_001) for _ in range(2))
+        assert media.crc_of(blob, a, b) == zlib.crc32(blob[a:b])
+
+
+def test_two_films_are_two_files():
+    import struct
+
+    box = lambda name, data: struct.pack(">I", 8 + len(data)) + name + data
+    film = box(b"ftyp", b"isom") + box(b"moov", b"x" * 9)
+    assert media.found_in(film + film) == [("video/mp4", 0, len(film)), ("video/mp4", len(film), 2 * len(film))]
