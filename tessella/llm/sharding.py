@@ -5,8 +5,11 @@ tightest bin that still takes it, found in a balanced tree of remaining capaciti
 is packed at once, since after a group has entered the tightest bin that bin is the tightest still: so only the table of
 sizes (size, groups) reaches the driver. Sizes over EXACT bytes count as the next number of 16 leading bits, by which a bin
 holds 1/32768 less at most, so that table is bounded (a million rows for sizes up to a terabyte) however large the input.
-The groups of a run are numbered and take the bins in that order. A group over the capacity of a bin can't stay whole; its
-rows are dealt into PIECES pieces for each bin it would fill, which are packed like any group.
+The groups of a run are numbered and take the bins in that order.
+
+Groups that exceed what the others leave to each other bin get bins of their own, and the fair share is what is left. A group
+of several rows over the fair share of all can't stay whole; its rows are dealt in turn into PIECES pieces for each bin it
+would fill (one row a piece at least), which are packed like any group.
 
 Nulls: a null text has no bytes (size is the overhead alone) and forms a group with other nulls and empty texts. Null
 doc_ids and rows that repeat a doc_id are told apart by their place in the table of sizes. Ties: equal groups of a run are
@@ -16,6 +19,7 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -97,17 +101,44 @@ def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int) -> list[list
     return out
 
 
+def fair_share(sizes: list[int], total: int, n_bins: int) -> tuple[int, float]:
+    """Of the largest sizes, from the largest on: how many items exceed what the others leave to each other bin, and that."""
+    alone = 0
+    for size in sizes[: n_bins - 1]:
+        if size * (n_bins - alone) <= total:
+            break
+        alone, total = alone + 1, total - size
+    return alone, total / (n_bins - alone)
+
+
 def pack_into(runs: list[tuple[int, int]], n_bins: int) -> list[list[tuple[int, int]]]:
-    """Best fit at the least capacity, up to steps that double from one part in 2**20, which n_bins bins suffice for."""
+    """Best fit into n_bins bins. Items over the fair share of the others get bins of their own; the rest is packed at the least
+    capacity, up to one part in 2**12, for which the other bins suffice."""
     if not runs:
         return []
-    least = max(-(-sum(s * n for s, n in runs) // n_bins), max(s for s, _ in runs))
-    step = 0
-    while True:
-        bins = best_fit_decreasing(runs, least + step)
-        if max(b for run in bins for b, _ in run) < n_bins:
-            return bins
-        step = max(1, 2 * step, least >> 20)
+    order = sorted(range(len(runs)), key=lambda k: (-runs[k][0], k))
+    largest = [runs[k][0] for k in order for _ in range(min(runs[k][1], n_bins))][:n_bins]
+    alone, fair = fair_share(largest, sum(s * n for s, n in runs), n_bins)
+    out, rest, at = [[] for _ in runs], list(runs), 0
+    for k in order:
+        n = min(alone - at, runs[k][1])
+        out[k] += [(at + i, 1) for i in range(n)]
+        rest[k] = (runs[k][0], runs[k][1] - n)
+        at += n
+    least = max(math.ceil(fair), max((s for s, n in rest if n), default=0))
+    step, low, best = 0, -1, None
+    while best is None or step - low > max(1, least >> 12):
+        tried = best_fit_decreasing(rest, least + (step if best is None else (low + step) // 2))
+        fits = max((b for run in tried for b, _ in run), default=0) < n_bins - alone
+        if best is None:
+            best, low, step = (tried, low, step) if fits else (None, step, max(1, 2 * step, least >> 12))
+        elif fits:
+            best, step = tried, (low + step) // 2
+        else:
+            low = (low + step) // 2
+    for k, run in enumerate(best):
+        out[k] += [(alone + b, n) for b, n in run]
+    return out
 
 
 def size_class(size: Column) -> Column:
@@ -134,13 +165,17 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     if not n_rows:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     fair = -(-total // n_shards)
-    dealt = lambda n: F.pmod(F.xxhash64("row", F.lit(11)), n).cast("int")
 
-    # groups over the capacity, fewer than shards, are cut into pieces
-    huge = F.broadcast(groups.where(F.col("bytes") > fair).select(*group, F.ceil(F.col("bytes") * PIECES / fair).cast("int").alias("n")))
-    rows = rows.join(huge, group, "left").withColumn("piece", F.when(F.col("n").isNotNull(), dealt(F.col("n"))).otherwise(0)).drop("n")
-    pieces = rows.join(huge, group, "left_semi").groupBy(*group, "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"))
-    units = groups.where(F.col("bytes") <= fair).select(*group, F.lit(0).alias("piece"), "bytes", "copies").union(pieces)
+    # groups over the fair share, fewer than shards, are cut into pieces of some rows each; a row stays whole
+    huge = groups.where((F.col("bytes") > fair) & (F.col("copies") > 1)).select(*group, F.least("copies", F.ceil(F.col("bytes") * PIECES / fair)).alias("n"))
+    units = groups.select(*group, F.lit(0).alias("piece"), "bytes", "copies")
+    if huge.limit(1).count():
+        apart = stored(numbered(rows.join(F.broadcast(huge), group), group, n_rows, ["row"]).withColumn("piece", (F.col("slot") % F.col("n")).cast("int")).drop("n", "slot"), "apart")
+        pieces = apart.groupBy(*group, "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"))
+        units = units.join(F.broadcast(huge.drop("n")), group, "left_anti").union(pieces)
+        rows = rows.join(F.broadcast(huge.drop("n")), group, "left_anti").withColumn("piece", F.lit(0)).unionByName(apart)
+    else:
+        rows = rows.withColumn("piece", F.lit(0))
     units = stored(units.withColumn("run", size_class(F.col("bytes"))), "units")
 
     runs = sorted((r.run, r.n) for r in units.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect())  # bounded, see above
@@ -150,10 +185,11 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         for own, n in bins:
             spans.append((size, at, at + n, own))
             at += n
+    n_spans = len(spans)
     spans = spark.createDataFrame(spans, "run long, first long, next long, shard int").withColumnRenamed("run", "span_run")
     placed = numbered(units, ["run"], n_groups, [*group, "piece"])
     place = (F.col("run") == F.col("span_run")) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("next"))
-    placed = stored(placed.join(F.broadcast(spans), place).select(*group, "piece", "copies", "shard"), "placed")
+    placed = stored(placed.join(small(spans, n_spans), place).select(*group, "piece", "copies", "shard"), "placed")
 
     # groups of many rows are sent to the rows, the others meet them by a shuffle
     key = [*group, "piece"]

@@ -843,3 +843,42 @@ def test_two_films_are_two_files():
     box = lambda name, data: struct.pack(">I", 8 + len(data)) + name + data
     film = box(b"ftyp", b"isom") + box(b"moov", b"x" * 9)
     assert media.found_in(film + film) == [("video/mp4", 0, len(film)), ("video/mp4", len(film), 2 * len(film))]
+
+
+@pytest.mark.parametrize("large", [[], [90_000], [90_000, 40_000, 90_000], [5000] * 45])
+def test_shards_are_near_equal_beside_large_documents(spark, large):
+    """Documents over the fair share have shards of their own, which leaves none empty and the others near equal."""
+    rng = random.Random(6)
+    texts = ["x" * n for n in large] + [sentence(rng, rng.randint(1, 60)) for _ in range(300)] + ["copied text " * 30] * 3
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sharding.shard(df, 20).collect()
+    assert len(got) == len(texts)
+    held = collections.defaultdict(list)
+    for r in got:
+        held[r.shard].append(r.size)
+    assert set(held) == set(range(20))
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(len(held[s]))) for s in held)
+    total = sum(map(sum, held.values()))
+    several = [sum(x) for x in held.values() if len(x) > 1 and max(x) * 20 <= total]
+    if len(large) < 20:
+        assert max(several) <= 1.1 * min(several)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_of_the_tables_are_near_equal(spark, sf):
+    held = collections.defaultdict(list)
+    for r in queries.op4_sharding(spark, f"/root/testdata/{sf}").collect():
+        held[r.shard].append(r.size)
+    several = [sum(x) for x in held.values() if len(x) > 1]
+    assert len(held) == 40 and max(several) <= 1.1 * min(several)
+
+
+def test_packing_one_size_and_more_bins_than_items():
+    for runs, n in (([(10, 3)], 5), ([(10, 5)], 5), ([(7, 100), (1, 50)], 8), ([(100, 1), (1, 3)], 3), ([(0, 4)], 2)):
+        bins = collections.Counter()
+        for (size, count), placed in zip(runs, sharding.pack_into(runs, n), strict=True):
+            assert sum(k for _, k in placed) == count
+            for b, k in placed:
+                assert b < n
+                bins[b] += size * k
+        assert max(bins.values()) <= max(max(s for s, _ in runs), 1.1 * sum(s * c for s, c in runs) / n + 7)
