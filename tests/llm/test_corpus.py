@@ -882,3 +882,37 @@ def test_packing_one_size_and_more_bins_than_items():
                 assert b < n
                 bins[b] += size * k
         assert max(bins.values()) <= max(max(s for s, _ in runs), 1.1 * sum(s * c for s, c in runs) / n + 7)
+
+
+def mixed(df):
+    return collections.Counter(map(tuple, mixing.mix(stored(mixing.sized(df), "sizes")).select("doc_id", "source", "size", "source_size", "target", "taken").collect()))
+
+
+def test_mix_of_many_sources_is_that_of_few(docs, monkeypatch):
+    """The search over the table of sources gives what the driver's arithmetic does."""
+    df, _ = docs
+    few = mixed(df)
+    monkeypatch.setattr(mixing, "SOURCES_MOST", 0)
+    assert mixed(df) == few
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_mix_deals_rows_of_one_id_to_parts(spark, monkeypatch, ids):
+    """A hot source whose rows have one id, many of them one text: no part gets more than its share by far."""
+    monkeypatch.setattr(mixing, "PART_WORDS", 500)
+    rng = random.Random(9)
+    texts = [sentence(rng, 12) if k % 3 else "the same text of eight words for all" for k in range(2000)]
+    rows = [({"null": None, "one": 5, "own": k}[ids], t, "hot" if k % 10 else "cold") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sizes = stored(mixing.sized(df), "sizes")
+    dealt = mixing.dealt_by(sizes, 42)
+    words = sum(len(word_list(t)) for t in texts)
+    parts = dealt.groupBy(F.pmod("dealt", F.lit(20)).alias("p")).agg(F.sum("size").alias("n")).collect()
+    assert len(parts) == 20 and max(r.n for r in parts) < 1.6 * words / 20
+    assert dealt.select("source", "dealt").distinct().count() == len(rows)
+    taken = collections.Counter()
+    for (_, source, size, _, target, n), count in mixed(df).items():
+        assert n <= 3 * size
+        taken[source, target] += n * count
+    assert all(abs(n - target) <= 0.01 * target + 2 for (_, target), n in taken.items())
+    assert mixed(df.repartition(7)) == mixed(df)
