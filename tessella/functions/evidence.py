@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import camelot_score, clamp, cosine01, half_up, tempo_relation
+from .scalars import camelot_score, clamp, cosine01, half_up, once, tempo_relation
 
 # Sets of moves, weights of sums and steps of ladders, which the results depend on.
 COMPLEX = ("bassdrop", "gate", "riser", "spinback", "roll", "acapella")
@@ -41,19 +41,34 @@ def largest(parts: dict[str, Column]) -> Column:
 def feedback_causes(after_ms: Column, ratio: Column, move: Column, dislike: Column, energy_delta: Column, repeats: Column) -> Column:
     """struct(track, transition, session, repetition, confidence, dominant, learn_track, learn_transition): how likely each
     cause of a piece of feedback is; nulls are what is not known."""
-    transition = F.when(after_ms.isNull(), 0.06).otherwise(steps(after_ms, ((4000, 0.9), (12_000, 0.68), (30_000, 0.35)), 0.05)) + F.when(move.isin(*COMPLEX), 0.18).otherwise(0.0)
-    liked = F.when(ratio.isNull(), 0.28).when(ratio < 0.04, 0.16).when(ratio < 0.15, 0.46).when(ratio < 0.5, 0.74).otherwise(0.9)
-    track = F.when(dislike, 1.4).otherwise(liked)
-    session = F.when(energy_delta.isNull(), 0.2).otherwise(0.22 + F.abs(energy_delta) * 2)
-    repetition = F.least(F.lit(0.9), F.greatest(F.lit(0), F.coalesce(repeats, F.lit(0))) * 0.24)
-    total = transition + track + session + repetition
-    shares = {n: half_up(x / total) for n, x in (("track", track), ("transition", transition), ("session", session), ("repetition", repetition))}
     known = lambda c, x: F.when(c, x).otherwise(0.0)
-    sure = 0.28 + known(after_ms.isNotNull(), 0.2) + known(ratio.isNotNull(), 0.2) + known(move.isNotNull(), 0.12) + known(energy_delta.isNotNull(), 0.1) + known(repeats > 0, 0.06)
-    confidence, order = half_up(clamp(sure)), _ranked(shares)
-    dominant = F.when(half_up(order[1]["o"] - order[0]["o"], 6) >= 0.08, order[0]["n"]).otherwise("uncertain")
-    learns = lambda n: (confidence >= 0.6) & (dominant == n) & (shares[n] >= 0.45)
-    return F.struct(*(x.alias(n) for n, x in shares.items()), confidence.alias("confidence"), dominant.alias("dominant"), learns("track").alias("learn_track"), learns("transition").alias("learn_transition"))
+
+    def parts(i: Column) -> Column:
+        early, heard, kind, delta, times = (i[n] for n in ("after_ms", "ratio", "move", "energy_delta", "repeats"))
+        transition = F.when(early.isNull(), 0.06).otherwise(steps(early, ((4000, 0.9), (12_000, 0.68), (30_000, 0.35)), 0.05)) + F.when(kind.isin(*COMPLEX), 0.18).otherwise(0.0)
+        liked = F.when(heard.isNull(), 0.28).when(heard < 0.04, 0.16).when(heard < 0.15, 0.46).when(heard < 0.5, 0.74).otherwise(0.9)
+        session = F.when(delta.isNull(), 0.2).otherwise(0.22 + F.abs(delta) * 2)
+        repetition = F.least(F.lit(0.9), F.greatest(F.lit(0), F.coalesce(times, F.lit(0))) * 0.24)
+        sure = 0.28 + known(early.isNotNull(), 0.2) + known(heard.isNotNull(), 0.2) + known(kind.isNotNull(), 0.12) + known(delta.isNotNull(), 0.1) + known(times > 0, 0.06)
+        return F.struct(F.when(i["dislike"], 1.4).otherwise(liked).alias("track"), transition.alias("transition"), session.alias("session"), repetition.alias("repetition"), half_up(clamp(sure)).alias("sure"))
+
+    def shares(p: Column) -> Column:
+        names = ("track", "transition", "session", "repetition")
+        total = p["transition"] + p["track"] + p["session"] + p["repetition"]
+        return F.struct(*(half_up(p[n] / total).alias(n) for n in names), p["sure"].alias("confidence"))
+
+    def ranked(s: Column) -> Column:
+        order = _ranked({n: s[n] for n in ("track", "transition", "session", "repetition")})
+        first = once(order, lambda o: F.when(half_up(o[1]["o"] - o[0]["o"], 6) >= 0.08, o[0]["n"]).otherwise("uncertain"))
+        return F.struct(s.alias("s"), first.alias("dominant"))
+
+    def told(r: Column) -> Column:
+        s, learns = r["s"], lambda n: (r["s"]["confidence"] >= 0.6) & (r["dominant"] == n) & (r["s"][n] >= 0.45)
+        own = [s[n].alias(n) for n in ("track", "transition", "session", "repetition", "confidence")]
+        return F.struct(*own, r["dominant"].alias("dominant"), learns("track").alias("learn_track"), learns("transition").alias("learn_transition"))
+
+    given = {"after_ms": after_ms, "ratio": ratio, "move": move, "dislike": dislike, "energy_delta": energy_delta, "repeats": repeats}
+    return once(once(once(once(F.struct(*(x.alias(n) for n, x in given.items())), parts), shares), ranked), told)
 
 
 def track_vector(bpm: Column, energy: Column, dance: Column, punch: Column, centroid: Column, rolloff: Column, flatness: Column, flux: Column, genre: Column, swing: Column) -> Column:
@@ -222,29 +237,40 @@ def transition_quality(
 ) -> Column:
     """struct(score, grade, the seven parts of QUALITY) of a transition. key: both keys and the lesser confidence; execution:
     mode, slack in ms, reason of a fallback; skip_weight: of an early skip (null: none)."""
-    hard, masked = move.isin(*HARD), move.isin(*MASKING)
-    gap = F.when((bpm[0] > 0) & (bpm[1] > 0), tempo_relation(*bpm)["gap"] * 100)
-    harmony = F.when(key[0].isNotNull() & key[1].isNotNull() & (key[2] >= 0.35), camelot_score(key[0], key[1]) * 100)
-    error, delta = F.abs(timing_ms), intensity[1] - intensity[0]
-    worst = F.greatest(F.abs(stretch[0] - 1), F.abs(stretch[1] - 1))
     mode, slack, reason = execution
-    soft = steps(gap, ((2, 100.0), (6, 92.0), (8, 84.0), (12, 68.0), (18, 48.0)), 25.0)
-    parts = {
-        "timing": steps(error, ((30, 100.0), (80, 92.0), (150, 75.0), (300, 55.0)), clamp(35 - (error - 300) / 20, 0.0, 35.0)),
-        "harmonic": F.when(harmony.isNull(), 72.0).when(hard, F.greatest(F.lit(72.0), harmony)).when(masked, F.greatest(F.lit(68.0), harmony)).otherwise(harmony),
-        "tempo": F.when(gap.isNull(), 72.0).when(hard, steps(gap, ((8, 95.0), (18, 88.0), (35, 78.0)), 62.0)).otherwise(soft),
-        "energy": F.when(delta.isNull(), 72.0).otherwise(clamp(100 - F.abs(delta - 0.08) * 220, 0.0, 100.0)),
-        "execution": F.when(mode == "offline-cache", 100.0)
-        .when(mode == "offline-render", F.when(slack >= 500, 98.0).when(slack >= 100, 92.0).when(slack >= 0, 84.0).otherwise(70.0))
-        .when(mode == "live", 86.0)
-        .when(reason.isin("disabled", "unsupported"), 76.0)
-        .otherwise(58.0),
-        "stretch": steps(worst, ((0.02, 100.0), (0.05, 92.0), (0.08, 82.0), (0.12, 62.0)), 40.0),
-        "feedback": F.when(skip_weight.isNotNull(), clamp(100 - skip_weight * 100, 0.0, 100.0)).when(disliked, 72.0).otherwise(100.0),
-    }
-    score = half_up(clamp(reduce(lambda a, b: a + b, (parts[n] * w for n, w in QUALITY.items())), 0.0, 100.0), 1)
-    grade = F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 55, "D").otherwise("F")
-    return F.struct(score.alias("score"), grade.alias("grade"), *(half_up(x, 1).alias(n) for n, x in parts.items()))
+    given = {
+        "hard": move.isin(*HARD), "masked": move.isin(*MASKING), "gap": F.when((bpm[0] > 0) & (bpm[1] > 0), once(F.struct(bpm[0].alias("a"), bpm[1].alias("b")), lambda t: tempo_relation(t["a"], t["b"])["gap"] * 100)),
+        "harmony": F.when(key[0].isNotNull() & key[1].isNotNull() & (key[2] >= 0.35), camelot_score(key[0], key[1]) * 100), "error": F.abs(timing_ms), "delta": intensity[1] - intensity[0],
+        "worst": F.greatest(F.abs(stretch[0] - 1), F.abs(stretch[1] - 1)), "mode": mode, "slack": slack, "reason": reason, "skip": skip_weight, "disliked": disliked,
+    }
+
+    def parts(i: Column) -> Column:
+        gap, harmony, error, delta, slack = (i[n] for n in ("gap", "harmony", "error", "delta", "slack"))
+        soft = steps(gap, ((2, 100.0), (6, 92.0), (8, 84.0), (12, 68.0), (18, 48.0)), 25.0)
+        made = {
+            "timing": steps(error, ((30, 100.0), (80, 92.0), (150, 75.0), (300, 55.0)), clamp(35 - (error - 300) / 20, 0.0, 35.0)),
+            "harmonic": F.when(harmony.isNull(), 72.0).when(i["hard"], F.greatest(F.lit(72.0), harmony)).when(i["masked"], F.greatest(F.lit(68.0), harmony)).otherwise(harmony),
+            "tempo": F.when(gap.isNull(), 72.0).when(i["hard"], steps(gap, ((8, 95.0), (18, 88.0), (35, 78.0)), 62.0)).otherwise(soft),
+            "energy": F.when(delta.isNull(), 72.0).otherwise(clamp(100 - F.abs(delta - 0.08) * 220, 0.0, 100.0)),
+            "execution": F.when(i["mode"] == "offline-cache", 100.0)
+            .when(i["mode"] == "offline-render", F.when(slack >= 500, 98.0).when(slack >= 100, 92.0).when(slack >= 0, 84.0).otherwise(70.0))
+            .when(i["mode"] == "live", 86.0)
+            .when(i["reason"].isin("disabled", "unsupported"), 76.0)
+            .otherwise(58.0),
+            "stretch": steps(i["worst"], ((0.02, 100.0), (0.05, 92.0), (0.08, 82.0), (0.12, 62.0)), 40.0),
+            "feedback": F.when(i["skip"].isNotNull(), clamp(100 - i["skip"] * 100, 0.0, 100.0)).when(i["disliked"], 72.0).otherwise(100.0),
+        }
+        return F.struct(*(x.alias(n) for n, x in made.items()))
+
+    def scored(p: Column) -> Column:
+        total = reduce(lambda a, b: a + b, (p[n] * w for n, w in QUALITY.items()))
+        return F.struct(p.alias("p"), half_up(clamp(total, 0.0, 100.0), 1).alias("score"))
+
+    def graded(s: Column) -> Column:
+        grade = F.when(s["score"] >= 90, "A").when(s["score"] >= 80, "B").when(s["score"] >= 70, "C").when(s["score"] >= 55, "D").otherwise("F")
+        return F.struct(s["score"].alias("score"), grade.alias("grade"), *(half_up(s["p"][n], 1).alias(n) for n in QUALITY))
+
+    return once(once(once(F.struct(*(x.alias(n) for n, x in given.items())), parts), scored), graded)
 
 
 def first_fault(checks: Sequence[tuple[str, Column]]) -> Column:

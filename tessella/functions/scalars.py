@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,13 @@ def half_up(x: Column | str, digits: int = 3) -> Column:
 def clamp(x: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
     """Within low and high; null stays null."""
     x = _col(x)
-    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+
+
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of x, which is computed once however often use takes it: it is the variable of a one-element array. A
+    struct of such a kind is not taken apart and repeated for each of its fields either."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 def ratio(part: Column, whole: Column, digits: int = 3) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import clamp, half_up
+from .scalars import clamp, half_up, once
 
 # Words that decide, in the order in which they count. A phrase is its words with single spaces.
 
@@ -96,39 +96,47 @@ def _place(tokens: Column, wanted: Sequence[str], bare: bool = False) -> Column:
 
 def without_guests(x: Column, words: Sequence[str] = GUESTS) -> Column:
     """Up to the word that names guests, with single spaces."""
-    tokens = _tokens(x)
-    at = _place(tokens, words, bare=True)
-    return F.array_join(F.when(at > 0, F.slice(tokens, 1, F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(tokens), " ")
+    placed = once(_tokens(x), lambda t: F.struct(t.alias("tokens"), _place(t, words, bare=True).alias("at")))
+    return once(placed, lambda p: F.array_join(F.when(p["at"] > 0, F.slice(p["tokens"], 1, F.greatest(p["at"] - 1, F.lit(0)).cast("int"))).otherwise(p["tokens"]), " "))
 
 
 def clean_title(raw: Column, uploader: Column) -> Column:
     """struct(artist, title): junk in brackets, guests and quotes are cut; 'Artist - Title' splits at the first dash, else
     the uploader without the ending of a channel is the artist."""
-    tokens = _tokens(without_guests(unbracketed(raw, JUNK)))
-    # a dash with something on both sides
-    middle = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
-    at = F.when(F.size(tokens) > 2, _place(middle, DASHES)).otherwise(0)
-    before, after = F.slice(tokens, 1, at.cast("int")), F.slice(tokens, (at + 2).cast("int"), F.size(tokens))
-    names = _tokens(uploader)
-    last = F.lower(F.element_at(names, -1))
-    marked = F.when(F.size(names) > 0, last.isin(*CHANNEL)).otherwise(False)
-    left = F.when(marked, F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)
-    left = F.when(marked & (last == "topic") & (F.size(left) > 0), F.slice(left, 1, F.size(left) - F.element_at(left, -1).isin(*DASHES).cast("int"))).otherwise(left)
-    artist = F.when(at > 0, F.array_join(before, " ")).otherwise(F.nullif(F.array_join(left, " "), F.lit("")))
-    title = F.trim(F.translate(F.array_join(F.when(at > 0, after).otherwise(tokens), " "), "\"'", ""))
-    return F.struct(artist.alias("artist"), F.when(title == "", F.trim(raw)).otherwise(title).alias("title"))
+
+    def split(tokens: Column) -> Column:
+        # a dash with something on both sides
+        middle = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
+        return F.struct(tokens.alias("tokens"), F.when(F.size(tokens) > 2, _place(middle, DASHES)).otherwise(0).cast("int").alias("at"))
+
+    def channel(names: Column) -> Column:
+        last = F.lower(F.element_at(names, -1))
+        marked = F.when(F.size(names) > 0, last.isin(*CHANNEL)).otherwise(False)
+        left = F.when(marked, F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))).otherwise(names)
+        return once(left, lambda n: F.array_join(F.when(marked & (last == "topic") & (F.size(n) > 0), F.slice(n, 1, F.size(n) - F.element_at(n, -1).isin(*DASHES).cast("int"))).otherwise(n), " "))
+
+    def named(s: Column) -> Column:
+        before, after = F.slice(s["tokens"], 1, s["at"]), F.slice(s["tokens"], s["at"] + 2, F.size(s["tokens"]))
+        artist = F.when(s["at"] > 0, F.array_join(before, " ")).otherwise(F.nullif(once(_tokens(uploader), channel), F.lit("")))
+        title = F.trim(F.translate(F.array_join(F.when(s["at"] > 0, after).otherwise(s["tokens"]), " "), "\"'", ""))
+        return F.struct(artist.alias("artist"), once(title, lambda t: F.when(t == "", F.trim(raw)).otherwise(t)).alias("title"))
+
+    return once(once(_tokens(without_guests(unbracketed(raw, JUNK))), split), named)
 
 
 def title_variants(title: Column) -> Column:
     """Distinct shorter forms of a title to look it up by, the fullest first: as it is, without guests, then without
     brackets, or without what follows a dash."""
-    plain = F.array_join(_tokens(title), " ")
-    guestless = without_guests(title, GUESTS_LOOSE)
-    tokens = _tokens(guestless)
-    at = _place(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), DASHES[:1])
-    dashless = F.array_join(F.when(at > 0, F.slice(tokens, 1, at.cast("int"))).otherwise(tokens), " ")
-    forms = F.array(plain, guestless, F.array_join(_tokens(unbracketed(guestless)), " "), dashless)
-    return F.filter(F.array_distinct(forms), lambda x: x != "")
+
+    def dashless(tokens: Column) -> Column:
+        at = _place(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), DASHES[:1])
+        return F.array_join(once(at, lambda a: F.when(a > 0, F.slice(tokens, 1, a.cast("int"))).otherwise(tokens)), " ")
+
+    def forms(guestless: Column) -> Column:
+        plain = F.array_join(_tokens(title), " ")
+        return F.array(plain, guestless, F.array_join(_tokens(unbracketed(guestless)), " "), once(_tokens(guestless), dashless))
+
+    return F.filter(F.array_distinct(once(without_guests(title, GUESTS_LOOSE), forms)), lambda x: x != "")
 
 
 def _stamp_ms(stamp: Column) -> Column:
@@ -172,24 +180,29 @@ def intent(text: Column) -> Column:
     """struct(exclude, fewer, louder, softer, minutes, toward, following, confidence) of a request in German: a genre to
     leave out, what to have less of, whether to raise the energy or to be gentle, over how many minutes towards which
     genre, and the track to come next. Each thing said adds a tenth to the confidence."""
-    said = spoken(text)
+
+    def read(t: Column) -> Column:
+        said, words = t["said"], t["words"]
+        numbers = F.filter(F.transform(words, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].rlike("^[0-9]+$"))
+        framed = F.filter(numbers, lambda x: F.coalesce(F.get(words, x["k"] - 1).isin("in", "über") & F.startswith(F.get(words, x["k"] + 1), F.lit("min")), F.lit(False)))
+        exclude = F.coalesce(_after(words, WITHOUT), F.when(says(said, ["auf keinen fall"]) & says(said, ["deutschrap"]), F.lit("deutschrap")))
+        toward = F.coalesce(_after(words, ["richtung"]), F.when(says(said, ["danach gerne"]), _after(words, ["gerne"])))
+        fewer = F.when(says(said, FEWER), F.when(says(said, ["deutschrap"]), "genre:deutschrap").otherwise("vocals"))
+        play, end = _place(words, ["spiel"]), _place(words, ["als"])
+        named = (play > 0) & (end > play + 1) & says(said, ["als nächstes"])
+        following = F.when(named & (F.size(words) > 0), F.array_join(F.slice(words, (play + 1).cast("int"), F.greatest(end - play - 1, F.lit(0)).cast("int")), " "))
+        return F.struct(
+            exclude.alias("exclude"), fewer.alias("fewer"), says(said, LOUDER).alias("louder"), says(said, SOFTER).alias("softer"), F.get(framed, F.lit(0))["w"].try_cast("int").alias("minutes"),
+            toward.alias("toward"), following.alias("following"),
+        )
+
+    def sure(i: Column) -> Column:
+        hits = sum((i[n].isNotNull().cast("int") for n in ("exclude", "fewer", "minutes", "toward", "following")), F.lit(0)) + 2 * i["louder"].cast("int") + i["softer"].cast("int")
+        own = [i[n].alias(n) for n in ("exclude", "fewer", "louder", "softer", "minutes", "toward", "following")]
+        return F.struct(*own, half_up(clamp(0.45 + hits * 0.1)).alias("confidence"))
+
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}-]"), lambda w: w != "")
-    size = F.size(words)
-    numbers = F.filter(F.transform(words, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: x["w"].rlike("^[0-9]+$"))
-    framed = F.filter(numbers, lambda x: F.coalesce(F.get(words, x["k"] - 1).isin("in", "über") & F.startswith(F.get(words, x["k"] + 1), F.lit("min")), F.lit(False)))
-    minutes = F.get(framed, F.lit(0))["w"].try_cast("int")
-    exclude = F.coalesce(_after(words, WITHOUT), F.when(says(said, ["auf keinen fall"]) & says(said, ["deutschrap"]), F.lit("deutschrap")))
-    toward = F.coalesce(_after(words, ["richtung"]), F.when(says(said, ["danach gerne"]), _after(words, ["gerne"])))
-    fewer = F.when(says(said, FEWER), F.when(says(said, ["deutschrap"]), "genre:deutschrap").otherwise("vocals"))
-    louder, softer = says(said, LOUDER), says(said, SOFTER)
-    play, end = _place(words, ["spiel"]), _place(words, ["als"])
-    named = (play > 0) & (end > play + 1) & says(said, ["als nächstes"])
-    following = F.when(named & (size > 0), F.array_join(F.slice(words, (play + 1).cast("int"), F.greatest(end - play - 1, F.lit(0)).cast("int")), " "))
-    hits = sum((x.isNotNull().cast("int") for x in (exclude, fewer, minutes, toward, following)), F.lit(0)) + 2 * louder.cast("int") + softer.cast("int")
-    return F.struct(
-        exclude.alias("exclude"), fewer.alias("fewer"), louder.alias("louder"), softer.alias("softer"), minutes.alias("minutes"), toward.alias("toward"),
-        following.alias("following"), half_up(clamp(0.45 + hits * 0.1)).alias("confidence"),
-    )
+    return once(once(F.struct(spoken(text).alias("said"), words.alias("words")), read), sure)
 
 
 def slug(x: Column) -> Column:
