@@ -14,11 +14,15 @@ counts. From LONG shingles on the fingerprints must be within RADIUS of 128 bits
 similarity 0.8 leads to expect: a pair is missed by chance in one of some 10**8 cases.
 
 A large component is decided in three steps that end when it is one: inside its parts; between representatives of what
-has been joined; and what is still apart against everything else. Sets are of 64-bit hashes; texts of equal words are one
-node from the start, so copies cost their signature alone.
-
-Nulls: a null text has no words and is like the empty text. Repeated rows are copies. Very long texts are cut to slices of
-a batch, one text at least. An empty table gives an empty result.
+has been joined; and between what is still apart. For the last the sketches are compared again, between texts that have not
+been joined alone, and what they connect is dealt out as pairs of parts: no task holds more than two parts, whatever the size
+of a component; where thousands of texts could be similar by all bounds, and are not, each meets each (in rows n * n / PART),
+which an exact test needs. Sets are of 64-bit hashes; texts of equal words are one node from the start, so copies cost their
+signature alone.
+
+Nulls: a null text has no words and is like the empty text. Repeated rows are copies; of ties the smallest id is the first.
+Very long texts are cut to slices of a batch, one text at least. An empty table gives an empty result; further columns are
+not read.
 """
 
 from __future__ import annotations
@@ -231,10 +235,12 @@ def _bucketed(rows: np.ndarray, start: np.ndarray, *, by_h: bool = False) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(mix64(g)[chain[near]].view(np.int64)), pa.array(sig[near])], names=["g", "sig"])
 
 
-def tile_forest(n: np.ndarray, sim: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (child, root) that connect the same sets as all pairs within the bounds do. n: sizes."""
+def tile_forest(n: np.ndarray, sim: np.ndarray, odd: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (child, root) that connect the same sets as all pairs within the bounds do (those of different labels, if own
+    has them). n: sizes."""
     order = np.argsort(n, kind="stable")
     n, sim, odd = n[order], sim[order], odd[order]
+    own = None if own is None else own[order]
     bits = np.bitwise_count(sim).sum(axis=1, dtype=np.int64)
     label = np.arange(len(n))
     for a in range(0, len(n), TILE):
@@ -250,6 +256,8 @@ def tile_forest(n: np.ndarray, sim: np.ndarray, odd: np.ndarray) -> tuple[np.nda
             near &= 5 * n[left, None] >= 4 * n[None, right]
             apart = np.bitwise_count(sim[left, None] ^ sim[None, right]).sum(axis=2, dtype=np.int64)
             near &= (apart <= RADIUS) | (n[left, None] < LONG)
+            if own is not None:
+                near &= own[left, None] != own[None, right]
             u, v = np.nonzero(near)
             u, v = u + a, v + b
             u, v = u[u < v], v[u < v]
@@ -293,7 +301,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cols = [rows.column(k).to_numpy() for k in ("sig", "n", "s0", "s1", "p0", "p1")]
         sim, odd = (np.stack(x, axis=1).view(np.uint64) for x in (cols[2:4], cols[4:6]))
-        child, root = tile_forest(cols[1].astype(np.int64), sim, odd)
+        own = rows.column("label").to_numpy() if "label" in rows.column_names else None
+        child, root = tile_forest(cols[1].astype(np.int64), sim, odd, own)
         a.append(cols[0][child])
         b.append(cols[0][root])
         if len(a) >= _SHIFT:
@@ -303,8 +312,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
-    """(a, b) over signatures: connects all texts whose similarity can be 4/5. nodes: (sig, n, s0, s1, p0, p1)."""
+def bucketed(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
+    """(key, lo, hi, sig, n, s0, s1, p0, p1): buckets in which any two texts meet whose similarity can be 4/5. nodes: (sig, n,
+    s0, s1, p0, p1)."""
     order = ["h", "n", "sig"]
     first = _first(docs, n_words).repartition("h").sortWithinPartitions(*order)
     buckets = first.mapInArrow(_shared, "g long, sig long").groupBy("sig").agg(F.collect_set("g").alias("g"))  # a text's first shingles at most
@@ -314,9 +324,15 @@ def candidates(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
     large = stored(large.select("key", F.ceil(F.col("count") / (BUCKET // 2)).cast("int").alias("parts")), "large")
     some = large.count()
     ready = dealt.withColumns({"lo": F.lit(0), "hi": F.lit(0)}) if not some else paired(dealt, F.broadcast(large) if some <= BROADCAST else large, "sig")
+    return ready.select("key", "lo", "hi", "sig", "n", "s0", "s1", "p0", "p1")
+
+
+def linked(buckets: DataFrame) -> DataFrame:
+    """(a, b) over signatures: connects all texts of a bucket whose similarity can be 4/5; with a column label those alone that
+    differ in it."""
     keys = ["key", "lo", "hi"]
-    ready = ready.select(*keys, "sig", "n", "s0", "s1", "p0", "p1")
-    return ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared, "a long, b long")
+    rows = buckets.select(*keys, *(c for c in buckets.columns if c not in keys))
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared, "a long, b long")
 
 
 def joined(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
@@ -366,10 +382,10 @@ def _meet(rows: DataFrame, n_words: int) -> DataFrame:
     return ready.mapInArrow(_decided(n_words), "a long, b long")
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """(component, parts) of rows (component, text)."""
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    return sizes.select("component", F.when((F.col("n") > 2 * PART) | (F.col("bytes") > 2 * PART_BYTES), F.ceil(F.greatest(F.col("n") / PART, F.least(F.col("n"), F.col("bytes") / PART_BYTES)))).otherwise(1).cast("int").alias("parts"))
+def _parts(rows: DataFrame, by: str = "component") -> DataFrame:
+    """(by, parts) of rows (by, text)."""
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    return sizes.select(by, F.when((F.col("n") > 2 * PART) | (F.col("bytes") > 2 * PART_BYTES), F.ceil(F.greatest(F.col("n") / PART, F.least(F.col("n"), F.col("bytes") / PART_BYTES)))).otherwise(1).cast("int").alias("parts"))
 
 
 def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -379,8 +395,9 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return named.select(*[c for c in rows.columns if c != "label"], F.coalesce("to", "sig").alias("label"))
 
 
-def decided(members: DataFrame, n_words: int) -> DataFrame:
-    """(a, b): similar texts among members (component, sig, text) that connect them as all similar pairs do."""
+def decided(members: DataFrame, n_words: int, buckets: DataFrame) -> DataFrame:
+    """(a, b): similar texts among members (component, sig, text) that connect them as all similar pairs do. buckets: see
+    bucketed; all similar pairs meet there."""
     spread = members.join(_parts(members).where("parts > 1"), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
     spread = spread.withColumns({"lo": own, "hi": own, "label": F.col("sig")})
@@ -395,20 +412,37 @@ def decided(members: DataFrame, n_words: int) -> DataFrame:
     heads = stored(heads, "heads")
     spread = heads.join(_parts(heads), "component").withColumns({"lo": own, "hi": own})
     edges = edges.union(stored(_meet(spread, n_words), "similar"))
-    # what is still apart: all but the largest label of a component meets everything of another label
-    labels = _labelled(large, edges)
-    counts = stored(labels.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "labels")
-    open_ = counts.groupBy("component").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("top")).where("labels > 1").drop("labels")
-    open_ = stored(open_, "open")
-    if not open_.limit(1).count():
-        return edges
-    rest = stored(labels.join(open_, "component"), "apart")
-    spread = rest.join(_parts(rest), "component").withColumn("own", own)
-    other = F.when(F.col("label") == F.col("top"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = spread.withColumn("other", F.explode(other))
-    # the largest label stays in its part, marked by hi = lo; the others come to every part
-    spread = spread.withColumns({"lo": F.col("other"), "hi": F.lit(0)})
-    return edges.union(stored(_meet(spread, n_words), "similar"))
+    # what is still apart: the sketches are compared once more, between different labels only, and what they connect meets
+    labels = stored(_labelled(large, edges), "labels")
+    open_ = labels.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    apart = labels.join(open_.select("component"), "component", "left_semi").select("sig", "label")
+    crossing = _members(components(linked(buckets.join(apart, "sig"))))
+    rest = labels.drop("component").join(crossing, "sig")
+    return edges.union(stored(_meet(_in_pairs(stored(rest, "apart")), n_words), "similar"))
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """(sig, component) of components (node, component), in which the first node of each is not listed."""
+    return found.select(F.col("node").alias("sig"), "component").union(found.select(F.col("component").alias("sig"), "component").distinct())
+
+
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """rows (component, sig, label, text) dealt to pairs (lo, hi) of parts of their component, so that any two texts of
+    different labels meet and a task holds two parts. The texts of the largest label needn't meet each other: their parts come
+    after those of the others and are paired with these alone."""
+    counts = rows.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
+    rows = rows.join(top, "component").withColumn("side", (F.col("label") == F.col("top")).cast("int"))
+    sides = rows.groupBy("component", "side").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.lit(1), F.col("n") / PART, F.least(F.col("n"), F.col("bytes") / PART_BYTES))).cast("int")
+    of = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, parts)), F.lit(0))
+    sizes = sides.groupBy("component").agg(of(0).alias("others"), of(1).alias("tops"))
+    rows = rows.join(sizes, "component")
+    mine = F.pmod(F.xxhash64("sig"), F.greatest(F.lit(1), F.when(F.col("side") == 1, F.col("tops")).otherwise(F.col("others")))).cast("int")
+    mine = mine + F.when(F.col("side") == 1, F.col("others")).otherwise(0)
+    last = F.when(F.col("side") == 1, F.col("others")).otherwise(F.col("others") + F.col("tops"))
+    spread = rows.withColumn("own", mine).where(last > 0).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    return spread.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
 
 
 def near_copies(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
@@ -418,11 +452,11 @@ def near_copies(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     rows = stored(described(docs, n_words), "described")
     nodes = rows.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "p0", "p1")))
     nodes = stored(nodes, "nodes")
-    chained = components(candidates(docs, nodes.drop("doc_id"), n_words)).withColumnRenamed("node", "sig")
-    chained = chained.union(chained.select(F.col("component").alias("sig"), "component").distinct())
+    buckets = bucketed(docs, nodes.drop("doc_id"), n_words)
+    chained = _members(components(linked(buckets)))
     wanted = stored(nodes.join(chained, "sig").select("doc_id", "component", "sig"), "wanted")
     members = stored(docs.join(wanted, "doc_id").select("component", "sig", "text"), "members")
-    found = components(decided(members, n_words))
+    found = components(decided(members, n_words, buckets))
     named = nodes.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     named = stored(named, "named")
     first = named.groupBy("component").agg(F.min("doc_id").alias("first_id"))

@@ -65,6 +65,49 @@ def test_near_duplicates(spark, monkeypatch, unique, part):
     assert [r[:2] for r in got] == [r[:2] for r in want]
 
 
+def loose_texts(n, seed=11):
+    """Texts of one frame in which some words differ: all within the sketches' bounds of others, few similar."""
+    rng = random.Random(seed)
+    frame = [f"f{k}" for k in range(60)]
+    out = []
+    for _ in range(n):
+        words = list(frame)
+        for k in rng.sample(range(60), rng.choice((1, 2, 3))):
+            words[k] = f"x{rng.randint(0, 30)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("n, part", [(400, 16), (150, 4)])
+def test_a_loose_component_is_decided_in_small_groups(spark, monkeypatch, n, part):
+    monkeypatch.setattr(similar, "PART", part)
+    largest, meet = [], similar._meet
+
+    def watched(rows, n_words):
+        groups = rows.groupBy("component", "lo", "hi").count().agg({"count": "max"}).first()[0]
+        largest.append(groups or 0)
+        return meet(rows, n_words)
+
+    monkeypatch.setattr(similar, "_meet", watched)
+    rows = [(k, t, "s") for k, t in enumerate(loose_texts(n))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == first_rows(rows) and 1 < len(got) < n
+    assert len(largest) >= 2 and max(largest) <= 2 * part + 4 * (2 * part) ** 0.5 + 4
+
+
+def test_pairs_of_parts_bring_all_labels_together(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PART", 5)
+    rows = [(7, k, 0 if k % 3 == 0 else k % 4, f"t{k}") for k in range(90)] + [(8, 100 + k, k, "t") for k in range(3)] + [(9, 200, 1, "t")]
+    df = spark.createDataFrame(rows, "component long, sig long, label long, text string")
+    met = collections.defaultdict(set)
+    for r in similar._in_pairs(df).collect():
+        met[r.component, r.lo, r.hi].add(r.sig)
+    together = {(a, b) for group in met.values() for a in group for b in group}
+    assert all((a[1], b[1]) in together for a in rows for b in rows if a[0] == b[0] and a[2] != b[2])
+    assert max(map(len, met.values())) <= 24
+
+
 def test_near_duplicates_of_nothing(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], SCHEMA), "").collect() == []
 
