@@ -19,16 +19,17 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, stored
+from .common import slices, stored, words_of
 
 BLOCK_IDS = 1 << 17
 #: Documents of a shard, about; their number follows the input up to SHARDS_MOST.
@@ -39,7 +40,7 @@ REMEMBERED = 250_000
 #: Stands for a null doc_id in bounds, before all others.
 LEAST = int(np.iinfo(np.int64).min)
 
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
+_STOP = re.compile(r"[a-z0-9][.,]\Z")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -109,32 +110,46 @@ def cuts_at_words(path: str) -> bool:
     return all(np.array_equal(np.frombuffer(x, words.kind), words.whole(t)) for t, x in zip(PROBES, words(PROBES), strict=True))
 
 
-def _raw(text: str | bytes | None) -> bytes:
-    return text if isinstance(text, bytes) else (text or "").encode()
+class Ids:
+    """Makes ids of texts."""
 
+    #: The type of the ids: little-endian, two bytes where the vocabulary fits.
+    kind: np.dtype
 
-class WholeIds:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), one text behind the other, and how many each has."""
+        raise NotImplementedError
+
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
+        """For each text its ids as integers of the kind."""
+        flat, counts = self.ids(pa.array(texts, pa.string()))
+        at = np.concatenate(([0], np.cumsum(counts)))
+        return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+class WholeIds(Ids):
     """Ids of whole texts, for any tokenizer."""
 
     def __init__(self, path: str) -> None:
         self._tokenizer = _tokenizer(path)
         self.kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
 
-    def __call__(self, texts: list[str | bytes | None]) -> list[bytes]:
-        done = self._tokenizer.encode_batch([_raw(t).decode() for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in done]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        done = [x.ids for x in self._tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.array([k for x in done for k in x], self.kind), np.array([len(x) for x in done], np.int64)
 
 
-class WordIds:
+class WordIds(Ids):
     """Ids of a text from those of its words: right for tokenizers that lower their input and whose pre-tokenizer cuts at
-    ASCII white space, which it drops, and between letters or digits and marks (see cuts_at_words). So a full stop or comma that ends a word
-    counts as a word. Only words not seen lately go to the tokenizer, many in one call: a special token, which no word
-    given so holds, keeps them apart. A text that may hold a special token goes there as it is."""
+    ASCII white space, which it drops, and between letters or digits and marks (see cuts_at_words). A batch's texts are cut
+    into words and numbered by column functions; each different word is looked up once, and the ids of all places are gathered
+    by numpy. A full stop or comma that ends a word counts as a word. Only words not seen lately go to the tokenizer, many in
+    one call: a special token, which no word given so holds, keeps them apart. A text that may hold a special token goes there
+    as it is."""
 
     def __init__(self, path: str) -> None:
         tokenizer = _tokenizer(path)
         many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        #: The type of the ids: little-endian, two bytes where the vocabulary fits.
         self.kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
         self.whole = lambda text: np.array(many([text], add_special_tokens=False)[0].ids, self.kind)
         special = sorted((k, t.content) for k, t in tokenizer.get_added_tokens_decoder().items() if t.special)
@@ -142,46 +157,70 @@ class WordIds:
         suffix = _told(path)["suffix"]
         self._ends = np.zeros(vocabulary_size(path), bool)
         self._ends[[k for t, k in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}  # what was known before, for words that come again
-
-    def __call__(self, texts: list[str | bytes | None]) -> list[bytes]:
-        """For each text (or its UTF-8) its ids as integers of the kind."""
-        raw = [_raw(t) for t in texts]
-        split = [[] if b"<|" in t else _STOP.sub(rb" \1", t.lower()).split() for t in raw]
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}  # what was known before, for words that come again
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        words, at = words_of(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts))
+        coded = words.dictionary_encode()
+        held = self._look_up(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, held), np.int64, len(held)) // self.kind.itemsize
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        count = size[place]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        begin = (np.cumsum(size) - size)[place] - ends[:-1]
+        flat = np.frombuffer(b"".join(held), self.kind)[np.arange(ends[-1]) + np.repeat(begin, count)]
+        counts = np.diff(ends[at])
+        if odd.any():
+            whole = [(k, self.whole(texts[k].as_py())) for k in np.nonzero(odd)[0].tolist()]
+            counts[odd] = [len(x) for _, x in whole]
+            flat = np.insert(flat, np.repeat([ends[at[k]] for k, _ in whole], counts[odd]), np.concatenate([x for _, x in whole]))
+        return flat, counts
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         if len(self._known) > REMEMBERED:
             self._known, self._older = {}, self._known
-        missing = set().union(*split).difference(self._known) if split else set()
-        again = missing.intersection(self._older)
-        self._known.update(zip(again, map(self._older.__getitem__, again), strict=True))
-        letters, others = [], []
-        for w in missing - again:
-            (letters if w.decode().isalpha() else others).append(w)
-        for at in range(0, len(letters), 1000):
-            self._learn_letters(letters[at : at + 1000])
-        for at in range(0, len(others), 1000):
-            self._learn(others[at : at + 1000])
-        get = self._known.__getitem__
-        return [self.whole(t.decode()).tobytes() if b"<|" in t else b"".join(map(get, words)) for t, words in zip(raw, split, strict=True)]
-
-
-    def _learn(self, words: list[bytes]) -> None:
+        known, older = self._known, self._older
+        missing = [w for w in words if w not in known]
+        new = []
+        for w in missing:
+            if (before := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = before
+        stopped = [w for w in new if _STOP.search(w)]
+        if new:
+            plain = {w[:-1] for w in stopped}.union(w[-1] for w in stopped).union(new).difference(stopped).difference(known)
+            letters, others = [], []
+            for w in plain:
+                (letters if w.isalpha() else others).append(w)
+            for at in range(0, len(letters), 1000):
+                self._learn_letters(letters[at : at + 1000])
+            for at in range(0, len(others), 1000):
+                self._learn(others[at : at + 1000])
+            known.update((w, known[w[:-1]] + known[w[-1]]) for w in stopped)
+        return [known[w] for w in words]
+
+    def _learn(self, words: list[str]) -> None:
         """In one call, with the special token between the words."""
-        ids = self.whole(self._mark.join([w.decode() for w in words]))
+        ids = self.whole(self._mark.join(words))
         cut = np.nonzero(ids == self._apart)[0]
         self._note(words, ids, np.concatenate(([0], cut + 1)), np.append(cut, len(ids)))
 
-    def _learn_letters(self, words: list[bytes]) -> None:
+    def _learn_letters(self, words: list[str]) -> None:
         """In one call, with a space between. A word of letters is one unit to the pre-tokenizer, whose last id is one that
         ends a word; if there are as many of those as words (none makes fewer than one), they tell the words apart."""
-        ids = self.whole(b" ".join(words).decode())
+        ids = self.whole(" ".join(words))
         end = np.nonzero(self._ends[ids])[0] + 1
         if len(end) == len(words):
             self._note(words, ids, np.concatenate(([0], end[:-1])), end)
         else:
             self._learn(words)
 
-    def _note(self, words: list[bytes], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _note(self, words: list[str], ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         size, raw = self.kind.itemsize, ids.tobytes()
         self._known.update(zip(words, [raw[a:b] for a, b in zip((size * start).tolist(), (size * end).tolist(), strict=True)], strict=True))
 
@@ -201,7 +240,7 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[tuple[int, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(path)
-        kind, end = ids_of.kind, np.array([end_id], ids_of.kind).tobytes()
+        kind = ids_of.kind
         whole_bytes = bits == 8 * kind.itemsize  # then the ids are packed as they are
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
@@ -210,10 +249,14 @@ def encode(docs: DataFrame, path: str, end_id: int, bounds: list[tuple[int, int]
                 raw = batch.column("text").cast(pa.binary()).to_pylist()
                 crc = np.array([zlib.crc32(t or b"") for t in raw], np.int64)
                 place = base[place] + (crc * parts[place] >> 32)
-                ids = [x + end for x in ids_of(raw)]
-                packed = ids if whole_bytes else [pack(np.frombuffer(x, kind), bits) for x in ids]
-                counts = [len(x) // kind.itemsize for x in ids]
-                cols = [docs, pa.array(place, pa.int32()), pa.array(crc), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())]
+                flat, counts = ids_of.ids(batch.column("text"))
+                at = np.cumsum(counts)
+                flat, at = np.insert(flat, at, end_id), np.concatenate(([0], at + np.arange(1, len(at) + 1)))
+                if whole_bytes:
+                    packed = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at * kind.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
+                else:
+                    packed = pa.array([pack(flat[a:b], bits) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                cols = [docs, pa.array(place, pa.int32()), pa.array(crc), pa.array(counts + 1), packed]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "shard", "text_crc", "n_tokens", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shard int, text_crc long, n_tokens long, packed binary")
