@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -36,11 +35,11 @@ BLOCK_IDS = 1 << 17
 SHARD_DOCS = 4000
 SHARDS_MOST = 20_000
 #: Words whose ids a worker remembers, and as many older ones.
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 #: Stands for a null doc_id in bounds, before all others.
 LEAST = int(np.iinfo(np.int64).min)
 
-_STOP = re.compile(r"[a-z0-9][.,]\Z")
+_STOP = r"[a-z0-9][.,]$"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -165,13 +164,16 @@ class WordIds(Ids):
         odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         words, at = words_of(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts))
         coded = words.dictionary_encode()
-        held = self._look_up(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, held), np.int64, len(held)) // self.kind.itemsize
+        held = self._look_up(coded.dictionary)
+        size = np.fromiter(map(len, held), np.int32, len(held)) // self.kind.itemsize
         place = coded.indices.to_numpy(zero_copy_only=False)
         count = size[place]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        begin = (np.cumsum(size) - size)[place] - ends[:-1]
-        flat = np.frombuffer(b"".join(held), self.kind)[np.arange(ends[-1]) + np.repeat(begin, count)]
+        ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+        wide = np.int32 if max(ends[-1], size.sum(dtype=np.int64)) < 1 << 31 else np.int64
+        begin = (np.cumsum(size, dtype=wide) - size)[place] - ends[:-1].astype(wide)
+        spot = np.repeat(begin, count)
+        spot += np.arange(len(spot), dtype=wide)
+        flat = np.frombuffer(b"".join(held), self.kind)[spot]
         counts = np.diff(ends[at])
         if odd.any():
             whole = [(k, self.whole(texts[k].as_py())) for k in np.nonzero(odd)[0].tolist()]
@@ -179,30 +181,31 @@ class WordIds(Ids):
             flat = np.insert(flat, np.repeat([ends[at[k]] for k, _ in whole], counts[odd]), np.concatenate([x for _, x in whole]))
         return flat, counts
 
-    def _look_up(self, words: list[str]) -> list[bytes]:
-        """The ids of different words."""
+    def _look_up(self, words: pa.Array) -> list[bytes]:
+        """The ids of different words. A word with a full stop or comma at its end is looked up without."""
         if len(self._known) > REMEMBERED:
             self._known, self._older = {}, self._known
         known, older = self._known, self._older
-        missing = [w for w in words if w not in known]
-        new = []
-        for w in missing:
-            if (before := older.get(w)) is None:
-                new.append(w)
-            else:
-                known[w] = before
-        stopped = [w for w in new if _STOP.search(w)]
-        if new:
-            plain = {w[:-1] for w in stopped}.union(w[-1] for w in stopped).union(new).difference(stopped).difference(known)
-            letters, others = [], []
-            for w in plain:
-                (letters if w.isalpha() else others).append(w)
-            for at in range(0, len(letters), 1000):
-                self._learn_letters(letters[at : at + 1000])
-            for at in range(0, len(others), 1000):
-                self._learn(others[at : at + 1000])
-            known.update((w, known[w[:-1]] + known[w[-1]]) for w in stopped)
-        return [known[w] for w in words]
+        names = words.to_pylist()
+        stopped = np.nonzero(pc.match_substring_regex(words, _STOP).to_numpy(zero_copy_only=False))[0].tolist() if len(words) else []
+        marks = {}
+        for k in stopped:
+            marks[k], names[k] = names[k][-1], names[k][:-1]
+        letters, others = [], []
+        for w in {*names, *".,"} if stopped else names:
+            if w not in known:
+                if (before := older.get(w)) is not None:
+                    known[w] = before
+                else:
+                    (letters if w.isalpha() else others).append(w)
+        for at in range(0, len(letters), 1000):
+            self._learn_letters(letters[at : at + 1000])
+        for at in range(0, len(others), 1000):
+            self._learn(others[at : at + 1000])
+        out = [known[w] for w in names]
+        for k, mark in marks.items():
+            out[k] += known[mark]
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """In one call, with the special token between the words."""
