@@ -50,6 +50,36 @@ def ordered_fold(df: DataFrame, key: str, order: Sequence[str | Column], take: S
     return ranked.select(key, *take).mapInArrow(run, schema)
 
 
+def ordered_emit(df: DataFrame, key: str, order: Sequence[str | Column], take: Sequence[str], start: object, step: Callable, ended: Callable, out: str) -> DataFrame:
+    """(key, out): the rows that a fold gives out on its way. step(state, *values) is the next state and the tuples that are
+    certain by then, ended(state) those left when the key ends; so a key needs no more memory than its state."""
+    own = df.schema[key]
+    schema = T.StructType([own, *T._parse_datatype_string(out).fields])
+    arrow = pa.schema([pa.field(f.name, k) for f, k in zip(schema.fields, _arrow(schema), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, start, False
+        for batch in batches:
+            done: list[tuple] = []
+            for k, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        done += [(now, *row) for row in ended(state)]
+                    now, state, begun = k, start, True
+                state, rows = step(state, *values)
+                done += [(now, *row) for row in rows]
+            if done:
+                yield table(done)
+        if begun and (rows := [(now, *row) for row in ended(state)]):
+            yield table(rows)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    ranked = df.repartition(key).sortWithinPartitions(key, *order)
+    return ranked.select(key, *take).mapInArrow(run, schema)
+
+
 def _arrow(schema: T.StructType) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -2,37 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import half_up
 from ..sources.tables import stored
 
 
-#: Parts of the nodes that carry one label.
-SALTS = 8
+#: Edges from which on what is known of a node is sent to all tasks, instead of its edges to one.
+HUB = 50_000
+#: Hubs that are sent at most; more are joined by a shuffle.
+HUBS_MOST = 200_000
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that can be reached, for nodes with an edge (a, b).
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """rows (a, b) with m of least (a, m, n), where n counts a's rows. A hub's rows stay where they are."""
+    hubs = least.where(F.col("n") > HUB).select("a", "m")
+    many = hubs.count() if edges > HUB else 0
+    if not many or many > HUBS_MOST:
+        return rows.join(least.select("a", "m"), "a")
+    sent = F.broadcast(hubs)
+    others = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("n") <= HUB).select("a", "m"), "a")
+    return rows.join(sent, "a").select("a", "b", "m").union(others.select("a", "b", "m"))
 
-    Labels spread to neighbours and then jump to their label's label, so rounds grow with the logarithm of a path."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "both")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    before = None
-    for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        # only the labels in use are looked up, and the nodes of one label lie in SALTS partitions
-        used = labels.select(F.col("label").alias("node")).distinct()
-        up = labels.join(used, "node").select(F.col("node").alias("label"), F.col("label").alias("up"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-        spread = spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        labels = stored(spread.join(up, ["label", "salt"]).select("node", F.least("label", "up").alias("label")), "labels")
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return labels.select("node", F.col("label").alias("component"))
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+def _stars(rows: DataFrame, edges: int) -> DataFrame:
+    """rows with the least neighbour m of a, itself included if it is less than all."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _with_least(rows, stored(least, "least") if edges > HUB else least, edges)
+
+
+def star_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each connected component, for the nodes that have an edge (a, b) to a smaller
+    node of their component; the smallest itself isn't listed.
+
+    Alternating large and small stars, each round written to the shared folder, until a round changes nothing; rounds grow
+    with the logarithm of the longest path."""
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edges = stored(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
+    now, before = state(edges), None
+    while now[0] and now != before:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _stars(both, now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b").distinct()
+        large = stored(large, "large") if now[0] > HUB else large
+        small = _stars(large, now[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        now, before = state(edges), now
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that can be reached, for nodes with an edge (a, b), to themselves too."""
+    found = stored(star_components(edges), "found")
+    first = found.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
+    alone = edges.where("a = b").select(F.col("a").alias("node")).distinct()
+    alone = alone.join(found.select("node").union(first.select("node")), "node", "left_anti").withColumn("component", F.col("node"))
+    return found.union(first).union(alone)
 
 
 def splits(components_: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
@@ -56,3 +84,40 @@ def compatibility_edges(items: DataFrame, item: str, block: str, score: Column,
     b = items.select(cell.alias("_cell"), *(F.col(c).alias(c if c == block else f"b_{c}") for c in items.columns))
     pairs = a.join(b, [block, "_cell"]).where(F.col(f"a_{item}") != F.col(f"b_{item}"))
     return pairs.select(F.col(f"a_{item}").alias("src"), F.col(f"b_{item}").alias("dst"), half_up(score).alias("score")).where(F.col("score") >= least)
+
+
+def extend_edges(spark: SparkSession, folder: str, batch: int, new: DataFrame, item: str, score: Column, least: float, band: tuple[str, float]) -> int:
+    """Adds a batch of items to a graph that is kept in a folder, and returns how many items held before were met: new items
+    meet each other and those of neighbouring cells held before, each pair once, whichever came first. Batches are numbered
+    upwards; one that is run again replaces what it wrote. score uses the columns of both sides as a_ and b_ ones (a: the
+    smaller item)."""
+    value, width = band
+    held = _held(spark, f"{folder}/items", new, batch)
+    cell = F.floor(F.col(value) / width)
+    side = lambda df, name, cells: df.select(cells.alias("_cell"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns))
+    wide = F.explode(F.array(cell - 1, cell, cell + 1))
+    fresh = side(new, "x", wide)
+    before = fresh.join(side(held, "y", cell), "_cell")
+    among = fresh.join(side(new, "y", cell), "_cell").where(F.col(f"x_{item}") < F.col(f"y_{item}"))
+    met = before.unionByName(among)
+    turned = F.col(f"x_{item}") > F.col(f"y_{item}")
+    pairs = met.select(*(F.when(turned, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"a_{c}") for c in new.columns), *(F.when(turned, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"b_{c}") for c in new.columns))
+    edges = pairs.select(F.col(f"a_{item}").alias("src"), F.col(f"b_{item}").alias("dst"), half_up(score).alias("score")).where(F.col("score") >= least)
+    edges.write.mode("overwrite").parquet(f"{folder}/edges/batch={batch}")
+    near = new.select(wide.alias("_cell")).distinct()
+    reached = held.withColumn("_cell", cell).join(near, "_cell", "left_semi").count()
+    new.write.mode("overwrite").parquet(f"{folder}/items/batch={batch}")
+    return reached
+
+
+def _held(spark: SparkSession, path: str, like: DataFrame, batch: int) -> DataFrame:
+    """The items of earlier batches."""
+    if not batch:
+        return like.limit(0)
+    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch).drop("batch")
+
+
+def kept_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, dst, score) of all batches."""
+    return spark.read.parquet(f"{folder}/edges").drop("batch")

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import catalog, charts, flows, panels, policies, ranks, sessions, studies  # noqa: F401
+    from . import catalog, charts, flows, mixes, panels, policies, ranks, sessions, studies  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

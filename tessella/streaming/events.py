@@ -80,3 +80,83 @@ def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+# The weight on joining, what full presence adds and after how long, what idleness leaves and at least.
+JOINED, REST, RAMP_MS = 0.15, 0.85, 300_000
+IDLE, IDLE_LEAST = 0.65, 0.1
+
+
+def presence_weight(weight: float, event: str, at_ms: int, joined_ms: int) -> float:
+    """The weight of someone present after an event: activity lets it grow with the time since joining, idleness shrinks it."""
+    if event == "inactive":
+        return rounded(max(IDLE_LEAST, weight * IDLE))
+    return rounded(max(weight, JOINED + min(1.0, max(0.0, (at_ms - joined_ms) / RAMP_MS)) * REST))
+
+
+def presences(events: DataFrame, key: str, gap_ms: int, late: str) -> DataFrame:
+    """(key, joined_ms, ended_ms, reason, weight, n) of each stay that is over: of rows (key, ts, event, seq) with event joined,
+    active, inactive or left. A stay begins with any event but left, and ends with left, with joined (which begins another),
+    or gap_ms after its last event, which a timer on event time tells once the watermark has passed; then its state goes.
+
+    The rows of a batch are taken in the order of (ts, seq), and the gap is looked at between rows too: so what a stream gives
+    out doesn't depend on how its rows were cut into batches, as long as none comes later than the watermark allows, which
+    drops it."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stay = state.get if state.exists else None
+        out: list[tuple] = []
+
+        def end(at: int, reason: str) -> None:
+            out.append((k[0], stay[0], at, reason, stay[2] if reason != "left" else 0.0, stay[3]))
+
+        if state.hasTimedOut:
+            end(stay[1] + gap_ms, "timeout")
+            stay = None
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+            for at, event in zip((rows["ts"].astype("int64") // 10**6 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].astype("datetime64[ms]").astype("int64")).tolist(), rows["event"], strict=True):
+                if stay and at > stay[1] + gap_ms:
+                    end(stay[1] + gap_ms, "timeout")
+                    stay = None
+                if event == "left":
+                    if stay:
+                        end(at, "left")
+                    stay = None
+                elif stay is None or event == "joined":
+                    if stay:
+                        end(at, "joined")
+                    stay = (at, at, JOINED if event == "joined" else 1.0, 1)
+                else:
+                    stay = (stay[0], at if event != "inactive" else stay[1], presence_weight(stay[2], event, at, stay[0]), stay[3] + 1)
+        if stay is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(stay)
+            state.setTimeoutTimestamp(max(stay[1] + gap_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[key, "joined_ms", "ended_ms", "reason", "weight", "n"])
+
+    kind = events.schema[key].dataType.simpleString()
+    watched = events.withWatermark("ts", late).groupBy(key)
+    return watched.applyInPandasWithState(step, f"{key} {kind}, joined_ms long, ended_ms long, reason string, weight double, n long", "joined long, last long, weight double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def envelopes(frames: DataFrame, key: str) -> DataFrame:
+    """(key, seq, revision, verdict) of numbered envelopes (revision, seq, snapshot): applied (the next revision), stale (seen or
+    older), snapshot (a whole state that is newer, from which numbering goes on), or gap (one is missing: nothing is applied
+    until a snapshot or the missing one comes). Those of a batch are taken in the order of seq."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else 0
+        out = []
+        for seq, r, whole in pd.concat(list(batches)).sort_values("seq")[["seq", "revision", "snapshot"]].itertuples(index=False):
+            verdict = "stale" if r <= last else "snapshot" if whole else "applied" if r == last + 1 else "gap"
+            last = int(r) if verdict in ("snapshot", "applied") else last
+            out.append((k[0], int(seq), int(r), verdict))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "seq", "revision", "verdict"])
+
+    kind = frames.schema[key].dataType.simpleString()
+    return frames.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq long, revision long, verdict string", "last long", "append", GroupStateTimeout.NoTimeout)
