@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_components as components
 from .common import slices, stored
 
 TILE = 512
@@ -185,33 +186,6 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return ready.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compared(radius), "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component): the smallest node of each connected component, for the nodes that have an edge.
-
-    Alternating large and small stars, each round written to the shared folder; ends when a round changes nothing."""
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = stored(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
-    before = state(edges)
-    if not before[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, n_words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     fps = stored(fingerprints(docs, n_words), "fingerprints")

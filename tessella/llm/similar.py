@@ -36,8 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_components as components
 from .common import mix64, slices, stored, words_of
-from .simhash import TILE, components, paired
+from .simhash import TILE, paired
 from .substrings import word_hashes
 
 WORDS = 5
