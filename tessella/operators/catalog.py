@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from ..functions.knowledge import RELIABILITY
 from ..functions.scalars import HALF, clamp, half_up, noisy_or
 from .folds import ordered_fold, rounded
 from .joins import points_in_windows
+from .signals import query_blocks
 from .studies import looked_up
 
 
@@ -23,31 +25,31 @@ def fused_genres(df: DataFrame, key: str) -> DataFrame:
     return named.groupBy(key, "genre").agg(half_up(noisy_or(clamp("confidence") * looked_up(F.col("source"), RELIABILITY, 0.0)), 6).alias("weight"))
 
 
-def similar_recipes(vectors: DataFrame, key: str, vector: str, wanted: Column, top: int, width: int, most: int = 100_000) -> DataFrame:
+def similar_recipes(vectors: DataFrame, key: str, vector: str, wanted: Column, top: int, width: int) -> DataFrame:
     """(a, b, distance): for each vector that is wanted (a condition on k, its key) the nearest others by the sum of the
-    distances of their parts of a width. The queries are a stated set, checked to be few, and go to where the others lie; a
-    batch sends on top rows for each."""
+    distances of their parts of a width, the smaller key first among equals. The queries go out in blocks of a bounded size to
+    where the others lie, and a batch sends on top rows for each; so the table is read once a block."""
     narrow = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    if narrow.where(wanted).count() > most:
-        raise ValueError(f"more than {most} queries: give them in blocks")
-    rows = narrow.where(wanted).toPandas()
-    held = vectors.sparkSession.sparkContext.broadcast((rows["k"].to_numpy(), np.stack(rows["v"].map(np.asarray).tolist()) if len(rows) else None))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, own = held.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            v, b = np.stack(pdf["v"].map(np.asarray).tolist()), pdf["k"].to_numpy()
-            for a, x in zip(ids, own, strict=True):
-                apart = np.sqrt(((v - x) ** 2).reshape(len(v), -1, width).sum(axis=2)).sum(axis=1)
-                apart = np.where(b == a, np.inf, np.floor(apart * 1e6 + HALF) / 1e6)
-                best = np.lexsort((b, apart))[:top]
-                best = best[np.isfinite(apart[best])]
-                yield pd.DataFrame({"a": a, "b": b[best], "distance": apart[best]})
 
+    def run_with(held) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, own = held.value
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                v, b = np.stack(pdf["v"].map(np.asarray).tolist()), pdf["k"].to_numpy()
+                for a, x in zip(ids, own, strict=True):
+                    apart = np.sqrt(((v - x) ** 2).reshape(len(v), -1, width).sum(axis=2)).sum(axis=1)
+                    apart = np.where(b == a, np.inf, np.floor(apart * 1e6 + HALF) / 1e6)
+                    best = np.lexsort((b, apart))[:top]
+                    best = best[np.isfinite(apart[best])]
+                    yield pd.DataFrame({"a": a, "b": b[best], "distance": apart[best]})
+
+        return run
+
+    found = [narrow.mapInPandas(run_with(held), "a long, b long, distance double") for held in query_blocks(narrow, wanted)]
     nth = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    return narrow.mapInPandas(run, "a long, b long, distance double").withColumn("nth", nth).where(F.col("nth") <= top).drop("nth")
+    return reduce(DataFrame.union, found).withColumn("nth", nth).where(F.col("nth") <= top).drop("nth")
 
 
 def structural_cuts(cuts: DataFrame, sections: DataFrame, depends: DataFrame, item: str, key: str, at: str, width: float) -> DataFrame:

@@ -6,6 +6,8 @@ import heapq
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .folds import ordered_emit, rounded
 
@@ -43,3 +45,27 @@ def ordered_queue(df: DataFrame, key: str, order: Sequence[str | Column], item:
         return (place, before, held), out
 
     return ordered_emit(df, key, order, [item, pinned, *take], (0, None, ()), step, lambda s: drained(*s)[2], f"place long, {item} {own}")
+
+
+def places(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
+    """df with at, the place in its key's queue from 0, and n, the queue's length: what the edits below take."""
+    by = Window.partitionBy(key)
+    return df.withColumns({"at": F.row_number().over(by.orderBy(*order)) - 1, "n": F.count(F.lit(1)).over(by)})
+
+
+def without(at: Column, place: int) -> Column:
+    """The place after an entry has been taken out; null for that entry."""
+    return F.when(at < place, at).when(at > place, at - 1)
+
+
+def jumped(at: Column, place: int) -> Column:
+    """The place after a jump to an entry; null for those before it."""
+    return F.when(at >= place, at - place)
+
+
+def moved(at: Column, n: Column, start: int, to: int) -> Column:
+    """The place after an entry has been moved to another place, or to the end of a shorter queue."""
+    end = F.least(F.lit(to), n - 1)
+    if start <= to:
+        return F.when(at == start, end).when((at > start) & (at <= to), at - 1).otherwise(at)
+    return F.when(at == start, end).when((at >= to) & (at < start), at + 1).otherwise(at)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,22 +118,27 @@ def spectra(df: DataFrame, key: str, samples: str, rate: int, size: int = 4096)
 QUERIES_BYTES = 64 << 20
 
 
+def query_blocks(narrow: DataFrame, wanted: Column) -> Iterator[Broadcast]:
+    """The vectors (k, v) that are wanted, as broadcast pairs of keys and a matrix of QUERIES_BYTES at most each, about."""
+    queries, sc = narrow.where(wanted), narrow.sparkSession.sparkContext
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-n * width * 8 // QUERIES_BYTES))
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).toPandas()
+        yield sc.broadcast((rows["k"].to_numpy(), np.stack(rows["v"].map(np.asarray).tolist()) if len(rows) else np.zeros((0, width))))
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, wanted: Column, top: int) -> DataFrame:
     """(a, b, score): for each vector that is wanted (a condition on k, its key) the top others by (cosine + 1) / 2, to six
     digits, the smaller key first among equals. The queries go out in blocks of a bounded size; a task multiplies its
     batches with a block and keeps the best of each query, so top rows per query and batch are sent on."""
     narrow = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    queries = narrow.where(wanted)
-    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    blocks = max(1, -(-n * width * 8 // QUERIES_BYTES))
-    sc, out = vectors.sparkSession.sparkContext, None
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).toPandas()
-        own = np.stack(rows["v"].map(np.asarray).tolist()) if len(rows) else np.zeros((0, width))
-        held = sc.broadcast((rows["k"].to_numpy(), own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)))
+    out = None
+    for held in query_blocks(narrow, wanted):
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, unit = held.value
+            ids, own = held.value
+            unit = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue

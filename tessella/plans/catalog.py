@@ -45,10 +45,9 @@ def affect_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGS = [(c, t) for c, tags in knowledge.TAXONOMY.items() for t in tags]
 
 
-@query("semantic_terms", f"select doc_id, category, tag from documents, (values {', '.join(f'({c!r}, {t!r})' for c, t in _TAGS)}) v(category, tag) where contains(lower(text), tag) union all select -1, 'none', 'none'")
+@query("semantic_terms", f"select doc_id, category, tag from documents, (values {', '.join(f'({c!r}, {t!r})' for c, t in _TAGS)}) v(category, tag) where contains(lower(text), tag)")
 def semantic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(knowledge.semantic_terms(F.col("text"))).alias("t")).select("doc_id", "t.category", "t.tag")
-    return found.union(spark.createDataFrame([(-1, "none", "none")], "doc_id long, category string, tag string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(knowledge.semantic_terms(F.col("text"))).alias("t")).select("doc_id", "t.category", "t.tag")
 
 
 @query(

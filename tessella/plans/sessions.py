@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import camelot_score, clamp, half_up
-from ..operators import choices, joins, sessions, studies
+from ..operators import choices, joins, queues, sessions, studies
 from ..sources.tables import table
 from .inputs import c01, r
 from .registry import query
@@ -316,13 +316,14 @@ def learnable_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", (~F.arrays_overlap("scopes", F.array(F.lit("error"), F.lit("signup")))).alias("may_learn"))
 
 
-_QUEUE = f"with {_X}, q as (select user_id, list(k order by event_id) as q from x group by 1)"
-
-
-@query("queue_edits", f"{_QUEUE} select user_id, list_concat(q[1:1], q[3:]) as removed, q[3:] as jumped, list_concat(q[2:3], q[1:1], q[4:]) as moved from q")
+@query(
+    "queue_edits",
+    f"""with {_X}, q as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as n from x)
+    select user_id, event_id, case when pos < 1 then pos when pos > 1 then pos - 1 else -1 end as removed, case when pos >= 2 then pos - 2 else -1 end as jumped, case when pos = 0 then least(2, n - 1) when pos <= 2 then pos - 1 else pos end as moved from q""",
+)
 def queue_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A queue without its second entry, from its third on, and with its first entry moved behind the third. Queues are lists of a user and have to fit a row."""
-    q = _x(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k"))), lambda x: x["k"]).alias("q"))
-    part = lambda a, n: F.slice("q", a, n)
-    rest = F.size("q")
-    return q.select("user_id", F.filter("q", lambda x, i: i != 1).alias("removed"), part(3, rest).alias("jumped"), F.concat(part(2, 2), part(1, 1), part(4, rest)).alias("moved"))
+    """Places in a queue without its second entry, from its third on, and with its first entry moved behind the third; -1 for
+    what is not in it."""
+    q = queues.places(_x(spark, sf_dir), "user_id", ["event_id"])
+    at = F.col("at")
+    return q.select("user_id", "event_id", F.coalesce(queues.without(at, 1), F.lit(-1)).alias("removed"), F.coalesce(queues.jumped(at, 2), F.lit(-1)).alias("jumped"), queues.moved(at, F.col("n"), 0, 2).alias("moved"))

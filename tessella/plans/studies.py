@@ -448,12 +448,12 @@ def stem_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bridge_genres",
-    f"""with {_X}, t as (select k as grp, user_id, event_type as genre, max(u) as v from x group by 1, 2, 3), m as (select grp, count(distinct user_id) as members from t group by 1), g as (select grp, genre, min(v) as lo, max(v) as hi, count(distinct user_id) as n from t group by 1, 2)
-    select grp, genre from g join m using (grp) where n = members and lo >= 0.35 and hi >= 0.65 union all select -1, 'none'""",
+    f"""with {_X}, t as (select user_id % 25 as grp, user_id, event_type as genre, max(u) as v from x group by 1, 2, 3), m as (select grp, count(distinct user_id) as members from t group by 1), g as (select grp, genre, min(v) as lo, max(v) as hi, count(distinct user_id) as n from t group by 1, 2)
+    select grp, genre from g join m using (grp) where n = members and lo >= 0.35 and hi >= 0.65""",
 )
 def bridge_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _x(spark, sf_dir).groupBy(F.col("k").alias("grp"), "user_id", F.col("event_type").alias("genre")).agg(F.max("u").alias("v"))
-    return studies.bridge_genres(t, "grp", "user_id", "genre", "v").union(spark.createDataFrame([(-1, "none")], "grp long, genre string"))
+    t = _x(spark, sf_dir).groupBy((F.col("user_id") % 25).alias("grp"), "user_id", F.col("event_type").alias("genre")).agg(F.max("u").alias("v"))
+    return studies.bridge_genres(t, "grp", "user_id", "genre", "v")
 
 
 _STATES = {"view": "ready", "click": "running", "purchase": "ready", "signup": "not-required", "error": "failed"}

@@ -237,3 +237,19 @@ def test_envelopes_with_gaps_and_snapshots(spark, tmp_path):
     frames = spark.readStream.schema("k string, seq long, revision long, snapshot boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = streaming.run_to_folder(streaming.envelopes(frames, "k"), f"{tmp_path}/out", "append").orderBy("seq").collect()
     assert [r.verdict for r in got] == ["applied", "applied", "stale", "gap", "gap", "applied", "gap", "snapshot", "applied", "stale"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_places_after_edits(spark, n):
+    df = queues.places(spark.createDataFrame([("u", 10 * k) for k in range(n)], "k string, i long"), "k", ["i"])
+    items = [10 * k for k in range(n)]
+
+    def after(place):
+        return [r.i for r in df.withColumn("to", place).where("to is not null").orderBy("to").collect()]
+
+    assert after(queues.without(F.col("at"), 1)) == items[:1] + items[2:] and after(queues.jumped(F.col("at"), 2)) == items[2:]
+    for start, to in ((0, 2), (2, 0), (1, 1), (0, 9)):
+        want = list(items)
+        if start < n:
+            want.insert(to, want.pop(start))
+            assert after(queues.moved(F.col("at"), F.col("n"), start, to)) == want
