@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import journeys
+from ..functions import journeys, moves
 from ..operators import beats, graph, queues
+from ..operators import moves as move_choice
 from ..sources.tables import fresh_path, table
 from ..streaming import events as streaming
-from .inputs import EVENTS, c01, events, r
+from .inputs import EVENTS, LINES, c01, events, r, scored_lines
 from .registry import query
 
 _U = c01("value / 100")
@@ -245,3 +246,70 @@ def growing_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in range(3):
         graph.extend_edges(spark, folder, batch, s.where(F.pmod(F.xxhash64("s_suppkey"), F.lit(3)) == batch), "s_suppkey", score, 0.9, ("s_acctbal", 1106.0))
     return graph.kept_edges(spark, folder)
+
+
+_GENRES = ("unknown", "chill", "hiphop", "edm", "pop")
+
+
+def _moves_sql(last: str) -> str:
+    """Every move against every pair, kept where it can be made, with the same parts in plain cases."""
+    m = moves
+    pick = lambda names: f"move in ({', '.join(map(repr, names))})"
+    sure = c01("least(ca, cb) * 0.65 + (ca + cb) / 2 * 0.35")
+    table = "[" + ", ".join(f"[{', '.join(str(float(v)) for v in m.AFFINITY[g])}]" for g in _GENRES) + "]"
+    near, sung = "coalesce(gap <= 0.18, false)", "(ready and ks >= 0.7 and safe)"
+    can = f"""(move = 'fade' or (not analysed and move = 'blend') or (analysed and (move = 'echo' or (move in ('blend', 'filter') and {near}) or (move = 'cut' and (not {near} or high)) or (move = 'gate' and {near} and high)
+        or (move in ('bassdrop', 'riser', 'roll') and {near} and close and ks >= 0.5 and high) or (move = 'spinback' and high and (not {near} or (close and ks >= 0.5))) or (move = 'acapella' and {near} and close and ks >= 0.5))) or base = move) and (move <> 'acapella' or {sung})"""
+    beat = "least(greatest(pl * 100, 30.0), 100.0)"
+    parts = {
+        "tempo": f"case when {pick(m.HARD)} then (case when {near} then 55.0 else 94.0 end) when {pick(m.SOFT)} then 78.0 when close then 94.0 when coalesce(gap <= 0.12, false) then 72.0 else 40.0 end",
+        "key": f"case when {pick(m.HARD)} then greatest(70.0, ks * 100) when {pick(m.MASKED)} then (case when ks >= 0.5 then 88.0 else 84.0 end) else ks * 100 end",
+        "energy": f"case when high then (case when {pick(m.PUNCHY)} then 94.0 when move = 'fade' then 50.0 else 78.0 end) when {pick(m.SOFT)} then 86.0 when {pick(m.LIFTED)} then 58.0 else 74.0 end",
+        "beat": beat, "downbeat": f"least(greatest(48 + {beat} * 0.28 + case when high then 18.0 else 8.0 end, 0.0), 100.0)",
+        "phrase": f"case when {pick(m.EXPOSED)} and intro < 2 then 54.0 when outro then 88.0 when close then 74.0 else 58.0 end", "vocals": "case when move = 'acapella' then vs else 100 - risk * 45 end",
+        "structure": f"case when {pick(m.EXPOSED)} then (case when outro and intro >= 2 then 90.0 when intro >= 2 then 68.0 else 28.0 end) when outro then 90.0 else 62.0 end",
+    }
+    genre = r(f"72.0::double + (({table}[ga][mi] + {table}[gb][mi]) / 2 - 72) * {sure}", 1)
+    total = " + ".join(f"({x}) * {m.WEIGHTS[n]}::double" for n, x in parts.items())
+    step = lambda x, table_, last_, none: f"case when {x} is null then '{none}' " + " ".join(f"when {x} <= {a} then '{b}'" for a, b in table_) + f" else '{last_}' end"
+    keys = lambda mv, gap, ks, st: [f"'type:' || {mv}", f"'type-tempo:' || {mv} || ':' || {step(gap, m.TEMPO_BUCKETS, 'tempo:18+', 'tempo:unknown')}", f"'type-key:' || {mv} || ':' || case when {ks} >= 0.7 then 'key:compatible' when {ks} >= 0.4 then 'key:borderline' else 'key:clash' end", f"'type-stretch:' || {mv} || ':' || {step(st, m.STRETCH_BUCKETS, 'stretch:12+', '')}"]
+    names = f"[{', '.join(map(repr, m.MOVES))}]"
+    told = keys(f"{names}[cast(l_partkey % 11 as int) + 1]", "l_discount * 200", "l_tax * 12.5::double", "l_tax * 100")
+    asked = keys("move", "gap * 100", "ks", f"(case when {pick(m.CLOSE)} then abs(ratio - 1) * 100 else 0.0 end)")
+    return f"""with {EVENTS}, {LINES}, rec as (select unnest([{', '.join(told)}]) as key, score, fallback, negative from scored),
+    fb as (select key, {r("least(greatest((avg(score) - 82) * 0.45 - avg(fallback::int) * 18 - avg(negative::int) * 28, -24.0), 12.0) * least(1.0, count(*) / 6)", 1)} as told from rec group by 1),
+    p as (select event_id, event_type <> 'error' as analysed, case when event_type <> 'error' then (k % 25) / 100.0::double end as gap, event_type <> 'error' and k % 25 <= 8 as close, {_U} as pl, 1 + (k % 15) / 100.0::double as ratio,
+        case when event_type = 'error' then 0.0 else (user_id % 6) / 5.0::double end as ks, value > 20 as high, k % 3 = 0 as outro, (k % 7) / 2.0::double as intro, user_id % 4 <> 0 as ready, case when k % 2 = 0 then 60.0::double + k / 4.0 end as stem, (event_id % 11) / 20.0::double as risk,
+        60.0::double + k % 30 as vs, event_id % 11 < 6 as safe, k % 5 + 1 as ga, user_id % 5 + 1 as gb, (k % 10) / 10.0::double as ca, 0.7::double as cb, {names}[cast(event_id % 11 as int) + 1] as base from ev),
+    t as (select unnest({names}) as move, unnest(range(1, 12)) as mi), c as (select *, {r(f"{total} + {genre} * 0.1::double + case when move = 'acapella' then (coalesce(stem, 78.0) - 72) * 0.15 else 0.0 end", 1)} as musical from p, t where {can}),
+    a as (select event_id, move, unnest([{', '.join(asked)}]) as key, unnest([0, 1, 2, 3]) as pos from c), b as (select event_id, move, {r('sum(told * 0.2::double) + arg_min(told, pos) * 0.2::double', 1)} as bias from a join fb using (key) group by 1, 2),
+    s as (select c.event_id, c.move, base, musical, coalesce(bias, 0.0) as bias, {r('musical + coalesce(bias, 0.0) + case when c.move = base then 3.0 else 0.0 end', 1)} as score from c left join b on c.event_id = b.event_id and c.move = b.move),
+    o as (select *, row_number() over (partition by event_id order by score desc, move) as place from s) {last}"""
+
+
+def _ranked_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = scored_lines(spark, sf_dir).withColumn("move", F.element_at(F.array(*map(F.lit, moves.MOVES)), (F.col("l_partkey") % 11 + 1).cast("int")))
+    told = move_choice.feedback_profile(lines, "move", F.col("l_discount") * 200, F.col("l_tax") * 12.5, F.col("l_tax") * 100)
+    k, user, known = F.col("k"), F.col("user_id"), F.col("event_type") != "error"
+    genre = lambda x: F.element_at(F.array(*map(F.lit, _GENRES)), (x % 5 + 1).cast("int"))
+    pair = moves.Pair(
+        analysed=known, gap=F.when(known, k % 25 / 100.0), close=known & (k % 25 <= 8), plausibility=F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), ratio=1 + k % 15 / 100.0,
+        key_score=F.when(known, user % 6 / 5.0).otherwise(0.0), high_energy=F.col("value") > 20, outro=k % 3 == 0, intro=k % 7 / 2.0, stem_ready=user % 4 != 0, stem=F.when(k % 2 == 0, 60.0 + k / 4.0),
+        risk=F.col("event_id") % 11 / 20.0, vocal_score=60.0 + k % 30, vocal_safe=F.col("event_id") % 11 < 6, genres=(genre(k), genre(user)), confidences=(k % 10 / 10.0, F.lit(0.7)),
+        base=F.element_at(F.array(*map(F.lit, moves.MOVES)), (F.col("event_id") % 11 + 1).cast("int")),
+    )
+    return move_choice.ranked_moves(events(spark, sf_dir), "event_id", pair, told)
+
+
+@query("ranked_moves", _moves_sql("select event_id, move, score, musical, bias, place from o"))
+def ranked_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All moves that each pair can make, by music, genre and what was told of moves like it."""
+    return _ranked_moves(spark, sf_dir).drop("base")
+
+
+_CHOICE = f"arg_min(move, place) <> any_value(base) and max(case when move = base then score end) is not null and floor((arg_min(score, place) - max(case when move = base then score end)) * 1000000 + 0.5000001) / 1000000 >= {4.0}"
+
+
+@query("preferred_moves", _moves_sql(f"select event_id, case when {_CHOICE} then arg_min(move, place) else any_value(base) end as move, coalesce({_CHOICE}, false) as switched from o group by event_id"))
+def preferred_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return move_choice.preferred_moves(_ranked_moves(spark, sf_dir), "event_id")

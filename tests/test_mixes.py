@@ -9,9 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import moves
 from tessella.functions.journeys import INTENTS, journey
 from tessella.functions.scalars import clamp, once
 from tessella.operators import beats, graph, queues
+from tessella.operators import moves as move_choice
 from tessella.operators.folds import rounded
 from tessella.streaming import events as streaming
 
@@ -253,3 +255,33 @@ def test_places_after_edits(spark, n):
         if start < n:
             want.insert(to, want.pop(start))
             assert after(queues.moved(F.col("at"), F.col("n"), start, to)) == want
+
+
+def test_moves_by_hand(spark):
+    given = {
+        "analysed": True, "gap": 0.01, "close": True, "plausibility": 0.9, "ratio": 1.01, "key_score": 0.8, "high_energy": True, "outro": True, "intro": 4.0, "stem_ready": True, "stem": 88.0, "risk": 0.1, "vocal_score": 80.0, "vocal_safe": True,
+        "g0": "edm", "g1": "pop", "c0": 1.0, "c1": 0.8, "base": "blend",
+    }
+    kinds = "k long, analysed boolean, gap double, close boolean, plausibility double, ratio double, key_score double, high_energy boolean, outro boolean, intro double, stem_ready boolean, stem double, risk double, vocal_score double, vocal_safe boolean, g0 string, g1 string, c0 double, c1 double, base string"
+    rows = [given, given | {"analysed": False, "gap": None, "close": False, "base": "acapella"}, given | {"gap": 0.3, "close": False, "base": "riser"}, given | {"high_energy": False, "key_score": 0.4, "g0": "other", "base": "fade"}]
+    df = spark.createDataFrame([(k, *r.values()) for k, r in enumerate(rows)], kinds)
+    c = lambda n: F.col(n)
+    own = {n: c(n) for n in moves.Pair.__dataclass_fields__ if n not in ("genres", "confidences")}
+    pair = moves.Pair(**own, genres=(c("g0"), c("g1")), confidences=(c("c0"), c("c1")))
+    told = spark.createDataFrame([("type:blend", -10.0), ("type-tempo:blend:tempo:0-2", 5.0), ("type-key:cut:key:compatible", 10.0)], "key string, bias double")
+    got = {(r.k, r.move): r for r in move_choice.ranked_moves(df, "k", pair, told).collect()}
+    assert {m for k, m in got if k == 0} == set(moves.MOVES) and {m for k, m in got if k == 1} == {"fade", "blend", "acapella"}
+    assert {m for k, m in got if k == 2} == {"fade", "echo", "cut", "spinback", "riser"} and {m for k, m in got if k == 3} == {"fade", "echo", "blend", "filter"}
+    beat, sure = 90.0, 0.8 * 0.65 + 0.9 * 0.35
+    blend = 94 * 0.2 + 80 * 0.16 + 78 * 0.14 + beat * 0.1 + (48 + beat * 0.28 + 18) * 0.08 + 88 * 0.08 + 95.5 * 0.08 + 90 * 0.06 + rounded(72 + (88 - 72) * sure, 1) * 0.1
+    row = got[0, "blend"]
+    assert (row.musical, row.bias, row.score) == (rounded(blend, 1), -3.0, rounded(rounded(blend, 1) - 3.0 + 3.0, 1))
+    assert got[0, "cut"].bias == 4.0 and got[0, "fade"].bias == 0.0  # the first known key weighs most
+    acapella = 94 * 0.2 + 80 * 0.16 + 78 * 0.14 + 9.0 + (48 + beat * 0.28 + 18) * 0.08 + 88 * 0.08 + 80 * 0.08 + 90 * 0.06 + rounded(72 + (77 - 72) * sure, 1) * 0.1 + 16 * 0.15
+    assert got[0, "acapella"].musical == rounded(acapella, 1)
+    chosen = {r.k: (r.move, r.switched) for r in move_choice.preferred_moves(move_choice.ranked_moves(df, "k", pair, told), "k").collect()}
+    for k, (move, switched) in chosen.items():
+        best, base = min((r for (i, _), r in got.items() if i == k), key=lambda r: r.place), got[k, rows[k]["base"]]
+        assert (move, switched) == ((best.move, True) if best.score - base.score >= 4 else (base.move, False))
+    quiet = spark.createDataFrame([(90.0, False, False, "fade")] * 3, "score double, fallback boolean, negative boolean, move string")
+    assert {r.bias for r in move_choice.feedback_profile(quiet, "move", F.lit(1.0), F.lit(0.9), F.lit(0.0)).collect()} == {1.8}
