@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import moves
+from tessella.functions import grammar, moves
 from tessella.functions.journeys import INTENTS, journey
 from tessella.functions.scalars import clamp, once
 from tessella.operators import beats, graph, queues
@@ -285,3 +285,27 @@ def test_moves_by_hand(spark):
         assert (move, switched) == ((best.move, True) if best.score - base.score >= 4 else (base.move, False))
     quiet = spark.createDataFrame([(90.0, False, False, "fade")] * 3, "score double, fallback boolean, negative boolean, move string")
     assert {r.bias for r in move_choice.feedback_profile(quiet, "move", F.lit(1.0), F.lit(0.9), F.lit(0.0)).collect()} == {1.8}
+
+
+def said(spark, of, texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    return [r.x for r in df.select("k", of(F.col("t")).alias("x")).orderBy("k").collect()]
+
+
+def test_requests_fill_slots(spark):
+    got = said(spark, grammar.request, ["Erst chill, dann Party in 45 min mit mehr Energie", "one hour romantisch, ruhiger", "in 2 stunden feiern", "90min steigern", "", None, "mehr davon, energie", "9999 min", "30 - min club"])
+    want = [("chill", "party", 45, "rising", 1.0), ("chill", "love", 60, "falling", 0.94), ("party", "party", 120, "steady", 0.57), ("chill", "chill", 90, "rising", 0.5), ("chill", "chill", 30, "steady", 0.35), None,
+            ("energy", "energy", 30, "steady", 0.57), ("chill", "chill", 240, "steady", 0.35), ("party", "party", 30, "steady", 0.57)]
+    assert [None if w is None else tuple(g) for g, w in zip(got, want, strict=True)] == want
+
+
+def test_descriptions_fill_slots(spark):
+    got = said(spark, grammar.description, ["1990s Synth-pop with female vocals and piano", "male vocal, violins", "mixed vocals", "vocals by a female", "2050s 1985s guitars", ""])
+    assert [(list(g.instruments), g.voice, g.decade) for g in got] == [(["piano", "synth"], "female", 1990), (["violin"], "male", None), ([], "mixed", None), ([], None, None), (["guitar"], None, 2050), ([], None, None)]
+
+
+def test_commands(spark):
+    texts = ["Hey DJ, skip this please", "hey dj play higher power von Coldplay", "hey tj pause", "yo dj was läuft gerade?", "hey dj kannst du Mr Brightside spielen", "hey dj play", "hey dj skipper", "hey dj uberspringian", "hello there skip", "hey dj l e a r", "hey dj", "", None, "hey dj quarterly figures", "dj louder"]
+    want = [("skip", None), ("play", "higher power coldplay"), ("pause", None), ("nowPlaying", None), ("play", "mr brightside"), ("resume", None), ("skip", None), ("skip", None), None, None, None, None, None, None, ("volumeUp", None)]
+    got = said(spark, grammar.command, texts)
+    assert [None if g is None or g.kind is None else tuple(g) for g in got] == want
