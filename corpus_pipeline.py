@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, pieces, rules, similar, substrings
-from tessella.llm.common import keyed, stored
+from tessella.llm.common import keyed, small, stored
 from tessella.llm.queries import tokenizer_file
 
 #: Not expressible in SQL; tests/llm/test_pipeline.py holds each stage and run() against plain Python.
@@ -16,12 +16,10 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. A doc_id in several rows is kept where the row itself is."""
-    feats = stored(rules.features(docs, {"text_hash": F.xxhash64(F.coalesce("text", F.lit("")))}), "features")
-    judged = rules.judge(feats, rules.thresholds(feats, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    lost = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h"))
-    return docs.join(lost, same, "left_anti")
+    """Documents that the rules keep. Each row goes with its features, so that its verdict finds it without a join."""
+    feats = stored(rules.features(docs, {"row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))}), "features")
+    judged = rules.judge(feats, rules.thresholds(feats.drop("row"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return judged.where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows that agree in it, one."""
     keys = keyed(docs)
     found = similar.near_copies(keys.select(F.col("row_key").alias("doc_id"), "text"))
-    dropped = found.where("doc_id <> first_id").select(F.col("doc_id").alias("row_key"))
-    return keys.join(dropped, "row_key", "left_anti").select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    dropped = stored(found.where("doc_id <> first_id").select(F.col("doc_id").alias("row_key")), "dropped")
+    return keys.join(small(dropped, dropped.count()), "row_key", "left_anti").select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

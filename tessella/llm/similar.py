@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import star_components as components
-from .common import mix64, slices, stored, words_of
+from .common import mix64, slices, small, stored, words_of
 from .simhash import TILE, paired
 from .substrings import word_hashes
 
@@ -456,7 +456,7 @@ def near_copies(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     buckets = bucketed(docs, nodes.drop("doc_id"), n_words)
     chained = _members(components(linked(buckets)))
     wanted = stored(nodes.join(chained, "sig").select("doc_id", "component", "sig"), "wanted")
-    members = stored(docs.join(wanted, "doc_id").select("component", "sig", "text"), "members")
+    members = stored(docs.join(small(wanted, wanted.count()), "doc_id").select("component", "sig", "text"), "members")
     found = components(decided(members, n_words, buckets))
     named = nodes.join(found.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     named = stored(named, "named")
