@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import journeys, moves
+from ..functions import grammar, journeys, moves
 from ..operators import beats, graph, queues
 from ..operators import moves as move_choice
 from ..sources.tables import fresh_path, table
@@ -313,3 +313,73 @@ _CHOICE = f"arg_min(move, place) <> any_value(base) and max(case when move = bas
 @query("preferred_moves", _moves_sql(f"select event_id, case when {_CHOICE} then arg_min(move, place) else any_value(base) end as move, coalesce({_CHOICE}, false) as switched from o group by event_id"))
 def preferred_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return move_choice.preferred_moves(_ranked_moves(spark, sf_dir), "event_id")
+
+
+_CALLS = ["hey dj", "ey dj", "hey tj", "hello there"]
+_SAID = ["skip", "pause", "Play", "was läuft", "spiel", "lauter", "stopp mal,", "skipper", "überspringian", "clear the queue!", "kannst du spielen", "what's playing?", "turn it up"]
+
+
+def _commands_sql() -> str:
+    """The same steps over lists; levenshtein counts bytes of what is not ASCII in neither engine's texts here."""
+    like = lambda a, b: f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
+    phrases = [(kind, p) for kind, ps in grammar.COMMANDS.items() for p in ps]
+    esc = lambda x: x.replace("'", "''")
+    table_ = ", ".join(f"{{'kind': '{kind}', 'phrase': '{esc(p)}', 'target': '{esc(p.replace(' ', '').replace(chr(39), ''))}', 'n': {p.count(' ') + 1}}}" for kind, p in phrases)
+    begins = lambda p: f"(rest = {p} or starts_with(rest, {p} || ' '))"
+    clean = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '\\b(spiel|spiele|spielen|spielt|spiel\\s*mal)\\b', ' '), '\\b(von|und)\\b', ' ', 'g'), '\\s{{2,}}', ' ', 'g'))"
+    joined = lambda a, b: f"array_to_string(list_slice(w, {a}, {b}), '')"
+    lead = "replace(array_to_string(list_slice(heard, 1, e.n), ''), chr(39), '')"
+    calls, said = (f"[{', '.join(repr(x) if chr(39) not in x else chr(39) + esc(x) + chr(39) for x in xs)}]" for xs in (_CALLS, _SAID))
+    return f"""with c as (select conv_id, turn, {calls}[(conv_id + turn) % {len(_CALLS)} + 1] || ' ' || {said}[(conv_id + turn * 3) % {len(_SAID)} + 1] || ' ' || coalesce(text, '') as t from conversations),
+    w as (select conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}\\s'']', ' ', 'g'), '\\s+'), lambda w: w <> '') as w from c),
+    k as (select *, list_max(list_transform(range(1, least(4, greatest(len(w), 1)) + 1), lambda k: {{'like': greatest({like(joined(1, 'k'), "'heydj'")}, {like(joined(1, 'k'), "'dj'")}, case when k >= 2 and length(w[1]) <= 3 then {like(joined(2, 'k'), "'dj'")} else 0.0 end), 'k': -k}})) as b from w where len(w) > 0),
+    r as (select conv_id, turn, case when b.like >= 0.7 then regexp_replace(array_to_string(list_slice(w, 1 - b.k, len(w)), ' '), '^(please|bitte|can you|could you|kannst du)\\s+', '') end as rest from k),
+    h as (select *, string_split(rest, ' ') as heard, list_filter([{', '.join(repr(p) for p in grammar.PLAY)}], lambda p: {begins('p')})[1] as asked, list_filter([{table_}], lambda e: {begins('e.phrase')})[1].kind as simple,
+        list_max(list_transform([{table_}], lambda e, i: {{'like': case when {lead.replace('heard', "string_split(rest, ' ')")} = '' then -1.0 when length({lead.replace('heard', "string_split(rest, ' ')")}) >= 4 and length(e.target) >= 4 and (starts_with({lead.replace('heard', "string_split(rest, ' ')")}, e.target) or starts_with(e.target, {lead.replace('heard', "string_split(rest, ' ')")}))
+            then greatest({like(lead.replace('heard', "string_split(rest, ' ')"), 'e.target')}, 0.9) else {like(lead.replace('heard', "string_split(rest, ' ')"), 'e.target')} end, 'k': -i, 'kind': e.kind}})) as near from r where rest is not null),
+    q as (select conv_id, turn, case when not list_has_any(list_transform(heard, lambda x: length(x) >= 2), [true]) then null when asked is not null then 'play' when regexp_matches(rest, '\\b(spiel|spiele|spielen|spielt|spiel\\s*mal)\\b') then 'play' when simple is not null then simple when near.like >= 0.72 then near.kind end as kind,
+        case when asked is not null then {clean('substr(rest, length(asked) + 1)')} when regexp_matches(rest, '\\b(spiel|spiele|spielen|spielt|spiel\\s*mal)\\b') then {clean("regexp_replace(rest, '^(kannst du|kann ich|ich|bitte|mal)\\s+', '')")} end as query from h)
+    select conv_id, turn, case when kind = 'play' and query = '' then 'resume' else kind end as kind, coalesce(query, '') as query from q where kind is not null"""
+
+
+@query("spoken_commands", _commands_sql())
+def spoken_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as what is said to the player, after calls of which some are misheard."""
+    at = F.col("conv_id") + F.col("turn")
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    t = F.concat_ws(" ", pick(_CALLS, at), pick(_SAID, F.col("conv_id") + F.col("turn") * 3), F.coalesce("text", F.lit("")))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", grammar.command(t).alias("c")).where("c.kind is not null")
+    return found.select("conv_id", "turn", "c.kind", F.coalesce("c.query", F.lit("")).alias("query"))
+
+
+_WISHES = ["dann Party in 45 min mit mehr Energie", "one hour romantisch und ruhiger", "in 2 stunden feiern", "90min steigern", "30 - min club", "eine stunde power"]
+
+
+@query(
+    "experience_requests",
+    f"""with c as (select conv_id, turn, lower(coalesce(text, '') || ' ' || [{', '.join(map(repr, _WISHES))}][(conv_id + turn) % {len(_WISHES)} + 1]) as t from conversations),
+    m as (select *, list_filter([{', '.join(f"case when regexp_matches(t, '{p}') then '{m}' end" for m, p in grammar.MOODS.items())}], lambda x: x is not null) as moods, regexp_matches(t, 'stunde|hour') as hours, nullif(regexp_extract(t, '(\\d+)\\s*(?:min|stunde|hour)', 1), '') as told,
+        regexp_matches(t, '{grammar.RISING}|mehr\\s+energie') as up, regexp_matches(t, '{grammar.FALLING}') as down from c)
+    select conv_id, turn, coalesce(moods[1], 'chill') as start, coalesce(moods[-1], 'chill') as target, cast(greatest(1.0, least(240.0, coalesce(cast(told as double), case when hours and regexp_matches(t, '\\b(ein|eine|einer|one|an)\\b') then 1.0 else 30.0 end) * case when hours then 60 else 1 end)) as bigint) as minutes,
+           case when up then 'rising' when down then 'falling' else 'steady' end as curve, {r(c01('0.35 + len(moods) * 0.22 + (up or down)::int * 0.15'))} as confidence from m""",
+)
+def experience_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wish = F.element_at(F.array(*map(F.lit, _WISHES)), ((F.col("conv_id") + F.col("turn")) % len(_WISHES) + 1).cast("int"))
+    t = F.concat_ws(" ", F.coalesce("text", F.lit("")), wish)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", grammar.request(t).alias("q")).select("conv_id", "turn", "q.*")
+
+
+_SOUNDS = ["1990s synth-pop with female vocals and piano", "male vocal, violins and a saxophone", "mixed vocals", "guitars of the 1985s", "2010s trumpet"]
+
+
+@query(
+    "music_descriptions",
+    f"""with d as (select doc_id, lower(coalesce(text, '') || ' ' || [{', '.join(map(repr, _SOUNDS))}][doc_id % {len(_SOUNDS)} + 1]) as t from documents)
+    select doc_id, array_to_string(list_filter([{', '.join(f"case when contains(t, '{i}') then '{i}' end" for i in grammar.INSTRUMENTS)}], lambda x: x is not null), '|') as instruments,
+           case when regexp_matches(t, 'female\\s+vocal') then 'female' when regexp_matches(t, 'male\\s+vocal') then 'male' when regexp_matches(t, 'mixed\\s+vocal') then 'mixed' else '' end as voice,
+           coalesce(try_cast(nullif(regexp_extract(t, '\\b((19|20)\\d0)s\\b', 1), '') as int), 0) as decade from d""",
+)
+def music_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, _SOUNDS)), (F.col("doc_id") % len(_SOUNDS) + 1).cast("int")))
+    d = table(spark, sf_dir, "documents").select("doc_id", grammar.description(t).alias("q"))
+    return d.select("doc_id", F.array_join("q.instruments", "|").alias("instruments"), F.coalesce("q.voice", F.lit("")).alias("voice"), F.coalesce("q.decade", F.lit(0)).alias("decade"))
