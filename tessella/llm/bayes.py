@@ -7,8 +7,8 @@ towards the global rate and a path's towards its host's, with as much prior weig
 for (method of moments), so that sparse sites say little. A document is left out of the sums by which it is judged: its own
 evidence counts once. The posterior log odds of a document are its own plus those of its path over the global ones.
 
-Host and path are any two columns (url_site() makes them of a URL); the table documents has no URL, so op10 takes the
-source as the host and the language as the section of it that stands for a path.
+Host and path are any two columns. The table documents has no URL, so op10 takes the source as the host and the language as
+the section of it that stands for a path; classify_pages() has real ones, those of the pages' URLs.
 
 Evidence is added up as whole billionths, so sums don't depend on the order of rows.
 
@@ -85,22 +85,44 @@ def url_site(url: Column) -> tuple[Column, Column]:
     return host, F.coalesce(F.get(ends, F.lit(1)), F.lit(""))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """(doc_id, host, path, doc_prob, host_rate, path_rate, posterior, kept) for every row of docs. Rates are those without
-    the document itself."""
-    host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    site = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
-    named = docs.select("doc_id", "text", F.lit("").alias("lang"), site(host).alias("host"), site(path).alias("path"))
-    feats = stored(features(named, {"host": F.col("host"), "path": F.col("path")}), "features")
-    intercept, weights, _ = fit(feats, labels)
+def _named(rows: DataFrame, id_: Column, text: Column, host: Column, path: Column) -> DataFrame:
+    """Features of rows with their site."""
+    site = lambda c, n: F.coalesce(c.cast("string"), F.lit(NULL)).alias(n)
+    narrow = rows.select(id_.cast("long").alias("doc_id"), text.alias("text"), F.lit("").alias("lang"), site(host, "host"), site(path, "path"))
+    return stored(features(narrow, {"host": F.col("host"), "path": F.col("path")}), "features")
+
+
+def _odds_of(model: tuple[float, dict[str, float], float]) -> Column:
+    """Log odds of a text by its features."""
+    intercept, weights, _ = model
     odds = F.lit(intercept)
     for name, x in inputs().items():
         if name in weights:
             odds = odds + weights[name] * x.cast("double")
+    return odds
+
+
+def _units(p: Column) -> Column:
+    return F.round(p * UNIT).cast("long")
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """(doc_id, host, path, doc_prob, host_rate, path_rate, posterior, kept) for every row of docs. Rates are those without
+    the document itself."""
+    feats = _named(docs, F.col("doc_id"), F.col("text"), F.col("source") if host is None else host, F.col("lang") if path is None else path)
     quality = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("good"))
-    evidence = F.round(F.coalesce("good", 1 / (1 + F.exp(-F.col("own")))) * UNIT).cast("long")
-    probable = feats.select("doc_id", "host", "path", odds.alias("own")).join(quality, "doc_id", "left").withColumn("e", evidence).drop("good")
-    return combined(stored(probable, "evidence"))
+    judged = feats.select("doc_id", "host", "path", _odds_of(fit(feats, labels)).alias("own")).join(quality, "doc_id", "left")
+    return combined(stored(judged.withColumn("e", _units(F.coalesce("good", 1 / (1 + F.exp(-F.col("own")))))).drop("good"), "evidence"))
+
+
+def classify_pages(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same for pages (page_id, url, text), as doc_id their page_id: the classifier is fitted on the labelled documents, and
+    the hosts and paths are those of the URLs. A null URL is a site of its own."""
+    model = fit(_named(docs, F.col("doc_id"), F.col("text"), F.lit(None), F.lit(None)), labels)
+    host, path = url_site(F.col("url"))
+    feats = _named(pages, F.col("page_id"), F.col("text"), host, path)
+    own = _odds_of(model)
+    return combined(stored(feats.select("doc_id", "host", "path", own.alias("own"), _units(1 / (1 + F.exp(-own))).alias("e")), "evidence"))
 
 
 #: Stands for a null host or path.

@@ -916,3 +916,38 @@ def test_mix_deals_rows_of_one_id_to_parts(spark, monkeypatch, ids):
         taken[source, target] += n * count
     assert all(abs(n - target) <= 0.01 * target + 2 for (_, target), n in taken.items())
     assert mixed(df.repartition(7)) == mixed(df)
+
+
+def test_bayes_from_labels_to_posteriors(spark, small_dir):
+    """End to end on the tables: a classifier that tells good from bad, and sites by plain sums over its results and labels."""
+    docs, labels = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = bayes.classify(docs, labels).collect()
+    good = {}
+    for r in labels.collect():
+        if r.quality is not None:
+            good[r.doc_id] = min(r.quality, good.get(r.doc_id, 1))
+    logit = lambda p: math.log(p / (1 - p))
+    rows = [(r.host, r.path, logit(min(max(r.doc_prob, 1e-9), 1 - 1e-9)), float(good.get(r.doc_id, r.doc_prob))) for r in got]
+    for r, (host_rate, path_rate, posterior) in zip(got, plain_posteriors(rows), strict=True):
+        assert abs(r.host_rate - host_rate) < 1e-4 and abs(r.path_rate - path_rate) < 1e-4 and abs(r.posterior - posterior) < 1e-3
+        assert r.kept == (r.posterior >= bayes.KEEP) or abs(r.posterior - bayes.KEEP) < 1e-5
+    known = [(r.doc_prob >= 0.5, good[r.doc_id] == 1) for r in got if r.doc_id in good]
+    assert sum(a == b for a, b in known) / len(known) > 0.8
+
+
+def test_bayes_of_pages_has_hosts_and_paths(spark, small_dir):
+    from tessella.llm import extraction
+
+    docs, labels, pages = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels", "pages"))
+    texts = stored(extraction.extract(pages, extraction.PRIOR), "texts")
+    got = bayes.classify_pages(texts, docs, labels).collect()
+    urls = {r.page_id: r.url for r in pages.collect()}
+    logit = lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
+    for r in got:
+        parts = urls[r.doc_id].split("://")[1].split("?")[0].split("#")[0].split("/")
+        assert (r.host, r.path) == (parts[0], parts[1] if len(parts) > 1 else "")
+    assert len(got) == len(urls) and len({r.host for r in got}) > 10
+    for r, (host_rate, path_rate, posterior) in zip(got, plain_posteriors([(r.host, r.path, logit(r.doc_prob), r.doc_prob) for r in got]), strict=True):
+        assert abs(r.host_rate - host_rate) < 1e-3 and abs(r.path_rate - path_rate) < 1e-3 and abs(r.posterior - posterior) < 5e-3
+    nothing = bayes.classify_pages(spark.createDataFrame([(1, None, None)], "page_id long, url string, text string"), docs, labels).first()
+    assert (nothing.host, nothing.path) == (None, "") and nothing.posterior is not None
