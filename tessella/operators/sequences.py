@@ -124,3 +124,37 @@ def sessions(df: DataFrame, key: str, at_ms: str, gap_ms: int, value: Column) ->
     new = F.when(F.col(at_ms) - F.lag(at_ms).over(w) <= gap_ms, 0).otherwise(1)
     cut = df.withColumn("new", new).withColumn("session", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return cut.groupBy(key, "session").agg(F.min(at_ms).alias("started"), F.max(at_ms).alias("ended"), F.count(F.lit(1)).alias("n"), half_up(F.sum(value)).alias("total"))
+
+
+# What kinds of sections promise and resolve, and the parts of tension; when a promise holds a cut back.
+PROMISE, RESOLUTION = {"build": 0.96, "pre-chorus": 0.9, "break": 0.72, "bridge": 0.58}, {"drop": 0.94, "chorus": 0.88, "outro": 0.62}
+PROMISED, RISE, FALLS, RESTS = 0.2, 0.18, 0.45, 0.12
+HOLDS, RESOLVES, WAIT_S = 0.85, 0.75, 24.0
+
+
+def tensions(sections: DataFrame, key: str) -> DataFrame:
+    """sections (key, section, type, w_start, w_end, energy, drums) with tension, anticipation and resolution, by the section
+    that follows."""
+    after = F.lead("energy").over(Window.partitionBy(key).orderBy("section"))
+    named = lambda table, otherwise: F.coalesce(*(F.when(F.col("type") == k, F.lit(v)) for k, v in table.items()), otherwise)
+    rise = F.greatest(F.lit(0.0), F.coalesce(after - F.col("energy"), F.lit(0.0)))
+    anticipation = clamp(named(PROMISE, F.lit(PROMISED)) + rise * RISE)
+    resolution = clamp(named(RESOLUTION, F.when(after < F.col("energy"), FALLS).otherwise(RESTS)))
+    tension = clamp(anticipation * 0.68 + rise * 0.24 + F.col("drums") * 0.08 - resolution * 0.25)
+    return sections.withColumns({"tension": half_up(tension), "anticipation": half_up(anticipation), "resolution": half_up(resolution)})
+
+
+def payoff_cuts(cuts: DataFrame, sections: DataFrame, item: str, key: str, at: str) -> DataFrame:
+    """(item, blocked, anticipation, payoff, wait) of cuts (item, key, at): the section that a cut falls in, and the first later
+    one that resolves and begins soon enough (null for none); a strong promise that it keeps holds the cut back. Only sections that resolve
+    are looked at, by the number of those before a section, so a cut meets one of them."""
+    told = tensions(sections, key)
+    by = Window.partitionBy(key).orderBy(F.desc("section"))
+    ahead = F.last(F.when(F.col("resolution") >= RESOLVES, F.struct("section", "w_start", "w_end")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    known = told.withColumn("ahead", ahead).select(F.col(key).alias("_k"), "w_start", "w_end", "anticipation", "ahead")
+    met = cuts.join(known, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("w_start")) & (F.col(at) < F.col("w_end")), "left")
+    near = F.when(F.col("ahead.w_start") - F.col(at) <= WAIT_S, F.col("ahead"))
+    return met.select(
+        item, (F.coalesce(F.col("anticipation") >= HOLDS, F.lit(False)) & near.isNotNull()).alias("blocked"), F.coalesce("anticipation", F.lit(0.0)).alias("anticipation"), near["section"].alias("payoff"),
+        F.when(near.isNotNull(), half_up(F.greatest(F.lit(0.0), near["w_end"] - F.col(at)))).alias("wait"),
+    )

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import grammar, journeys, moves
-from ..operators import beats, graph, queues
+from ..functions import grammar, journeys, moves, records
+from ..functions.scalars import half_up
+from ..operators import beats, graph, queues, sequences
 from ..operators import moves as move_choice
 from ..sources.tables import fresh_path, table
 from ..streaming import events as streaming
@@ -383,3 +384,98 @@ def music_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, _SOUNDS)), (F.col("doc_id") % len(_SOUNDS) + 1).cast("int")))
     d = table(spark, sf_dir, "documents").select("doc_id", grammar.description(t).alias("q"))
     return d.select("doc_id", F.array_join("q.instruments", "|").alias("instruments"), F.coalesce("q.voice", F.lit("")).alias("voice"), F.coalesce("q.decade", F.lit(0)).alias("decade"))
+
+
+_KIND_OF = ("intro", "verse", "build", "drop", "pre-chorus", "chorus", "break", "bridge", "outro")
+
+
+@query(
+    "payoff_cuts",
+    f"""with {EVENTS}, n as (select user_id, k, {_U} as energy, event_id, row_number() over (partition by user_id order by event_id) - 1 as sec from ev),
+    s as (select user_id, sec, [{', '.join(map(repr, _KIND_OF))}][cast(k % 9 as int) + 1] as type, sec * 8.0::double as a, sec * 8.0::double + 8 as z, energy, lead(energy) over (partition by user_id order by sec) as nxt from n),
+    t as (select *, floor(least(greatest(case type {' '.join(f"when '{a}' then {b}" for a, b in sequences.PROMISE.items())} else 0.2 end::double + greatest(0.0, coalesce(nxt - energy, 0.0)) * 0.18, 0.0), 1.0) * 1000 + 0.5000001) / 1000 as anticipation,
+        case type {' '.join(f"when '{a}' then {b}" for a, b in sequences.RESOLUTION.items())} else (case when nxt < energy then 0.45 else 0.12 end) end::double as resolution from s),
+    c as (select user_id, event_id, sec * 7.0::double + k % 8 as cut from n), m as (select c.*, t.sec, t.anticipation from c left join t on c.user_id = t.user_id and cut >= a and cut < z),
+    p as (select m.event_id, min(t.sec) as first from m join t on m.user_id = t.user_id and t.sec > m.sec and t.resolution >= 0.75 group by 1),
+    w as (select m.*, t.sec as pay, t.z as payend from m left join p on m.event_id = p.event_id left join t on t.user_id = m.user_id and t.sec = p.first and t.a - m.cut <= 24)
+    select event_id, coalesce(anticipation, 0.0) >= 0.85 and pay is not null as blocked, coalesce(anticipation, 0.0) as anticipation, coalesce(pay, -1) as payoff, case when pay is null then -1.0 else {r('greatest(0.0, payend - cut)')} end as wait from w""",
+)
+def payoff_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as sections of eight seconds, and cuts that fall into them."""
+    sec = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    n = events(spark, sf_dir).select("user_id", "event_id", "k", F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)).alias("energy"), sec.cast("long").alias("section"))
+    kind = F.element_at(F.array(*map(F.lit, _KIND_OF)), (F.col("k") % 9 + 1).cast("int"))
+    sections = n.select("user_id", "section", kind.alias("type"), (F.col("section") * 8.0).alias("w_start"), (F.col("section") * 8.0 + 8).alias("w_end"), "energy", F.lit(0.5).alias("drums"))
+    found = sequences.payoff_cuts(n.select("user_id", "event_id", (F.col("section") * 7.0 + F.col("k") % 8).alias("cut")), sections, "event_id", "user_id", "cut")
+    return found.select("event_id", "blocked", "anticipation", F.coalesce("payoff", F.lit(-1)).alias("payoff"), F.coalesce("wait", F.lit(-1.0)).alias("wait"))
+
+
+@query(
+    "session_fingerprints",
+    f"""with {EVENTS}, x as (select event_id, user_id, k, event_id % 5 as form, {_U} as u from ev),
+    y as (select *, case when form = 4 then null else form end as version, case when k % 6 = 0 then 0.0 else greatest(0, k - 20) / 1.0::double end as chill, (k % 7) / 1.0::double as party from x)
+    select event_id, case when form = 4 then 'json' when form = 0 then 'version' when chill + party <= 0 then 'moods' when k % 4 = 0 then 'curve' else '' end as fault,
+           case when form in (1, 2, 3) and chill + party > 0 then {r('chill / (chill + party)')} else 0.0 end as chill, case when form in (1, 2, 3) then least(u, 0.25) else 0.08 end as tempo_tolerance,
+           case when form in (1, 2, 3) and k % 4 <> 0 then 2 else 0 end as curve, case when form in (1, 2, 3) and k % 4 <> 0 then {r('least(greatest(u + 0.5, 0.0), 1.0)')} else -1.0 end as last, case when form = 4 then '' else 'note' end as others from y""",
+)
+def session_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints in three versions, some of none, some without moods or a curve, some cut off in the middle."""
+    u, k, form = F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), F.col("k"), F.col("event_id") % 5
+    weights = F.struct(F.when(k % 6 == 0, 0.0).otherwise(F.greatest(F.lit(0), k - 20)).cast("double").alias("chill"), (k % 7).cast("double").alias("party"), F.lit(9.0).alias("other"))
+    dna, curve, mix = F.struct(weights.alias("weights")), F.when(k % 4 != 0, F.array(u, u + 0.5)).otherwise(F.array().cast("array<double>")), F.struct(u.alias("tempoTolerance"))
+    of = lambda v: F.to_json(F.struct(form.alias("version"), *(x.alias(n) for n, x in zip(records.VERSIONS[v], (dna, curve, mix), strict=True)), F.lit("kept").alias("note")))
+    body = F.when(form == 1, of(1)).when(form == 2, of(2)).when(form == 3, of(3)).when(form == 4, F.lit('{"version": 1, "exp')).otherwise(of(1))
+    f = events(spark, sf_dir).select("event_id", records.fingerprint(body).alias("f"))
+    last = F.coalesce(half_up(F.element_at(F.when(F.size("f.curve") > 0, F.col("f.curve")), -1)), F.lit(-1.0))
+    return f.select(
+        "event_id", F.coalesce("f.fault", F.lit("")).alias("fault"), half_up(F.coalesce("f.moods.chill", F.lit(0.0))).alias("chill"), F.coalesce("f.mix.tempoTolerance", F.lit(0.08)).alias("tempo_tolerance"),
+        F.greatest(F.size(F.coalesce("f.curve", F.array().cast("array<double>"))), F.lit(0)).alias("curve"), last.alias("last"), F.array_join(F.map_keys(F.coalesce("f.others", F.create_map().cast("map<string,string>"))), "|").alias("others"),
+    )
+
+
+@query(
+    "override_faults",
+    f"""with {EVENTS} select event_id, case when event_id % 17 = 0 then 'object' when k % 10 = 0 then 'from' when k % 10 = 1 then 'type' when k % 10 = 2 and value > 60 then 'fade' when k % 10 = 3 then 'scope' when k % 10 = 4 then 'conflict'
+        when k % 10 = 5 and value <= 5 then 'regions' when k % 10 = 6 then 'intent' when k % 10 = 7 and at_ms <= 1705000000000 then 'expired' when k % 10 = 2 and value < 1 then 'fade' else '' end as fault from ev""",
+)
+def override_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, value = F.col("k") % 10, F.col("value")
+    region = F.array(F.struct(F.lit("next").alias("track"), F.lit(5.0).alias("start"), value.alias("end")))
+    o = F.struct(
+        F.when(kind == 0, F.lit(" ")).otherwise(F.col("user_id").cast("string")).alias("fromTrackId"), F.when(kind == 1, "explode").when(kind == 4, "acapella").when((kind != 6) & (kind != 2), "blend").alias("transitionType"), F.when(kind == 2, value).alias("fadeSec"),
+        F.when(kind == 3, F.lit("ever")).otherwise("session").alias("scope"), F.when(kind == 4, F.lit("forbid")).alias("stemUsage"), F.when(kind == 5, region).alias("neverMixRegions"), F.when(kind == 7, F.col("at_ms")).alias("expiresAtMs"),
+    )
+    body = F.when(F.col("event_id") % 17 == 0, F.lit("[1,")).otherwise(F.to_json(o))
+    fault = records.override_fault(body, 1_705_000_000_000, _KIND_OF)
+    return events(spark, sf_dir).select("event_id", F.coalesce(fault, F.lit("")).alias("fault"))
+
+
+_MIXED = "(can_fade and decks)"
+
+
+@query(
+    "gated_plans",
+    f"""with {EVENTS}, p as (select event_id, [{', '.join(map(repr, moves.MOVES))}][cast(k % 11 as int) + 1] as mv, 1 + value / 20 as fade, case when k % 3 = 0 then 1.0 else 1 + k / 1000.0 end::double as ratio, k % 2 = 0 as sweep, user_id % 2 = 0 as raw, user_id % 3 <> 0 as decks, user_id % 5 <> 0 as can_fade,
+        event_id % 2 = 0 as fx, event_id % 3 = 0 as stems, event_id % 5 <> 0 as rate, event_id % 7 <> 0 as eq from ev), q as (select *, mv in {records.EFFECTS!r} and not fx as e, mv = 'acapella' and not stems as s, ratio <> 1 and not rate as t, sweep and not eq as f from p)
+    select event_id, case when not {_MIXED} then 'cut' when e or s then 'blend' else mv end as move, {r(f"case when not {_MIXED} then 0.05 else fade end")} as fade, case when not {_MIXED} or t then 1.0 else ratio end as ratio, {_MIXED} and sweep and not f as sweep,
+           case when raw and decks then 'full-engine' when can_fade then 'smart-crossfade' else 'native-ordering' end as mode, case when not {_MIXED} then 'dual-deck-transition' else concat_ws('|', case when e then 'effect:' || mv end, case when s then 'stem-mix' end, case when t then 'tempo-sync' end, case when f then 'eq-sweep' end) end as lost from q""",
+)
+def gated_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, user, item = F.col("k"), F.col("user_id"), F.col("event_id")
+    can = {"raw": user % 2 == 0, "decks": user % 3 != 0, "crossfade": user % 5 != 0, "effects": item % 2 == 0, "stems": item % 3 == 0, "rate": item % 5 != 0, "eq": item % 7 != 0}
+    move = F.element_at(F.array(*map(F.lit, moves.MOVES)), (k % 11 + 1).cast("int"))
+    g = records.gated_plan(move, 1 + F.col("value") / 20, F.when(k % 3 == 0, 1.0).otherwise(1 + k / 1000.0), k % 2 == 0, can)
+    done = events(spark, sf_dir).select("event_id", g.alias("g"))
+    return done.select("event_id", "g.move", half_up("g.fade").alias("fade"), "g.ratio", "g.sweep", "g.mode", F.array_join("g.lost", "|").alias("lost"))
+
+
+@query(
+    "handovers",
+    f"""with {EVENTS}, x as (select event_id, [{_U}, {_U} + k / 200.0, 1 - k / 150.0, 0.4 + k / 100.0]::double[] as s, [0.5 + k / 150.0, 0.6 + user_id % 3 / 10.0, 0.7, k / 80.0]::double[] as c from ev),
+    n as (select *, coalesce(list_min(list_filter([1, 2, 3, 4], lambda i: s[i] < 0.65)), 4) as n from x) select event_id, cast(n as int) as stages, cast(len(list_filter(range(1, n + 1), lambda i: s[i] >= 0.65 and c[i] >= 0.55)) as int) as accepted, n = 4 and len(list_filter(range(1, n + 1), lambda i: s[i] >= 0.65 and c[i] >= 0.55)) = 4 as committed from n""",
+)
+def handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, k = F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), F.col("k")
+    h = records.handover(F.array(u, u + k / 200.0, 1 - k / 150.0, 0.4 + k / 100.0), F.array(0.5 + k / 150.0, 0.6 + F.col("user_id") % 3 / 10.0, F.lit(0.7), k / 80.0))
+    done = events(spark, sf_dir).select("event_id", h.alias("h"))
+    return done.select("event_id", F.size("h.stages").alias("stages"), F.size(F.filter("h.stages", lambda s: s["accepted"])).alias("accepted"), "h.committed")

@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import grammar, moves
+from tessella.functions import grammar, moves, records
 from tessella.functions.journeys import INTENTS, journey
 from tessella.functions.scalars import clamp, once
-from tessella.operators import beats, graph, queues
+from tessella.operators import beats, graph, queues, sequences
 from tessella.operators import moves as move_choice
 from tessella.operators.folds import rounded
 from tessella.streaming import events as streaming
@@ -309,3 +309,45 @@ def test_commands(spark):
     want = [("skip", None), ("play", "higher power coldplay"), ("pause", None), ("nowPlaying", None), ("play", "mr brightside"), ("resume", None), ("skip", None), ("skip", None), None, None, None, None, None, None, ("volumeUp", None)]
     got = said(spark, grammar.command, texts)
     assert [None if g is None or g.kind is None else tuple(g) for g in got] == want
+
+
+def test_fingerprints_of_three_versions(spark):
+    import json
+
+    old = {"version": 1, "experienceDNA": {"weights": {"chill": 3, "party": 1, "odd": 5, "love": -2}, "targetEnergy": 2}, "energyCurve": [0.2, 1.7, -1] + [0.5] * 70, "mixPersonality": {"tempoTolerance": 0.9, "vocalOverlap": "x"}, "genreDistribution": {"rock": 2, "pop": 2}, "sampleSize": 7.9, "extra": {"a": [1]}}
+    new = {"version": 3, "moods": {"weights": {"energy": 1}}, "curve": [0.1], "personality": {}, "confidence": 0.4}
+    bodies = [json.dumps(old), json.dumps(new), json.dumps(old | {"version": 9}), "{", json.dumps(new | {"curve": []}), json.dumps(new | {"moods": {}}), None, "[]"]
+    got = said(spark, records.fingerprint, bodies)
+    assert [g.fault for g in got] == [None, None, "version", "json", "curve", "moods", "json", "json"]
+    a, b = got[:2]
+    assert (a.moods.chill, a.moods.party, a.moods.love, a.target, len(a.curve), a.curve[-1], a.samples) == (0.75, 0.25, 0.0, 1.0, 64, 0.5, 7)
+    assert (a.mix.tempoTolerance, a.mix.vocalOverlap, a.genres, list(a.others)) == (0.25, 0.12, {"rock": 0.5, "pop": 0.5}, ["extra"]) and '"a":[1]' in a.others["extra"].replace(" ", "")
+    assert (b.version, b.moods.energy, b.curve, b.confidence, b.samples, b.others) == (3, 1.0, [0.1], 0.4, 1, {})
+
+
+def test_faults_of_overrides(spark):
+    good = '{"transitionType": "cut", "fadeSec": 4}'
+    cases = {good: None, "{": "object", "[]": "object", "{}": "intent", '{"fadeSec": 61}': "fade", '{"toTrackId": " ", "fadeSec": 2}': "to", '{"transitionType": "acapella", "stemUsage": "forbid"}': "conflict", '{"fadeSec": 2, "expiresAtMs": 5}': "expired",
+             '{"neverMixRegions": [{"track": "next", "start": 3, "end": 2}]}': "regions", '{"neverMixRegions": [{"track": "next", "start": 1, "end": 2}]}': None, '{"preserveSection": "drop"}': None, '{"preserveSection": "solo"}': "section"}
+    assert said(spark, lambda t: records.override_fault(t, 10, ("drop",)), list(cases)) == list(cases.values())
+
+
+def test_plans_and_handovers(spark):
+    on, off = F.lit(True), F.lit(False)
+    every = dict.fromkeys(("raw", "decks", "crossfade", "effects", "stems", "rate", "eq"), on)
+    plan = lambda move, **can: tuple(spark.range(1).select(records.gated_plan(F.lit(move), F.lit(6.0), F.lit(1.1), on, every | can).alias("p")).first().p)
+    assert plan("echo") == ("echo", 6.0, 1.1, True, "full-engine", [])
+    assert plan("echo", effects=off, rate=off, eq=off) == ("blend", 6.0, 1.0, False, "full-engine", ["effect:echo", "tempo-sync", "eq-sweep"])
+    assert plan("acapella", stems=off, raw=off) == ("blend", 6.0, 1.1, True, "smart-crossfade", ["stem-mix"])
+    assert plan("cut", decks=off, crossfade=off) == ("cut", 0.05, 1.0, False, "native-ordering", ["dual-deck-transition"])
+    for scores, sure, n, committed in (([0.7] * 4, [0.6] * 4, 4, True), ([0.7, 0.6, 0.9, 0.9], [0.6] * 4, 2, False), ([0.1] * 4, [1.0] * 4, 1, False), ([0.7] * 4, [0.6, 0.5, 0.6, 0.6], 4, False)):
+        h = spark.range(1).select(records.handover(F.array(*map(F.lit, scores)), F.array(*map(F.lit, sure))).alias("h")).first().h
+        assert (len(h.stages), h.committed) == (n, committed)
+
+
+def test_payoffs(spark):
+    rows = [("a", 0, "verse", 0.0, 10.0, 0.3, 0.5), ("a", 1, "build", 10.0, 20.0, 0.5, 0.5), ("a", 2, "drop", 20.0, 40.0, 0.9, 0.9), ("b", 0, "build", 0.0, 60.0, 0.5, 0.5), ("b", 1, "chorus", 60.0, 70.0, 0.9, 0.5)]
+    sections = spark.createDataFrame(rows, "k string, section long, type string, w_start double, w_end double, energy double, drums double")
+    cuts = spark.createDataFrame([(1, "a", 5.0), (2, "a", 15.0), (3, "a", 39.0), (4, "a", 50.0), (5, "b", 10.0), (6, "b", 50.0)], "i long, k string, cut double")
+    got = {r.i: tuple(r)[1:] for r in sequences.payoff_cuts(cuts, sections, "i", "k", "cut").collect()}
+    assert got == {1: (False, 0.236, 2, 35.0), 2: (True, 1.0, 2, 25.0), 3: (False, 0.2, None, None), 4: (False, 0.0, None, None), 5: (False, 1.0, None, None), 6: (True, 1.0, 1, 20.0)}
