@@ -93,6 +93,17 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), kept[at]
 
 
+def gathered(held: list[bytes], place: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers held for each place, one place's behind the other's, and where each place's start, and the end."""
+    size = np.fromiter(map(len, held), np.int32, len(held)) // kind.itemsize
+    count = size[place]
+    ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+    wide = np.int32 if max(ends[-1], size.sum(dtype=np.int64)) < 1 << 31 else np.int64
+    spot = np.repeat((np.cumsum(size, dtype=wide) - size)[place] - ends[:-1].astype(wide), count)
+    spot += np.arange(len(spot), dtype=wide)
+    return np.frombuffer(b"".join(held), kind)[spot], ends
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers (xor-shift and multiply)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, stored, words_of
+from .common import gathered, slices, stored, words_of
 
 BLOCK_IDS = 1 << 17
 #: Documents of a shard, about; their number follows the input up to SHARDS_MOST.
@@ -165,15 +165,7 @@ class WordIds(Ids):
         words, at = words_of(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts))
         coded = words.dictionary_encode()
         held = self._look_up(coded.dictionary)
-        size = np.fromiter(map(len, held), np.int32, len(held)) // self.kind.itemsize
-        place = coded.indices.to_numpy(zero_copy_only=False)
-        count = size[place]
-        ends = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
-        wide = np.int32 if max(ends[-1], size.sum(dtype=np.int64)) < 1 << 31 else np.int64
-        begin = (np.cumsum(size, dtype=wide) - size)[place] - ends[:-1].astype(wide)
-        spot = np.repeat(begin, count)
-        spot += np.arange(len(spot), dtype=wide)
-        flat = np.frombuffer(b"".join(held), self.kind)[spot]
+        flat, ends = gathered(held, coded.indices.to_numpy(zero_copy_only=False), self.kind)
         counts = np.diff(ends[at])
         if odd.any():
             whole = [(k, self.whole(texts[k].as_py())) for k in np.nonzero(odd)[0].tolist()]

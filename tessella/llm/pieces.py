@@ -27,15 +27,16 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import gathered, slices
 
 MARK = "▁"
 #: Bytes by which suffixes are sorted first; each doubling sorts them by twice as many.
@@ -43,7 +44,9 @@ KEY = 8
 #: Bytes of new chunks that are indexed at once.
 INDEXED = 1 << 19
 #: Chunks whose ids a task remembers, and the bytes from which a chunk is merged with a heap.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
+#: Parts the chunks of a text for the column functions; texts that hold it are cut one by one.
+APART = "\x1f"
 LONG = 96
 _NONE = np.int32(1 << 30)
 
@@ -118,7 +121,8 @@ class Vocabulary:
         if any(" " in p.lstrip(" ") for p in many):
             raise ValueError("a piece goes on after a space within: chunks cannot end before spaces")
         alone = "".join(sorted({"\n", "\t", "\r"} - set("".join(many))))
-        self.chunks = re.compile(rf" *[^ {re.escape(alone)}]+| +|[{re.escape(alone)}]" if alone else " *[^ ]+| +")
+        alone = "".join(f"\\x{ord(c):02x}" for c in alone)
+        self.chunks = re.compile(f" *[^ {alone}]+| +|[{alone}]" if alone else " *[^ ]+| +")
         self.pairs = frozenset(p[k : k + 2] for p in many for k in range(len(p) - 1))
         self.length = np.array([len(p) for p in self.bytes_of_rank])
         self.width = KEY
@@ -273,32 +277,73 @@ def segment(chunks: list[bytes], v: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Ids of texts; only chunks not seen lately are matched."""
+    """Ids of texts. Column functions cut a batch's texts into chunks and number them; each different chunk is looked up once,
+    and numpy gathers the ids of all places. Only chunks not seen lately are matched."""
+
+    kind = np.dtype("<u4")
 
     def __init__(self, path: str) -> None:
         self.v = vocabulary(path)
         self._known: dict[str, bytes] = {}
-
-    def _chunks(self, text: str) -> list[str]:
-        chunks = self.v.chunks.findall(text)
-        if len(text) < LONG or max(map(len, chunks)) < LONG // 4:
-            return chunks
-        return [part for c in chunks for part in (self.v.cut(c) if len(c) >= LONG // 4 else (c,))]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._chunks(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        self._older: dict[str, bytes] = {}  # what was known before, for chunks that come again
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), one text behind the other, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        spaced = pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), "", " "), pc.replace_substring(texts, MARK, " "), "")
+        odd = pc.match_substring(texts, APART).to_numpy(zero_copy_only=False)  # holds what parts the chunks below
+        plain = pc.if_else(pa.array(odd), "", spaced) if odd.any() else spaced
+        lists = pc.split_pattern(pc.replace_substring_regex(plain, self.v.chunks.pattern, rf"\0{APART}"), APART)
+        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        kept = np.concatenate(([0], np.cumsum(full)))
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        out, ends = gathered(self._look_up(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False), self.kind)
+        ends = ends[kept[at - at[0]]]
+        counts = np.diff(ends)
+        if odd.any():
+            whole = [(k, b"".join(self._look_up(self.v.chunks.findall(spaced[k].as_py())))) for k in np.nonzero(odd)[0].tolist()]
+            counts[odd] = [len(x) // 4 for _, x in whole]
+            out = np.insert(out, np.repeat([ends[k] for k, _ in whole], counts[odd]), np.concatenate([np.frombuffer(x, self.kind) for _, x in whole]))
+        return out, counts
+
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        flat, counts = self.ids(pa.array(texts, pa.string()))
+        at = np.concatenate(([0], np.cumsum(counts)))
+        return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks. Long ones are cut where that changes nothing."""
         if len(self._known) > REMEMBERED:
-            self._known.clear()
-        new = list(set().union(*split).difference(self._known)) if split else []
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
+        new, long = [], {}
+        for c in [c for c in chunks if c not in known]:
+            if (before := older.get(c)) is not None:
+                known[c] = before
+            elif len(c) < LONG // 4:
+                new.append(c)
+            else:
+                long[c] = self.v.cut(c)
+        if long:
+            new = list({p for parts in long.values() for p in parts if p not in known}.union(new))
         held, size = [], 0
         for k, chunk in enumerate(new):
             held.append(chunk)
             size += len(chunk)
             if size >= INDEXED or k == len(new) - 1:
-                self._known.update(zip(held, segment([c.encode() for c in held], self.v), strict=True))
+                known.update(zip(held, segment([c.encode() for c in held], self.v), strict=True))
                 held, size = [], 0
-        get = self._known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        for c, parts in long.items():
+            known[c] = b"".join(map(known.__getitem__, parts))
+        return list(map(known.__getitem__, chunks))
+
+
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process, so that its tasks share what is known."""
+    return Encoder(path)
 
 
 def decode(ids: list[int], v: Vocabulary) -> bytes:
@@ -311,15 +356,17 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     unsigned 32-bit integers), and what they decode to: its length and digest, and whether it is the text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 texts = batch.column("text").to_pylist()
-                ids = encoder(texts)
-                back = [decode(np.frombuffer(x, "<u4").tolist(), encoder.v) for x in ids]
+                flat, counts = encoder.ids(batch.column("text"))
+                at = np.concatenate(([0], np.cumsum(counts)))
+                ids = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                back = [decode(x.tolist(), encoder.v) for x in ids]
                 cols = [
                     batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array(counts),
                     pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     pa.array([len(b) for b in back], pa.int64()),
                     pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
@@ -335,11 +382,13 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, ids) with the ids as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder(batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                flat, counts = encoder.ids(batch.column("text"))
+                at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, ids array<int>")
