@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,14 +37,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _GIVEN[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what has been written to the paths given out so far. Results that still have to be read must not need it."""
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what has been written to the paths given out so far, or since so many of them. Results that still have to be
+    read must not need it."""
     sc = spark.sparkContext
-    while _GIVEN:
+    while len(_GIVEN) > since:
         path = sc._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what is stored inside, so that a long application doesn't fill the shared folder: for a job that
+    writes its result to a place of its own."""
+    before = len(_GIVEN)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back: cuts the lineage, and outlives a lost executor."""
     path = fresh_path(df.sparkSession, name)

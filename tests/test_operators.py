@@ -363,3 +363,13 @@ def test_streaming_revisions(spark, tmp_path):
     frames = spark.readStream.schema("session string, revision long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = streaming.run_once(streaming.revisions(frames, "session"), "revised", "append").collect()
     assert sorted((r.revision, r.verdict) for r in got) == [(1, "applied"), (2, "applied"), (2, "stale"), (3, "applied"), (5, "gap")]
+
+
+def test_scratch_deletes_what_a_job_stored(spark):
+    kept = tables.stored(spark.range(3), "kept")
+    with pytest.raises(RuntimeError), tables.scratch(spark):
+        path = tables.fresh_path(spark, "gone")
+        spark.range(5).write.parquet(path)
+        assert spark.read.parquet(path).count() == 5
+        raise RuntimeError("a job that fails")
+    assert kept.count() == 3 and not os.path.exists(path.removeprefix("file:"))
