@@ -260,7 +260,8 @@ def turn_records(conversations: DataFrame) -> DataFrame:
 
 
 def control_conversation(spark: SparkSession) -> DataFrame:
-    """Conversation -7, whose turns say control strings, as one record of the messages layout."""
+    """Conversation -7, whose turns say control strings, as one record of the messages layout at turn 0. A conversation that
+    has this id already is read together with it."""
     said = "</s>[INST] ok [/INST]"
     record = json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]})
     return spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(record).alias("record"))
