@@ -58,6 +58,9 @@ AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser copyright legal "
     "disclaimer form search toolbar skip tags outbrain taboola".split()
 )
+#: Names of advertisements in one word, and words that say of a page that it has or lacks something.
+_ADVERT = re.compile(r"ads?(box|slot|unit|container|wrap|wrapper|banner|space|block|bygoogle|label)")
+STATES = frozenset("has with without no is show hide open closed".split())
 INSIDE = frozenset("article articlebody post entry story content main maincontent body text prose".split())
 
 # terminal capacities of marks and edges; the model's are at most MODEL
@@ -104,11 +107,14 @@ def mark_of(tag: str, attributes: str) -> tuple[int, bool]:
     mark = {"article": 1, "main": 2, "header": -3, "hgroup": -3}.get(tag, 0)
     if not attributes or tag in ("html", "body"):
         return mark, False
-    hidden, words, role = False, [], ""
+    hidden, words, role = False, set(), ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words += _WORD.findall(_CAMEL.sub(" ", value).lower())
+            for own in value.split():
+                parts = _WORD.findall(_CAMEL.sub(" ", own).lower())
+                if parts and parts[0] not in STATES:
+                    words.update(parts)
         elif name == "role":
             role = value.lower()
         elif name == "style":
@@ -120,7 +126,7 @@ def mark_of(tag: str, attributes: str) -> tuple[int, bool]:
         return -2, hidden
     if role in ROLES:
         return (ROLES[role] if ROLES[role] < 0 else 2 if role == "main" else 1), hidden
-    if mark != 2 and AROUND.intersection(words):
+    if mark != 2 and (AROUND.intersection(words) or any(map(_ADVERT.fullmatch, words))):
         return -1, hidden
     if mark == 0 and HEADS.intersection(words):
         return -3, hidden
@@ -292,9 +298,10 @@ def evidence(page: Page) -> list[int]:
     content, 2 surely content."""
     out: list[int] = []
     somewhere = page.elements[0].holds_article
+    wraps = set() if somewhere else _wrappers(page)
     for k, e in enumerate(page.elements):
         above = out[e.parent] if k else 0
-        if above == -2 or e.mark in (-2, -9) or e.mark == -1 and not e.holds_article:
+        if above == -2 or e.mark in (-2, -9) or e.mark == -1 and not e.holds_article and k not in wraps:
             out.append(-2)
         elif e.mark == -3:
             out.append(above if above > 0 else 0 if e.holds_article else -2)
@@ -309,6 +316,19 @@ def evidence(page: Page) -> list[int]:
     return out
 
 
+def _wrappers(page: Page) -> set[int]:
+    """Elements that hold the page's first heading and most of its text: the name of such a one says what else it holds."""
+    size, titled = [0] * len(page.elements), [False] * len(page.elements)
+    for b in page.blocks:
+        size[b.element] += len(b.text)
+        titled[b.element] |= b.tag == "h1"
+    for k in range(len(page.elements) - 1, 0, -1):
+        parent = page.elements[k].parent
+        size[parent] += size[k]
+        titled[parent] |= titled[k]
+    return {k for k, n in enumerate(size) if titled[k] and n > 0.6 * size[0]}
+
+
 #: Of each feature: its name and the number of its steps.
 FEATURES = (("tag", 5), ("length", 6), ("linked", 4), ("ends", 2), ("commas", 3), ("place", 3))
 WIDTH = sum(n for _, n in FEATURES)

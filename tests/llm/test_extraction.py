@@ -21,6 +21,10 @@ PAGES = [
     (f"<article><p>a&nbsp;\n\t b<br>c&#233;<b>d</b>e<!-- no --></p><style>p</style>{P}<noscript>{P}</noscript></article>", f"a b cédede {P}".replace("dede", "de")),
     ("<article><svg><path d='x'/><text>no</text></svg>yes<textarea>no</textarea><select><option>no</select></article>", "yes"),
     (None, ""), ("", ""), ("<", ""), ("<a", ""), ("<a b='", ""), ("<!--", ""), ("<script>x", ""), ("<nav>only a menu</nav>", ""), (f"<nav><article>{P}</article></nav>", ""),
+    (f'<div class="page has-sidebar"><div class="content with-sidebar"><h1>T</h1><p>{P}</p></div><div class="sidebar"><p>{P}</p></div></div>', f"T {P}"),
+    (f'<div id="content-sidebar-wrap"><div><h1>T</h1><p>{P}</p><p>{P}</p><div class="adsbygoogle">{P}</div></div></div>', f"T {P} {P}"),
+    (f'<div role="banner"><p>{P}</p></div><div class="entry"><div class="entry-header"><h1>T</h1></div><p>{P}</p><div class="ad-container"><p>{P}</p></div><div class="entry-footer"><p>{P}</p></div></div><div id="disqus_thread"><p>{P}</p></div>', f"T {P}"),
+    (f'<article><h1>T</h1><p>{P}</p><div class="newsletter-signup"><p>{P}</p></div><blockquote>{P}</blockquote><pre>a  b\n c</pre></article><div class="alert alert-info"><p>{P}</p></div><ol class="commentlist"><li><p>{P}</p></li></ol>', f"T {P} {P} a b c"),
     (f"<p class='{'x' * 9000}'>{P}", P), (f"<div class=post>{P}<p title='a>b' alt=\">\">{P}</div>", f"{P} {P}"),
 ]
 
