@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import clamp, half_up
+from ..sources.tables import stored
 from .folds import ordered_fold, rounded
+from .neighbours import best_partners
 
 DAY_MS = 86_400_000
 # What moves cost, signals and levels weigh, and how far a source of an analysis is trusted.
@@ -324,3 +326,26 @@ def compatibility_routes(items: DataFrame, item: str, start: object, score: Colu
         out = some if out is None else out.union(some)
     best = F.min(F.struct((-F.col("score")).alias("o"), F.array_join("route", "/").alias("r"))).alias("b")
     return out.groupBy("first").agg(best).select("first", F.col("b.r").alias("route"), (-F.col("b.o")).alias("score"))
+
+
+def neighbour_routes(items: DataFrame, item: str, start: object, value: str, group: str, score: Callable[[Column, Column], Column], depth: int = 3, branches: int = 6, decay: float = 0.72) -> DataFrame:
+    """compatibility_routes() of any number of items, for scores of their values and groups: score(distance, same), see
+    best_partners().
+
+    The first hop may be any item; from there on each route grows to its best few next items only. Of an item's best
+    partners a route may have been at depth at most, so a table of branches + depth partners is joined by the tip."""
+    partners = stored(best_partners(items, item, value, group, score, branches + depth), "partners").withColumnsRenamed({item: "tip"})
+    begin = items.where(F.col(item) == start).select(F.col(value).alias("v"), F.col(group).alias("g"))  # one row
+    edge = half_up(score(F.abs(F.col(value) - F.col("v")), F.col(group).eqNullSafe(F.col("g"))))
+    grown = items.where(F.col(item) != start).join(F.broadcast(begin)).select(F.array(F.lit(start).cast(items.schema[item].dataType), F.col(item)).alias("route"), edge.alias("s"), F.lit(1.0).alias("w"))
+    out = grown
+    for hop in range(1, depth):
+        met = grown.withColumn("tip", F.element_at("route", -1)).join(partners, "tip").where(~F.array_contains("route", F.col("other")))
+        nth = F.row_number().over(Window.partitionBy("route").orderBy(F.desc("edge"), "other"))
+        met = met.withColumn("nth", nth).where(F.col("nth") <= branches)
+        weight = decay**hop
+        grown = met.select(F.array_append("route", F.col("other")).alias("route"), (F.col("s") + F.col("edge") * weight).alias("s"), (F.col("w") + weight).alias("w"))
+        out = out.union(grown)
+    told = out.select(F.element_at("route", 2).alias("first"), "route", half_up(F.col("s") / F.col("w")).alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("o"), F.array_join("route", "/").alias("r"))).alias("b")
+    return told.groupBy("first").agg(best).select("first", F.col("b.r").alias("route"), (-F.col("b.o")).alias("score"))

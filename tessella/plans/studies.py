@@ -809,8 +809,7 @@ def _routes_sql(depth: int = 3, branches: int = 3) -> str:
 @query("compatibility_routes", _routes_sql())
 def compatibility_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
-    score = 0.4 + 0.4 * (1 - F.abs(F.col("tip_s_acctbal") - F.col("s_acctbal")) / 11000) + 0.2 * (F.col("tip_s_nationkey") == F.col("s_nationkey")).cast("int")
-    return studies.compatibility_routes(s, "s_suppkey", 0, score, 3, 3)
+    return studies.neighbour_routes(s, "s_suppkey", 0, "s_acctbal", "s_nationkey", lambda d, same: 0.4 + 0.4 * (1 - d / 11000) + 0.2 * same.cast("int"), 3, 3)
 
 
 @query(

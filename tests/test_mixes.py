@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import grammar, moves, records
 from tessella.functions.journeys import INTENTS, journey
 from tessella.functions.scalars import clamp, once
-from tessella.operators import beats, graph, queues, sequences
+from tessella.operators import beats, graph, neighbours, queues, sequences
 from tessella.operators import moves as move_choice
 from tessella.operators.folds import rounded
 from tessella.streaming import events as streaming
@@ -351,3 +351,19 @@ def test_payoffs(spark):
     cuts = spark.createDataFrame([(1, "a", 5.0), (2, "a", 15.0), (3, "a", 39.0), (4, "a", 50.0), (5, "b", 10.0), (6, "b", 50.0)], "i long, k string, cut double")
     got = {r.i: tuple(r)[1:] for r in sequences.payoff_cuts(cuts, sections, "i", "k", "cut").collect()}
     assert got == {1: (False, 0.236, 2, 35.0), 2: (True, 1.0, 2, 25.0), 3: (False, 0.2, None, None), 4: (False, 0.0, None, None), 5: (False, 1.0, None, None), 6: (True, 1.0, 1, 20.0)}
+
+
+@pytest.mark.parametrize("values", ["spread", "ties", "few"])
+def test_best_partners_against_all_pairs(spark, values):
+    """Ties beyond the first neighbours, by equal values and by rounding, and a bonus that brings far items near."""
+    rng = random.Random(6)
+    n = {"spread": 120, "ties": 90, "few": 4}[values]
+    items = [(k, 5.0 if values == "ties" and k % 3 else rng.uniform(0, 100), rng.randint(0, 3)) for k in range(n)]
+    score = lambda d, same: 0.4 + 0.4 * (1 - d / 100) + 0.2 * same.cast("int")
+    df = spark.createDataFrame(items, "k long, v double, g long").repartition(3)
+    got = {(r.k, r.nth): (r.other, r.edge) for r in neighbours.best_partners(df, "k", "v", "g", score, 5, near=2).collect()}
+    want = {}
+    for a, x, g in items:
+        edges = sorted((-rounded(0.4 + 0.4 * (1 - abs(x - y) / 100) + 0.2 * (g == h)), b) for b, y, h in items if b != a)[:5]
+        want |= {(a, k + 1): (b, -e) for k, (e, b) in enumerate(edges)}
+    assert got == want
