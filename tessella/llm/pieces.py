@@ -44,7 +44,7 @@ KEY = 8
 #: Bytes of new chunks that are indexed at once.
 INDEXED = 1 << 19
 #: Chunks whose ids a task remembers, and the bytes from which a chunk is merged with a heap.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Parts the chunks of a text for the column functions; texts that hold it are cut one by one.
 APART = "\x1f"
 LONG = 96
@@ -358,7 +358,7 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 texts = batch.column("text").to_pylist()
                 flat, counts = encoder.ids(batch.column("text"))
                 at = np.concatenate(([0], np.cumsum(counts)))
