@@ -26,7 +26,7 @@ ARTIST_SIGNALS = {
 }
 STAGES = ("discovered", "curious", "returning", "fan", "core-fan")
 PROVENANCE = {
-    "official-metadata": 0.75, "provider-analysis": 0.65, "beatcord-model": 0.6, "user-correction": 0.95, "dj-correction": 1.0, "midi": 0.85, "official-stems": 0.9,
+    "official-metadata": 0.75, "provider-analysis": 0.65, "own-model": 0.6, "user-correction": 0.95, "dj-correction": 1.0, "midi": 0.85, "official-stems": 0.9,
 }
 #: From the weakest on.
 LEVELS = {"hypothesis": 0.25, "experimental": 0.55, "supported": 0.8, "established": 1.0}

@@ -254,7 +254,7 @@ def beat_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _x(spark, sf_dir).groupBy("k").agg(half_up(clamp(F.avg("u") * (1 - spread))).alias("confidence"), F.countDistinct("event_type").alias("sources"))
 
 
-_PROVIDERS = {"purchase": "dj-correction", "signup": "user-correction", "click": "official-metadata", "view": "provider-analysis", "error": "beatcord-model"}
+_PROVIDERS = {"purchase": "dj-correction", "signup": "user-correction", "click": "official-metadata", "view": "provider-analysis", "error": "own-model"}
 _TRUST = _case("event_type", {k: studies.PROVENANCE[v] for k, v in _PROVIDERS.items()}, 0.0)
 
 
