@@ -120,11 +120,11 @@ def taste_compatibility(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def taste_drift(df: DataFrame, before: str, recent: str, threshold: float = 0.22, digits: int = 3) -> DataFrame:
-    """df with drift (a map), magnitude and shifted."""
+    """df with drift (a map), magnitude and shifted, which goes by the rounded magnitude."""
     change = F.map_zip_with(before, recent, lambda k, a, b: half_up(F.coalesce(b, F.lit(0.0)) - F.coalesce(a, F.lit(0.0))))
     sizes = F.map_values("drift")
     magnitude = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + F.abs(x)) / F.greatest(F.size(sizes), F.lit(1))
-    return df.withColumn("drift", change).withColumn("magnitude", half_up(magnitude, digits)).withColumn("shifted", magnitude >= threshold)
+    return df.withColumn("drift", change).withColumn("magnitude", half_up(magnitude, digits)).withColumn("shifted", F.col("magnitude") >= threshold)
 
 
 def rank_requests(df: DataFrame, now_ms: int) -> DataFrame:

@@ -380,3 +380,10 @@ def test_scratch_deletes_what_a_job_stored(spark):
         assert spark.read.parquet(path).count() == 5
         raise RuntimeError("a job that fails")
     assert kept.count() == 3 and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_taste_drift_is_judged_as_it_is_rounded(spark):
+    df = spark.sql("select map('a', 0D, 'b', 0D, 'c', 0D) as before, map('a', 0.001D, 'b', 0.059D, 'c', 0.6D) as recent")
+    row = groups.taste_drift(df, "before", "recent", digits=6).first()
+    sizes = list(row.drift.values())
+    assert sum(sizes) / 3 < 0.22 and row.magnitude == 0.22 and row.shifted
