@@ -12,6 +12,7 @@ from ..functions.scalars import clamp, half_up
 # What the bias of feedback is made of, how much its keys weigh, and what the base plan has ahead.
 SCORE, FALLBACK, NEGATIVE, BIAS = (82.0, 0.45), 18.0, 28.0, (-24.0, 12.0)
 FIRST, FURTHER = 0.4, 0.2
+KEYS = 4
 BASE_BONUS, MARGIN = 3.0, 4.0
 
 
@@ -26,12 +27,18 @@ def feedback_profile(records: DataFrame, move: str, gap_pct: Column, key_score:
 
 def ranked_moves(pairs: DataFrame, key: str, pair: Pair, feedback: DataFrame) -> DataFrame:
     """(key, move, score, musical, bias, place): all moves that a pair can make, the best first. The keys of a move that are
-    known bias it: the first of them most."""
-    made = pairs.select(key, pair.base.alias("base"), F.explode(candidates(pair)).alias("c")).select(key, "base", "c.move", "c.musical", "c.keys")
-    asked = made.select(key, "move", F.posexplode("keys").alias("at", "key_")).join(feedback.select(F.col("key").alias("key_"), F.col("bias").alias("told")), "key_")
-    biases = asked.groupBy(key, "move").agg(half_up(F.sum(F.col("told") * FURTHER) + F.min_by("told", "at") * (FIRST - FURTHER), 1).alias("bias"))
+    known bias it: the first of them most. feedback has a row for each bucket of each move, so it is sent to all tasks, and
+    the pairs meet it where they are. A pair can always fade, so none is without a move."""
+    made = pairs.select(key, pair.base.alias("base"), F.explode_outer(candidates(pair)).alias("c")).select(key, "base", "c.move", "c.musical", "c.keys")
+    told = [f"_told_{k}" for k in range(KEYS)]
+    for k, name in enumerate(told):
+        known = feedback.select(F.col("key").alias(f"_key_{k}"), F.col("bias").alias(name))
+        made = made.withColumn(f"_key_{k}", F.col("keys")[k]).join(F.broadcast(known), f"_key_{k}", "left").drop(f"_key_{k}")
+    first = F.coalesce(*told)
+    bias = half_up(sum((F.coalesce(F.col(x) * FURTHER, F.lit(0.0)) for x in told), F.lit(0.0)) + first * (FIRST - FURTHER), 1)
+    made = made.withColumn("bias", bias)
     score = half_up(F.col("musical") + F.coalesce("bias", F.lit(0.0)) + F.when(F.col("move") == F.col("base"), BASE_BONUS).otherwise(0.0), 1)
-    met = made.drop("keys").join(biases, [key, "move"], "left").withColumns({"score": score, "bias": F.coalesce("bias", F.lit(0.0))})
+    met = made.drop("keys", *told).withColumns({"score": score, "bias": F.coalesce("bias", F.lit(0.0))})
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "move"))
     return met.select(key, "move", "score", "musical", "bias", "base", place.alias("place"))
 

@@ -15,6 +15,7 @@ from tessella.functions.scalars import clamp, once
 from tessella.operators import beats, graph, neighbours, queues, sequences
 from tessella.operators import moves as move_choice
 from tessella.operators.folds import rounded
+from tessella.plans import registry
 from tessella.streaming import events as streaming
 
 
@@ -292,6 +293,14 @@ def said(spark, of, texts):
     return [r.x for r in df.select("k", of(F.col("t")).alias("x")).orderBy("k").collect()]
 
 
+def test_ranked_moves_send_only_the_feedback(spark, small_dir):
+    """However small the events look on disk, their moves are not broadcast."""
+    df = registry.queries()["ranked_moves"](spark, small_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert len(joins) == 4 and all("rightHint=(strategy=broadcast)" in x for x in joins)
+
+
 def test_requests_fill_slots(spark):
     got = said(spark, grammar.request, ["Erst chill, dann Party in 45 min mit mehr Energie", "one hour romantisch, ruhiger", "in 2 stunden feiern", "90min steigern", "", None, "mehr davon, energie", "9999 min", "30 - min club"])
     want = [("chill", "party", 45, "rising", 1.0), ("chill", "love", 60, "falling", 0.94), ("party", "party", 120, "steady", 0.57), ("chill", "chill", 90, "rising", 0.5), ("chill", "chill", 30, "steady", 0.35), None,
