@@ -293,9 +293,10 @@ def said(spark, of, texts):
     return [r.x for r in df.select("k", of(F.col("t")).alias("x")).orderBy("k").collect()]
 
 
-def test_ranked_moves_send_only_the_feedback(spark, small_dir):
+@pytest.mark.parametrize("name", ["ranked_moves", "preferred_moves"])
+def test_moves_send_only_the_feedback(spark, small_dir, name):
     """However small the events look on disk, their moves are not broadcast."""
-    df = registry.queries()["ranked_moves"](spark, small_dir)
+    df = registry.queries()[name](spark, small_dir)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.split("\n") if "Join" in line]
     assert len(joins) == 4 and all("rightHint=(strategy=broadcast)" in x for x in joins)
