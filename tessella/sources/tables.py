@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to four tasks for each core, however few its bytes: for joins that make far more rows than they read."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; where it is unset (tests) an own folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)

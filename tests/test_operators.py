@@ -387,3 +387,11 @@ def test_taste_drift_is_judged_as_it_is_rounded(spark):
     row = groups.taste_drift(df, "before", "recent", digits=6).first()
     sizes = list(row.drift.values())
     assert sum(sizes) / 3 < 0.22 and row.magnitude == 0.22 and row.shifted
+
+
+def test_matches_of_any_key_come_once_without_comparing_pairs(spark):
+    left = spark.createDataFrame([(1, "p", "s"), (1, "q", None), (2, None, "t"), (3, "p", "t")], "a long, k string, l string")
+    right = spark.createDataFrame([(7, "p", "s"), (7, "q", "t"), (8, "q", "s"), (9, None, None)], "b long, k string, l string")
+    got = joins.any_key_matches(left, right, "a", "b", ["k", "l"])
+    assert sorted(map(tuple, got.collect())) == [(1, 7), (1, 8), (2, 7), (3, 7)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
