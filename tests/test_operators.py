@@ -395,3 +395,10 @@ def test_matches_of_any_key_come_once_without_comparing_pairs(spark):
     got = joins.any_key_matches(left, right, "a", "b", ["k", "l"])
     assert sorted(map(tuple, got.collect())) == [(1, 7), (1, 8), (2, 7), (3, 7)]
     assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_large_components_do_not_pass_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 20)
+    rows = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")
+    plan = graph._stars(rows, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
