@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import half_up
-from ..sources.tables import stored
+from ..sources.tables import spread, stored
 
 
 #: Edges from which on what is known of a node is sent to all tasks, instead of its edges to one.
@@ -76,15 +76,25 @@ def leaking_keys(df: DataFrame, key: str, split: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
+#: Cells in the width of a band: many small ones are dealt evenly, and fewer pairs meet that are too far apart.
+FINE = 8
+
+
+def _cells(value: str, width: float) -> tuple[Column, Column]:
+    """The cell of a value, and those (exploded) that values no further than the width can lie in."""
+    cell = F.floor(F.col(value) / (width / FINE))
+    return cell, F.explode(F.sequence(cell - FINE, cell + FINE))
+
+
 def compatibility_edges(items: DataFrame, item: str, block: str, score: Column, least: float, band: tuple[str, float]) -> DataFrame:
     """(src, dst, score) of directed pairs of a block; score uses the columns of both sides as a_ and b_ ones. band: a column
     and how far apart it may be in a pair that scores enough, so that only items of neighbouring cells meet."""
     value, width = band
-    cell = F.floor(F.col(value) / width)
-    a = items.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    cell, wide = _cells(value, width)
+    a = items.withColumn("_cell", wide)
     a = a.select("_cell", *(F.col(c).alias(c if c == block else f"a_{c}") for c in items.columns))
     b = items.select(cell.alias("_cell"), *(F.col(c).alias(c if c == block else f"b_{c}") for c in items.columns))
-    pairs = a.join(b, [block, "_cell"]).where(F.col(f"a_{item}") != F.col(f"b_{item}"))
+    pairs = spread(a, block, "_cell").join(spread(b, block, "_cell"), [block, "_cell"]).where(F.col(f"a_{item}") != F.col(f"b_{item}"))
     return pairs.select(F.col(f"a_{item}").alias("src"), F.col(f"b_{item}").alias("dst"), half_up(score).alias("score")).where(F.col("score") >= least)
 
 
@@ -95,12 +105,11 @@ def extend_edges(spark: SparkSession, folder: str, batch: int, new: DataFrame, i
     smaller item)."""
     value, width = band
     held = _held(spark, f"{folder}/items", new, batch)
-    cell = F.floor(F.col(value) / width)
+    cell, wide = _cells(value, width)
     side = lambda df, name, cells: df.select(cells.alias("_cell"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns))
-    wide = F.explode(F.array(cell - 1, cell, cell + 1))
-    fresh = side(new, "x", wide)
-    before = fresh.join(side(held, "y", cell), "_cell")
-    among = fresh.join(side(new, "y", cell), "_cell").where(F.col(f"x_{item}") < F.col(f"y_{item}"))
+    fresh = spread(side(new, "x", wide), "_cell")
+    before = fresh.join(spread(side(held, "y", cell), "_cell"), "_cell")
+    among = fresh.join(spread(side(new, "y", cell), "_cell"), "_cell").where(F.col(f"x_{item}") < F.col(f"y_{item}"))
     met = before.unionByName(among)
     turned = F.col(f"x_{item}") > F.col(f"y_{item}")
     pairs = met.select(*(F.when(turned, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"a_{c}") for c in new.columns), *(F.when(turned, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"b_{c}") for c in new.columns))

@@ -387,3 +387,10 @@ def test_best_partners_against_all_pairs(spark, values):
         edges = sorted((-rounded(0.4 + 0.4 * (1 - abs(x - y) / 100) + 0.2 * (g == h)), b) for b, y, h in items if b != a)[:5]
         want |= {(a, k + 1): (b, -e) for k, (e, b) in enumerate(edges)}
     assert got == want
+
+
+def test_edges_are_dealt_to_many_tasks(spark):
+    df = spark.createDataFrame([(k, 1, k * 10.0) for k in range(30)], "k long, b int, v double")
+    got = graph.compatibility_edges(df, "k", "b", 1 - F.abs(F.col("a_v") - F.col("b_v")) / 100, 0.5, ("v", 50.6))
+    assert sorted((r.src, r.dst) for r in got.collect()) == [(x, y) for x in range(30) for y in range(30) if x != y and abs(x - y) <= 5]
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
