@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.moves import Pair, buckets, candidates
 from ..functions.scalars import clamp, half_up
+from ..sources.tables import spread
 
 # What the bias of feedback is made of, how much its keys weigh, and what the base plan has ahead.
 SCORE, FALLBACK, NEGATIVE, BIAS = (82.0, 0.45), 18.0, 28.0, (-24.0, 12.0)
@@ -28,8 +29,9 @@ def feedback_profile(records: DataFrame, move: str, gap_pct: Column, key_score:
 def ranked_moves(pairs: DataFrame, key: str, pair: Pair, feedback: DataFrame) -> DataFrame:
     """(key, move, score, musical, bias, place): all moves that a pair can make, the best first. The keys of a move that are
     known bias it: the first of them most. feedback has a row for each bucket of each move, so it is sent to all tasks, and
-    the pairs meet it where they are. A pair can always fade, so none is without a move."""
-    made = pairs.select(key, pair.base.alias("base"), F.explode_outer(candidates(pair)).alias("c")).select(key, "base", "c.move", "c.musical", "c.keys")
+    the pairs meet it where they are. A pair can always fade, so none is without a move. Pairs are dealt out before their moves
+    are made: however few files they come in, all cores make moves, and those of a pair are ranked where they are made."""
+    made = spread(pairs, key).select(key, pair.base.alias("base"), F.explode_outer(candidates(pair)).alias("c")).select(key, "base", "c.move", "c.musical", "c.keys")
     told = [f"_told_{k}" for k in range(KEYS)]
     for k, name in enumerate(told):
         known = feedback.select(F.col("key").alias(f"_key_{k}"), F.col("bias").alias(name))

@@ -330,6 +330,13 @@ def test_moves_send_only_the_feedback(spark, small_dir, name):
     assert len(joins) == 4 and all("rightHint=(strategy=broadcast)" in x for x in joins)
 
 
+@pytest.mark.parametrize("name", ["ranked_moves", "preferred_moves"])
+def test_moves_are_made_by_all_cores(spark, small_dir, name):
+    """A small file of events is read by one task; their moves are made and ranked by four for each core."""
+    df = registry.queries()[name](spark, small_dir)
+    assert df.select(F.spark_partition_id().alias("task")).distinct().count() == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_requests_fill_slots(spark):
     got = said(spark, grammar.request, ["Erst chill, dann Party in 45 min mit mehr Energie", "one hour romantisch, ruhiger", "in 2 stunden feiern", "90min steigern", "", None, "mehr davon, energie", "9999 min", "30 - min club"])
     want = [("chill", "party", 45, "rising", 1.0), ("chill", "love", 60, "falling", 0.94), ("party", "party", 120, "steady", 0.57), ("chill", "chill", 90, "rising", 0.5), ("chill", "chill", 30, "steady", 0.35), None,
