@@ -77,7 +77,7 @@ def leaking_keys(df: DataFrame, key: str, split: str) -> DataFrame:
 
 
 #: Cells in the width of a band: many small ones are dealt evenly, and fewer pairs meet that are too far apart.
-FINE = 8
+FINE = 32
 
 
 def _cells(value: str, width: float) -> tuple[Column, Column]:
@@ -98,35 +98,45 @@ def compatibility_edges(items: DataFrame, item: str, block: str, score: Column,
     return pairs.select(F.col(f"a_{item}").alias("src"), F.col(f"b_{item}").alias("dst"), half_up(score).alias("score")).where(F.col("score") >= least)
 
 
+def _added(new: DataFrame, held: DataFrame, item: str, score: Column, least: float, band: tuple[str, float]) -> DataFrame:
+    """(src, dst, score) of pairs of new items, each once, and of new with held ones."""
+    cell, wide = _cells(*band)
+    side = lambda df, name, *more: df.select(*more, *(F.col(c).alias(f"{name}_{c}") for c in new.columns))
+    there = side(new, "y", cell.alias("_cell"), F.lit(True).alias("_new")).union(side(held, "y", cell.alias("_cell"), F.lit(False).alias("_new")))
+    met = spread(side(new, "x", wide.alias("_cell")), "_cell").join(spread(there, "_cell").hint("merge"), "_cell").where(~F.col("_new") | (F.col(f"x_{item}") < F.col(f"y_{item}")))
+    turned = F.col(f"x_{item}") > F.col(f"y_{item}")
+    pairs = met.select(*(F.when(turned, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"a_{c}") for c in new.columns), *(F.when(turned, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"b_{c}") for c in new.columns))
+    return pairs.select(F.col(f"a_{item}").alias("src"), F.col(f"b_{item}").alias("dst"), half_up(score).alias("score")).where(F.col("score") >= least)
+
+
 def extend_edges(spark: SparkSession, folder: str, batch: int, new: DataFrame, item: str, score: Column, least: float, band: tuple[str, float]) -> int:
     """Adds a batch of items to a graph that is kept in a folder, and returns how many items held before were met: new items
     meet each other and those of neighbouring cells held before, each pair once, whichever came first. Batches are numbered
     upwards; one that is run again replaces what it wrote. score uses the columns of both sides as a_ and b_ ones (a: the
     smaller item)."""
-    value, width = band
     held = _held(spark, f"{folder}/items", new, batch)
-    cell, wide = _cells(value, width)
-    side = lambda df, name, cells: df.select(cells.alias("_cell"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns))
-    fresh = spread(side(new, "x", wide), "_cell")
-    before = fresh.join(spread(side(held, "y", cell), "_cell"), "_cell")
-    among = fresh.join(spread(side(new, "y", cell), "_cell"), "_cell").where(F.col(f"x_{item}") < F.col(f"y_{item}"))
-    met = before.unionByName(among)
-    turned = F.col(f"x_{item}") > F.col(f"y_{item}")
-    pairs = met.select(*(F.when(turned, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")).alias(f"a_{c}") for c in new.columns), *(F.when(turned, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"b_{c}") for c in new.columns))
-    edges = pairs.select(F.col(f"a_{item}").alias("src"), F.col(f"b_{item}").alias("dst"), half_up(score).alias("score")).where(F.col("score") >= least)
-    edges.write.mode("overwrite").parquet(f"{folder}/edges/batch={batch}")
+    _added(new, held, item, score, least, band).write.mode("overwrite").parquet(f"{folder}/edges/batch={batch}")
+    cell, wide = _cells(*band)
     near = new.select(wide.alias("_cell")).distinct()
     reached = held.withColumn("_cell", cell).join(near, "_cell", "left_semi").count()
     new.write.mode("overwrite").parquet(f"{folder}/items/batch={batch}")
     return reached
 
 
-def _held(spark: SparkSession, path: str, like: DataFrame, batch: int) -> DataFrame:
-    """The items of earlier batches."""
+def joining_edges(spark: SparkSession, folder: str, batch: int, new: DataFrame, item: str, score: Column, least: float, band: tuple[str, float]) -> DataFrame:
+    """(src, dst, score) of what a batch of items adds to a graph, as extend_edges() has it, for those who write the edges to a
+    place of their own: the folder keeps the items alone, so that edges, which grow with the square, are written once."""
+    new.write.mode("overwrite").parquet(f"{folder}/items/batch={batch}")
+    kept = _held(spark, f"{folder}/items", new, batch + 1, batch)
+    return _added(kept, _held(spark, f"{folder}/items", new, batch), item, score, least, band)
+
+
+def _held(spark: SparkSession, path: str, like: DataFrame, batch: int, since: int = 0) -> DataFrame:
+    """The items of earlier batches, since one of them."""
     if not batch:
         return like.limit(0)
     schema = T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])
-    return spark.read.schema(schema).parquet(path).where(F.col("batch") < batch).drop("batch")
+    return spark.read.schema(schema).parquet(path).where((F.col("batch") < batch) & (F.col("batch") >= since)).drop("batch")
 
 
 def kept_edges(spark: SparkSession, folder: str) -> DataFrame:

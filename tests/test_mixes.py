@@ -178,6 +178,19 @@ def test_components_split_hubs_and_keep_loops(spark, monkeypatch):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_edges_of_a_growing_graph_are_written_once(spark, tmp_path, monkeypatch):
+    """The query's folder keeps the items, and its edges, which are the result, come of them as they are read."""
+    rng = random.Random(8)
+    items = [(k, rng.choice([rng.uniform(0, 10_000), 500.0])) for k in range(150)]
+    spark.createDataFrame(items, "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/in/supplier.parquet")
+    monkeypatch.setattr(mixes, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    df = mixes.growing_graph(spark, f"{tmp_path}/in")
+    assert sorted(p.name for p in (tmp_path / "graph").iterdir()) == ["items"]
+    assert {p.name for p in (tmp_path / "graph/items").iterdir()} == {"batch=0", "batch=1", "batch=2"}
+    want = sorted((a, b, rounded(1 - abs(x - y) / 11000)) for a, x in items for b, y in items if a < b and rounded(1 - abs(x - y) / 11000) >= 0.9)
+    assert sorted(map(tuple, df.collect())) == want
+
+
 def test_growing_graph_is_the_whole_one(spark, tmp_path):
     rng = random.Random(3)
     items = [(k, rng.choice([rng.uniform(0, 100), 50.0])) for k in range(120)]
