@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessella.operators import graph
 from tessella.plans import registry
 
 QUERIES = registry.queries()
@@ -30,6 +31,20 @@ def test_splits_take_the_edges_of_all_customers(spark, tmp_path):
     assert got == {k: group[k] for k in linked}
 
 
+def test_splits_of_many_customers_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    spark.range(1, 101).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    few = set(map(tuple, QUERIES["leakage_safe_splits"](spark, str(tmp_path)).collect()))
+    plans, stored = [], graph.stored
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(graph, "HUB", 20)
+    monkeypatch.setattr(graph, "HUBS_MOST", 0)  # hubs, of which the driver gets a bounded number, are joined by a shuffle too
+    monkeypatch.setattr(graph, "stored", lambda df, name: stored(plan(df), name))
+    many = plan(QUERIES["leakage_safe_splits"](spark, str(tmp_path)))
+    assert set(map(tuple, many.collect())) == few
+    assert any("SortMergeJoin" in p for p in plans[:-1]) and "SortMergeJoin" in plans[-1]
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_peaks_are_where_the_sql_has_them(spark, tmp_path):
     rows = [(1, 7, "view", 10.01, '{"k": 1}'), (60_001, 7, "view", 10.05, '{"k": 1}'), (5, 8, "view", 1.0, '{"k": 1}'), (3, 8, "view", 1.0, '{"k": 1}')]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_millis(F.lit(1_704_067_200_000)))
